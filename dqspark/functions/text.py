@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from dqspark import values as V
 
-EDGE_SPACE = r"(?U)^\s+|\s+$"
-INNER_SPACE = r"(?U)\s+"
+# White space of Unicode plus the four separators \x1c-\x1f.
+SPACE = r"[\s\x1c-\x1f]+"
+EDGE_SPACE = rf"(?U)^{SPACE}|{SPACE}$"
+INNER_SPACE = rf"(?U){SPACE}"
 WORD_OR_GAP = r"\p{L}+|\P{L}+"
 
 
