@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import enum
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,7 +78,6 @@ class FittedFill:
     order_by: tuple[str, ...] = ()
     partition_by: tuple[str, ...] = ()
     rows_per_bucket: int = ordered.ROWS_PER_BUCKET
-    _by_name: dict = field(default_factory=dict, repr=False)
 
     def transform(self, df: DataFrame) -> DataFrame:
         active = [f for f in self.fills if f.success and f.strategy is not Strategy.SKIP]
@@ -166,10 +165,14 @@ def fit(
     gaps = {c: rows - got[f"n_{at[c]}"] for c in strategies}
     sizes = {c: (got[f"n_{at[c]}"], got[f"d_{at[c]}"]) for c in counted}
     live = [c for c in strategies if 0 < gaps[c] < rows]
-    medians = stats.quantiles(
-        df, {c: [0.5] for c in live if strategies[c] is Strategy.MEDIAN}, approx, distinct_limit, sizes
+    medians, modes = stats.quantiles_and_modes(
+        df,
+        {c: [0.5] for c in live if strategies[c] is Strategy.MEDIAN},
+        [c for c in live if strategies[c] is Strategy.MODE],
+        approx,
+        distinct_limit,
+        sizes,
     )
-    modes = stats.modes(df, [c for c in live if strategies[c] is Strategy.MODE], distinct_limit, sizes)
 
     fills = []
     for c, s in strategies.items():

@@ -152,7 +152,10 @@ def fill_ordered(
     needs_last = [c for c, how in fills.items() if how != BACKWARD]
 
     # Known values with their row position; a struct is NULL where nothing is known.
-    here = placed.withColumn(POSITION, F.row_number().over(forward).cast("bigint"))
+    # Only interpolation needs positions.
+    linear = LINEAR in fills.values()
+    position = F.row_number().over(forward).cast("bigint") if linear else F.lit(0).cast("bigint")
+    here = placed.withColumn(POSITION, position)
     marks = {
         c: F.when(value[c].isNotNull(), F.struct(value[c].alias("v"), F.col(POSITION).alias("p"))) for c in fills
     }
@@ -167,7 +170,8 @@ def fill_ordered(
          for i, c in enumerate(fills) if c in needs_next}
     )
     if cut:
-        here = _carry(here, marks, fills, keys)
+        order = F.col(POSITION) if linear else F.struct(*[col(c) for c in order_by])
+        here = _carry(here, marks, fills, keys, order)
 
     filled = {}
     for i, (c, how) in enumerate(fills.items()):
@@ -209,12 +213,18 @@ def _keep_type(df: DataFrame, name: str, how: str) -> Column:
     return col(name)
 
 
-def _carry(here: DataFrame, marks: Mapping[str, Column], fills: Mapping[str, str], keys: list[str]) -> DataFrame:
-    """Bring in what earlier and later buckets know, and global positions."""
+def _carry(
+    here: DataFrame, marks: Mapping[str, Column], fills: Mapping[str, str], keys: list[str], order: Column
+) -> DataFrame:
+    """Bring in what earlier and later buckets know, and global positions.
+
+    First and last known values per bucket come from an aggregate that is
+    combined before its shuffle, and without positions it needs no sort.
+    """
     ends = []
     for i, c in enumerate(fills):
-        ends.append(F.max_by(marks[c], F.when(marks[c].isNotNull(), F.col(POSITION))).alias(f"__end_{i}"))
-        ends.append(F.min_by(marks[c], F.when(marks[c].isNotNull(), F.col(POSITION))).alias(f"__start_{i}"))
+        ends.append(F.max_by(marks[c], F.when(marks[c].isNotNull(), order)).alias(f"__end_{i}"))
+        ends.append(F.min_by(marks[c], F.when(marks[c].isNotNull(), order)).alias(f"__start_{i}"))
     per_bucket = here.groupBy(*[col(k).alias(f"__k_{j}") for j, k in enumerate(keys)], F.col(BUCKET).alias("__b"))
     table = per_bucket.agg(F.count("*").alias("__n"), *ends)
 

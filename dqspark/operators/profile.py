@@ -77,21 +77,20 @@ def _distinct_and_samples(df: DataFrame, names: Sequence[str], samples: int) ->
 def missing_profile(df: DataFrame, samples: int = 5) -> DataFrame:
     """Columns with missing values: count, share, type, distinct values, smallest
     values as samples, and the suggested strategy (A3, A4)."""
-    counts = one_row(df, {"n": F.count("*"), **{f"k_{i}": F.count(known(df, c)) for i, c in enumerate(df.columns)}})
-    names = [c for i, c in enumerate(df.columns) if counts[f"k_{i}"] < counts["n"]]
-    numeric = [c for c in names if family(df.schema[c].dataType) == "numeric"]
-    skew = one_row(
-        df,
-        {f"s_{i}": stats.skewness(known(df, c).cast("double"), F.count(known(df, c))) for i, c in enumerate(numeric)},
-    )
-    at = {c: i for i, c in enumerate(df.columns)}
+    first = {"n": F.count("*")}
+    for i, f in enumerate(df.schema):
+        v = known(df, f.name)
+        first[f"k_{i}"] = F.count(v)
+        if family(f.dataType) == "numeric":
+            first[f"s_{i}"] = stats.skewness(v.cast("double"), F.count(v))
+    got = one_row(df, first)
     rows = []
-    for c in names:
-        present = counts[f"k_{at[c]}"]
-        missing = counts["n"] - present
-        skewness = skew[f"s_{numeric.index(c)}"] if c in numeric else None
-        rows.append((c, df.schema[c].dataType.simpleString(), family(df.schema[c].dataType), missing,
-                     100.0 * missing / counts["n"], present, skewness))
+    for i, f in enumerate(df.schema):
+        present, missing = got[f"k_{i}"], got["n"] - got[f"k_{i}"]
+        if missing:
+            rows.append((f.name, f.dataType.simpleString(), family(f.dataType), missing,
+                         100.0 * missing / got["n"], present, got.get(f"s_{i}")))
+    names = [r[0] for r in rows]
     base = df.sparkSession.createDataFrame(
         rows,
         "column string, dtype string, family string, missing_count bigint, missing_pct double, "

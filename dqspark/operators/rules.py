@@ -226,7 +226,8 @@ def cross_table_totals(
 # --- rules from column names ------------------------------------------------
 
 
-def _named(names: Iterable[str], parts: Iterable[str]) -> list[str]:
+def named_like(names: Iterable[str], parts: Iterable[str]) -> list[str]:
+    """Names that contain one of the parts, whatever the case."""
     parts = [p.lower() for p in parts]
     return [c for c in names if any(p in c.lower() for p in parts)]
 
@@ -262,12 +263,12 @@ def rules_from_names(df: DataFrame) -> list[Rule]:
     """Rules that column names call for and that need no statistic."""
     rules: list[Rule] = []
     for parts, chosen in V.EXCLUSIVE_OPTIONS:
-        matching = _named(df.columns, parts)
+        matching = named_like(df.columns, parts)
         if len(matching) >= 2:
             rules.append(both_chosen(matching[0], matching[1], chosen))
     for parts, terms in V.CONFLICTING_TERMS:
-        rules += [conflicting_terms(c, terms) for c in _named(df.columns, parts)]
-    rules += [negative(c) for c in _named(columns_of(df, "numeric"), V.NON_NEGATIVE_NAMES)]
+        rules += [conflicting_terms(c, terms) for c in named_like(df.columns, parts)]
+    rules += [negative(c) for c in named_like(columns_of(df, "numeric"), V.NON_NEGATIVE_NAMES)]
     rules += [count_mismatch(a, b) for a, b in count_list_pairs(df)]
     return rules
 
@@ -284,7 +285,7 @@ def rules_from_values(
         if q1 is not None and q3 > q1:
             reach = 1.5 * (q3 - q1)
             rules.append(outside(c, q1 - reach, q3 + reach))
-        if q3 is not None and _named([c], V.EXTREME_NAMES):
+        if q3 is not None and named_like([c], V.EXTREME_NAMES):
             rules.append(above(c, 10 * q3))
     return rules
 
@@ -307,7 +308,7 @@ def check_rule(df: DataFrame, rule: Rule) -> str:
     """Empty when the rule can be used, else why not.
 
     The text must be one boolean row expression over the rule's own columns: it
-    is analysed as the condition of a filter over an empty table of just these
+    is analysed as the condition of a filter over a one-row table of just these
     columns, which refuses aggregates, windows and generators.
     """
     lost = [c for c in rule.columns if c not in df.columns]
@@ -315,10 +316,10 @@ def check_rule(df: DataFrame, rule: Rule) -> str:
         return f"no such column: {', '.join(lost)}"
     if re.search(r"\b(select|from)\b", re.sub(r"'(?:[^'\\]|\\.)*'", "''", rule.detection_code), re.IGNORECASE):
         return "subqueries are not allowed"
-    spark = df.sparkSession
-    empty = spark.createDataFrame([], df.select(*[col(c) for c in rule.columns]).schema)
+    fields = [df.schema[c] for c in rule.columns]
+    listed = ", ".join(f"CAST(NULL AS {f.dataType.simpleString()}) AS {quote(f.name)}" for f in fields)
     try:
-        empty.where(F.expr(rule.detection_code)).schema
+        df.sparkSession.sql(f"SELECT {listed or 1}").where(F.expr(rule.detection_code)).schema
     except (AnalysisException, ParseException) as error:
         return str(error).split("SQLSTATE")[0].strip()
     return ""

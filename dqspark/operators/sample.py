@@ -38,13 +38,17 @@ def random_order(keys: Sequence[str], seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[col(k).cast("string") for k in keys]))
 
 
-def issue_strata(df: DataFrame, count: int, seed: int, approx: bool = False) -> list[Stratum]:
+def quartile_pairs(df: DataFrame, approx: bool = False) -> dict[str, list[float | None]]:
+    """Lower and upper quartile of every numeric column."""
+    return stats.quantiles(df, {c: [0.25, 0.75] for c in columns_of(df, "numeric")}, approx)
+
+
+def issue_strata(df: DataFrame, count: int, seed: int, quartiles: dict[str, list[float | None]]) -> list[Stratum]:
     """Rows with many missing values, outliers per numeric column, random rest."""
     strata = [
         Stratum(ISSUE, "high_missing", missing_count(df) > len(df.columns) * 0.2, count // 2)
     ]
-    names = columns_of(df, "numeric")
-    for c, (q1, q3) in stats.quantiles(df, {c: [0.25, 0.75] for c in names}, approx).items():
+    for c, (q1, q3) in quartiles.items():
         if q1 is not None and q3 > q1:
             reach = 1.5 * (q3 - q1)
             beyond = (known(df, c) < q1 - reach) | (known(df, c) > q3 + reach)
@@ -53,28 +57,24 @@ def issue_strata(df: DataFrame, count: int, seed: int, approx: bool = False) ->
     return strata
 
 
-def contradiction_strata(df: DataFrame, count: int, approx: bool = False) -> list[Stratum]:
+def contradiction_strata(df: DataFrame, count: int, quartiles: dict[str, list[float | None]]) -> list[Stratum]:
     """Exclusive options, conflicting terms, negative and extreme numbers, then
     unusual text (U6)."""
     strata = []
     for parts, chosen in V.EXCLUSIVE_OPTIONS:
-        matching = [c for c in df.columns if any(p in c.lower() for p in parts)]
+        matching = rules.named_like(df.columns, parts)
         if len(matching) >= 2:
             rule = rules.both_chosen(matching[0], matching[1], chosen)
             strata.append(Stratum(CONTRADICTION, f"both:{matching[0]}+{matching[1]}", F.expr(rule.detection_code), count))
     for parts, terms in V.CONFLICTING_TERMS:
-        for c in df.columns:
-            if any(p in c.lower() for p in parts):
-                rule = rules.conflicting_terms(c, terms)
-                strata.append(Stratum(CONTRADICTION, f"terms:{c}", F.expr(rule.detection_code), count))
-    numeric = columns_of(df, "numeric")
-    extreme = [c for c in numeric if any(p in c.lower() for p in V.EXTREME_NAMES)]
-    upper = stats.quantiles(df, {c: [0.75] for c in extreme}, approx)
-    for c in numeric:
-        if any(p in c.lower() for p in V.NON_NEGATIVE_NAMES):
+        for c in rules.named_like(df.columns, parts):
+            rule = rules.conflicting_terms(c, terms)
+            strata.append(Stratum(CONTRADICTION, f"terms:{c}", F.expr(rule.detection_code), count))
+    for c in columns_of(df, "numeric"):
+        if rules.named_like([c], V.NON_NEGATIVE_NAMES):
             strata.append(Stratum(CONTRADICTION, f"negative:{c}", known(df, c) < 0, min(10, count // 4)))
-        if c in extreme and upper[c][0] is not None:
-            beyond = known(df, c) > 10 * upper[c][0]
+        if rules.named_like([c], V.EXTREME_NAMES) and quartiles[c][1] is not None:
+            beyond = known(df, c) > 10 * quartiles[c][1]
             strata.append(Stratum(CONTRADICTION, f"extreme:{c}", beyond, min(5, count // 6)))
     for c in columns_of(df, "text"):
         rule = rules.unusual_text(c)
@@ -84,7 +84,6 @@ def contradiction_strata(df: DataFrame, count: int, approx: bool = False) -> lis
 
 def candidates(df: DataFrame, keys: Sequence[str], strata: Sequence[Stratum]) -> DataFrame:
     """The first ``cap`` rows of each stratum: keys, stratum number and place."""
-    strata = [s for s in strata]
     marks = [
         F.when(
             s.condition,
@@ -142,13 +141,14 @@ def take_sample(
         return df.withColumn("reason", F.lit("full_dataset"))
     n_random, n_issue = int(max_rows * 0.3), int(max_rows * 0.4)
     n_contradiction = max_rows - n_random - n_issue
+    quartiles = {} if set(groups) <= {RANDOM} else quartile_pairs(df, approx)
     strata: list[Stratum] = []
     if RANDOM in groups:
         strata.append(Stratum(RANDOM, "random", F.lit(True), n_random, seed))
     if ISSUE in groups:
-        strata += issue_strata(df, n_issue, seed, approx)
+        strata += issue_strata(df, n_issue, seed, quartiles)
     if CONTRADICTION in groups:
-        strata += contradiction_strata(df, n_contradiction, approx)
+        strata += contradiction_strata(df, n_contradiction, quartiles)
     if not strata:
         return df.withColumn("reason", F.lit("")).limit(0)
     caps = {RANDOM: n_random, ISSUE: n_issue}

@@ -39,39 +39,71 @@ def quantiles(
     distinct_limit: int = DISTINCT_LIMIT,
     estimates: Mapping[str, tuple[int, int]] | None = None,
 ) -> dict[str, list[float | None]]:
-    """Quantiles with linear interpolation, per column.
+    """Quantiles with linear interpolation, per column."""
+    return quantiles_and_modes(df, wanted, (), approx, distinct_limit, estimates)[0]
 
-    Few distinct values: Spark's ``percentile``.  Many: the value at a rank is
-    closed in from both sides, see :func:`_order_statistics`.
+
+def modes(
+    df: DataFrame,
+    names: Iterable[str],
+    distinct_limit: int = DISTINCT_LIMIT,
+    estimates: Mapping[str, tuple[int, int]] | None = None,
+) -> dict[str, object]:
+    """Most frequent value per column, the lowest on ties."""
+    return quantiles_and_modes(df, {}, names, False, distinct_limit, estimates)[1]
+
+
+def quantiles_and_modes(
+    df: DataFrame,
+    wanted: Mapping[str, Sequence[float]],
+    mode_of: Iterable[str],
+    approx: bool = False,
+    distinct_limit: int = DISTINCT_LIMIT,
+    estimates: Mapping[str, tuple[int, int]] | None = None,
+) -> tuple[dict[str, list[float | None]], dict[str, object]]:
+    """Quantiles and modes of several columns.
+
+    Columns with few distinct values share one aggregate.  Of the others, the
+    values at the wanted ranks are closed in from both sides (see
+    :func:`_order_statistics`), and modes are counted by a shuffled ``groupBy``,
+    one column at a time.  ``approx`` takes Spark's approximate quantiles.
     """
-    if not wanted:
-        return {}
-    if approx:
-        got = one_row(
-            df,
-            {f"q_{i}": F.percentile_approx(known(df, c).cast("double"), list(p), GRID_ACCURACY)
-             for i, (c, p) in enumerate(wanted.items())},
-        )
-        return {c: got[f"q_{i}"] or [None] * len(p) for i, (c, p) in enumerate(wanted.items())}
-    sizes = estimates or distinct_estimates(df, wanted)
-    small = {c: p for c, p in wanted.items() if sizes[c][1] <= distinct_limit}
-    got = one_row(
-        df,
-        {f"q_{i}": F.percentile(known(df, c).cast("double"), F.array(*[F.lit(float(x)) for x in p]))
-         for i, (c, p) in enumerate(small.items())},
-    )
+    mode_of = list(dict.fromkeys(mode_of))
+    if not wanted and not mode_of:
+        return {}, {}
+    sizes = estimates
+    if sizes is None:
+        sizes = distinct_estimates(df, mode_of if approx else [*wanted, *mode_of])
+    small = {c: list(p) for c, p in wanted.items() if approx or sizes[c][1] <= distinct_limit}
+    few = [c for c in mode_of if sizes[c][1] <= distinct_limit]
+    aggregates = {}
+    for i, (c, p) in enumerate(small.items()):
+        x = known(df, c).cast("double")
+        shares = F.array(*[F.lit(float(v)) for v in p])
+        aggregates[f"q_{i}"] = F.percentile_approx(x, p, GRID_ACCURACY) if approx else F.percentile(x, shares)
+    for i, c in enumerate(few):
+        aggregates[f"m_{i}"] = F.mode(known(df, c), True)
+    got = one_row(df, aggregates)
     result = {c: got[f"q_{i}"] or [None] * len(p) for i, (c, p) in enumerate(small.items())}
+    found_modes = {c: got[f"m_{i}"] for i, c in enumerate(few)}
+
     large = {c: p for c, p in wanted.items() if c not in small}
     ranks = {c: sorted({r for p in ps for r in _rank_pair(sizes[c][0], p)}) for c, ps in large.items()}
-    found = _order_statistics(df, ranks, {c: sizes[c][0] for c in large}, distinct_limit)
+    at_rank = _order_statistics(df, ranks, distinct_limit)
     for c, ps in large.items():
         row = []
         for p in ps:
             position = (sizes[c][0] - 1) * p
-            low, high = (found[c, r] for r in _rank_pair(sizes[c][0], p))
+            low, high = (at_rank[c, r] for r in _rank_pair(sizes[c][0], p))
             row.append(low + (high - low) * (position - math.floor(position)))
         result[c] = row
-    return {c: result[c] for c in wanted}
+    for c in mode_of:
+        if c not in found_modes:
+            values = df.select(known(df, c).alias("v")).where("v IS NOT NULL")
+            counted = values.groupBy("v").agg(F.count("*").alias("n"))
+            best = counted.agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("v"))
+            found_modes[c] = best.first()["v"]
+    return {c: result[c] for c in wanted}, {c: found_modes[c] for c in mode_of}
 
 
 def _rank_pair(n: int, p: float) -> tuple[int, int]:
@@ -80,7 +112,7 @@ def _rank_pair(n: int, p: float) -> tuple[int, int]:
 
 
 def _order_statistics(
-    df: DataFrame, ranks: Mapping[str, Sequence[int]], sizes: Mapping[str, int], collect_limit: int
+    df: DataFrame, ranks: Mapping[str, Sequence[int]], collect_limit: int
 ) -> dict[tuple[str, int], float]:
     """Values at the given 0-based ranks.
 
@@ -137,33 +169,6 @@ def _order_statistics(
     return done
 
 
-def modes(
-    df: DataFrame,
-    names: Iterable[str],
-    distinct_limit: int = DISTINCT_LIMIT,
-    estimates: Mapping[str, tuple[int, int]] | None = None,
-) -> dict[str, object]:
-    """Most frequent value per column, the lowest on ties.
-
-    Columns with many distinct values are counted by a shuffled ``groupBy``,
-    one at a time, instead of one map per task.
-    """
-    names = list(dict.fromkeys(names))
-    if not names:
-        return {}
-    sizes = estimates or distinct_estimates(df, names)
-    small = [c for c in names if sizes[c][1] <= distinct_limit]
-    got = one_row(df, {f"m_{i}": F.mode(known(df, c), True) for i, c in enumerate(small)})
-    result = {c: got[f"m_{i}"] for i, c in enumerate(small)}
-    for c in names:
-        if c not in result:
-            counted = (
-                df.select(known(df, c).alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
-            )
-            result[c] = counted.agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("v")).first()["v"]
-    return result
-
-
 def skewness(c, n):
     """Sample-adjusted skewness; 0 for a constant column, NULL below three values (A10)."""
     n = n.cast("double")
