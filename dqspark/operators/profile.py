@@ -96,23 +96,15 @@ def missing_profile(df: DataFrame, samples: int = 5) -> DataFrame:
         "column string, dtype string, family string, missing_count bigint, missing_pct double, "
         "present bigint, skewness double",
     )
-    if not names:
-        return base.select(*_profile_fields(base.withColumns(
-            {"n_distinct": F.lit(0).cast("bigint"), "samples": F.array().cast("array<string>")})))
-    found = _distinct_and_samples(df, names, samples).withColumnRenamed("column", "__c")
-    joined = base.join(found, F.col("column") == F.col("__c"), "left").withColumns(
-        {"n_distinct": F.coalesce("n_distinct", F.lit(0)).cast("bigint"),
-         "samples": F.coalesce("samples", F.array().cast("array<string>"))}
+    none = F.lit(0).cast("bigint"), F.array().cast("array<string>")
+    if names:
+        found = _distinct_and_samples(df, names, samples).withColumnRenamed("column", "__c")
+        base = base.join(found, F.col("column") == F.col("__c"), "left")
+        none = F.coalesce("n_distinct", none[0]), F.coalesce("samples", none[1])
+    return base.withColumns({"n_distinct": none[0], "samples": none[1]}).select(
+        "column", "dtype", "missing_count", "missing_pct", percent_text(F.col("missing_pct")).alias("missing_pct_text"),
+        "n_distinct", "samples", "skewness", suggestion().alias("suggested_strategy"),
     )
-    return joined.select(*_profile_fields(joined))
-
-
-def _profile_fields(df: DataFrame) -> list[Column]:
-    return [
-        F.col("column"), F.col("dtype"), F.col("missing_count"), F.col("missing_pct"),
-        percent_text(F.col("missing_pct")).alias("missing_pct_text"), F.col("n_distinct"),
-        F.col("samples"), F.col("skewness"), suggestion().alias("suggested_strategy"),
-    ]
 
 
 def suggestion() -> Column:

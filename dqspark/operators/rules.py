@@ -233,29 +233,32 @@ def named_like(names: Iterable[str], parts: Iterable[str]) -> list[str]:
 
 
 def count_list_pairs(df: DataFrame, count_names=V.COUNT_NAMES, list_names=V.LIST_NAMES) -> list[tuple[str, str]]:
-    """Count columns and the list columns that share their stem."""
+    """Count columns and the list columns that share their stem.
 
-    def stem(name: str, keywords: Iterable[str]) -> str:
-        words = [w for w in re.split(r"[^a-z0-9]+", name.lower()) if w and w not in keywords]
-        return "_".join(w[:-1] if len(w) > 3 and w.endswith("s") else w for w in words)
+    ``items_count`` and ``num_items`` go with ``items_list`` and ``items``, and
+    ``layovers`` with ``layover_locations``: what is left of the count column
+    begins the name of the list column, and only list words may follow.
+    """
+
+    def singular(word: str) -> str:
+        return word[:-1] if len(word) > 3 and word.endswith("s") else word
 
-    def listed(name: str) -> bool:
-        words = re.split(r"[^a-z0-9]+", name.lower())
-        return any(w in list_names for w in words) or any(len(w) > 3 and w.endswith("s") for w in words)
+    def words(name: str) -> list[str]:
+        return [singular(w) for w in re.split(r"[^a-z0-9]+", name.lower()) if w]
 
-    texts = [c for c in columns_of(df, "text") if listed(c)]
+    counting, listing = {singular(w) for w in count_names}, {singular(w) for w in list_names}
     pairs = []
     for c in df.columns:
-        words = re.split(r"[^a-z0-9]+", c.lower())
-        counting = any(w in count_names for w in words)
-        if family(df.schema[c].dataType) != "numeric" and c in texts and not counting:
+        parts = words(c)
+        stem = [w for w in parts if w not in counting]
+        if not stem or (family(df.schema[c].dataType) != "numeric" and len(stem) == len(parts)):
             continue
-        root = stem(c, count_names)
-        for other in texts:
-            listed_root = stem(other, list_names)
-            if other != c and root and listed_root and (root == listed_root or listed_root.startswith(root + "_")):
-                if family(df.schema[c].dataType) == "numeric" or counting:
-                    pairs.append((c, other))
+        for other in columns_of(df, "text"):
+            named = words(other)
+            rest = named[len(stem):]
+            plural_or_list = rest or other.lower().endswith("s")
+            if other != c and named[: len(stem)] == stem and set(rest) <= listing and plural_or_list:
+                pairs.append((c, other))
     return pairs
 
 
