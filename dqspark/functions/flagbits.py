@@ -23,9 +23,8 @@ def has_flag(status: Column, flag: int | Column) -> Column:
 def set_flags(status: Column) -> Column:
     """Array of the flags set in a status, ascending."""
     one = F.lit(1).cast("bigint")
-    powers = F.transform(
-        F.sequence(F.lit(0), F.lit(V.MAX_FLAGS - 1)), lambda i: F.call_function("shiftleft", one, i)
-    )
+    highest = F.char_length(F.bin(status)) - 1
+    powers = F.transform(F.sequence(F.lit(0), highest), lambda i: F.call_function("shiftleft", one, i))
     return F.filter(powers, lambda f: status.bitwiseAND(f) != 0)
 
 

@@ -9,21 +9,24 @@ from pyspark.sql import functions as F
 
 from dqspark import values as V
 
-# White space of Unicode plus the four separators \x1c-\x1f.
-SPACE = r"[\s\x1c-\x1f]+"
-EDGE_SPACE = rf"(?U)^{SPACE}|{SPACE}$"
-INNER_SPACE = rf"(?U){SPACE}"
+INNER_SPACE = r"(?U)[\s\x1c-\x1f]+"
 WORD_OR_GAP = r"\p{L}+|\P{L}+"
 
 
 def trim_space(c: Column) -> Column:
-    """Cut white space of any kind (also Unicode) off both ends."""
-    return F.regexp_replace(c, EDGE_SPACE, "")
+    """Cut white space of any kind (also Unicode) off both ends.
+
+    Only the ends of the text are looked at, which a pattern would not do.
+    """
+    return F.btrim(c, F.lit(V.WHITE_SPACE))
 
 
 def clean_space(c: Column) -> Column:
-    """Trim, then turn each run of white space into one space (F1)."""
-    return F.regexp_replace(trim_space(c), INNER_SPACE, " ")
+    """Turn each run of white space into one space and trim (F1).
+
+    After the first step only spaces are left to trim.
+    """
+    return F.trim(F.regexp_replace(c, INNER_SPACE, " "))
 
 
 def title_case(c: Column) -> Column:

@@ -83,27 +83,6 @@ def _text_view(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*cols)
 
 
-def _frequent_tokens(view: DataFrame, places: Sequence[int], threshold: float) -> dict[int, str | None]:
-    """The most common token where it can reach ``threshold`` of the rows.
-
-    A token on more than half of the rows is in any frequent-items sketch of a
-    few counters, so a sketch names the candidate and the caller counts it.
-    At half or less the exact mode is taken.
-    """
-    if threshold <= 0.5:
-        found = stats.modes(view, [f"token_{i}" for i in places])
-        return {i: found[f"token_{i}"] for i in places}
-    # two entries, as missing tokens are counted as an item as well
-    got = one_row(
-        view, {f"t_{i}": F.call_function("approx_top_k", F.col(f"token_{i}"), F.lit(2)) for i in places}
-    )
-    result = {}
-    for i in places:
-        items = [entry["item"] for entry in got[f"t_{i}"] or [] if entry["item"] is not None]
-        result[i] = items[0] if items else None
-    return result
-
-
 def find_prefixes(
     df: DataFrame,
     columns: Sequence[str] | None = None,
@@ -121,12 +100,21 @@ def find_prefixes(
         return []
     view = _text_view(df, names)
     places = range(len(names))
-    tokens = _frequent_tokens(view, places, threshold)
-    bounds = {}
+    first = {}
     for i in places:
-        bounds[f"low_{i}"] = F.min(f"letters_{i}")
-        bounds[f"high_{i}"] = F.max(f"letters_{i}")
-    got = one_row(view, bounds)
+        first |= {f"low_{i}": F.min(f"letters_{i}"), f"high_{i}": F.max(f"letters_{i}")}
+        if threshold > 0.5:
+            # A token on more than half of the rows is in any sketch of frequent
+            # items, so the sketch names it and the next aggregate counts it.
+            # Two entries, as missing tokens are an item of the sketch as well.
+            first[f"top_{i}"] = F.call_function("approx_top_k", F.col(f"token_{i}"), F.lit(2))
+    got = one_row(view, first)
+    if threshold > 0.5:
+        items = {i: [e["item"] for e in got[f"top_{i}"] or [] if e["item"] is not None] for i in places}
+        tokens = {i: items[i][0] if items[i] else None for i in places}
+    else:
+        exact = stats.modes(view, [f"token_{i}" for i in places])
+        tokens = {i: exact[f"token_{i}"] for i in places}
     glued = {i: common_prefix(got[f"low_{i}"], got[f"high_{i}"])[:max_length] for i in places}
 
     counts = {"n": F.count("*")}

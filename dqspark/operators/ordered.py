@@ -60,8 +60,8 @@ def _bounds(df: DataFrame, number: Column, n: int, rows_per_bucket: int) -> list
     parts = min(MAX_BUCKETS, math.ceil(n / rows_per_bucket))
     if parts < 2:
         return []
-    at = [i / parts for i in range(1, parts)]
-    found = df.agg(F.percentile_approx(number, at, BOUND_ACCURACY).alias("b")).first()["b"]
+    at = F.expr("array(" + ", ".join(f"{i / parts}D" for i in range(1, parts)) + ")")
+    found = df.agg(F.call_function("percentile_approx", number, at, F.lit(BOUND_ACCURACY)).alias("b")).first()["b"]
     return sorted(found or [])
 
 

@@ -22,13 +22,14 @@ def pipe_tables(df: DataFrame, key: str, text: str) -> DataFrame:
         F.filter(F.col("lines"), lambda line: ~F.contains(line, F.lit("---"))),
         lambda line: F.transform(F.split(trim_space(line), r"\|"), trim_space),
     )
-    width = F.array_max(F.transform("rows", F.size))
-    filled = F.filter(
-        F.sequence(F.lit(1), width),
-        lambda c: F.exists(
-            F.slice("rows", F.lit(2), F.size("rows")), lambda r: F.coalesce(F.try_element_at(r, c), F.lit("")) != ""
-        ),
+    # numbers of the columns with a non-blank cell below the header
+    below = F.flatten(
+        F.transform(
+            F.slice("rows", F.lit(2), F.size("rows")),
+            lambda r: F.filter(F.transform(r, lambda c, i: F.when(c != "", i + 1)), lambda i: i.isNotNull()),
+        )
     )
+    filled = F.array_distinct(below)
     tables = (
         df.where(F.contains(col(text), F.lit("|")))
         .select(col(key), lines.alias("lines"))

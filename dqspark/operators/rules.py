@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from dqspark import values as V
 from dqspark.functions.coerce import NUMBER_SUFFIX
 from dqspark.functions.flagbits import flag_value
-from dqspark.functions.text import EDGE_SPACE, WORD_OR_GAP, shape
+from dqspark.functions.text import WORD_OR_GAP, shape
 from dqspark.operators import stats
 from dqspark.operators.columns import col, columns_of, family, quote
 
@@ -52,8 +52,13 @@ def _text(name: str) -> str:
     return f"cast({quote(name)} AS STRING)"
 
 
+def _trim(text: str) -> str:
+    spaces = "".join(c if c == " " else f"\\u{ord(c):04x}" for c in V.WHITE_SPACE)
+    return f"btrim({text}, '{spaces}')"
+
+
 def _trimmed(name: str) -> str:
-    return f"regexp_replace({_text(name)}, r'{EDGE_SPACE}', '')"
+    return _trim(_text(name))
 
 
 def _time(name: str) -> str:
@@ -92,7 +97,7 @@ def count_mismatch(count: str, items: str, separators: str = V.LIST_SEPARATORS)
     counted = f"coalesce(try_cast({_number(count)} AS BIGINT), 0)"
     listed = (
         f"size(filter(split(coalesce({_text(items)}, ''), r'{separators}'), "
-        f"x -> regexp_replace(x, r'{EDGE_SPACE}', '') <> ''))"
+        f"x -> {_trim('x')} <> ''))"
     )
     return Rule(f"{counted} <> {listed}", (count, items), f"{count} differs from the number of items in {items}",
                 category=V.CROSS_FIELD_CATEGORY, severity="high",
@@ -134,7 +139,10 @@ def unusual_text(name: str, special: str = V.SPECIAL_CHARACTERS) -> Rule:
     """Mixed case, two spaces in a row or a special character."""
     c = _text(name)
     title = f"array_join(transform(regexp_extract_all({c}, r'{WORD_OR_GAP}', 0), x -> initcap(x)), '')"
-    mixed = f"(char_length({c}) > 1 AND {c} <> upper({c}) AND {c} <> lower({c}) AND {c} <> {title})"
+    # a small letter that begins a word or a capital inside one tells early that
+    # the text is not in title case; only other texts are compared in full
+    not_title = f"({c} RLIKE r'(?<!\\p{{L}})[a-z]|(?<=\\p{{L}})[A-Z]' OR {c} <> {title})"
+    mixed = f"(char_length({c}) > 1 AND {c} <> upper({c}) AND {c} <> lower({c}) AND {not_title})"
     marks = "[" + re.escape(special) + "]"
     return Rule(f"{mixed} OR contains({c}, '  ') OR {c} RLIKE r'{marks}'", (name,), f"{name} is unusual text",
                 category="format", severity="low")

@@ -38,9 +38,12 @@ def random_order(keys: Sequence[str], seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[col(k).cast("string") for k in keys]))
 
 
-def quartile_pairs(df: DataFrame, approx: bool = False) -> dict[str, list[float | None]]:
-    """Lower and upper quartile of every numeric column."""
-    return stats.quantiles(df, {c: [0.25, 0.75] for c in columns_of(df, "numeric")}, approx)
+def quartile_pairs(
+    df: DataFrame, approx: bool = False, columns: Sequence[str] | None = None
+) -> dict[str, list[float | None]]:
+    """Lower and upper quartile of numeric columns."""
+    names = columns_of(df, "numeric") if columns is None else columns
+    return stats.quantiles(df, {c: [0.25, 0.75] for c in names}, approx)
 
 
 def issue_strata(df: DataFrame, count: int, seed: int, quartiles: dict[str, list[float | None]]) -> list[Stratum]:
@@ -141,7 +144,9 @@ def take_sample(
         return df.withColumn("reason", F.lit("full_dataset"))
     n_random, n_issue = int(max_rows * 0.3), int(max_rows * 0.4)
     n_contradiction = max_rows - n_random - n_issue
-    quartiles = {} if set(groups) <= {RANDOM} else quartile_pairs(df, approx)
+    # outliers need all numeric columns, contradictions the few with a telling name
+    telling = None if ISSUE in groups else rules.named_like(columns_of(df, "numeric"), V.EXTREME_NAMES)
+    quartiles = quartile_pairs(df, approx, telling) if set(groups) - {RANDOM} else {}
     strata: list[Stratum] = []
     if RANDOM in groups:
         strata.append(Stratum(RANDOM, "random", F.lit(True), n_random, seed))

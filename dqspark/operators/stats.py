@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from dqspark.operators.columns import col, known, one_row
 
-DISTINCT_LIMIT = 100_000
+DISTINCT_LIMIT = 250_000
 GRID = 1000
 GRID_ACCURACY = 10_000
 
@@ -116,56 +116,58 @@ def _order_statistics(
 ) -> dict[tuple[str, int], float]:
     """Values at the given 0-based ranks.
 
-    Every open rank has a bracket ``[low, high]`` that holds it.  One aggregate
-    per round counts the values below and in each bracket and asks for a grid
-    of approximate quantiles in it; the grid gives a bracket about 500 times
-    narrower, and the next round's exact counts confirm it or widen it again.
-    A bracket with few values is read as a sorted array of bounded size.  All
-    columns and ranks share each round, and no value leaves its task except
-    through these aggregates.
+    Every open rank has a bracket that holds it.  One aggregate per round counts
+    the values below the bracket, at its two ends and strictly inside, and asks
+    for a grid of approximate quantiles of those inside.  The grid's error is a
+    tenth of its step, so two neighbours of the wanted place enclose it, and at
+    most 4 / GRID of the values lie strictly between them: a value that repeats
+    often is an end, not an inside.  Once that many values are few enough, the
+    round reads them as one sorted array.  All columns and ranks share each
+    round, and no value leaves its task except through these aggregates.
     """
+    if not ranks:
+        return {}
     inf = float("inf")
-    open_ranks = {(c, r): (-inf, inf, -inf, inf) for c, rs in ranks.items() for r in rs}
+    n = one_row(df, {f"n_{i}": F.count(known(df, c)) for i, c in enumerate(ranks)})
+    brackets = {
+        (c, r): (-inf, inf, n[f"n_{i}"]) for i, (c, rs) in enumerate(ranks.items()) for r in rs
+    }
+    # one parsed array; a list of literals would be built one call at a time
+    grid = F.expr("array(" + ", ".join(f"{i / GRID}D" for i in range(GRID + 1)) + ")")
     done: dict[tuple[str, int], float] = {}
-    grid = [i / GRID for i in range(GRID + 1)]
-    while open_ranks:
+    while brackets:
         wanted = {}
-        targets = list(open_ranks)
-        for i, (c, _) in enumerate(targets):
-            low, high = open_ranks[targets[i]][:2]
+        for i, ((c, _), (low, high, most)) in enumerate(brackets.items()):
             x = known(df, c).cast("double")
-            inside = F.when(x.between(low, high), x)
+            inside = F.when((x > low) & (x < high), x)
             wanted[f"below_{i}"] = F.count_if(x < low)
+            wanted[f"low_{i}"] = F.count_if(x == low)
             wanted[f"in_{i}"] = F.count(inside)
-            wanted[f"grid_{i}"] = F.percentile_approx(inside, grid, GRID_ACCURACY)
+            wanted[f"high_{i}"] = F.count_if(x == high)
+            if most <= collect_limit:
+                wanted[f"values_{i}"] = F.sort_array(F.collect_list(inside))
+            else:
+                wanted[f"grid_{i}"] = F.call_function("percentile_approx", inside, grid, F.lit(GRID_ACCURACY))
         got = one_row(df, wanted)
-        small = {}
-        for i, (c, r) in enumerate(targets):
-            low, high, safe_low, safe_high = open_ranks[c, r]
-            below, inside = got[f"below_{i}"], got[f"in_{i}"]
-            if r < below:
-                open_ranks[c, r] = (safe_low, low, safe_low, low)
-            elif r >= below + inside:
-                open_ranks[c, r] = (high, safe_high, high, safe_high)
-            elif low == high:
+        still = {}
+        for i, ((c, r), (low, high, most)) in enumerate(brackets.items()):
+            place = r - got[f"below_{i}"] - got[f"low_{i}"]
+            inside = got[f"in_{i}"]
+            if place < 0:
                 done[c, r] = low
-            elif inside <= collect_limit:
-                small[c, r] = (low, high, r - below)
+            elif place >= inside:
+                done[c, r] = high
+            elif most <= collect_limit:
+                done[c, r] = got[f"values_{i}"][place]
             else:
-                at = (r - below) / inside * GRID
-                marks = got[f"grid_{i}"]
-                narrow = (marks[max(0, math.floor(at) - 1)], marks[min(GRID, math.ceil(at) + 1)])
-                open_ranks[c, r] = (*narrow, low, high)
-        if small:
-            arrays = {}
-            for i, ((c, _), (low, high, at)) in enumerate(small.items()):
-                x = known(df, c).cast("double")
-                values = F.sort_array(F.collect_list(F.when(x.between(low, high), x)))
-                arrays[f"v_{i}"] = F.element_at(values, at + 1)
-            read = one_row(df, arrays)
-            done.update({key: read[f"v_{i}"] for i, key in enumerate(small)})
-        for key in done:
-            open_ranks.pop(key, None)
+                at, marks = place / inside * GRID, got[f"grid_{i}"]
+                left, right = math.floor(at) - 1, math.ceil(at) + 1
+                still[c, r] = (
+                    marks[left] if left >= 0 else low,
+                    marks[right] if right <= GRID else high,
+                    math.ceil(inside * 4 / GRID),
+                )
+        brackets = still
     return done
 
 

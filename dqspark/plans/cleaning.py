@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
-from dqspark.operators.clean import Cleaned, basic_clean
+from dqspark.operators.clean import Cleaned, basic_clean, clean_text, drop_duplicates
 from dqspark.operators.impute import FittedFill, Strategy, fit_all
 from dqspark.operators.joins import JoinSpec, join_chain
 
@@ -36,17 +36,21 @@ def prepare(
     """Join, clean and fill.
 
     The table is read for the prefixes and for the fill statistics before it is
-    read for the result.  ``store`` names a shared folder; the cleaned table is
-    written there once and read from it afterwards, which spares the joins and
-    the duplicate removal and survives lost executors.  Time columns are filled
+    read for the result.  ``store`` names a shared folder; the joined table
+    without duplicates is written there once and read from it afterwards, which
+    spares repeating the joins and survives lost executors.  Time columns are filled
     along ``order_by``; without one they are left as they are.
     """
     joined = join_chain(tables, primary_table, joins)
-    cleaned = basic_clean(joined, case=case)
-    data = cleaned.data
     if store:
-        data.write.mode("overwrite").parquet(store)
-        data = data.sparkSession.read.parquet(store)
+        tidy = clean_text(drop_duplicates(joined))
+        tidy.write.mode("overwrite").parquet(store)
+        stored = joined.sparkSession.read.parquet(store)
+        cleaned = basic_clean(stored, remove_duplicates=False, clean=False, case=case)
+        cleaned = replace(cleaned, source=joined, duplicates=True, clean_text=True)
+    else:
+        cleaned = basic_clean(joined, case=case)
+    data = cleaned.data
     defaults = {} if order_by else {"datetime": Strategy.SKIP}
     fill = fit_all(data, strategies, defaults, order_by=order_by, **fill_options)
     return Prepared(joined, cleaned, fill, fill.transform(data))

@@ -12,6 +12,12 @@ NA_TOKENS = (
     "nan", "null",
 )
 
+# --- fixed values: the white space of Unicode and the separators 1c to 1f ---
+WHITE_SPACE = (
+    "\t\n\u000b\u000c\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 # --- fixed values: pairs of upper-cased texts that make a column boolean-like
 # (the second of each pair is its negative value)
 BOOLEAN_PAIRS = (
