@@ -111,7 +111,12 @@ def flag_counts(df: DataFrame, flags: Sequence[int], status: str = STATUS) -> Da
 
 def flag_combinations(df: DataFrame, status: str = STATUS) -> DataFrame:
     """Rows per status value, decoded."""
-    grouped = df.where(col(status) != 0).groupBy(col(status).alias("flag_status")).agg(F.count("*").alias("row_count"))
+    # A condition on the status itself would be moved below the grouping and all
+    # rules would be computed twice; one on an aggregate stays where it is.
+    counted = df.groupBy(col(status).alias("flag_status")).agg(
+        F.count("*").alias("row_count"), F.max(col(status)).alias("__status")
+    )
+    grouped = counted.where(F.col("__status") != 0)
     s = F.col("flag_status")
     return grouped.select(
         s, set_flags(s).alias("individual_flags"), flags_text(s, label="Flags ").alias("flag_description"),
@@ -132,7 +137,10 @@ def decoded(df: DataFrame, issues: DataFrame, keys: Sequence[str], status: str =
     The status is taken apart into its flags first, so that issues join by
     equality; a bigint has at most 63 flags, hence at most 63 issues.
     """
-    flags = df.select(*[col(k) for k in keys], F.explode(set_flags(col(status))).alias("flag_value"))
+    # explode_outer, as explode makes Spark compute the array (and with it all
+    # rules) once more in a filter below
+    parts = df.select(*[col(k) for k in keys], F.explode_outer(set_flags(col(status))).alias("flag_value"))
+    flags = parts.where(F.col("flag_value").isNotNull())
     return flags.join(F.broadcast(issues.limit(V.MAX_FLAGS)), "flag_value", "left")
 
 

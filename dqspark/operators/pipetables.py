@@ -30,14 +30,11 @@ def pipe_tables(df: DataFrame, key: str, text: str) -> DataFrame:
         )
     )
     filled = F.array_distinct(below)
-    tables = (
-        df.where(F.contains(col(text), F.lit("|")))
-        .select(col(key), lines.alias("lines"))
-        .where(F.size("lines") >= 2)
-        .select(col(key), cells.alias("rows"))
-        .where(F.size("rows") >= 1)
-        .select(col(key), "rows", filled.alias("filled"))
-    )
+    # Each step is exploded from an array of one, as a filter on a projected
+    # expression would be computed once more below the projection.
+    with_lines = df.where(F.contains(col(text), F.lit("|"))).select(col(key), F.explode(F.array(lines)).alias("lines"))
+    with_rows = with_lines.where(F.size("lines") >= 2).select(col(key), F.explode(F.array(cells)).alias("rows"))
+    tables = with_rows.select(col(key), "rows", F.explode(F.array(filled)).alias("filled"))
     rows = tables.select(col(key), "filled", F.posexplode("rows").alias("row_no", "row"))
     cols = rows.select(col(key), "row_no", "row", F.explode("filled").alias("c"))
     return cols.where(F.col("c") <= F.size("row")).select(

@@ -97,8 +97,9 @@ def candidates(df: DataFrame, keys: Sequence[str], strata: Sequence[Stratum]) ->
         )
         for i, s in enumerate(strata)
     ]
-    rows = df.select(*[col(k) for k in keys], F.explode(F.array_compact(F.array(*marks))).alias("m"))
-    rows = rows.select(*[col(k) for k in keys], "m.stratum", "m.shuffled")
+    # explode_outer, as explode makes Spark compute all conditions once more in a filter below
+    rows = df.select(*[col(k) for k in keys], F.explode_outer(F.array_compact(F.array(*marks))).alias("m"))
+    rows = rows.where(F.col("m").isNotNull()).select(*[col(k) for k in keys], "m.stratum", "m.shuffled")
     order = Window.partitionBy("stratum").orderBy("shuffled", *[col(k) for k in keys])
     caps = F.element_at(F.array(*[F.lit(s.cap) for s in strata]), F.col("stratum") + 1)
     placed = rows.withColumn("at", F.row_number().over(order))

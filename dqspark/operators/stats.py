@@ -89,7 +89,7 @@ def quantiles_and_modes(
 
     large = {c: p for c, p in wanted.items() if c not in small}
     ranks = {c: sorted({r for p in ps for r in _rank_pair(sizes[c][0], p)}) for c, ps in large.items()}
-    at_rank = _order_statistics(df, ranks, distinct_limit)
+    at_rank = _order_statistics(df, ranks, {c: sizes[c][0] for c in large}, distinct_limit)
     for c, ps in large.items():
         row = []
         for p in ps:
@@ -112,7 +112,7 @@ def _rank_pair(n: int, p: float) -> tuple[int, int]:
 
 
 def _order_statistics(
-    df: DataFrame, ranks: Mapping[str, Sequence[int]], collect_limit: int
+    df: DataFrame, ranks: Mapping[str, Sequence[int]], sizes: Mapping[str, int], collect_limit: int
 ) -> dict[tuple[str, int], float]:
     """Values at the given 0-based ranks.
 
@@ -125,13 +125,8 @@ def _order_statistics(
     round reads them as one sorted array.  All columns and ranks share each
     round, and no value leaves its task except through these aggregates.
     """
-    if not ranks:
-        return {}
     inf = float("inf")
-    n = one_row(df, {f"n_{i}": F.count(known(df, c)) for i, c in enumerate(ranks)})
-    brackets = {
-        (c, r): (-inf, inf, n[f"n_{i}"]) for i, (c, rs) in enumerate(ranks.items()) for r in rs
-    }
+    brackets = {(c, r): (-inf, inf, sizes[c]) for c, rs in ranks.items() for r in rs}
     # one parsed array; a list of literals would be built one call at a time
     grid = F.expr("array(" + ", ".join(f"{i / GRID}D" for i in range(GRID + 1)) + ")")
     done: dict[tuple[str, int], float] = {}
