@@ -238,18 +238,23 @@ def basic_clean(
     case: str | None = "title",
     prefix_threshold: float = 0.85,
     blank_as_null: bool = True,
-    fit_on: DataFrame | None = None,
+    store: str | None = None,
 ) -> Cleaned:
     """Duplicates, then white space, prefixes and case (F9); each can be left out.
 
-    Prefixes are looked for in the cleaned table.  ``fit_on`` may name a stored
-    copy of it, so that finding them does not repeat the duplicate removal.
+    Prefixes are looked for in the cleaned table, which reads it twice before
+    the result does.  ``store`` names a shared folder: the table without
+    duplicates is written there once and read from it afterwards, and the search
+    then reads only the text columns.
     """
     case = (case or "none").lower()
     text_columns = tuple(columns_of(df, "text"))
     data = drop_duplicates(df) if remove_duplicates else df
     data = clean_text(data, blank_as_null=blank_as_null) if clean else data
-    prefixes = find_prefixes(data if fit_on is None else fit_on, threshold=prefix_threshold)
+    if store:
+        data.write.mode("overwrite").parquet(store)
+        data = data.sparkSession.read.parquet(store)
+    prefixes = find_prefixes(data, threshold=prefix_threshold)
     data = strip_prefixes(data, prefixes)
     if case != "none":
         data = set_case(data, case)

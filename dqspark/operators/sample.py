@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,25 +87,34 @@ def contradiction_strata(df: DataFrame, count: int, quartiles: dict[str, list[fl
 
 
 def candidates(df: DataFrame, keys: Sequence[str], strata: Sequence[Stratum]) -> DataFrame:
-    """The first ``cap`` rows of each stratum: keys, stratum number and place."""
-    marks = [
-        F.when(
-            s.condition,
-            F.struct(
-                F.lit(i).alias("stratum"),
-                (random_order(keys, s.seed) if s.seed is not None else F.lit("")).alias("shuffled"),
-            ),
-        )
-        for i, s in enumerate(strata)
+    """The first ``cap`` rows of each stratum: keys, stratum number and place.
+
+    A random stratum reads the key columns only and keeps ``cap`` rows per task
+    while it reads.  The others share one scan.
+    """
+    names = [col(k) for k in keys]
+    parts = [
+        _first_shuffled(df, keys, i, s) for i, s in enumerate(strata) if s.seed is not None
     ]
-    # explode_outer, as explode makes Spark compute all conditions once more in a filter below
-    rows = df.select(*[col(k) for k in keys], F.explode_outer(F.array_compact(F.array(*marks))).alias("m"))
-    rows = rows.where(F.col("m").isNotNull()).select(*[col(k) for k in keys], "m.stratum", "m.shuffled")
-    order = Window.partitionBy("stratum").orderBy("shuffled", *[col(k) for k in keys])
-    caps = F.element_at(F.array(*[F.lit(s.cap) for s in strata]), F.col("stratum") + 1)
-    placed = rows.withColumn("at", F.row_number().over(order))
-    # the literal limit is what Spark can apply before the shuffle
-    return placed.where(F.col("at") <= max(s.cap for s in strata)).where(F.col("at") <= caps).drop("shuffled")
+    plain = [(i, s) for i, s in enumerate(strata) if s.seed is None]
+    if plain:
+        marks = [F.when(s.condition, F.lit(i)) for i, s in plain]
+        # explode_outer, as explode makes Spark compute all conditions once more in a filter below
+        rows = df.select(*names, F.explode_outer(F.array_compact(F.array(*marks))).alias("stratum"))
+        order = Window.partitionBy("stratum").orderBy(*names)
+        caps = F.element_at(F.array(*[F.lit(s.cap) for s in strata]), F.col("stratum") + 1)
+        placed = rows.where(F.col("stratum").isNotNull()).withColumn("at", F.row_number().over(order))
+        # the literal limit is what Spark can apply before the shuffle
+        parts.append(placed.where(F.col("at") <= max(s.cap for _, s in plain)).where(F.col("at") <= caps))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _first_shuffled(df: DataFrame, keys: Sequence[str], number: int, stratum: Stratum) -> DataFrame:
+    names = [col(k) for k in keys]
+    rows = df.where(stratum.condition).select(*names, random_order(keys, stratum.seed).alias("shuffled"))
+    first = rows.orderBy("shuffled", *names).limit(stratum.cap)
+    place = F.row_number().over(Window.partitionBy(F.lit(number)).orderBy("shuffled", *names))
+    return first.select(*names, F.lit(number).alias("stratum"), place.alias("at"))
 
 
 def _chosen(df: DataFrame, keys: Sequence[str], strata: Sequence[Stratum], group_caps: dict[str, int], total: int):

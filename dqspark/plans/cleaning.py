@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from dqspark.operators.clean import Cleaned, basic_clean, clean_text, drop_duplicates
+from dqspark.operators.clean import Cleaned, basic_clean
 from dqspark.operators.impute import FittedFill, Strategy, fit_all
 from dqspark.operators.joins import JoinSpec, join_chain
 
@@ -42,14 +42,7 @@ def prepare(
     along ``order_by``; without one they are left as they are.
     """
     joined = join_chain(tables, primary_table, joins)
-    if store:
-        tidy = clean_text(drop_duplicates(joined))
-        tidy.write.mode("overwrite").parquet(store)
-        stored = joined.sparkSession.read.parquet(store)
-        cleaned = basic_clean(stored, remove_duplicates=False, clean=False, case=case)
-        cleaned = replace(cleaned, source=joined, duplicates=True, clean_text=True)
-    else:
-        cleaned = basic_clean(joined, case=case)
+    cleaned = basic_clean(joined, case=case, store=store)
     data = cleaned.data
     defaults = {} if order_by else {"datetime": Strategy.SKIP}
     fill = fit_all(data, strategies, defaults, order_by=order_by, **fill_options)

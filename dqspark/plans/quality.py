@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
@@ -12,7 +12,8 @@ from dqspark.operators.columns import rename, valid_renames
 from dqspark.operators.flags import FlagRun
 from dqspark.operators.issues import issue_metrics, rename_in_issues
 from dqspark.operators.rules import Rule, suggest_rules
-from dqspark.sources.sinks import export_all, write_issues, write_rules
+from dqspark.sources.readers import read_table
+from dqspark.sources.sinks import export_all, write_issues, write_rules, write_table
 
 
 @dataclass(frozen=True)
@@ -32,11 +33,16 @@ class Checked:
         }
 
     def export(self, path: str, format: str = "parquet") -> dict[str, str]:
-        """Flagged data, reports, flag table and rules under one directory."""
+        """Flagged data, reports, flag table and rules under one directory.
+
+        The reports read the written data, so the rules are computed once.
+        """
         spark = self.run.data.sparkSession
-        written = export_all(
-            spark, path, {"flagged_data": self.run.data}, self.reports(), self.renames, format
-        )
+        data = write_table(self.run.data, f"{path}/flagged_data", format)
+        schema = self.run.data.schema
+        stored = replace(self, run=replace(self.run, data=read_table(spark, data, format, schema)))
+        written = export_all(spark, path, {}, stored.reports(), self.renames)
+        written["flagged_data"] = data
         written["flag_table"] = write_issues(self.issues, f"{path}/flag_table")
         written["rules"] = write_rules(spark, self.run.rules, f"{path}/rules")
         return written

@@ -17,6 +17,7 @@ from dqspark.queries.registry import (
     query,
     table,
 )
+from dqspark.session import new_folder
 
 
 @query(f"SELECT doc_id, lang, source, nullif({duck_clean('text')}, '') AS text FROM documents")
@@ -132,7 +133,7 @@ FROM (SELECT DISTINCT p_name, p_brand, p_type, p_size FROM part)
 """)
 def basic_clean(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_name", "p_brand", "p_type", "p_size")
-    return clean.basic_clean(part).data
+    return clean.basic_clean(part, store=new_folder(spark)).data
 
 
 @query("""

@@ -112,13 +112,13 @@ def _chain_tables(spark, sf_dir) -> dict[str, DataFrame]:
     return {"orders": orders, **{n: table(spark, sf_dir, n) for n in names}}
 
 
-@query(CHAIN_SQL.format(orders="orders"))
-def join_chain_types(spark, sf_dir):
+@query(CHAIN_SQL.format(orders="orders"), name="join_chain")
+def chain(spark, sf_dir):
     return join_chain(_chain_tables(spark, sf_dir), "orders", CHAIN)
 
 
-@query(CHAIN_SQL.format(orders="(SELECT * FROM orders ORDER BY o_orderkey LIMIT 100)") + " ORDER BY o_orderkey LIMIT 10")
-def join_first_rows(spark, sf_dir):
+@query(CHAIN_SQL.format(orders="(SELECT * FROM orders ORDER BY o_orderkey LIMIT 100)") + " ORDER BY o_orderkey LIMIT 10", name="join_preview")
+def preview(spark, sf_dir):
     return join_preview(_chain_tables(spark, sf_dir), "orders", CHAIN, ["o_orderkey"])
 
 

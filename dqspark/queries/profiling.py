@@ -88,6 +88,34 @@ def profile_columns(spark, sf_dir):
     )
 
 
+LINE_TYPES = {"l_quantity": "double", "l_extendedprice": "double", "l_returnflag": "string", "l_shipdate": "timestamp_ntz"}
+LINE_GAPS = {"l_quantity": 20, "l_extendedprice": 3, "l_returnflag": 6, "l_shipdate": 5}
+
+
+def _suggest_sql(column: str) -> str:
+    says = {k: "'" + v + "'" for k, v in V.SUGGESTIONS.items()}
+    rest = {
+        "double": f"CASE WHEN abs(skewness({column})) < 0.5 THEN {says['mean']} ELSE {says['median_skewed']} END",
+        "string": f"CASE WHEN count(DISTINCT {column}) < 0.1 * count({column}) THEN {says['mode_text']} "
+                  f"ELSE {says['constant']} END",
+        "timestamp_ntz": says["datetime"],
+    }[LINE_TYPES[column]]
+    low = says["median_low"] if LINE_TYPES[column] == "double" else says["mode_low"]
+    return f"""
+SELECT '{column}' AS "column", CASE WHEN 100.0 * count({column}) / count(*) < 50 THEN {says['drop']}
+  WHEN 100.0 * count({column}) / count(*) > 95 THEN {low} ELSE {rest} END AS suggested_strategy FROM lines"""
+
+
+@query("WITH lines AS (SELECT " + ", ".join(
+    f"CASE WHEN l_orderkey % {n} = 0 THEN NULL ELSE {c} END AS {c}" for c, n in LINE_GAPS.items())
+    + " FROM lineitem)" + " UNION ALL ".join(_suggest_sql(c) for c in LINE_TYPES))
+def suggest_strategy(spark, sf_dir):
+    """Suggested fills for columns with different gaps (A4, A10)."""
+    lines = table(spark, sf_dir, "lineitem")
+    gaps = [F.when(F.col("l_orderkey") % n != 0, F.col(c)).alias(c) for c, n in LINE_GAPS.items()]
+    return profile.missing_profile(lines.select(*gaps)).select("column", "suggested_strategy")
+
+
 ORDER_TYPES = {
     "o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double",
     "o_orderdate": "timestamp_ntz", "o_orderpriority": "string",

@@ -10,13 +10,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Register a query under its function name, with its SQL."""
+def query(sql: str | None = None, name: str | None = None):
+    """Register a query under a name, else that of its function, with its SQL."""
 
     def register(function):
-        QUERIES[function.__name__] = function
+        QUERIES[name or function.__name__] = function
         if sql is not None:
-            ORACLE[function.__name__] = sql.strip()
+            ORACLE[name or function.__name__] = sql.strip()
         return function
 
     return register

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from dqspark.operators.columns import friendly_names
@@ -14,21 +12,16 @@ from dqspark.plans.cleaning import prepare
 from dqspark.plans.quality import check
 from dqspark.queries.flagging import FLAGGED, ISSUES, RULES
 from dqspark.queries.registry import bookings, query, table
-from dqspark.session import checkpoint_dir
+from dqspark.session import new_folder
 from dqspark.sources import readers, sinks
 
 
-def _folder(spark) -> str:
-    """A new folder in the shared one, so that runs do not meet."""
-    return f"{checkpoint_dir(spark)}/dqspark-{uuid.uuid4().hex}"
-
-
 @query("SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, nullif(c_mktsegment, 'MACHINERY') AS c_mktsegment FROM customer")
 def csv_reread(spark, sf_dir):
     """CSV out and in again: types are found again, N/A texts are missing."""
     segment = F.when(F.col("c_mktsegment") == "MACHINERY", "N/A").otherwise(F.col("c_mktsegment"))
     customer = table(spark, sf_dir, "customer").withColumn("c_mktsegment", segment)
-    path = sinks.write_table(customer, f"{_folder(spark)}/customer", "csv")
+    path = sinks.write_table(customer, f"{new_folder(spark)}/customer", "csv")
     return readers.require_rows(readers.read_csv(spark, path))
 
 
@@ -38,7 +31,7 @@ SELECT CAST(flag_value AS BIGINT) AS flag_value, description, severity, affected
 """)
 def roundtrip_flags(spark, sf_dir):
     """Rules, flag table and flagged data are stored, read back and run again."""
-    folder = _folder(spark)
+    folder = new_folder(spark)
     checked = check(bookings(spark, sf_dir), RULES)
     checked.export(folder)
     rules_again = readers.read_rules(spark, f"{folder}/rules")
@@ -59,7 +52,7 @@ UNION ALL SELECT 'renaming_report', CAST(4 AS BIGINT) FROM (SELECT count(*) FROM
 """)
 def export_all(spark, sf_dir):
     """Every stage under one directory."""
-    folder = _folder(spark)
+    folder = new_folder(spark)
     tables = readers.read_tables(spark, {n: f"{sf_dir}/{n}.parquet" for n in ("nation", "supplier")})
     joined = prepare(tables, "supplier", [JoinSpec("nation", "s_nationkey", "n_nationkey")], case=None).data
     renames = friendly_names(tables["supplier"].columns)
@@ -91,5 +84,5 @@ def prepared_orders(spark, sf_dir):
         JoinSpec("customer", "o_custkey", "c_custkey", "left", ["c_nationkey", "c_mktsegment"]),
         JoinSpec("nation", "c_nationkey", "n_nationkey", "left", ["n_name"]),
     ]
-    done = prepare(tables, "orders", joins, {"o_totalprice": Strategy.MEDIAN}, store=f"{_folder(spark)}/cleaned")
+    done = prepare(tables, "orders", joins, {"o_totalprice": Strategy.MEDIAN}, store=f"{new_folder(spark)}/cleaned")
     return done.data.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "c_mktsegment", "n_name")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -27,6 +28,19 @@ def get_session(master: str | None = None, app_name: str = "dqspark", **settings
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is set."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where none is set, a local session gets a temporary one; a cluster does not,
+    as its machines could not see it.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named or tempfile.mkdtemp(prefix="dqspark-")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all machines share")
+    return tempfile.mkdtemp(prefix="dqspark-")
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one, so that runs do not meet."""
+    return f"{checkpoint_dir(spark)}/dqspark-{uuid.uuid4().hex}"

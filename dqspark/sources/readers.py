@@ -85,7 +85,9 @@ def read_table(spark: SparkSession, path: str, format: str = "parquet", schema=N
     if format == "csv":
         return read_csv(spark, path, schema)
     reader = spark.read.format(format)
-    return with_nan_as_null((reader.schema(schema) if schema is not None else reader).load(path))
+    if schema is not None:
+        reader = reader.schema(schema)
+    return with_nan_as_null(reader.load(path))
 
 
 def read_tables(spark: SparkSession, paths: Mapping[str, str], format: str = "parquet") -> dict[str, DataFrame]:
