@@ -170,7 +170,8 @@ def fill_ordered(
          for i, c in enumerate(fills) if c in needs_next}
     )
     if cut:
-        order = F.col(POSITION) if linear else F.struct(*[col(c) for c in order_by])
+        single = col(order_by[0]) if len(order_by) == 1 else F.struct(*[col(c) for c in order_by])
+        order = F.col(POSITION) if linear else single
         here = _carry(here, marks, fills, keys, order)
 
     filled = {}
@@ -223,8 +224,14 @@ def _carry(
     """
     ends = []
     for i, c in enumerate(fills):
-        ends.append(F.max_by(marks[c], F.when(marks[c].isNotNull(), order)).alias(f"__end_{i}"))
-        ends.append(F.min_by(marks[c], F.when(marks[c].isNotNull(), order)).alias(f"__start_{i}"))
+        # value and position apart, as a struct would make the aggregate sort
+        value, place = marks[c]["v"], F.when(marks[c].isNotNull(), F.col(POSITION))
+        at = F.when(marks[c].isNotNull(), order)
+        # max_by passes over a missing order value, which is the first of its bucket
+        unplaced = F.max(F.when(order.isNull(), value))
+        end_value, start_value = F.coalesce(F.max_by(value, at), unplaced), F.coalesce(unplaced, F.min_by(value, at))
+        ends += [end_value.alias(f"__end_v_{i}"), F.max(place).alias(f"__end_p_{i}")]
+        ends += [start_value.alias(f"__start_v_{i}"), F.min(place).alias(f"__start_p_{i}")]
     per_bucket = here.groupBy(*[col(k).alias(f"__k_{j}") for j, k in enumerate(keys)], F.col(BUCKET).alias("__b"))
     table = per_bucket.agg(F.count("*").alias("__n"), *ends)
 
@@ -233,15 +240,20 @@ def _carry(
     later = by_key.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
     table = table.withColumn("__offset", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
 
+    def end(name: str, i: int) -> Column:
+        known_end = F.struct(F.col(f"__{name}_v_{i}").alias("v"), (F.col(f"__{name}_p_{i}") + F.col("__offset")).alias("p"))
+        return F.when(F.col(f"__{name}_p_{i}").isNotNull(), known_end)
+
     def shifted(name: str) -> Column:
         moved = F.struct(F.col(f"{name}.v").alias("v"), (F.col(f"{name}.p") + F.col("__offset")).alias("p"))
         return F.when(F.col(name).isNotNull(), moved)
 
     carried = {}
     for i in range(len(fills)):
-        carried[f"__before_{i}"] = F.last(shifted(f"__end_{i}"), ignorenulls=True).over(earlier)
-        carried[f"__after_{i}"] = F.last(shifted(f"__start_{i}"), ignorenulls=True).over(later)
-    table = table.withColumns(carried).drop("__n", *[f"__{e}_{i}" for e in ("end", "start") for i in range(len(fills))])
+        carried[f"__before_{i}"] = F.last(end("end", i), ignorenulls=True).over(earlier)
+        carried[f"__after_{i}"] = F.last(end("start", i), ignorenulls=True).over(later)
+    kept = [f"__k_{j}" for j in range(len(keys))] + ["__b", "__offset"]
+    table = table.withColumns(carried).select(*kept, *carried)
 
     same = [col(k).eqNullSafe(F.col(f"__k_{j}")) for j, k in enumerate(keys)] + [F.col(BUCKET) == F.col("__b")]
     # Without keys the table has at most MAX_BUCKETS rows per heavy split.

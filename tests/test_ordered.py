@@ -83,6 +83,18 @@ def test_several_columns_and_text_order(spark, size):
     assert {r["n"]: (r["t"], r["u"]) for r in got} == {n: (clean(t), clean(u)) for n, (t, u) in want.items()}
 
 
+@pytest.mark.parametrize("size", [100, 2, 1])
+def test_missing_order_value_comes_first(spark, size):
+    rows = [(None, 5.0), (1, None), (2, None), (3, 7.0), (4, None)]
+    df = spark.createDataFrame(rows, "i bigint, v double")
+    ahead = fill_ordered(df, {"v": "forward_fill"}, ["i"], rows_per_bucket=size)
+    assert {r["i"]: r["v"] for r in ahead.collect()} == {None: 5.0, 1: 5.0, 2: 5.0, 3: 7.0, 4: 7.0}
+    rows[0] = (None, None)
+    df = spark.createDataFrame(rows, "i bigint, v double")
+    back = fill_ordered(df, {"v": "backward_fill"}, ["i"], rows_per_bucket=size)
+    assert {r["i"]: r["v"] for r in back.collect()} == {None: 7.0, 1: 7.0, 2: 7.0, 3: 7.0, 4: None}
+
+
 def test_time_interpolation(spark):
     day = lambda d: datetime.datetime(2024, 1, d)
     df = spark.createDataFrame([(0, day(1)), (1, None), (2, day(3)), (3, None)], "i int, t timestamp_ntz")
