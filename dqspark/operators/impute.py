@@ -237,9 +237,12 @@ def fill_datetime(
 ) -> DataFrame:
     """Fill date and time columns along an order (M4).
 
-    Text columns that look like dates (or are named) are read as time first.
+    Text columns that look like dates (or are named) are read as time first; a
+    column without missing values stays as it is.
     """
     names = columns_of(df, "datetime") + datetime_like(df) if columns is None else list(columns)
+    gaps = one_row(df, {c: F.count_if(col(c).isNull()) for c in names})
+    names = [c for c in names if gaps[c]]
     texts = [c for c in names if family(df.schema[c].dataType) != "datetime"]
     df = df.withColumns({c: to_time(col(c)) for c in texts}) if texts else df
     return fit(df, {c: strategy for c in names}, order_by=order_by, **options).transform(df)

@@ -27,6 +27,7 @@ from dqspark.operators.sample import random_order
 SMALL_SIDE = 4096
 PIVOTS = 256
 CELL_ROWS = 20_000
+PRODUCT_CELLS = 4_000_000  # size of one matrix product in a task
 ROUNDING = 1e-9
 
 
@@ -45,11 +46,15 @@ def _best(query_keys, queries, entry_keys, entries, threshold, skip_same) -> pd.
         return pd.DataFrame({"q": query_keys[:0], "e": entry_keys[:0], "s": np.zeros(0)})
     order = np.argsort(entry_keys, kind="stable")
     entry_keys, entries = entry_keys[order], entries[order]
-    like = queries @ entries.T
-    if skip_same:
-        like[query_keys[:, None] == entry_keys[None, :]] = -np.inf
-    at = like.argmax(axis=1)
-    score = like[np.arange(len(at)), at]
+    at, score = np.empty(len(query_keys), dtype=np.int64), np.empty(len(query_keys))
+    rows = max(1, PRODUCT_CELLS // len(entry_keys))
+    for start in range(0, len(query_keys), rows):
+        part = slice(start, start + rows)
+        like = queries[part] @ entries.T
+        if skip_same:
+            like[query_keys[part, None] == entry_keys[None, :]] = -np.inf
+        at[part] = like.argmax(axis=1)
+        score[part] = like[np.arange(len(like)), at[part]]
     keep = (score >= threshold) & (score > 0)
     return pd.DataFrame({"q": query_keys[keep], "e": entry_keys[at[keep]], "s": score[keep]})
 

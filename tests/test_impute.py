@@ -73,3 +73,10 @@ def test_many_distinct_values_take_the_other_way(spark, limit):
 def test_mean_of_whole_numbers_is_a_fraction(spark):
     df = spark.createDataFrame([(1,), (2,), (None,)], "n int")
     assert [r["n"] for r in impute.fill_numeric(df, strategy=Strategy.MEAN).orderBy("n").collect()] == [1.0, 1.5, 2.0]
+
+
+def test_complete_date_texts_stay_text(spark):
+    df = spark.createDataFrame([(1, "2024-01-01", "2024-01-01"), (2, "2024-01-02", None)], "i int, a string, b string")
+    got = impute.fill_datetime(df, ["i"])
+    assert dict(got.dtypes) == {"i": "int", "a": "string", "b": "timestamp_ntz"}
+    assert got.where("b IS NULL").count() == 0
