@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dqspark.operators.columns import col, known, one_row
@@ -83,13 +83,11 @@ def quantiles_and_modes(
         aggregates[f"q_{i}"] = F.percentile_approx(x, p, GRID_ACCURACY) if approx else F.percentile(x, shares)
     for i, c in enumerate(few):
         aggregates[f"m_{i}"] = F.mode(known(df, c), True)
-    got = one_row(df, aggregates)
-    result = {c: got[f"q_{i}"] or [None] * len(p) for i, (c, p) in enumerate(small.items())}
-    found_modes = {c: got[f"m_{i}"] for i, c in enumerate(few)}
-
     large = {c: p for c, p in wanted.items() if c not in small}
     ranks = {c: sorted({r for p in ps for r in _rank_pair(sizes[c][0], p)}) for c, ps in large.items()}
-    at_rank = _order_statistics(df, ranks, {c: sizes[c][0] for c in large}, distinct_limit)
+    at_rank, got = _order_statistics(df, ranks, {c: sizes[c][0] for c in large}, distinct_limit, aggregates)
+    result = {c: got[f"q_{i}"] or [None] * len(p) for i, (c, p) in enumerate(small.items())}
+    found_modes = {c: got[f"m_{i}"] for i, c in enumerate(few)}
     for c, ps in large.items():
         row = []
         for p in ps:
@@ -112,9 +110,13 @@ def _rank_pair(n: int, p: float) -> tuple[int, int]:
 
 
 def _order_statistics(
-    df: DataFrame, ranks: Mapping[str, Sequence[int]], sizes: Mapping[str, int], collect_limit: int
-) -> dict[tuple[str, int], float]:
-    """Values at the given 0-based ranks.
+    df: DataFrame,
+    ranks: Mapping[str, Sequence[int]],
+    sizes: Mapping[str, int],
+    collect_limit: int,
+    also: Mapping[str, Column],
+) -> tuple[dict[tuple[str, int], float], dict]:
+    """Values at the given 0-based ranks, and other aggregates read along.
 
     Every open rank has a bracket that holds it.  One aggregate per round counts
     the values below the bracket, at its two ends and strictly inside, and asks
@@ -130,8 +132,9 @@ def _order_statistics(
     # one parsed array; a list of literals would be built one call at a time
     grid = F.expr("array(" + ", ".join(f"{i / GRID}D" for i in range(GRID + 1)) + ")")
     done: dict[tuple[str, int], float] = {}
-    while brackets:
-        wanted = {}
+    read_along = {}
+    while brackets or also:
+        wanted, also = dict(also), {}
         for i, ((c, _), (low, high, most)) in enumerate(brackets.items()):
             x = known(df, c).cast("double")
             inside = F.when((x > low) & (x < high), x)
@@ -144,6 +147,7 @@ def _order_statistics(
             else:
                 wanted[f"grid_{i}"] = F.call_function("percentile_approx", inside, grid, F.lit(GRID_ACCURACY))
         got = one_row(df, wanted)
+        read_along = read_along or got
         still = {}
         for i, ((c, r), (low, high, most)) in enumerate(brackets.items()):
             place = r - got[f"below_{i}"] - got[f"low_{i}"]
@@ -163,7 +167,7 @@ def _order_statistics(
                     math.ceil(inside * 4 / GRID),
                 )
         brackets = still
-    return done
+    return done, read_along
 
 
 def skewness(c, n):
