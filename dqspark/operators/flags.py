@@ -192,7 +192,7 @@ def possible_combinations(issues: DataFrame) -> DataFrame:
 
     At most 255 values are listed, so no more than the eight lowest flags occur.
     """
-    flags = issues.select("flag_value", "description")
+    flags = issues.select("flag_value", "description").limit(V.MAX_FLAGS)
     n = issues.count()
     top = min(2**n, V.MAX_LISTED_COMBINATIONS)
     values = issues.sparkSession.range(1, top).select(F.col("id").alias("combined"))

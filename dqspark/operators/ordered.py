@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import sys
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -77,26 +78,29 @@ def _place(df: DataFrame, number: Column, bounds: Sequence[float], out: str) ->
     return placed.withColumn(out, F.col(out).cast("bigint"))
 
 
-def add_buckets(df: DataFrame, order_by: Sequence[str], n: int, rows_per_bucket: int) -> DataFrame:
+def add_buckets(
+    df: DataFrame, order_by: Sequence[str], n: int, rows_per_bucket: int, fit_on: DataFrame | None = None
+) -> DataFrame:
     """Add the bucket number; buckets follow the ascending order of ``order_by``.
 
-    An order value that fills more than a bucket gets buckets of its own, cut
-    along the second order column where there is one.
+    ``fit_on`` holds the ``n`` rows the buckets should balance, the whole table
+    by default.  An order value that fills more than a bucket gets buckets of
+    its own, cut along the second order column where there is one.
     """
+    fit_on = df if fit_on is None else fit_on
     first = order_number(df, order_by[0])
-    bounds = _bounds(df, first, n, rows_per_bucket)
-    heavy = sorted({a for a, b in zip(bounds, bounds[1:]) if a == b})
+    bounds = _bounds(fit_on, first, n, rows_per_bucket)
+    heavy = {b: times for b, times in Counter(bounds).items() if times > 1}
     alone = [math.nextafter(h, float("inf")) for h in heavy]
     placed = _place(df, first, [*bounds, *alone], BUCKET)
     if not heavy or len(order_by) < 2:
         return placed
     second = order_number(df, order_by[1])
-    hot = first.isin(*heavy)
-    rows = df.where(hot)
-    inner = _bounds(rows, second, rows.count(), rows_per_bucket)
+    heaviest = fit_on.where(first == max(heavy, key=heavy.get))
+    inner = _bounds(heaviest, second, heaviest.count(), rows_per_bucket)
     cut = _place(placed, second, inner, f"{BUCKET}_2")
     width = len(set(inner)) + 2
-    number = F.col(BUCKET) * width + F.when(hot, F.col(f"{BUCKET}_2")).otherwise(F.lit(0))
+    number = F.col(BUCKET) * width + F.when(first.isin(*heavy), F.col(f"{BUCKET}_2")).otherwise(F.lit(0))
     return cut.withColumn(BUCKET, number).drop(f"{BUCKET}_2")
 
 
@@ -105,20 +109,23 @@ def _segments(
 ) -> tuple[DataFrame, bool]:
     """Buckets for the rows that need them; False when one window per key is safe."""
     n = df.count()
+    whole = df.withColumn(BUCKET, F.lit(0).cast("bigint"))
     if n <= rows_per_bucket:
-        return df.withColumn(BUCKET, F.lit(0).cast("bigint")), False
+        return whole, False
     if not keys:
         return add_buckets(df, order_by, n, rows_per_bucket), True
     # At most n / rows_per_bucket keys can hold more than rows_per_bucket rows.
-    hot = df.groupBy(*[col(k) for k in keys]).agg(F.count("*").alias("__n")).where(F.col("__n") > rows_per_bucket)
-    if hot.isEmpty():
-        return df.withColumn(BUCKET, F.lit(0).cast("bigint")), False
-    placed = add_buckets(df, order_by, n, rows_per_bucket)
+    counts = df.groupBy(*[col(k) for k in keys]).agg(F.count("*").alias("__n"))
+    hot = counts.where(F.col("__n") > rows_per_bucket)
+    n_hot = one_row(hot, {"n": F.sum("__n")})["n"]
+    if not n_hot:
+        return whole, False
     marks = hot.select(*[col(k).alias(f"__hot_{i}") for i, k in enumerate(keys)], F.lit(True).alias("__hot"))
     same = [col(k).eqNullSafe(F.col(f"__hot_{i}")) for i, k in enumerate(keys)]
-    joined = placed.join(F.broadcast(marks), same, "left")
+    marked = df.join(F.broadcast(marks), same, "left")
+    placed = add_buckets(marked, order_by, n_hot, rows_per_bucket, marked.where(F.col("__hot")))
     bucket = F.when(F.col("__hot"), F.col(BUCKET)).otherwise(F.lit(-1))
-    return joined.withColumn(BUCKET, bucket).drop("__hot", *[f"__hot_{i}" for i in range(len(keys))]), True
+    return placed.withColumn(BUCKET, bucket).drop("__hot", *[f"__hot_{i}" for i in range(len(keys))]), True
 
 
 def fill_ordered(
@@ -256,8 +263,8 @@ def _carry(
     table = table.withColumns(carried).select(*kept, *carried)
 
     same = [col(k).eqNullSafe(F.col(f"__k_{j}")) for j, k in enumerate(keys)] + [F.col(BUCKET) == F.col("__b")]
-    # Without keys the table has at most MAX_BUCKETS rows per heavy split.
-    joined = here.join(table if keys else F.broadcast(table), same, "left")
+    # The rows lie together by bucket already; only the small table moves.
+    joined = here.join(table, same, "left")
     cols = {}
     for i in range(len(fills)):
         for own, carry in ((f"__last_{i}", f"__before_{i}"), (f"__next_{i}", f"__after_{i}")):
@@ -292,6 +299,6 @@ def rank_rows(
     before = Window.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
     ranked = placed.withColumn("__spread", spread).withColumn(out, local)
-    joined = ranked.join(F.broadcast(offsets), F.col(BUCKET) == F.col("__b"))  # at most MAX_BUCKETS rows
+    joined = ranked.join(F.broadcast(offsets), F.col(BUCKET) == F.col("__b"))  # at most 2 * MAX_BUCKETS rows
     total = (F.col(out) + F.col("__offset")).cast("bigint")
     return joined.withColumn(out, total).select(*[col(c) for c in df.columns], F.col(out))

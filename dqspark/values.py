@@ -102,9 +102,11 @@ MAX_LISTED_COMBINATIONS = 256
 SAMPLE_ROWS = 150
 CONTEXT_TURNS = 3
 ANSWER_LENGTH = 300
+MIN_SIMILARITY = 0.92
+
+# --- fixed values: first and last line of a context text --------------------
 CONTEXT_HEADER = "Previous Q&A (most recent first):"
 CONTEXT_FOOTER = (
     "When the new question uses pronouns like 'this/that/these/it' or says 'same airline',"
     " interpret them using the most recent relevant Q&A above."
 )
-MIN_SIMILARITY = 0.92
