@@ -78,14 +78,14 @@ def best_match(
     are left out.  Vectors are taken as they are, of equal length.  Scores must
     be positive, as the reference point of the search is 0.
     """
-    q = queries.select(col(query_key).alias("q"), col(query_vector).alias("v")).where("v IS NOT NULL")
-    e = entries.select(col(entry_key).alias("e"), col(entry_vector).alias("v")).where("v IS NOT NULL")
+    q = queries.select(col(query_key).alias("q"), col(query_vector).alias("v")).where("q IS NOT NULL AND v IS NOT NULL")
+    e = entries.select(col(entry_key).alias("e"), col(entry_vector).alias("v")).where("e IS NOT NULL AND v IS NOT NULL")
     types = f"q {q.schema['q'].dataType.simpleString()}, e {e.schema['e'].dataType.simpleString()}, s double"
-    few_entries = e.limit(small_side + 1).collect()
+    few_entries = e.limit(small_side + 1).toPandas()
     if len(few_entries) <= small_side:
         found = _against_entries(q, few_entries, types, min_similarity, skip_same_key)
     else:
-        few_queries = q.limit(small_side + 1).collect()
+        few_queries = q.limit(small_side + 1).toPandas()
         if len(few_queries) <= small_side:
             parts = _against_queries(e, few_queries, types, min_similarity, skip_same_key)
         else:
@@ -99,9 +99,8 @@ def best_match(
     )
 
 
-def _against_entries(q: DataFrame, rows, types: str, threshold: float, skip_same: bool) -> DataFrame:
-    keys = np.array([r["e"] for r in rows])
-    shared = q.sparkSession.sparkContext.broadcast((keys, unit_rows([r["v"] for r in rows])))
+def _against_entries(q: DataFrame, rows: pd.DataFrame, types: str, threshold: float, skip_same: bool) -> DataFrame:
+    shared = q.sparkSession.sparkContext.broadcast((rows["e"].to_numpy(), unit_rows(rows["v"])))
 
     def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, matrix = shared.value
@@ -111,9 +110,8 @@ def _against_entries(q: DataFrame, rows, types: str, threshold: float, skip_same
     return q.mapInPandas(look_up, types)
 
 
-def _against_queries(e: DataFrame, rows, types: str, threshold: float, skip_same: bool) -> DataFrame:
-    keys = np.array([r["q"] for r in rows])
-    shared = e.sparkSession.sparkContext.broadcast((keys, unit_rows([r["v"] for r in rows])))
+def _against_queries(e: DataFrame, rows: pd.DataFrame, types: str, threshold: float, skip_same: bool) -> DataFrame:
+    shared = e.sparkSession.sparkContext.broadcast((rows["q"].to_numpy(), unit_rows(rows["v"])))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, matrix = shared.value
@@ -131,9 +129,8 @@ def _against_queries(e: DataFrame, rows, types: str, threshold: float, skip_same
 def _by_cells(
     q: DataFrame, e: DataFrame, types: str, threshold: float, skip_same: bool, n_pivots: int, cell_rows: int
 ) -> DataFrame:
-    picked = e.orderBy(random_order(["e"], 0)).limit(n_pivots).collect()
-    spark = e.sparkSession
-    shared = spark.sparkContext.broadcast(unit_rows([r["v"] for r in picked]))
+    picked = e.orderBy(random_order(["e"], 0)).limit(n_pivots).toPandas()
+    shared = e.sparkSession.sparkContext.broadcast(unit_rows(picked["v"]))
     radius = math.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + ROUNDING
     entry_type = f"cell int, {types.split(', ')[1]}, v array<double>"
     query_type = f"cell int, {types.split(', ')[0]}, v array<double>"
