@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from dqspark.functions import text
 from dqspark.operators import stats
-from dqspark.operators.columns import col, columns_of, known, one_row
+from dqspark.operators.columns import col, columns_of, one_row
 
 LEADING_LETTERS = r"^([A-Za-z]+)"
 UNDERSCORE_TOKEN = r"^([A-Za-z]+)_"

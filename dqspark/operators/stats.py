@@ -14,7 +14,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dqspark.operators.columns import col, known, one_row
+from dqspark.operators.columns import known, one_row
 
 DISTINCT_LIMIT = 250_000
 GRID = 1000

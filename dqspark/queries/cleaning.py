@@ -46,14 +46,26 @@ def prefix_sql(source: str, key: str, column: str, threshold=0.85, max_length=12
     ``legacy`` is empty, ``token`` or ``letters`` for the two older rules.
     """
     common = "list_max(list_filter(range(0, least(length(lo), length(hi)) + 1), lambda i: lo[:i] = hi[:i]))"
-    token_share = "(SELECT count(token) FROM t)" if legacy == "token" else "count(*) FILTER (WHERE starts_with(s, token || '_'))"
-    token_rule = f"{token_share} >= {threshold} * count(*)" + ("" if legacy else f" AND length(any_value(token)) >= {min_length}")
-    rest_rule = (
-        f"count(*) FILTER (WHERE length(s) > length(cand)) >= 0.9 * count(*) AND count(letters) >= {threshold} * count(*)"
-        if legacy
-        else "count(*) FILTER (WHERE lower(s[:length(cand)]) = cand AND length(s) > length(cand)) "
-        ">= 0.9 * count(*) FILTER (WHERE lower(s[:length(cand)]) = cand)"
-    )
+    starts = "count(*) FILTER (WHERE lower(s[:length(cand)]) = cand)"
+    if legacy == "token":
+        by_token, by_letters = f"(SELECT count(token) FROM t) >= {threshold} * count(*)", "false"
+    else:
+        by_token = (
+            f"count(*) FILTER (WHERE starts_with(s, token || '_')) >= {threshold} * count(*) "
+            f"AND length(any_value(token)) >= {min_length}"
+        )
+        by_letters = f"any_value(length(cand)) >= {min_length} AND {starts} >= {threshold} * count(*) AND "
+        if legacy == "letters":
+            by_token = "false"
+            by_letters += (
+                "count(*) FILTER (WHERE length(s) > length(cand)) >= 0.9 * count(*) "
+                f"AND count(letters) >= {threshold} * count(*)"
+            )
+        else:
+            by_letters += (
+                "count(*) FILTER (WHERE lower(s[:length(cand)]) = cand AND length(s) > length(cand)) "
+                f">= 0.9 * {starts}"
+            )
     return f"""
 WITH t AS (
   SELECT {key}, {duck_trim(column)} AS s,
@@ -65,8 +77,7 @@ WITH t AS (
 ), ends AS (SELECT coalesce(min(letters), '') AS lo, coalesce(max(letters), '') AS hi FROM t),
 glued AS (SELECT lo[:least({common}, {max_length})] AS cand FROM ends),
 fit AS (
-  SELECT {'false' if legacy == 'letters' else f'coalesce({token_rule}, false)'} AS by_token, any_value(token) AS token,
-    {'false' if legacy == 'token' else f"any_value(length(cand)) >= {min_length} AND count(*) FILTER (WHERE lower(s[:length(cand)]) = cand) >= {threshold} * count(*) AND {rest_rule}"} AS by_letters,
+  SELECT coalesce({by_token}, false) AS by_token, any_value(token) AS token, {by_letters} AS by_letters,
     any_value(cand) AS cand
   FROM (SELECT t.s, t.letters, top.token, glued.cand FROM t, top, glued)
 )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dqspark.functions.text import truncate
+from dqspark.functions.vectors import cosine
 from dqspark.operators import conversation
 from dqspark.operators.pipetables import pipe_tables as cells_of
 from dqspark.operators.similarity import best_match
@@ -53,24 +54,43 @@ def truncate_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", truncate(F.col("text"), 300).alias("short"))
 
 
-@query("""
+CENTRES_SQL = """
 WITH pos AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS x FROM embeddings),
 c AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS x FROM pos GROUP BY 1, 2),
-centre AS (SELECT label, list(x ORDER BY i) AS v FROM c GROUP BY 1),
-s AS (SELECT e.vec_id, centre.label, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), v) AS s FROM embeddings e, centre)
+centre AS (SELECT label, list(x ORDER BY i) AS v FROM c GROUP BY 1)
+"""
+
+
+def _centres(vectors):
+    """Mean vector per label; the list per label is as long as a vector."""
+    parts = vectors.select("label", F.posexplode("embedding").alias("i", "x"))
+    means = parts.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    listed = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("l"))
+    return listed.select("label", F.col("l.x").alias("v"))
+
+
+@query(CENTRES_SQL + """
+, s AS (SELECT e.vec_id, centre.label, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), v) AS s FROM embeddings e, centre)
 SELECT vec_id, arg_max(label, s) AS label, round(max(s), 4) AS similarity FROM s WHERE s >= 0.2 GROUP BY 1
 """)
 def cosine_top1(spark, sf_dir):
     """Best stored entry for every vector; the entries are the mean vectors of the labels."""
     vectors = table(spark, sf_dir, "embeddings")
-    parts = vectors.select("label", F.posexplode("embedding").alias("i", "x"))
-    means = parts.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    listed = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("l"))
-    centres = listed.select("label", F.col("l.x").alias("v"))
-    found = best_match(vectors, centres, "vec_id", "label", "embedding", "v", min_similarity=0.2)
+    found = best_match(vectors, _centres(vectors), "vec_id", "label", "embedding", "v", min_similarity=0.2)
     return found.withColumn("similarity", F.round("similarity", 4))
 
 
+@query(CENTRES_SQL + """
+SELECT vec_id, e.label, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), v), 4) AS similarity
+FROM embeddings e JOIN centre ON centre.label = e.label
+""")
+def cosine_to_centre(spark, sf_dir):
+    """Similarity of every vector with the mean vector of its own label."""
+    vectors = table(spark, sf_dir, "embeddings")
+    joined = vectors.join(_centres(vectors), "label")
+    return joined.select("vec_id", "label", F.round(cosine(F.col("embedding"), F.col("v")), 4).alias("similarity"))
+
+
 @query("""
 WITH lines AS (
   SELECT doc_id, list_filter(regexp_split_to_array(text, '\\r\\n|\\r|\\n'), lambda l: contains(l, '|')) AS ls FROM documents
