@@ -1,0 +1,135 @@
+"""Registered queries of WARC, secrets, top-k, urls and mixing."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dqspark.llm import mixing, secrets, topk, urlfilter, warc
+from dqspark.llm.common import read, small_batches
+from dqspark.llm.registry import query
+
+_TEXT = "coalesce(html, '')"
+
+
+def _duck_text(c: str) -> str:
+    """The steps of ``warc.plain_text`` in the other engine's dialect."""
+    out = f"regexp_replace({c}, '{warc.UNSEEN}', ' ', 'g')"
+    out = f"regexp_replace({out}, '[\\r\\n\\t\\f ]+', ' ', 'g')"
+    out = f"regexp_replace({out}, '{warc.BREAKS}', chr(10), 'g')"
+    out = f"regexp_replace({out}, '{warc.TAGS}', '', 'g')"
+    for entity, char in warc.ENTITIES:
+        out = "replace({}, '{}', '{}')".format(out, entity, char.replace("'", "''"))
+    out = f"regexp_replace({out}, ' *\\n[ \\n]*', chr(10), 'g')"
+    out = f"regexp_replace({out}, ' +', ' ', 'g')"
+    return f"regexp_replace({out}, '^[ \\n]+|[ \\n]+$', '', 'g')"
+
+
+def _duck_id(*parts: str) -> str:
+    d = "sha256(" + " || '|' || ".join(parts) + ")"
+    return (
+        f"'<urn:uuid:' || {d}[1:8] || '-' || {d}[9:12] || '-8' || {d}[14:16] || '-8' || {d}[18:20] || '-' || {d}[21:32] || '>'"
+    )
+
+
+_CRLF = "chr(13) || chr(10)"
+OP1_SQL = f"""
+WITH response AS (
+  SELECT page_id, coalesce(url, '') AS target_uri, {_TEXT} AS payload,
+    {_duck_id("'response'", "coalesce(CAST(page_id AS VARCHAR), '')", "coalesce(url, '')")} AS refers_to,
+    'HTTP/1.1 200 OK' || {_CRLF} || 'Content-Type: text/html; charset=UTF-8' || {_CRLF} || 'Content-Length: '
+      || CAST(strlen({_TEXT}) AS VARCHAR) AS headers,
+    {_duck_text(_TEXT)} AS text,
+    {_duck_text(f"regexp_extract({_TEXT}, '(?is)<title[^>]*>(.*?)</title', 1)")} AS title
+  FROM pages),
+digested AS (
+  SELECT *, 'sha256:' || sha256(payload) AS payload_digest,
+    'sha256:' || sha256(headers || {_CRLF} || {_CRLF} || payload) AS source_block_digest
+  FROM response),
+both_kinds AS (
+  SELECT *, 'conversion' AS record_type, 'text/plain; charset=UTF-8' AS content_type, text AS block FROM digested
+  UNION ALL
+  SELECT *, 'metadata', 'application/warc-fields',
+    'title: ' || replace(title, chr(10), ' ') || {_CRLF}
+    || 'http-header: ' || replace(headers, {_CRLF}, {_CRLF} || 'http-header: ') || {_CRLF}
+    || 'source-payload-digest: ' || payload_digest || {_CRLF}
+    || 'source-block-digest: ' || source_block_digest || {_CRLF}
+    || 'source-length: ' || CAST(strlen(payload) AS VARCHAR) || {_CRLF}
+    || 'text-length: ' || CAST(strlen(text) AS VARCHAR) || {_CRLF} FROM digested)
+SELECT page_id, record_type, {_duck_id("record_type", "refers_to")} AS record_id, refers_to, target_uri,
+  content_type, payload_digest AS source_payload_digest, source_block_digest,
+  'sha256:' || sha256(block) AS block_digest, CAST(strlen(block) AS BIGINT) AS content_length, block
+FROM both_kinds
+"""
+
+
+@query(OP1_SQL)
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of all pages."""
+    records = warc.derive(warc.responses_from_pages(read(spark, sf_dir, "pages")))
+    return records.select(
+        "page_id", "record_type", "record_id", "refers_to", "target_uri", "content_type",
+        "source_payload_digest", "source_block_digest", "block_digest", "content_length", "block",
+    )
+
+
+@query()
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: plain patterns and lexed assignments."""
+    small_batches(spark)
+    return secrets.summary(secrets.find_secrets(read(spark, sf_dir, "documents")))
+
+
+OP3_SQL = """
+WITH fine AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM fine q JOIN fine c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+@query(OP3_SQL)
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest inner products of every 20th vector."""
+    vectors = read(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20, scale=64)
+
+
+RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+OP7_SQL = """
+WITH rules(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+  ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+cut AS (
+  SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN url[instr(url, '://') + 3:] ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '(?s)^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+fits AS (
+  SELECT page_id, arg_max(h || p, length(h) + length(p)) AS rule, arg_max(v, length(h) + length(p)) AS verdict
+  FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (page_id)
+"""
+
+
+@query(OP7_SQL)
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's address."""
+    rules = spark.createDataFrame(RULES, urlfilter.RULE_SCHEMA)
+    return urlfilter.filter_urls(read(spark, sf_dir, "pages"), rules)
+
+
+@query()
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words each document gives to a mix of 150 % of all words, sources weighing 3, 1, 2."""
+    mixed = mixing.mix_sources(read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", F.col("source_size").cast("long"), "target", "taken")
