@@ -127,9 +127,9 @@ class Words:
         value = table[self.data[at]] * power[place]
         return mix(np.add.reduceat(value, np.concatenate(([0], np.cumsum(size)[:-1]))) + size.astype(np.uint64))
 
-    def text(self, i: int, j: int) -> bytes:
-        """Bytes from word i to the end of word j - 1."""
-        return self.data[self.start[i] : self.end[j - 1]].tobytes()
+    def of_row(self, i: int) -> list[bytes]:
+        """The words of one row; ``bytes.split`` parts at the same six separators."""
+        return self.data[self.bounds[i] : self.bounds[i + 1]].tobytes().split()
 
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
