@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dqspark.llm import queries_a, queries_b  # noqa: F401
+from dqspark.llm import queries_a, queries_b, queries_c  # noqa: F401
 from dqspark.llm.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
