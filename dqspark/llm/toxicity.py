@@ -30,9 +30,11 @@ CLASSES = 28
 #: Rows a lexicon is learned from at most; they are those with the least digest of the id.
 TRAIN_ROWS = 20_000
 LEXICON = 4096
-#: Least log ratio of a lexicon entry's rates, and how much clearer than chance it must be.
-LEAST_WEIGHT = 3.0
-CLEARER = 3.0
+#: Least share of toxic rows among those with a lexicon entry, and how much clearer than chance it must be (nats).
+LEAST_SHARE = 0.9
+CLEARER = 4.0
+#: Letters from which on a word is rare enough to tell near copies by.
+RARE = 7
 #: Lengths of word beginnings that are features, beside whole words.
 HEADS = (4, 5, 6, 7)
 LONGEST = 32
@@ -101,6 +103,19 @@ def word_features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
     return row, words, kinds
 
 
+def copy_keys(column: pa.Array) -> np.ndarray:
+    """A value that near copies mostly share: the least hash of a text's long words, else of all its words."""
+    row, words, kinds = word_features(*raw(column))
+    out = np.zeros(len(column), np.uint64)
+    if not len(words):
+        return out
+    for which in (np.arange(len(words)), kinds[1 + HEADS.index(RARE - 1)][0]):
+        if len(which):
+            rows, first = np.unique(row[which], return_index=True)
+            out[rows] = np.minimum.reduceat(words[which], first)
+    return out
+
+
 # --- the noisy channel -------------------------------------------------------
 
 
@@ -297,7 +312,18 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     usable = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+
+    def sign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(parts):
+            keys = pa.array(copy_keys(batch.column("text")).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), keys], names=["doc_id", "toxic", "key"])
+
+    # copies of one toxic text would make words of all its words: one row of them is enough
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    signed = rows.mapInArrow(sign, f"doc_id {kind}, toxic int, key long")
+    alone = store(signed.groupBy("key").agg(F.min(F.struct("doc_id", "toxic")).alias("one")).select("one.*"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(alone), "doc_id").select("text", "toxic")
 
     def offer(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         channel = Channel(cost)
@@ -327,8 +353,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     gain = F.col("yes") * F.log(share / rate) + F.when(F.col("no") > 0, F.col("no") * F.log((1 - share) / (1 - rate))).otherwise(F.lit(0.0))
     tried = max(2, seen.count())
     lexicon = (
-        seen.select("feature", weight.alias("weight"), gain.alias("gain"))
-        .where((F.col("weight") >= LEAST_WEIGHT) & (F.col("gain") >= float(np.log(tried) + CLEARER)))
+        seen.select("feature", "yes", "no", weight.alias("weight"), gain.alias("gain"))
+        .where(((F.col("yes") + 0.5) / (both + 1) >= LEAST_SHARE) & (F.col("gain") >= float(np.log(tried) + CLEARER)))
         .orderBy(F.col("gain").desc(), "feature").limit(LEXICON).toPandas()
     )
     base = float(np.log(rate / (1 - rate))) if rate < 0.5 else -1.0
