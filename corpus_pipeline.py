@@ -55,8 +55,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mix with the words each gives (``taken``), its size and its source's target."""
-    mixed = mixing.mix_sources(docs)
+    """Documents of the mix with the words each gives (``taken``), its size and its source's target; others go."""
+    mixed = mixing.mix_sources(docs).where("taken > 0")
     return mixed.select("doc_id", "source", "size", F.col("source_size").cast("long"), "target", "taken")
 
 
