@@ -22,7 +22,7 @@ def _duck_text(c: str) -> str:
         out = "replace({}, '{}', '{}')".format(out, entity, char.replace("'", "''"))
     out = f"regexp_replace({out}, ' *\\n[ \\n]*', chr(10), 'g')"
     out = f"regexp_replace({out}, ' +', ' ', 'g')"
-    return f"regexp_replace({out}, '^[ \\n]+|[ \\n]+$', '', 'g')"
+    return f"trim({out}, ' ' || chr(10))"
 
 
 def _duck_id(*parts: str) -> str:

@@ -32,14 +32,14 @@ FIELDS_TYPE = "application/warc-fields"
 def plain_text(html: Column) -> Column:
     """Text of a page: no scripts, styles, comments or tags; a line per block; blanks run together."""
     out = F.regexp_replace(F.coalesce(html, F.lit("")), UNSEEN, " ")
-    out = F.regexp_replace(out, r"[\r\n\t\f ]+", " ")
+    out = F.regexp_replace(out, r"[\r\n\t\f][\r\n\t\f ]*| [\r\n\t\f ]+", " ")  # a single blank is no match
     out = F.regexp_replace(out, BREAKS, "\n")
     out = F.regexp_replace(out, TAGS, "")
     for entity, char in ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
     out = F.regexp_replace(out, r" *\n[ \n]*", "\n")
-    out = F.regexp_replace(out, r" +", " ")
-    return F.regexp_replace(out, r"^[ \n]+|[ \n]+$", "")
+    out = F.regexp_replace(out, r"  +", " ")
+    return F.btrim(out, F.lit(" \n"))
 
 
 def record_id(*parts: Column) -> Column:
