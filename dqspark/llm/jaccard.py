@@ -105,10 +105,19 @@ def bucket_counts(texts: DataFrame, n: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["bucket", "n"])
 
     rows = texts.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    got = rows.select("bucket", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toPandas()
-    out = np.zeros(BUCKETS, np.int32)
-    out[got["bucket"].to_numpy()] = got["n"].to_numpy()
-    return out
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        """One dense piece of the table; the driver gets few rows of bytes."""
+        piece = int(part["bucket"].iloc[0]) >> 12
+        out = np.zeros(1 << 12, np.int32)
+        out[part["bucket"].to_numpy() & 0xFFF] = np.minimum(part["n"].to_numpy(), 2**31 - 1)
+        return pd.DataFrame({"piece": [piece], "data": [out.tobytes()]})
+
+    pieces = rows.groupBy(F.shiftright("bucket", 12).alias("piece")).applyInPandas(pack, "piece int, data binary")
+    out = np.zeros((BUCKETS >> 12, 1 << 12), np.int32)
+    for r in pieces.collect():
+        out[r["piece"]] = np.frombuffer(r["data"], np.int32)
+    return out.reshape(-1)
 
 
 def _find_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, limit: tuple[int, int]) -> Iterator[tuple[int, np.ndarray]]:
