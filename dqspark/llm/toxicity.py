@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dqspark.llm.charmodel import count_cells, dense, kneser_ney, raw
-from dqspark.llm.common import mix, small_batches, steps, store
+from dqspark.llm.common import grams, mix, small_batches, steps, store
 
 ORDER = 4
 #: A break, a to z, all bytes from 0x80 on.
@@ -33,8 +33,6 @@ LEXICON = 4096
 #: Least share of toxic rows among those with a lexicon entry, and how much clearer than chance it must be (nats).
 LEAST_SHARE = 0.9
 CLEARER = 4.0
-#: Letters from which on a word is rare enough to tell near copies by.
-RARE = 7
 #: Lengths of word beginnings that are features, beside whole words.
 HEADS = (4, 5, 6, 7)
 LONGEST = 32
@@ -104,15 +102,15 @@ def word_features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def copy_keys(column: pa.Array) -> np.ndarray:
-    """A value that near copies mostly share: the least hash of a text's long words, else of all its words."""
-    row, words, kinds = word_features(*raw(column))
+    """A value that near copies mostly share: the least hash of a text's runs of three words, else of all its words."""
+    row, words, _ = word_features(*raw(column))
     out = np.zeros(len(column), np.uint64)
-    if not len(words):
-        return out
-    for which in (np.arange(len(words)), kinds[1 + HEADS.index(RARE - 1)][0]):
-        if len(which):
-            rows, first = np.unique(row[which], return_index=True)
-            out[rows] = np.minimum.reduceat(words[which], first)
+    runs = grams(words, 3)
+    inside = row[: len(runs)] == row[2:] if len(runs) else np.zeros(0, bool)
+    for rows, values in ((row, words), (row[: len(runs)][inside], runs[inside])):
+        if len(rows):
+            some, first = np.unique(rows, return_index=True)
+            out[some] = np.minimum.reduceat(values, first)
     return out
 
 
