@@ -13,7 +13,8 @@ from dqspark import values as V
 from dqspark.functions.coerce import to_time
 from dqspark.functions.dates import BUCKETS
 from dqspark.operators.columns import col, columns_of
-from dqspark.operators.ordered import rank_rows
+from dqspark.operators.ordered import ROWS_PER_BUCKET, rank_rows
+from dqspark.session import new_folder
 
 DESCENDING, ASCENDING = "descending", "ascending"
 
@@ -68,13 +69,14 @@ class AnalysisSpec:
     order_by: str | None = None
     ranked: bool = False
     limit: int | None = None
+    rows_per_bucket: int = ROWS_PER_BUCKET
 
 
 def answer(df: DataFrame, spec: AnalysisSpec, status: str = "flag_status") -> DataFrame:
     """The answer table of a question.
 
-    The status column takes no part.  ``ranked`` keeps the grouped table cached,
-    as ranks over many groups look at it more than once.
+    The status column takes no part.  ``ranked`` writes the grouped table to the
+    shared folder, as ranks over many groups look at it more than once.
     """
     df = df.drop(status)
     if spec.where:
@@ -94,7 +96,10 @@ def answer(df: DataFrame, spec: AnalysisSpec, status: str = "flag_status") -> Da
     grouped = df.groupBy(*keys).agg(*[m.expression() for m in spec.metrics])
     first = spec.order_by or spec.metrics[0].name
     if spec.ranked:
-        grouped = rank_rows(grouped.persist(), first, spec.order != ASCENDING)
+        folder = new_folder(df.sparkSession)  # read twice below: counted, then ranked
+        grouped.write.parquet(folder)
+        grouped = df.sparkSession.read.schema(grouped.schema).parquet(folder)
+        grouped = rank_rows(grouped, first, spec.order != ASCENDING, rows_per_bucket=spec.rows_per_bucket)
         grouped = grouped.withColumn("is_top", F.col("rank") == 1)
     if spec.order:
         ordered = order_result(grouped, spec.order, first)

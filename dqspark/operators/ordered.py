@@ -1,131 +1,78 @@
 """Order-based fills and ranks over a whole table, without one task for all rows.
 
 A window without ``partitionBy`` moves every row to one task, and a window
-keyed by a hot value moves that key's rows to one task.  Here the order is cut
-into buckets first: a monotone number of the order column is compared with
-quantile bounds, so that each bucket is a contiguous stretch of the order with
-about ``rows_per_bucket`` rows.  Windows run per bucket; a small table with one
-row per bucket carries values, positions and counts from bucket to bucket.
-
-The bounds are literals in the plan, hence a lost executor recomputes the same
-buckets.  Any bounds give the same result; they only balance the work.
+keyed by a hot value moves that key's rows to one task.  Here the rows are first
+range-partitioned and sorted by the order columns themselves, whatever their
+type, with a digest of the row behind them so that repeated values are cut as
+well.  Stretches of at most ``rows_per_bucket`` rows are the buckets; windows run
+per bucket, and a small table with a row per bucket carries values, positions
+and counts from bucket to bucket.
+
+The placed rows are written to the shared folder, so that a lost executor cannot
+draw the bounds anew.  Any bounds give the same result; they only balance the
+work.
 """
 
 from __future__ import annotations
 
 import math
-import sys
-from collections import Counter
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dqspark.functions.dates import from_micros, micros
 from dqspark.operators.columns import col, family, known, one_row
+from dqspark.session import new_folder
 
 ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 10_000
-BOUND_ACCURACY = 20_000
+#: Range partitions; beyond them a partition holds several buckets.
+MAX_PARTITIONS = 10_000
+#: Rows of the carried table up to which it is sent to every task.
+BROADCAST_ROWS = 100_000
 
 BUCKET = "__bucket"
+PLACE = "__place"
+TIE = "__tie"
 POSITION = "__position"
 FORWARD, BACKWARD, LINEAR = "forward_fill", "backward_fill", "interpolate"
 
 
-def order_number(df: DataFrame, name: str) -> Column:
-    """A double that never decreases along the column's ascending order.
+def tie_breaker(df: DataFrame) -> Column:
+    """A digest of the row, so that rows with equal order values have an order that repeats."""
+    return F.xxhash64(*[col(f.name) for f in df.schema if "map<" not in f.dataType.simpleString()])
 
-    NULL sorts first and becomes minus infinity.  Text is represented by its
-    first six bytes; equal numbers only mean "same bucket".
-    """
-    data_type = df.schema[name].dataType
-    kind = family(data_type)
-    if kind == "numeric":
-        number = col(name).cast("double")
-    elif kind == "boolean":
-        number = col(name).cast("int").cast("double")
-    elif kind == "datetime":
-        number = micros(col(name), data_type).cast("double")
-    elif kind == "text":
-        head = F.substring(F.hex(F.encode(F.substring(col(name), 1, 6), "UTF-8")), 1, 12)
-        number = F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
-    else:
-        raise ValueError(f"cannot order by {name}: {data_type.simpleString()}")
-    return F.coalesce(number, F.lit(float("-inf")))
-
-
-def _bounds(df: DataFrame, number: Column, n: int, rows_per_bucket: int) -> list[float]:
-    parts = min(MAX_BUCKETS, math.ceil(n / rows_per_bucket))
-    if parts < 2:
-        return []
-    at = F.expr("array(" + ", ".join(f"{i / parts}D" for i in range(1, parts)) + ")")
-    found = df.agg(F.call_function("percentile_approx", number, at, F.lit(BOUND_ACCURACY)).alias("b")).first()["b"]
-    return sorted(found or [])
-
-
-def _place(df: DataFrame, number: Column, bounds: Sequence[float], out: str) -> DataFrame:
-    inf = float("inf")
-    inner = sorted({b for b in bounds if -inf < b < inf})
-    if not inner:
-        return df.withColumn(out, F.lit(0).cast("bigint"))
-    splits = [-inf, *inner, inf]
-    raw = f"{out}_raw"
-    placer = Bucketizer(splits=splits, inputCol=raw, outputCol=out, handleInvalid="keep")
-    placed = placer.transform(df.withColumn(raw, number)).drop(raw)
-    return placed.withColumn(out, F.col(out).cast("bigint"))
-
-
-def add_buckets(
-    df: DataFrame, order_by: Sequence[str], n: int, rows_per_bucket: int, fit_on: DataFrame | None = None
-) -> DataFrame:
-    """Add the bucket number; buckets follow the ascending order of ``order_by``.
 
-    ``fit_on`` holds the ``n`` rows the buckets should balance, the whole table
-    by default.  An order value that fills more than a bucket gets buckets of
-    its own, cut along the second order column where there is one.
-    """
-    fit_on = df if fit_on is None else fit_on
-    first = order_number(df, order_by[0])
-    bounds = _bounds(fit_on, first, n, rows_per_bucket)
-    heavy = {b: times for b, times in Counter(bounds).items() if times > 1}
-    alone = [math.nextafter(h, float("inf")) for h in heavy]
-    placed = _place(df, first, [*bounds, *alone], BUCKET)
-    if not heavy or len(order_by) < 2:
-        return placed
-    second = order_number(df, order_by[1])
-    heaviest = fit_on.where(first == max(heavy, key=heavy.get))
-    inner = _bounds(heaviest, second, heaviest.count(), rows_per_bucket)
-    cut = _place(placed, second, inner, f"{BUCKET}_2")
-    width = len(set(inner)) + 2
-    number = F.col(BUCKET) * width + F.when(first.isin(*heavy), F.col(f"{BUCKET}_2")).otherwise(F.lit(0))
-    return cut.withColumn(BUCKET, number).drop(f"{BUCKET}_2")
+def cut_in_order(df: DataFrame, order: Sequence[Column], n: int, rows_per_bucket: int) -> DataFrame:
+    """Stored rows with ``PLACE``, rising along ``order``, and ``BUCKET``, a stretch of it."""
+    parts = max(1, min(MAX_PARTITIONS, math.ceil(n / rows_per_bucket)))
+    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = placed.withColumn(PLACE, F.monotonically_increasing_id())
+    # the number holds the partition above its 33rd bit and the row below it
+    within = F.col(PLACE).bitwiseAND(F.lit((1 << 33) - 1))
+    bucket = F.col(PLACE) - within + F.floor(within / F.lit(rows_per_bucket))
+    placed = placed.withColumn(BUCKET, bucket.cast("bigint"))
+    folder = new_folder(df.sparkSession)
+    placed.write.parquet(folder)
+    return df.sparkSession.read.schema(placed.schema).parquet(folder)
 
 
 def _segments(
     df: DataFrame, order_by: Sequence[str], keys: Sequence[str], rows_per_bucket: int
 ) -> tuple[DataFrame, bool]:
     """Buckets for the rows that need them; False when one window per key is safe."""
+    tied = df.withColumn(TIE, tie_breaker(df))
+    whole = tied.withColumn(BUCKET, F.lit(0).cast("bigint")).withColumn(PLACE, F.lit(0).cast("bigint"))
     n = df.count()
-    whole = df.withColumn(BUCKET, F.lit(0).cast("bigint"))
     if n <= rows_per_bucket:
         return whole, False
-    if not keys:
-        return add_buckets(df, order_by, n, rows_per_bucket), True
-    # At most n / rows_per_bucket keys can hold more than rows_per_bucket rows.
-    counts = df.groupBy(*[col(k) for k in keys]).agg(F.count("*").alias("__n"))
-    hot = counts.where(F.col("__n") > rows_per_bucket)
-    n_hot = one_row(hot, {"n": F.sum("__n")})["n"]
-    if not n_hot:
-        return whole, False
-    marks = hot.select(*[col(k).alias(f"__hot_{i}") for i, k in enumerate(keys)], F.lit(True).alias("__hot"))
-    same = [col(k).eqNullSafe(F.col(f"__hot_{i}")) for i, k in enumerate(keys)]
-    marked = df.join(F.broadcast(marks), same, "left")
-    placed = add_buckets(marked, order_by, n_hot, rows_per_bucket, marked.where(F.col("__hot")))
-    bucket = F.when(F.col("__hot"), F.col(BUCKET)).otherwise(F.lit(-1))
-    return placed.withColumn(BUCKET, bucket).drop("__hot", *[f"__hot_{i}" for i in range(len(keys))]), True
+    if keys:
+        counts = df.groupBy(*[col(k) for k in keys]).agg(F.count("*").alias("__n"))
+        if not one_row(counts, {"n": F.max("__n") > rows_per_bucket})["n"]:
+            return whole, False
+    order = [col(k).asc() for k in keys] + [col(c).asc() for c in order_by] + [F.col(TIE).asc()]
+    return cut_in_order(tied, order, n, rows_per_bucket), True
 
 
 def fill_ordered(
@@ -151,8 +98,9 @@ def fill_ordered(
     names = df.columns
     placed, cut = _segments(df, order_by, keys, rows_per_bucket)
 
-    forward = Window.partitionBy(*[col(k) for k in keys], BUCKET).orderBy(*[col(c).asc() for c in order_by])
-    backward = Window.partitionBy(*[col(k) for k in keys], BUCKET).orderBy(*[col(c).desc() for c in order_by])
+    order = [F.col(PLACE)] if cut else [*[col(c) for c in order_by], F.col(TIE)]
+    forward = Window.partitionBy(*[col(k) for k in keys], BUCKET).orderBy(*[c.asc() for c in order])
+    backward = Window.partitionBy(*[col(k) for k in keys], BUCKET).orderBy(*[c.desc() for c in order])
     so_far = (Window.unboundedPreceding, Window.currentRow)
     value = {c: _fill_value(df, c, how) for c, how in fills.items()}
     needs_next = [c for c, how in fills.items() if how != FORWARD]
@@ -177,9 +125,7 @@ def fill_ordered(
          for i, c in enumerate(fills) if c in needs_next}
     )
     if cut:
-        single = col(order_by[0]) if len(order_by) == 1 else F.struct(*[col(c) for c in order_by])
-        order = F.col(POSITION) if linear else single
-        here = _carry(here, marks, fills, keys, order)
+        here = _carry(here, marks, fills, keys)
 
     filled = {}
     for i, (c, how) in enumerate(fills.items()):
@@ -222,7 +168,7 @@ def _keep_type(df: DataFrame, name: str, how: str) -> Column:
 
 
 def _carry(
-    here: DataFrame, marks: Mapping[str, Column], fills: Mapping[str, str], keys: list[str], order: Column
+    here: DataFrame, marks: Mapping[str, Column], fills: Mapping[str, str], keys: list[str]
 ) -> DataFrame:
     """Bring in what earlier and later buckets know, and global positions.
 
@@ -233,10 +179,8 @@ def _carry(
     for i, c in enumerate(fills):
         # value and position apart, as a struct would make the aggregate sort
         value, place = marks[c]["v"], F.when(marks[c].isNotNull(), F.col(POSITION))
-        at = F.when(marks[c].isNotNull(), order)
-        # max_by passes over a missing order value, which is the first of its bucket
-        unplaced = F.max(F.when(order.isNull(), value))
-        end_value, start_value = F.coalesce(F.max_by(value, at), unplaced), F.coalesce(unplaced, F.min_by(value, at))
+        at = F.when(marks[c].isNotNull(), F.col(PLACE))
+        end_value, start_value = F.max_by(value, at), F.min_by(value, at)
         ends += [end_value.alias(f"__end_v_{i}"), F.max(place).alias(f"__end_p_{i}")]
         ends += [start_value.alias(f"__start_v_{i}"), F.min(place).alias(f"__start_p_{i}")]
     per_bucket = here.groupBy(*[col(k).alias(f"__k_{j}") for j, k in enumerate(keys)], F.col(BUCKET).alias("__b"))
@@ -252,7 +196,8 @@ def _carry(
         return F.when(F.col(f"__{name}_p_{i}").isNotNull(), known_end)
 
     def shifted(name: str) -> Column:
-        moved = F.struct(F.col(f"{name}.v").alias("v"), (F.col(f"{name}.p") + F.col("__offset")).alias("p"))
+        offset = F.coalesce("__offset", F.lit(0))
+        moved = F.struct(F.col(f"{name}.v").alias("v"), (F.col(f"{name}.p") + offset).alias("p"))
         return F.when(F.col(name).isNotNull(), moved)
 
     carried = {}
@@ -260,17 +205,23 @@ def _carry(
         carried[f"__before_{i}"] = F.last(end("end", i), ignorenulls=True).over(earlier)
         carried[f"__after_{i}"] = F.last(end("start", i), ignorenulls=True).over(later)
     kept = [f"__k_{j}" for j in range(len(keys))] + ["__b", "__offset"]
+    # Only a key that lies in several buckets has anything to carry: a row or two for each bucket.
+    table = table.withColumn("__buckets", F.count("*").over(by_key)).where(F.col("__buckets") > 1)
     table = table.withColumns(carried).select(*kept, *carried)
+    folder = new_folder(here.sparkSession)
+    table.write.parquet(folder)
+    table = here.sparkSession.read.schema(table.schema).parquet(folder)
+    if table.count() <= BROADCAST_ROWS:
+        table = F.broadcast(table)
 
     same = [col(k).eqNullSafe(F.col(f"__k_{j}")) for j, k in enumerate(keys)] + [F.col(BUCKET) == F.col("__b")]
-    # The rows lie together by bucket already; only the small table moves.
     joined = here.join(table, same, "left")
     cols = {}
     for i in range(len(fills)):
         for own, carry in ((f"__last_{i}", f"__before_{i}"), (f"__next_{i}", f"__after_{i}")):
             if own in here.columns:
                 cols[own] = F.coalesce(shifted(own), F.col(carry))
-    cols[POSITION] = F.col(POSITION) + F.col("__offset")
+    cols[POSITION] = F.col(POSITION) + F.coalesce("__offset", F.lit(0))
     return joined.withColumns(cols)
 
 
@@ -279,26 +230,38 @@ def rank_rows(
 ) -> DataFrame:
     """Standard rank of every row over the whole table (A32); missing values last.
 
-    Rows of one value share a bucket; a value that fills a bucket is spread
-    over several tasks, as its rows all have the first rank of that bucket.
+    The column is ordered as it is, numbers, dates or texts.  Where one window is
+    too much, rows are cut in order; a value that goes on over buckets takes the
+    rank of its first row from the first of them.
     """
     n = df.count()
-    number = known(df, by).cast("double")
-    keyed = df.withColumn("__key", F.coalesce(-number if descending else number, F.lit(sys.float_info.max)))
-    bounds = _bounds(keyed, F.col("__key"), n, rows_per_bucket)
-    if not bounds:
-        ranked = keyed.withColumn(out, F.rank().over(Window.partitionBy(F.lit(0)).orderBy("__key")))
-        return ranked.withColumn(out, F.col(out).cast("bigint")).drop("__key")
-    heavy = sorted({a for a, b in zip(bounds, bounds[1:]) if a == b})
-    alone = [math.nextafter(h, float("inf")) for h in heavy]
-    placed = _place(keyed, F.col("__key"), [*bounds, *alone], BUCKET)
-    is_heavy = F.col("__key").isin(*heavy) if heavy else F.lit(False)
-    spread = F.when(is_heavy, F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(64))).otherwise(F.lit(0))
-    local = F.rank().over(Window.partitionBy(BUCKET, "__spread").orderBy("__key"))
-    sizes = placed.groupBy(F.col(BUCKET).alias("__b")).agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    ranked = placed.withColumn("__spread", spread).withColumn(out, local)
-    joined = ranked.join(F.broadcast(offsets), F.col(BUCKET) == F.col("__b"))  # at most 2 * MAX_BUCKETS rows
-    total = (F.col(out) + F.col("__offset")).cast("bigint")
+    value = known(df, by)
+    better = value.desc_nulls_last() if descending else value.asc_nulls_last()
+    if n <= rows_per_bucket:
+        return df.withColumn(out, F.rank().over(Window.partitionBy(F.lit(0)).orderBy(better)).cast("bigint"))
+    tied = df.withColumn(TIE, tie_breaker(df))
+    placed = cut_in_order(tied, [better, F.col(TIE).asc()], n, rows_per_bucket)
+    value = known(placed, by)
+    at = F.col(PLACE)
+    ends = placed.groupBy(F.col(BUCKET).alias("__b")).agg(
+        F.count("*").alias("__n"), F.min_by(F.struct(value.alias("v")), at)["v"].alias("__first"),
+        F.max_by(F.struct(value.alias("v")), at)["v"].alias("__end"),
+    )
+    local = F.rank().over(Window.partitionBy(BUCKET).orderBy(better))
+    ranked = placed.withColumn(out, local)
+    starts = ranked.groupBy(F.col(BUCKET).alias("__b")).agg(F.max(out).alias("__start"))  # rank of the last value
+    by_bucket = Window.partitionBy(F.lit(0)).orderBy("__b")
+    before = by_bucket.rowsBetween(Window.unboundedPreceding, -1)
+    table = ends.join(starts, "__b").withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    goes_on = F.col("__first").eqNullSafe(F.lag("__end").over(by_bucket)) & (F.row_number().over(by_bucket) > 1)
+    table = table.withColumn("__goes_on", goes_on)
+    all_of_it = F.col("__goes_on") & F.col("__first").eqNullSafe(F.col("__end"))
+    table = table.withColumn("__began", F.when(~all_of_it, F.col("__offset") + F.col("__start")))
+    table = table.withColumn("__carried", F.last("__began", ignorenulls=True).over(before))
+    table = table.select("__b", "__offset", "__first", "__goes_on", "__carried")
+    if n / rows_per_bucket <= BROADCAST_ROWS / 2:
+        table = F.broadcast(table)  # a row per bucket
+    joined = ranked.join(table, F.col(BUCKET) == F.col("__b"))
+    carried = F.col("__goes_on") & known(placed, by).eqNullSafe(F.col("__first"))
+    total = F.when(carried, F.col("__carried")).otherwise(F.col(out) + F.col("__offset")).cast("bigint")
     return joined.withColumn(out, total).select(*[col(c) for c in df.columns], F.col(out))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from dqspark.operators import impute, ordered
 from dqspark.operators.impute import Strategy
 from dqspark.operators.profile import validate_imputation
-from dqspark.queries.registry import BOOKINGS_CTE, EVENTS_N_CTE, bookings, events_n, query
+from dqspark.queries.registry import BOOKINGS_CTE, EVENTS_N_CTE, bookings, events_n, query, table
 
 
 def _mode(column: str) -> str:
@@ -222,3 +222,78 @@ def clean_answer(spark, sf_dir):
         "event_id", F.when(F.col("event_id") % 4 == 1, "").otherwise(F.col("type_n")).alias("type_n"), "user_n", "value_n"
     )
     return impute.clean_result(df)
+
+
+# Orders that are cut into many buckets, whatever the size of the tables.
+
+ORDER_TEXT = "concat('ORDER-2024-', CAST(1000000000 + event_id * 7919 % 1000003 AS VARCHAR(20)))"
+
+
+def _text_order(spark, sf_dir):
+    df = events_n(spark, sf_dir).withColumn("ref", F.expr(ORDER_TEXT.replace("VARCHAR(20)", "STRING")))
+    return df.select("event_id", "ref", "value_n", "type_n", "sparse_n")
+
+
+@query(EVENTS_N_CTE + f"""
+SELECT event_id, last_value(value_n IGNORE NULLS) OVER (ORDER BY {ORDER_TEXT}, event_id) AS value_n,
+  last_value(type_n IGNORE NULLS) OVER (ORDER BY {ORDER_TEXT}, event_id) AS type_n FROM events_n
+""")
+def ffill_text_order(spark, sf_dir):
+    """Texts with a common head, cut into buckets of 500 rows."""
+    df = _text_order(spark, sf_dir)
+    fills = {"value_n": "forward_fill", "type_n": "forward_fill"}
+    return ordered.fill_ordered(df, fills, ["ref", "event_id"], rows_per_bucket=500).drop("ref", "sparse_n")
+
+
+@query(EVENTS_N_CTE + f""", placed AS (
+  SELECT event_id, sparse_n, row_number() OVER (ORDER BY {ORDER_TEXT}, event_id) AS p FROM events_n),
+around AS (
+  SELECT *, last_value(CASE WHEN sparse_n IS NOT NULL THEN p END IGNORE NULLS) OVER (ORDER BY p) AS p0,
+    last_value(sparse_n IGNORE NULLS) OVER (ORDER BY p) AS v0,
+    first_value(CASE WHEN sparse_n IS NOT NULL THEN p END IGNORE NULLS)
+      OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS p1,
+    first_value(sparse_n IGNORE NULLS) OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v1
+  FROM placed)
+SELECT event_id, round(CASE WHEN sparse_n IS NOT NULL THEN sparse_n WHEN p0 IS NULL THEN NULL WHEN p1 IS NULL THEN v0
+  ELSE v0 + (v1 - v0) * (p - p0) / (p1 - p0) END, 4) AS sparse_n FROM around
+""")
+def interpolate_text_order(spark, sf_dir):
+    df = _text_order(spark, sf_dir).select("event_id", "ref", "sparse_n")
+    filled = ordered.fill_ordered(df, {"sparse_n": "interpolate"}, ["ref", "event_id"], rows_per_bucket=500)
+    return _rounded(filled.drop("ref"), "sparse_n")
+
+
+HEAVY = "CASE WHEN event_id % 3 = 0 THEN 5 WHEN event_id % 3 = 1 THEN 9 ELSE event_id % 12 END"
+
+
+@query(EVENTS_N_CTE + f"""
+SELECT event_id, first_value(sparse_n IGNORE NULLS) OVER (ORDER BY {HEAVY}, event_id
+  ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS sparse_n FROM events_n
+""")
+def bfill_two_heavy(spark, sf_dir):
+    """Two order values hold a third of the rows each."""
+    df = events_n(spark, sf_dir).select("event_id", "sparse_n", F.expr(HEAVY).alias("day"))
+    filled = ordered.fill_ordered(df, {"sparse_n": "backward_fill"}, ["day", "event_id"], rows_per_bucket=300)
+    return filled.drop("day")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, rank() OVER (ORDER BY 9007199254740992 + l_partkey % 50 DESC) AS rank FROM lineitem
+""")
+def an_ranked_big(spark, sf_dir):
+    """Numbers that share a double, most of them many times."""
+    df = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.expr("9007199254740992L + l_partkey % 50").alias("big")
+    )
+    return ordered.rank_rows(df, "big", rows_per_bucket=700).drop("big")
+
+
+@query("""
+SELECT o_orderkey, rank() OVER (ORDER BY CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_orderdate END NULLS LAST) AS rank
+FROM orders
+""")
+def an_ranked_date(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.expr("CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_orderdate END").alias("day")
+    )
+    return ordered.rank_rows(df, "day", descending=False, rows_per_bucket=100).drop("day")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import random
+from decimal import Decimal
 
 import pandas as pd
 import pytest
@@ -116,3 +117,45 @@ def test_rank(spark, descending, size):
     got = {r["i"]: r["rank"] for r in rank_rows(df, "v", descending, rows_per_bucket=size).collect()}
     want = pd.Series(values, dtype="float64").rank(method="min", ascending=not descending, na_option="bottom")
     assert got == {i: int(r) for i, r in enumerate(want)}
+
+
+ORDERS = {
+    "common head": ("string", lambda i: f"ORDER-000000{i:05d}"),
+    "date text": ("string", lambda i: f"2024-01-{i % 28 + 1:02d}"),
+    "big number": ("bigint", lambda i: 10**17 + i),
+    "decimal": ("decimal(38,10)", lambda i: Decimal(10**20) + Decimal(i) / 1000),
+    "date": ("date", lambda i: datetime.date(2024, 1, 1) + datetime.timedelta(days=i % 40)),
+    "time": ("timestamp_ntz", lambda i: datetime.datetime(2024, 1, 1) + datetime.timedelta(microseconds=i)),
+    "boolean": ("boolean", lambda i: i % 3 == 0),
+    "double": ("double", lambda i: float("nan") if i % 7 == 0 else -i / 3),
+    "one value": ("int", lambda i: None),
+}
+
+
+@pytest.mark.parametrize("kind", ORDERS)
+def test_result_does_not_depend_on_buckets(spark, kind):
+    type_name, make = ORDERS[kind]
+    rng = random.Random(7)
+    rows = [(make(i), i, rng.choice("ab"), None if rng.random() < 0.6 else float(i)) for i in range(200)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, f"o {type_name}, id int, k string, v double")
+    for keys in ([], ["k"]):
+        for how in HOWS:
+            runs = [
+                {r["id"]: r["v"] for r in fill_ordered(df, {"v": how}, ["o", "id"], keys, rows_per_bucket=n).collect()}
+                for n in (1000, 20, 3)
+            ]
+            assert all(listed(run[i] for i in range(200)) == listed(runs[0][i] for i in range(200)) for run in runs[1:])
+    for descending in (True, False):
+        ranks = [
+            {r["id"]: r["rank"] for r in rank_rows(df, "o", descending, rows_per_bucket=n).collect()} for n in (1000, 20, 3)
+        ]
+        assert ranks[0] == ranks[1] == ranks[2]
+
+
+def test_large_side_moves_once(spark):
+    """The carried table is joined without another exchange of the rows."""
+    df = spark.range(400).selectExpr("id", "'hot' AS k", "IF(id % 3 = 0, id, NULL) AS v")
+    filled = fill_ordered(df, {"v": "forward_fill"}, ["id"], ["k"], rows_per_bucket=50)
+    plan = filled._jdf.queryExecution().optimizedPlan().toString() + filled._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
