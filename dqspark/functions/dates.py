@@ -27,6 +27,17 @@ def year_month(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM")
 
 
+def month_of_number(c: Column) -> Column:
+    """1 is January, 12 is December; other numbers have no name."""
+    return F.date_format(F.make_date(F.lit(2024), F.when(c.between(1, 12), c).cast("int"), F.lit(1)), "MMMM")
+
+
+def weekday_of_number(c: Column) -> Column:
+    """0 is Monday, 6 is Sunday; other numbers have no name."""
+    # the first of January 2024 was a Monday
+    return F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.when(c.between(0, 6), c).cast("int")), "EEEE")
+
+
 def iso_week(c: Column) -> Column:
     """``2023-W05``, with the ISO year of that week."""
     year = F.extract(F.lit("YEAROFWEEK"), c)
@@ -45,6 +56,10 @@ BUCKETS = {
 }
 
 
+# The same for columns that hold the number already.
+NUMBER_BUCKETS = {"month": month_of_number, "weekday": weekday_of_number}
+
+
 def micros(c: Column, data_type: T.DataType) -> Column:
     """Microseconds since 1970 as bigint; no time-zone shift for zone-less values."""
     if isinstance(data_type, T.TimestampType):

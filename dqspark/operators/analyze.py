@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from dqspark import values as V
 from dqspark.functions.coerce import to_time
-from dqspark.functions.dates import BUCKETS
-from dqspark.operators.columns import col, columns_of
+from dqspark.functions.dates import BUCKETS, NUMBER_BUCKETS
+from dqspark.operators.columns import col, columns_of, family
 from dqspark.operators.ordered import ROWS_PER_BUCKET, rank_rows
 from dqspark.session import new_folder
 
@@ -85,7 +85,11 @@ def answer(df: DataFrame, spec: AnalysisSpec, status: str = "flag_status") -> Da
     position = None
     if spec.time_bucket:
         time = to_time(col(spec.time_column))
-        if spec.time_bucket in BUCKETS:
+        if spec.time_bucket in NUMBER_BUCKETS and family(df.schema[spec.time_column].dataType) == "numeric":
+            keys.append(NUMBER_BUCKETS[spec.time_bucket](col(spec.time_column)).alias(spec.time_bucket))
+            position = "__position"
+            keys.append(col(spec.time_column).alias(position))
+        elif spec.time_bucket in BUCKETS:
             name_of, place_of = BUCKETS[spec.time_bucket]
             keys.append(name_of(time).alias(spec.time_bucket))
             if place_of is not None:

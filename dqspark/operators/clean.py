@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -63,11 +64,7 @@ class Prefix:
 
 def common_prefix(a: str | None, b: str | None) -> str:
     """Longest common prefix of the smallest and largest token of a column."""
-    a, b = a or "", b or ""
-    same = 0
-    while same < min(len(a), len(b)) and a[same] == b[same]:
-        same += 1
-    return a[:same]
+    return os.path.commonprefix([a or "", b or ""])
 
 
 def _text_view(df: DataFrame, names: Sequence[str]) -> DataFrame:

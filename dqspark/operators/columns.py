@@ -141,32 +141,18 @@ def boolean_like(df: DataFrame, names: Iterable[str] | None = None) -> dict[str,
     return found
 
 
-def datetime_like(
-    df: DataFrame, names: Iterable[str] | None = None, look_at: int = 10, head_rows: int = 1000
-) -> list[str]:
-    """Text columns whose first non-null values all read as dates.
+def datetime_like(df: DataFrame, names: Iterable[str] | None = None, unreadable_share: float = 0.0) -> list[str]:
+    """Text columns whose values read as dates (P9): all of them, or all but a share.
 
-    The first rows of the table serve all columns at once; only a column with
-    too few values among them is looked at on its own.
+    Every row is looked at, in one aggregate for all columns.
     """
     names = columns_of(df, "text") if names is None else list(names)
-    if not names:
-        return []
-
-    def looks(values: DataFrame, wanted: list[str]) -> dict[str, tuple[int, int]]:
-        aggregates = {}
-        for i, c in enumerate(wanted):
-            first = F.slice(F.collect_list(col(c)), 1, look_at)
-            aggregates[f"n_{i}"] = F.size(first)
-            aggregates[f"bad_{i}"] = F.size(F.filter(first, lambda v: to_time(v).isNull()))
-        got = one_row(values, aggregates)
-        return {c: (got[f"n_{i}"], got[f"bad_{i}"]) for i, c in enumerate(wanted)}
-
-    seen = looks(df.select(*[col(c) for c in names]).limit(head_rows), names)
-    for c in names:
-        if seen[c][0] < look_at:
-            seen |= looks(df.select(col(c)).where(col(c).isNotNull()).limit(look_at), [c])
-    return [c for c in names if seen[c][0] and not seen[c][1]]
+    counts = {}
+    for i, c in enumerate(names):
+        counts[f"n_{i}"] = F.count(col(c))
+        counts[f"bad_{i}"] = F.count_if(col(c).isNotNull() & to_time(col(c)).isNull())
+    got = one_row(df, counts)
+    return [c for i, c in enumerate(names) if got[f"n_{i}"] and got[f"bad_{i}"] <= unreadable_share * got[f"n_{i}"]]
 
 
 def value_kinds(df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from dqspark import values as V
 from dqspark.functions.flagbits import binary_text, flag_value, flags_text, has_flag, set_flags
 from dqspark.operators.columns import col, one_row
-from dqspark.operators.rules import Rule, check_rule, fallback, numbered
+from dqspark.operators.rules import Rule, check_rule, fallback, lenient, numbered
 
 STATUS = "flag_status"
 ISSUE_SCHEMA = (
@@ -77,7 +77,9 @@ def flag_rows(df: DataFrame, rules: Sequence[Rule], status: str = STATUS) -> Fla
     """Check the rules, then set all their bits in one projection.
 
     A rule that cannot be used is replaced by its fallback and reported; the
-    others run.  NULL conditions do not flag.  Without rules every status is 0.
+    others run.  A row whose values a rule cannot be computed on (text against a
+    number, a division by zero) is not flagged by it.  NULL conditions do not
+    flag.  Without rules every status is 0.
     """
     rules = numbered(rules)
     used, errors = [], {}
@@ -94,7 +96,9 @@ def flag_rows(df: DataFrame, rules: Sequence[Rule], status: str = STATUS) -> Fla
         for r in used
     ]
     mask = reduce(Column.bitwiseOR, bits, F.lit(0).cast("bigint"))
-    return FlagRun(df.withColumn(status, mask), tuple(rules), errors, status)
+    with lenient(df.sparkSession):  # values a rule cannot read are no match and stop no other rule
+        flagged = df.withColumn(status, mask)
+    return FlagRun(flagged, tuple(rules), errors, status)
 
 
 # --- reports on the status column -------------------------------------------
@@ -141,7 +145,15 @@ def decoded(df: DataFrame, issues: DataFrame, keys: Sequence[str], status: str =
     # rules) once more in a filter below
     parts = df.select(*[col(k) for k in keys], F.explode_outer(set_flags(col(status))).alias("flag_value"))
     flags = parts.where(F.col("flag_value").isNotNull())
-    return flags.join(F.broadcast(issues.limit(V.MAX_FLAGS)), "flag_value", "left")
+    return flags.join(F.broadcast(_at_most_all_flags(issues)), "flag_value", "left")
+
+
+def _at_most_all_flags(issues: DataFrame) -> DataFrame:
+    """The flag table, refused if it has more rows than a status has bits."""
+    n = issues.count()
+    if n > V.MAX_FLAGS:
+        raise ValueError(f"a status holds at most {V.MAX_FLAGS} flags; the flag table has {n} rows")
+    return issues
 
 
 # --- the flag table ---------------------------------------------------------
@@ -149,13 +161,20 @@ def decoded(df: DataFrame, issues: DataFrame, keys: Sequence[str], status: str =
 
 def issue_table(spark: SparkSession, issues: Sequence[Mapping]) -> DataFrame:
     """Flags 1, 2, 4, ... for issues in their order, with defaults (F16)."""
-    rows = [
-        (flag_value(i), issue.get("description", f"Issue {i + 1}"), issue.get("category", V.UNKNOWN_CATEGORY),
-         issue.get("severity", V.DEFAULT_SEVERITY), list(issue.get("affected_columns", [])),
-         issue.get("fix_approach", V.DEFAULT_FIX))
-        for i, issue in enumerate(issues)
+    fields = ISSUE_SCHEMA.replace("flag_value bigint, ", "")
+    given = spark.createDataFrame([(i, flag_value(i), dict(issue)) for i, issue in enumerate(issues)], f"i int, flag_value bigint, given struct<{fields}>")
+    return given.orderBy("i").select("flag_value", *issue_fields(F.concat(F.lit("Issue "), (F.col("i") + 1).cast("string")), F.lit(V.DEFAULT_FIX), "given."))
+
+
+def issue_fields(description: Column, fix_approach: Column, prefix: str = "") -> list[Column]:
+    """The fields of an issue with defaults for those that are absent."""
+    return [
+        F.coalesce(prefix + "description", description).alias("description"),
+        F.coalesce(prefix + "category", F.lit(V.UNKNOWN_CATEGORY)).alias("category"),
+        F.coalesce(prefix + "severity", F.lit(V.DEFAULT_SEVERITY)).alias("severity"),
+        F.coalesce(prefix + "affected_columns", F.array().cast("array<string>")).alias("affected_columns"),
+        F.coalesce(prefix + "fix_approach", fix_approach).alias("fix_approach"),
     ]
-    return spark.createDataFrame(rows, ISSUE_SCHEMA)
 
 
 def issues_of_rules(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
@@ -187,19 +206,25 @@ def flag_distribution(issues: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).select("kind", "name", "n_flags")
 
 
-def possible_combinations(issues: DataFrame) -> DataFrame:
+def possible_combinations(issues: DataFrame, most: int | None = V.MAX_LISTED_COMBINATIONS) -> DataFrame:
     """Status values 1, 2, 3, ... with the issues they stand for.
 
-    At most 255 values are listed, so no more than the eight lowest flags occur.
+    Values below ``most`` are listed, all if it is None; ``in_all`` is their full
+    number and ``listed_in_full`` tells whether the list is complete.
     """
-    flags = issues.select("flag_value", "description").limit(V.MAX_FLAGS)
-    n = issues.count()
-    top = min(2**n, V.MAX_LISTED_COMBINATIONS)
+    flags = _at_most_all_flags(issues).select("flag_value", "description")
+    n = flags.count()
+    top = 2**n if most is None else min(2**n, most)
+    if top >= 2**63:
+        raise ValueError("so many combinations cannot be listed; give most")
     values = issues.sparkSession.range(1, top).select(F.col("id").alias("combined"))
     parts = values.select("combined", F.explode(set_flags(F.col("combined"))).alias("flag_value"))
     named = parts.join(F.broadcast(flags), "flag_value")  # at most 63 rows
     listed = F.array_sort(F.collect_list(F.struct("flag_value", "description")))
-    return named.groupBy("combined").agg(listed.alias("l")).select("combined", F.col("l.description").alias("issues"))
+    return named.groupBy("combined").agg(listed.alias("l")).select(
+        "combined", F.col("l.description").alias("issues"), F.lit(2**n - 1).cast("decimal(20,0)").alias("in_all"),
+        F.lit(top == 2**n).alias("listed_in_full"),
+    )
 
 
 def with_binary(issues: DataFrame) -> DataFrame:

@@ -211,10 +211,11 @@ def fill_text(df: DataFrame, columns=None, strategy=Strategy.MODE, constant=V.UN
 def fill_boolean(df: DataFrame, columns=None, default: bool = False) -> DataFrame:
     """Fill boolean and boolean-like columns by a constant (M3).
 
-    In a boolean-like text column "false" is written the way the column writes
+    By default boolean and text columns are looked at: a number column that
+    holds 0 and 1 may be a quantity, so it must be named.  In a boolean-like text column "false" is written the way the column writes
     its own negative value.
     """
-    likes = boolean_like(df, columns)
+    likes = boolean_like(df, columns_of(df, "text", "boolean") if columns is None else columns)
     fills = {}
     for c in likes:
         if isinstance(df.schema[c].dataType, T.BooleanType):
@@ -237,13 +238,17 @@ def fill_datetime(
 ) -> DataFrame:
     """Fill date and time columns along an order (M4).
 
-    Text columns that look like dates (or are named) are read as time first; a
-    column without missing values stays as it is.
+    Text columns of which every value reads as a date are read as time first; a
+    column without missing values stays as it is.  A named text column with
+    other values is refused, as filling would lose them.
     """
     names = columns_of(df, "datetime") + datetime_like(df) if columns is None else list(columns)
     gaps = one_row(df, {c: F.count_if(col(c).isNull()) for c in names})
     names = [c for c in names if gaps[c]]
     texts = [c for c in names if family(df.schema[c].dataType) != "datetime"]
+    lost = one_row(df, {c: F.count_if(col(c).isNotNull() & to_time(col(c)).isNull()) for c in texts})
+    if any(lost.values()):
+        raise ValueError(f"texts that are no dates: {({c: n for c, n in lost.items() if n})}")
     df = df.withColumns({c: to_time(col(c)) for c in texts}) if texts else df
     return fit(df, {c: strategy for c in names}, order_by=order_by, **options).transform(df)
 

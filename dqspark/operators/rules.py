@@ -9,11 +9,12 @@ of the known kinds of rules.  Rules that need a statistic take it as a number;
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException, ParseException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dqspark import values as V
@@ -45,13 +46,20 @@ def sql_text(value: str) -> str:
 def _number(name: str) -> str:
     c = quote(name)
     suffixed = f"typeof({c}) = 'string' AND {_text(name)} RLIKE r'{NUMBER_SUFFIX}'"
-    return f"CASE WHEN {suffixed} THEN NULL ELSE try_cast({c} AS DOUBLE) END"
+    # NaN compares as larger than all numbers; here it is a missing value
+    return f"CASE WHEN {suffixed} THEN NULL ELSE nanvl(try_cast({c} AS DOUBLE), CAST(NULL AS DOUBLE)) END"
 
 
 def _text(name: str) -> str:
     return f"cast({quote(name)} AS STRING)"
 
 
+def _missing(name: str) -> str:
+    """NULL or NaN, whatever the type of the column."""
+    c = quote(name)
+    return f"({c} IS NULL OR (typeof({c}) IN ('double', 'float') AND {_text(name)} = 'NaN'))"
+
+
 def _trim(text: str) -> str:
     spaces = "".join(c if c == " " else f"\\u{ord(c):04x}" for c in V.WHITE_SPACE)
     return f"btrim({text}, '{spaces}')"
@@ -107,7 +115,7 @@ def count_mismatch(count: str, items: str, separators: str = V.LIST_SEPARATORS)
 
 def blank(name: str) -> Rule:
     """Missing or only white space."""
-    return Rule(f"{quote(name)} IS NULL OR {_trimmed(name)} = ''", (name,), f"{name} is missing or blank",
+    return Rule(f"{_missing(name)} OR {_trimmed(name)} = ''", (name,), f"{name} is missing or blank",
                 category="completeness")
 
 
@@ -150,14 +158,14 @@ def unusual_text(name: str, special: str = V.SPECIAL_CHARACTERS) -> Rule:
 
 def mostly_missing(names: Sequence[str], share: float = 0.2) -> Rule:
     """More than ``share`` of the columns are missing."""
-    total = " + ".join(f"cast({quote(c)} IS NULL AS INT)" for c in names)
+    total = " + ".join(f"cast({_missing(c)} AS INT)" for c in names)
     return Rule(f"({total}) > {float(len(names) * share)!r}D", tuple(names),
                 f"more than {share:.0%} of the columns are missing", category="completeness")
 
 
 def status_conflict(status: str, value: str, field: str) -> Rule:
     """A status that forbids a value in another field."""
-    return Rule(f"lower({_trimmed(status)}) = {sql_text(value.lower())} AND {quote(field)} IS NOT NULL",
+    return Rule(f"lower({_trimmed(status)}) = {sql_text(value.lower())} AND NOT {_missing(field)}",
                 (status, field), f"{field} is set although {status} is {value}", category="consistency",
                 severity="high")
 
@@ -311,26 +319,76 @@ def suggest_rules(df: DataFrame, approx: bool = False) -> list[Rule]:
 
 
 def numbered(rules: Sequence[Rule]) -> list[Rule]:
-    """Flags 1, 2, 4, ... by position; rules that have a flag keep it."""
-    return [r if r.flag_value else replace(r, flag_value=flag_value(i)) for i, r in enumerate(rules)]
+    """Rules that have a flag keep it, the others take the free ones 1, 2, 4, ... in their order."""
+    kept = [r.flag_value for r in rules if r.flag_value]
+    wrong = sorted(f for f in kept if f < 0 or f & (f - 1) or f >= 1 << V.MAX_FLAGS)
+    if wrong or len(set(kept)) < len(kept):
+        raise ValueError(f"flags must be different powers of two below 2^{V.MAX_FLAGS}: {sorted(kept)}")
+    if len(rules) > V.MAX_FLAGS:
+        raise ValueError(f"a status holds at most {V.MAX_FLAGS} flags, not {len(rules)}")
+    free = (f for f in map(flag_value, range(V.MAX_FLAGS)) if f not in set(kept))
+    return [r if r.flag_value else replace(r, flag_value=next(free)) for r in rules]
+
+
+@contextmanager
+def lenient(spark: SparkSession) -> Iterator[None]:
+    """Analyse rules so that a value they cannot be applied to gives NULL and no error.
+
+    Whether a cast or division may fail is settled when an expression is
+    analysed, so one bad value does not stop the other rules later.
+    """
+    key = "spark.sql.ansi.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _forbidden(df: DataFrame, text: str) -> str:
+    """Why a parsed rule is refused: functions that are not on the list, subqueries; else empty.
+
+    Looks at the parsed expression, not at words of the text, so a column may
+    be called ``from`` and texts may hold anything.
+    """
+    todo = [df.sparkSession._jsparkSession.sessionState().sqlParser().parseExpression(text)]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if "Subquery" in kind or kind in ("Exists", "ListQuery"):
+            return "subqueries are not allowed"
+        if kind == "UnresolvedFunction":
+            name = ".".join(_each(node.nameParts())).lower()
+            if name not in V.RULE_FUNCTIONS:
+                return f"function {name} is not allowed"
+        todo += _each(node.children())
+    return ""
+
+
+def _each(sequence) -> list:
+    return [sequence.apply(i) for i in range(sequence.size())]
 
 
 def check_rule(df: DataFrame, rule: Rule) -> str:
     """Empty when the rule can be used, else why not.
 
-    The text must be one boolean row expression over the rule's own columns: it
-    is analysed as the condition of a filter over a one-row table of just these
-    columns, which refuses aggregates, windows and generators.
+    The text must be one boolean row expression over the rule's own columns,
+    with functions of a fixed list only: it is analysed as the condition of a
+    filter over a one-row table of just these columns, which refuses
+    aggregates, windows and generators.
     """
     lost = [c for c in rule.columns if c not in df.columns]
     if lost:
         return f"no such column: {', '.join(lost)}"
-    if re.search(r"\b(select|from)\b", re.sub(r"'(?:[^'\\]|\\.)*'", "''", rule.detection_code), re.IGNORECASE):
-        return "subqueries are not allowed"
     fields = [df.schema[c] for c in rule.columns]
     listed = ", ".join(f"CAST(NULL AS {f.dataType.simpleString()}) AS {quote(f.name)}" for f in fields)
     try:
-        df.sparkSession.sql(f"SELECT {listed or 1}").where(F.expr(rule.detection_code)).schema
+        refused = _forbidden(df, rule.detection_code)
+        if refused:
+            return refused
+        with lenient(df.sparkSession):
+            df.sparkSession.sql(f"SELECT {listed or 1}").where(F.expr(rule.detection_code)).schema
     except (AnalysisException, ParseException) as error:
         return str(error).split("SQLSTATE")[0].strip()
     return ""

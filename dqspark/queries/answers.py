@@ -164,3 +164,14 @@ def an_map_rows(spark, sf_dir):
     """A map of results as a two-column table."""
     sums = table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.sum("value"), 2).alias("v"))
     return map_to_rows(sums.select(F.create_map("event_type", "v").alias("m")), "m")
+
+
+@query("""
+SELECT CASE month(o_orderdate) WHEN 1 THEN 'January' WHEN 2 THEN 'February' WHEN 3 THEN 'March' WHEN 4 THEN 'April'
+  WHEN 5 THEN 'May' WHEN 6 THEN 'June' WHEN 7 THEN 'July' WHEN 8 THEN 'August' WHEN 9 THEN 'September' WHEN 10 THEN 'October'
+  WHEN 11 THEN 'November' ELSE 'December' END AS month, count(*) AS n FROM orders GROUP BY 1
+""")
+def an_month_number(spark, sf_dir):
+    """A number column of months, answered by name."""
+    orders = table(spark, sf_dir, "orders").selectExpr("month(o_orderdate) AS m")
+    return answer(orders, AnalysisSpec([Metric("n", "count")], time_column="m", time_bucket="month"))

@@ -297,3 +297,27 @@ def an_ranked_date(spark, sf_dir):
         "o_orderkey", F.expr("CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_orderdate END").alias("day")
     )
     return ordered.rank_rows(df, "day", descending=False, rows_per_bucket=100).drop("day")
+
+
+@query(EVENTS_N_CTE + """
+SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 3 END AS quantity, coalesce(yesno_n, 'No') AS yesno_n FROM events_n
+""")
+def fill_boolean_default(spark, sf_dir):
+    """A number column with 0 and 1 among its values is no flag unless it is named."""
+    df = events_n(spark, sf_dir).selectExpr("event_id", "CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 3 END AS quantity", "yesno_n")
+    return impute.fill_boolean(df)
+
+
+@query(EVENTS_N_CTE + """
+SELECT event_id, CASE WHEN event_id % 6 = 0 THEN NULL WHEN event_id % 6 = 1 THEN 'hello' ELSE '2024-01-05' END AS note,
+  last_value(CASE WHEN event_id % 6 <> 0 THEN '2024-01-' || lpad(CAST(event_id % 28 + 1 AS VARCHAR), 2, '0') || ' 00:00:00' END IGNORE NULLS)
+    OVER (ORDER BY event_id) AS day FROM events_n
+""")
+def datetime_mixed_text(spark, sf_dir):
+    """Texts beside dates stay as they are; only a column of dates is filled (M4)."""
+    df = events_n(spark, sf_dir).selectExpr(
+        "event_id", "CASE WHEN event_id % 6 = 0 THEN NULL WHEN event_id % 6 = 1 THEN 'hello' ELSE '2024-01-05' END AS note",
+        "CASE WHEN event_id % 6 <> 0 THEN concat('2024-01-', lpad(CAST(event_id % 28 + 1 AS STRING), 2, '0')) END AS day",
+    )
+    filled = impute.fill_datetime(df, ["event_id"])
+    return filled.withColumn("day", F.date_format("day", "yyyy-MM-dd HH:mm:ss"))

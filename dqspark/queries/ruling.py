@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dqspark.operators import rules, stats
 from dqspark.operators.columns import rename
+from dqspark.operators.flags import flag_rows
 from dqspark.queries.registry import (
     BOOKINGS_CTE,
     EVENTS_N_CTE,
@@ -225,16 +226,55 @@ def rule_format(spark, sf_dir):
     return _found(events, rule, "event_id", "props")
 
 
-@query("""
-SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice < 0
-  OR p_retailprice > 10 * (SELECT quantile_cont(p_retailprice, 0.75) FROM part)
-UNION ALL SELECT NULL, CAST(count(*) AS DOUBLE) FROM part
+PRICES = """o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN -o_totalprice WHEN o_orderkey % 77 = 0 THEN o_totalprice * 40
+  ELSE o_totalprice END AS ticket_price"""
+
+
+@query(f"""
+WITH p AS (SELECT {PRICES} FROM orders)
+SELECT o_orderkey, ticket_price FROM p
+WHERE ticket_price < 0 OR ticket_price > 10 * (SELECT quantile_cont(ticket_price, 0.75) FROM p)
 """)
 def rule_price_names(spark, sf_dir):
-    """Rules that the name ``price`` calls for, and the rows they looked at."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
-    named = [r for r in rules.rules_from_names(part) if "p_retailprice" in r.columns]
-    named += [r for r in rules.rules_from_values(part, ["p_retailprice"]) if "extremely" in r.explanation]
-    found = part.where(F.expr(" OR ".join(f"({r.detection_code})" for r in named)))
-    seen = part.agg(F.lit(None).cast("bigint").alias("p_partkey"), F.count("*").cast("double").alias("p_retailprice"))
-    return found.unionByName(seen)
+    """Rules that the name ``price`` and the values call for, and the rows they find."""
+    orders = spark.sql(f"SELECT {PRICES} FROM {{orders}}", orders=table(spark, sf_dir, "orders"))
+    named = [r for r in rules.rules_from_names(orders) if "ticket_price" in r.columns]
+    named += [r for r in rules.rules_from_values(orders, ["ticket_price"]) if "extremely" in r.explanation]
+    return orders.where(F.expr(" OR ".join(f"({r.detection_code})" for r in named)))
+
+
+MIXED = """event_id, value, CASE WHEN event_id % 3 = 0 THEN 'x' ELSE CAST(event_id % 10 AS VARCHAR(5)) END AS txt,
+  event_id % 4 AS zero_n"""
+
+
+@query(f"""
+WITH m AS (SELECT {MIXED} FROM events)
+SELECT event_id, CAST(CASE WHEN try_cast(txt AS INTEGER) > 5 THEN 1 ELSE 0 END
+  + CASE WHEN zero_n <> 0 AND 1.0 / zero_n > 0.4 THEN 2 ELSE 0 END + CASE WHEN value > 20 THEN 4 ELSE 0 END AS BIGINT) AS flag_status
+FROM m
+""")
+def rule_runtime_errors(spark, sf_dir):
+    """Rules that cannot be computed on some rows leave those, and the other rules, alone."""
+    events = spark.sql(f"SELECT {MIXED} FROM {{events}}", events=table(spark, sf_dir, "events"))
+    listed = [
+        rules.Rule("txt > 5", ("txt",), "text above five"),
+        rules.Rule("1.0 / zero_n > 0.4", ("zero_n",), "large part"),
+        rules.Rule("value > 20", ("value",), "large value"),
+    ]
+    return flag_rows(events, listed).data.select("event_id", "flag_status")
+
+
+GAPS = "event_id, CASE WHEN event_id % 4 = 0 THEN CAST('NaN' AS DOUBLE) WHEN event_id % 4 = 1 THEN NULL ELSE value END AS v"
+
+
+@query(f"""
+WITH g AS (SELECT {GAPS} FROM events)
+SELECT event_id, CAST(CASE WHEN event_id % 4 < 2 THEN 1 WHEN v > 20 THEN 2 ELSE 0 END
+  + CASE WHEN event_id % 4 >= 2 AND (v < 1 OR v > 30) THEN 4 ELSE 0 END + CASE WHEN event_id % 4 < 2 THEN 8 ELSE 0 END AS BIGINT) AS flag_status
+FROM g
+""")
+def rules_nan(spark, sf_dir):
+    """NaN is missing: never large, always blank."""
+    gaps = spark.sql(f"SELECT {GAPS} FROM {{events}}", events=table(spark, sf_dir, "events"))
+    listed = [rules.blank("v"), rules.above("v", 20), rules.outside("v", 1, 30), rules.mostly_missing(["event_id", "v"])]
+    return flag_rows(gaps, listed).data.select("event_id", "flag_status")

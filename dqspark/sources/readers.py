@@ -12,7 +12,7 @@ from dqspark import values as V
 from dqspark.functions.coerce import NUMBER_SUFFIX
 from dqspark.functions.text import na_to_null
 from dqspark.operators.columns import col, columns_of, one_row, with_nan_as_null
-from dqspark.operators.flags import ISSUE_SCHEMA, reset_status
+from dqspark.operators.flags import ISSUE_SCHEMA, issue_fields, reset_status
 from dqspark.operators.rules import Rule
 
 RULE_SCHEMA = (
@@ -70,7 +70,8 @@ def read_csv(
     breaks inside quotes and makes files unsplittable.
     """
     # quotes inside quoted text are doubled, as the usual writers do it
-    raw = spark.read.csv(path, header=True, multiLine=multi_line, escape='"', quote='"')
+    # every file's header is held against the first one's: columns in another order are refused, not swapped
+    raw = spark.read.csv(path, header=True, multiLine=multi_line, escape='"', quote='"', enforceSchema=False)
     raw = normalise_missing(raw, na_tokens)
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
@@ -115,15 +116,16 @@ def final_table(spark: SparkSession, in_memory: DataFrame | None, path: str, for
 def read_issues(spark: SparkSession, path: str) -> DataFrame:
     """Flag table from JSON, with defaults for absent fields."""
     stored = spark.read.schema(ISSUE_SCHEMA).json(path)
-    defaults = {"description": "", "category": V.UNKNOWN_CATEGORY, "severity": V.DEFAULT_SEVERITY, "fix_approach": ""}
-    filled = {c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()}
-    filled["affected_columns"] = F.coalesce("affected_columns", F.array().cast("array<string>"))
-    return stored.withColumns(filled)
+    return stored.select("flag_value", *issue_fields(F.lit(""), F.lit("")))
 
 
 def read_rules(spark: SparkSession, path: str) -> list[Rule]:
-    """Detection rules from JSON, in flag order (S8); a rule set has at most 63."""
-    rows = spark.read.schema(RULE_SCHEMA).json(path).orderBy("flag_value").limit(V.MAX_FLAGS).collect()
+    """Detection rules from JSON, in flag order (S8); a set of more than 63 is refused."""
+    stored = spark.read.schema(RULE_SCHEMA).json(path)
+    n = stored.count()
+    if n > V.MAX_FLAGS:
+        raise ValueError(f"a status holds at most {V.MAX_FLAGS} flags; {path} has {n} rules")
+    rows = stored.orderBy("flag_value").collect()
     return [
         Rule(r["detection_code"], tuple(r["columns"] or ()), r["explanation"] or "", r["flag_value"],
              r["category"] or V.UNKNOWN_CATEGORY, r["severity"] or V.DEFAULT_SEVERITY,

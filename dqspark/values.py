@@ -110,3 +110,23 @@ CONTEXT_FOOTER = (
     "When the new question uses pronouns like 'this/that/these/it' or says 'same airline',"
     " interpret them using the most recent relevant Q&A above."
 )
+
+# Functions a stored rule may call: they look at the values of one row, give the
+# same result each time and reach nothing outside it.
+RULE_FUNCTIONS = frozenset("""
+abs add_months array array_contains array_distinct array_except array_intersect array_join array_max array_min
+array_position array_remove array_size array_sort between bit_count bround btrim cardinality cast ceil ceiling
+char_length character_length coalesce concat concat_ws contains date date_add date_diff date_format date_part
+date_sub date_trunc datediff day dayname dayofmonth dayofweek dayofyear div double element_at elt endswith equal_null
+exists exp extract filter float floor forall format_number from_unixtime get greatest hour if ifnull ilike initcap
+instr int isnan isnotnull isnull last_day lcase least left len length levenshtein like ln locate log log10 log2 lower
+lpad ltrim make_date map_contains_key map_keys map_values md5 minute mod month monthname months_between nanvl next_day
+not nullif nullifzero nvl nvl2 octet_length overlay pmod positive position pow power quarter regexp regexp_count
+regexp_extract regexp_extract_all regexp_instr regexp_like regexp_replace repeat replace reverse right rint rlike round
+rpad rtrim second sequence sha2 sign signum size slice soundex split split_part sqrt startswith string struct substr
+substring substring_index timestamp timestampdiff timestampadd to_date to_number to_timestamp transform translate trim
+try_add try_divide try_element_at try_multiply try_subtract try_to_date try_to_number try_to_timestamp typeof ucase
+unix_date unix_micros unix_millis unix_seconds unix_timestamp upper weekday weekofyear width_bucket xxhash64 year
+zeroifnull to_timestamp_ntz to_timestamp_ltz timestamp_micros timestamp_millis timestamp_seconds negative aggregate
+zip_with arrays_overlap collate character_length
+""".split())

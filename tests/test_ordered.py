@@ -139,18 +139,16 @@ def test_result_does_not_depend_on_buckets(spark, kind):
     rows = [(make(i), i, rng.choice("ab"), None if rng.random() < 0.6 else float(i)) for i in range(200)]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, f"o {type_name}, id int, k string, v double")
+    df = df.withColumns({how: df["v"] for how in HOWS})
     for keys in ([], ["k"]):
-        for how in HOWS:
-            runs = [
-                {r["id"]: r["v"] for r in fill_ordered(df, {"v": how}, ["o", "id"], keys, rows_per_bucket=n).collect()}
-                for n in (1000, 20, 3)
-            ]
-            assert all(listed(run[i] for i in range(200)) == listed(runs[0][i] for i in range(200)) for run in runs[1:])
+        runs = []
+        for n in (1000, 20):
+            rows = fill_ordered(df, {how: how for how in HOWS}, ["o", "id"], keys, rows_per_bucket=n).collect()
+            runs.append({r["id"]: listed(r[how] for how in HOWS) for r in rows})
+        assert runs[0] == runs[1]
     for descending in (True, False):
-        ranks = [
-            {r["id"]: r["rank"] for r in rank_rows(df, "o", descending, rows_per_bucket=n).collect()} for n in (1000, 20, 3)
-        ]
-        assert ranks[0] == ranks[1] == ranks[2]
+        ranks = [{r["id"]: r["rank"] for r in rank_rows(df, "o", descending, rows_per_bucket=n).collect()} for n in (1000, 20)]
+        assert ranks[0] == ranks[1]
 
 
 def test_large_side_moves_once(spark):
