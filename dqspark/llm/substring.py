@@ -9,9 +9,10 @@ mostly share one.  A stretch of windows with one minimiser is a super-k-mer.
 2. The other stretches travel to their minimiser's bucket, each as one packed
    string of words.  There they are sorted by minimiser and document, and each
    window is looked up among those of smaller documents.
-3. Stretches of a minimiser that very many share go window by window instead,
-   keyed by the window's digest; the smallest document of each is found by an
-   aggregate that combines before the shuffle.
+3. Where very many stretches share a minimiser, equal stretches are combined
+   before the shuffle: all but the smallest document's go whole.  The windows of
+   those that are left are dealt by their own digest and sorted, so that a task
+   needs to look at the row before only.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from dqspark.llm.common import Words, grams, small_batches, steps, store
 
 WINDOW = 13
 GRAM = 3
-#: Stretches of one minimiser beyond which its windows are dealt by their own digest.
+#: Stretches of one minimiser beyond which equal ones are combined and windows dealt by their own digest.
 CROWDED = 2000
 LAST_ID = 2**63 - 1
 #: Windows of a stretch at most; texts that repeat one word would give endless ones.
@@ -83,8 +84,21 @@ def _minimisers(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _rows(out: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*out)) if out else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+
+LONG, BYTES = pa.int64(), pa.binary()
+RUNS, RUN_TYPES = ["id", "tag", "first", "count"], [LONG] * 4
+
+
+def _digest(text: bytes) -> bytes:
+    return hashlib.blake2b(text, digest_size=16).digest()
+
+
 def _pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, tag, text, wanted): the packed words of each wanted stretch, and single windows of crowded ones."""
+    """Rows (id, tag, text, wanted): the packed words of each wanted stretch; crowded ones with a digest."""
     names = ["mini", "id", "tag", "first", "packed", "digest"]
     for batch in steps(parts):
         words = Words(batch.column("text"))
@@ -94,16 +108,20 @@ def _pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = words.of_row(i)
             for w in wanted:
                 first, count = w["at"] >> 16, w["at"] & 0xFFFF
-                mine = own[first : first + count + WINDOW - 1]
-                if w["crowded"]:
-                    for k in range(count):
-                        window = b" ".join(mine[k : k + WINDOW])
-                        out.append((w["mini"], ids[i], tags[i], first + k, None, hashlib.blake2b(window, digest_size=16).digest()))
-                else:
-                    out.append((w["mini"], ids[i], tags[i], first, b" ".join(mine), None))
-        columns = list(zip(*out)) if out else [()] * 6
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+                packed = b" ".join(own[first : first + count + WINDOW - 1])
+                out.append((w["mini"], ids[i], tags[i], first, packed, _digest(packed) if w["crowded"] else None))
+        yield _rows(out, names, [LONG, LONG, LONG, LONG, BYTES, BYTES])
+
+
+def _runs(doc: int, tag: int, places: list[int]) -> list[tuple]:
+    """Rising places as (id, tag, first, count)."""
+    out: list[list[int]] = []
+    for p in places:
+        if out and out[-1][0] + out[-1][1] == p:
+            out[-1][1] += 1
+        else:
+            out.append([p, 1])
+    return [(doc, tag, first, count) for first, count in out]
 
 
 def _count_windows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,25 +134,47 @@ def _count_windows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if mini != current:
                 seen, current = {}, mini
             words = packed.split(b" ")
+            gone = []
             for k in range(len(words) - WINDOW + 1):
-                window = b" ".join(words[k : k + WINDOW])
-                if seen.setdefault(hashlib.blake2b(window, digest_size=16).digest(), doc) < doc:
-                    out.append((doc, tag, first + k))
-        columns = list(zip(*out)) if out else [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "tag", "first"])
+                if seen.setdefault(_digest(b" ".join(words[k : k + WINDOW])), doc) < doc:
+                    gone.append(first + k)
+            out += _runs(doc, tag, gone)
+        yield _rows(out, RUNS, RUN_TYPES)
+
+
+def _single_windows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in parts:
+        out: list[tuple] = []
+        for doc, tag, first, packed in zip(*(batch.column(c).to_pylist() for c in ("id", "tag", "first", "packed"))):
+            words = packed.split(b" ")
+            out += [(_digest(b" ".join(words[k : k + WINDOW])), doc, tag, first + k) for k in range(len(words) - WINDOW + 1)]
+        yield _rows(out, ["window", "id", "tag", "first"], [BYTES, LONG, LONG, LONG])
+
+
+def _later(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of (window, id): those behind the smallest id of their window."""
+    current, smallest = None, 0
+    for batch in parts:
+        out: list[tuple] = []
+        for window, doc, tag, first in zip(*(batch.column(c).to_pylist() for c in ("window", "id", "tag", "first"))):
+            if window != current:
+                current, smallest = window, doc
+            elif doc > smallest:
+                out.append((doc, tag, first, 1))
+        yield _rows(out, RUNS, RUN_TYPES)
 
 
 def _cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in steps(parts):
         words = Words(batch.column("text"))
         kept, removed = [], []
-        for i, starts in enumerate(batch.column("starts")):
+        for i, runs in enumerate(batch.column("runs")):
             n = int(words.per_row[i])
             cover = np.zeros(n + 1, np.int64)
-            if starts.is_valid and len(starts.values):
-                at = np.unique(starts.values.to_numpy())
-                np.add.at(cover, at, 1)
-                np.add.at(cover, np.minimum(at + WINDOW, n), -1)
+            if runs.is_valid and len(runs.values):
+                first, count = (runs.values.field(c).to_numpy() for c in ("first", "count"))
+                np.add.at(cover, first, 1)
+                np.add.at(cover, np.minimum(first + count + WINDOW - 1, n), -1)
             keep = np.cumsum(cover[:n]) == 0
             pieces = compress(words.of_row(i), keep)
             kept.append(b" ".join(pieces).decode("utf-8", "replace"))
@@ -167,14 +207,20 @@ def remove_repeats(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     repeated = store(repeated)
     asked = rows.select("id", "tag", "text").join(repeated.hint("shuffle_hash"), ["id", "tag"])
     packed = store(asked.select("id", "tag", "text", "wanted").mapInArrow(_pack, "mini long, id long, tag long, first long, packed binary, digest binary"))
-    plain = packed.where("packed IS NOT NULL").select("mini", "id", "tag", "first", "packed")
-    found = plain.repartition("mini").sortWithinPartitions("mini", "id").mapInArrow(_count_windows, "id long, tag long, first long")
-    single = packed.where("digest IS NOT NULL").select("digest", "id", "tag", "first")
-    smallest = single.groupBy("digest").agg(F.min("id").alias("smallest"))
-    hot = single.join(smallest, "digest").where("id > smallest").select("id", "tag", "first")
-    starts = found.unionByName(hot).groupBy("id", "tag").agg(F.collect_list("first").alias("starts"))
-    starts = store(starts)
-    joined = rows.join(starts.hint("shuffle_hash"), ["id", "tag"], "left").select("doc_id", "text", "starts")
+    runs = "id long, tag long, first long, count long"
+    plain = packed.where("digest IS NULL").select("mini", "id", "tag", "first", "packed")
+    found = plain.repartition("mini").sortWithinPartitions("mini", "id").mapInArrow(_count_windows, runs)
+    crowd = packed.where("digest IS NOT NULL").select("digest", "id", "tag", "first", "packed")
+    smallest = crowd.groupBy("digest").agg(F.min("id").alias("smallest"))
+    crowd = store(crowd.join(smallest, "digest").withColumn("again", F.col("id") > F.col("smallest")))
+    windows = F.size(F.split(F.col("packed").cast("string"), " ")) - (WINDOW - 1)
+    again = crowd.where("again").select("id", "tag", "first", windows.cast("long").alias("count"))
+    single = crowd.where("NOT again").select("id", "tag", "first", "packed")
+    single = single.mapInArrow(_single_windows, "window binary, id long, tag long, first long")
+    later = single.repartition("window").sortWithinPartitions("window", "id").mapInArrow(_later, runs)
+    gone = found.unionByName(again).unionByName(later)
+    gone = store(gone.groupBy("id", "tag").agg(F.collect_list(F.struct("first", "count")).alias("runs")))
+    joined = rows.join(gone.hint("shuffle_hash"), ["id", "tag"], "left").select("doc_id", "text", "runs")
     id_type = docs.schema["doc_id"].dataType
     return joined.mapInArrow(_cut, f"doc_id {id_type.simpleString()}, n_words long, n_removed long, kept string")
 
