@@ -24,6 +24,8 @@ from dqspark import values as V
 from dqspark.operators.columns import col
 from dqspark.operators.sample import random_order
 
+#: Bytes of vectors that may be sent to every task.
+SMALL_BYTES = 32 << 20
 SMALL_SIDE = 4096
 PIVOTS = 256
 CELL_ROWS = 20_000
@@ -75,23 +77,28 @@ def best_match(
     """For each query its most similar entry at ``min_similarity`` or above.
 
     Result: (query_key, entry_key, similarity); queries without such an entry
-    are left out.  Vectors are taken as they are, of equal length.  Scores must
+    are left out; a key with several query rows has the best match of them all.
+    Vectors are taken as they are, of equal length.  Scores must
     be positive, as the reference point of the search is 0.
     """
     q = queries.select(col(query_key).alias("q"), col(query_vector).alias("v")).where("q IS NOT NULL AND v IS NOT NULL")
     e = entries.select(col(entry_key).alias("e"), col(entry_vector).alias("v")).where("e IS NOT NULL AND v IS NOT NULL")
     types = f"q {q.schema['q'].dataType.simpleString()}, e {e.schema['e'].dataType.simpleString()}, s double"
+    # a side is small if its vectors fit the number of rows and SMALL_BYTES together
+    width = e.select(F.size("v")).first()
+    small_side = min(small_side, SMALL_BYTES // (8 * max(1, width[0] if width else 1)))
     few_entries = e.limit(small_side + 1).toPandas()
     if len(few_entries) <= small_side:
-        found = _against_entries(q, few_entries, types, min_similarity, skip_same_key)
+        parts = _against_entries(q, few_entries, types, min_similarity, skip_same_key)
     else:
         few_queries = q.limit(small_side + 1).toPandas()
         if len(few_queries) <= small_side:
             parts = _against_queries(e, few_queries, types, min_similarity, skip_same_key)
         else:
             parts = _by_cells(q, e, types, min_similarity, skip_same_key, pivots, cell_rows)
-        best = F.struct(-F.col("s"), F.col("e"))
-        found = parts.groupBy("q").agg(F.min_by(F.struct("e", "s"), best).alias("b")).select("q", "b.e", "b.s")
+    # one row per query key, whichever way was taken
+    best = F.struct(-F.col("s"), F.col("e"))
+    found = parts.groupBy("q").agg(F.min_by(F.struct("e", "s"), best).alias("b")).select("q", "b.e", "b.s")
     return found.select(
         F.col("q").alias(query_key),
         F.col("e").alias(entry_key if entry_key != query_key else f"similar_{entry_key}"),

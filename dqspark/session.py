@@ -17,8 +17,17 @@ SETTINGS = {
 }
 
 
-def get_session(master: str | None = None, app_name: str = "dqspark", **settings: str) -> SparkSession:
-    """Session with adaptive execution; ``settings`` override (dots as ``__``)."""
+def get_session(
+    master: str | None = None, app_name: str = "dqspark", shuffle_partitions: int | None = None, **settings: str
+) -> SparkSession:
+    """Session with adaptive execution; ``settings`` override (dots as ``__``).
+
+    ``shuffle_partitions`` is what shuffles begin with: about the bytes of the
+    largest shuffle over 200 MB.  Adaptive execution merges small ones, but does
+    not cut large ones except in skewed joins.
+    """
+    if shuffle_partitions is not None:
+        settings = {"spark__sql__shuffle__partitions": str(shuffle_partitions), **settings}
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)

@@ -63,3 +63,12 @@ def test_zero_and_missing_vectors(spark):
     for small in (10, 1, 0):
         got = best_match(q, e, "q", "e", "v", "v", small_side=small).collect()
         assert [tuple(r) for r in got] == [(1, 3, 1.0)]
+
+
+def test_repeated_query_keys(spark):
+    """One row per key, the same whichever side is small."""
+    e = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "e int, v array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.1]), (1, [0.0, 3.0]), (2, [1.0, 0.0])], "q int, v array<double>")
+    for small in (10, 1, 0):
+        got = best_match(q, e, "q", "e", "v", "v", small_side=small).collect()
+        assert sorted((r["q"], r["e"]) for r in got) == [(1, 2), (2, 1)]
