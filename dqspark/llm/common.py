@@ -50,7 +50,7 @@ def store(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = folder or new_folder(spark)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

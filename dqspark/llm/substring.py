@@ -69,18 +69,13 @@ def stretches(words: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.
     return rows, starts[begin] - first[rows], count, least[begin]
 
 
-def _tags(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column("tag").to_numpy(zero_copy_only=False)
-
-
 def _minimisers(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in steps(parts):
         row, first, count, least = stretches(Words(batch.column("text")))
-        ids, tags = batch.column("id").to_numpy(zero_copy_only=False), _tags(batch)
+        keys = batch.column("key").to_numpy(zero_copy_only=False)
         # one number holds the place and, in its last 16 bits, the number of windows
         yield pa.RecordBatch.from_arrays(
-            [pa.array(least.view(np.int64)), pa.array(ids[row]), pa.array(tags[row]), pa.array((first << 16) | count)],
-            names=["mini", "id", "tag", "at"],
+            [pa.array(least.view(np.int64)), pa.array(keys[row]), pa.array((first << 16) | count)], names=["mini", "key", "at"]
         )
 
 
@@ -108,6 +103,8 @@ def _pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = words.of_row(i)
             for w in wanted:
                 first, count = w["at"] >> 16, w["at"] & 0xFFFF
+                if first + count + WINDOW - 1 > len(own):  # another row's, by its key
+                    continue
                 packed = b" ".join(own[first : first + count + WINDOW - 1])
                 out.append((w["mini"], ids[i], tags[i], first, packed, _digest(packed) if w["crowded"] else None))
         yield _rows(out, names, [LONG, LONG, LONG, LONG, BYTES, BYTES])
@@ -198,14 +195,16 @@ def remove_repeats(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     rows = docs.select(
         "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64("text").alias("tag"), F.coalesce("text", F.lit("")).alias("text")
     )
-    small = rows.select("id", "tag", "text").mapInArrow(_minimisers, "mini long, id long, tag long, at long")
+    # rows that happen to share a key only have more stretches looked at
+    key = F.xxhash64("id", "tag").alias("key")
+    small = rows.select(key, "text").mapInArrow(_minimisers, "mini long, key long, at long")
     alike = Window.partitionBy("mini")
     repeated = (
         small.withColumn("n", F.count(F.lit(1)).over(alike)).where("n > 1")
-        .groupBy("id", "tag").agg(F.collect_list(F.struct("mini", "at", (F.col("n") > crowded).alias("crowded"))).alias("wanted"))
+        .groupBy("key").agg(F.collect_set(F.struct("mini", "at", (F.col("n") > crowded).alias("crowded"))).alias("wanted"))
     )
     repeated = store(repeated)
-    asked = rows.select("id", "tag", "text").join(repeated.hint("shuffle_hash"), ["id", "tag"])
+    asked = rows.select(key, "id", "tag", "text").join(repeated.hint("shuffle_hash"), "key")
     packed = store(asked.select("id", "tag", "text", "wanted").mapInArrow(_pack, "mini long, id long, tag long, first long, packed binary, digest binary"))
     runs = "id long, tag long, first long, count long"
     plain = packed.where("digest IS NULL").select("mini", "id", "tag", "first", "packed")
