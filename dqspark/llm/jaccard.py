@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from math import log
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +31,8 @@ from dqspark.llm.components import components
 SHINGLE = 5
 #: The limit as a fraction of integers, so that it is exact.
 LIMIT = (80, 100)
-BUCKETS = 1 << 20
+#: Bits of the bucket table at most (32 MB), and of the pieces it is sent in.
+MAX_BITS, PIECE_BITS = 23, 12
 TILE = 512
 BROADCAST_DOCS = 100_000
 
@@ -91,33 +91,64 @@ def _batches(function, schema: pa.Schema):
     return run
 
 
-def bucket_counts(texts: DataFrame, n: int) -> np.ndarray:
-    """Occurrences of shingles by bucket of their hash, over all documents: a table of fixed size."""
+class Frequencies:
+    """Occurrences of shingles by bucket of their hash: a table of bounded size."""
+
+    def __init__(self, bits: int, table: np.ndarray):
+        self.shift, self.table = np.uint64(64 - bits), table
+
+    def of(self, values: np.ndarray) -> np.ndarray:
+        return self.table[(values >> self.shift).astype(np.int64)]
+
+
+def bucket_counts(texts: DataFrame, n: int, shingles: int) -> Frequencies:
+    """Counts over all documents, in about a bucket for every 32 of the ``shingles``, 2^23 at most.
+
+    Every task sends its table in pieces, a byte a bucket and what is above 255
+    apart; a piece is summed row by row, whatever the number of tasks.
+    """
+    bits = min(MAX_BITS, max(PIECE_BITS, (shingles // 32).bit_length()))
+    pieces, width = 1 << (bits - PIECE_BITS), 1 << PIECE_BITS
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros(pieces * width, np.uint32)
         for batch in steps(parts):
             values, _ = shingle_sets(Words(batch.column("text")), n)
-            total += np.bincount((values >> np.uint64(44)).astype(np.int64), minlength=BUCKETS)
-        some = np.flatnonzero(total)
-        for i in range(0, len(some), 1 << 16):
-            part = some[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["bucket", "n"])
-
-    rows = texts.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+            places, times = np.unique((values >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+            total[places] += times.astype(np.uint32)
+        table = total.reshape(pieces, width)
+        low = np.minimum(table, 255).astype(np.uint8)
+        high = table - low
+        for layer in (low, high):
+            some = np.flatnonzero(layer.any(1))
+            for i in range(0, len(some), 512):
+                part = some[i : i + 512]
+                data = pa.array([layer[j].tobytes() for j in part], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), data], names=["piece", "data"])
+
+    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, total = None, np.zeros(width, np.int64)
+
+        def row() -> pa.RecordBatch:
+            data = pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), data], names=["piece", "data"])
 
-    def pack(part: pd.DataFrame) -> pd.DataFrame:
-        """One dense piece of the table; the driver gets few rows of bytes."""
-        piece = int(part["bucket"].iloc[0]) >> 12
-        out = np.zeros(1 << 12, np.int32)
-        out[part["bucket"].to_numpy() & 0xFFF] = np.minimum(part["n"].to_numpy(), 2**31 - 1)
-        return pd.DataFrame({"piece": [piece], "data": [out.tobytes()]})
-
-    pieces = rows.groupBy(F.shiftright("bucket", 12).alias("piece")).applyInPandas(pack, "piece int, data binary")
-    out = np.zeros((BUCKETS >> 12, 1 << 12), np.int32)
-    for r in pieces.collect():
-        out[r["piece"]] = np.frombuffer(r["data"], np.int32)
-    return out.reshape(-1)
+        for batch in parts:
+            for piece, data in zip(batch.column("piece").to_pylist(), batch.column("data")):
+                if piece != current:
+                    if current is not None:
+                        yield row()
+                    current, total = piece, np.zeros(width, np.int64)
+                data = data.as_buffer()
+                total += np.frombuffer(data, np.uint8 if data.size == width else np.uint32)
+        if current is not None:
+            yield row()
+
+    sent = texts.mapInArrow(count, "piece int, data binary").repartition("piece").sortWithinPartitions("piece")
+    table = np.zeros((pieces, width), np.int32)
+    for r in sent.mapInArrow(add, "piece int, data binary").collect():  # 32 MB at most
+        table[r["piece"]] = np.frombuffer(r["data"], np.int32)
+    return Frequencies(bits, table.reshape(-1))
 
 
 def _find_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, limit: tuple[int, int]) -> Iterator[tuple[int, np.ndarray]]:
@@ -254,12 +285,13 @@ def similar_documents(docs: DataFrame, n: int = SHINGLE, limit: tuple[int, int]
     nodes = one.where("n_shingles > 0").groupBy("node").agg(
         F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n")
     )
-    counts = spark.sparkContext.broadcast(bucket_counts(texts, n))
+    shingles = one.agg(F.sum("n_shingles")).first()[0] or 0
+    counts = spark.sparkContext.broadcast(bucket_counts(texts, n, shingles))
 
     def offer(batch: pa.RecordBatch, words: Words) -> list[pa.Array]:
         values, sizes = shingle_sets(words, n)
         row = np.repeat(np.arange(len(sizes)), sizes)
-        order = np.lexsort((values, counts.value[(values >> np.uint64(44)).astype(np.int64)], row))
+        order = np.lexsort((values, counts.value.of(values), row))
         place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         nodes = _nodes(values, sizes)
         once = np.zeros(len(nodes), bool)
