@@ -11,6 +11,7 @@ path together, then the longer host) decides.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -68,11 +69,31 @@ def sweep(urls: list[tuple[str, str]], rules: list[tuple[str, str, str, str]]) -
     return out
 
 
+def _order(key: str) -> bytes:
+    """Keys compare as Spark compares them."""
+    return key.encode("utf-8", "surrogatepass")
+
+
+def _to_partitions(parts: Iterator[pd.DataFrame], bounds: list[tuple[bytes, bytes, int]]) -> Iterator[pd.DataFrame]:
+    """A copy of each rule for every partition that its interval of keys meets; these lie side by side."""
+    highs = [high for _, high, _ in bounds]
+    for p in parts:
+        at, part = [], []
+        for i, key in enumerate(p["key"]):
+            key = _order(key)
+            j = bisect_left(highs, key)
+            while j < len(bounds) and (bounds[j][0] <= key or bounds[j][0].startswith(key)):
+                at.append(i)
+                part.append(bounds[j][2])
+                j += 1
+        yield p.iloc[at].assign(rule_part=part)[["rule_part", "key", "path", "host", "verdict"]].astype({"rule_part": "int32"})
+
+
 def _sweep_part(key: tuple, urls: Iterator[pd.DataFrame], rules: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held = [r for chunk in rules for r in zip(chunk["key"], chunk["path"], chunk["host"], chunk["verdict"])]
-    held.sort(key=lambda r: (r[0].encode("utf-8", "surrogatepass"), r[1]))
+    held.sort(key=lambda r: (_order(r[0]), r[1]))
     for chunk in urls:
-        chunk = chunk.assign(order=[k.encode("utf-8", "surrogatepass") for k in chunk["key"]]).sort_values("order", kind="stable")
+        chunk = chunk.assign(order=[_order(k) for k in chunk["key"]]).sort_values("order", kind="stable")
         found = sweep(list(zip(chunk["key"], chunk["path"])), held)
         yield pd.DataFrame(
             {
@@ -109,13 +130,12 @@ def filter_urls(
         parts = max(1, min(MAX_PARTS, (pages.select(F.lit(1)).count() + rules.count()) // PART_ROWS + 1))
     cut = urls.repartitionByRange(parts, "key", F.xxhash64("row_id", "path")).withColumn("part", F.spark_partition_id())
     cut = store(cut)
-    bounds = cut.groupBy(F.col("part").alias("rule_part")).agg(F.min("key").alias("low"), F.max("key").alias("high")).where("high <> ''")
-    # a rule meets a partition if its interval [key, key + last letter) does; a row per partition, so it is bounded
-    bounds = F.broadcast(bounds.limit(MAX_PARTS * 4))
-    start = F.col("rule_key")
-    meets = (F.col("high") >= start) & ((F.col("low") <= start) | F.col("low").startswith(start))
-    copies = rules.withColumnRenamed("key", "rule_key").join(bounds, meets)
-    copies = copies.select("rule_part", F.col("rule_key").alias("key"), "path", "host", "verdict")
+    # a row per partition of the sweep, MAX_PARTS at most
+    bounds = cut.groupBy("part").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("high <> ''").collect()
+    bounds = sorted((_order(r["low"]), _order(r["high"]), r["part"]) for r in bounds)
+    copies = rules.select("key", "path", "host", "verdict").mapInPandas(
+        lambda parts: _to_partitions(parts, bounds), "rule_part int, key string, path string, host string, verdict string"
+    )
     judged = (
         cut.groupBy("part").cogroup(copies.groupBy("rule_part"))
         .applyInPandas(lambda k, a, b: next(_sweep_part(k, iter([a]), iter([b]))), f"row_id {cut.schema['row_id'].dataType.simpleString()}, host string, path string, rule string, verdict string")
