@@ -42,6 +42,26 @@ def _common_keys(left: DataFrame, right: DataFrame, left_key: str, right_key: st
     return left, right
 
 
+EXACT_LEFT, EXACT_RIGHT = "__exact_left", "__exact_right"
+
+
+def _exact_keys(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> tuple[Column, Column] | None:
+    """Digits of both keys where one is a bigint and the other a fraction, else nothing."""
+    a, b = left.schema[left_key].dataType, right.schema[right_key].dataType
+    fractions = [isinstance(t, (T.DoubleType, T.FloatType)) for t in (a, b)]
+    if not (any(fractions) and any(isinstance(t, T.LongType) for t in (a, b))):
+        return None
+
+    def digits(c: Column, fraction: bool) -> Column:
+        if not fraction:
+            return c.cast("string")
+        number = F.nanvl(c.cast("double"), F.lit(None).cast("double"))
+        whole = (number == F.floor(number)) & (number >= -(2.0**63)) & (number < 2.0**63)
+        return F.when(whole, number.try_cast("bigint").cast("string")).otherwise(number.cast("string"))
+
+    return digits(col(left_key), fractions[0]), digits(col(right_key), fractions[1])
+
+
 def _secondary_names(left: DataFrame, names: Sequence[str], table: str) -> dict[str, str]:
     """Names of the secondary columns; a clash gets the table's name behind it."""
     taken, result = set(left.columns), {}
@@ -66,14 +86,20 @@ def join_tables(left: DataFrame, right: DataFrame, spec: JoinSpec) -> DataFrame:
     if chosen is None:
         chosen = [c for c in right.columns if c != spec.secondary_key]
     right = right.select(*[col(c) for c in dict.fromkeys([spec.secondary_key, *chosen])])
+    exact = _exact_keys(left, right, spec.primary_key, spec.secondary_key)
+    if exact:  # a number as double does not tell large whole numbers apart: join by their digits
+        left, right = left.withColumn(EXACT_LEFT, exact[0]), right.withColumn(EXACT_RIGHT, exact[1])
     left, right = _common_keys(left, right, spec.primary_key, spec.secondary_key)
     one_key = spec.primary_key == spec.secondary_key
-    names = _secondary_names(left, [c for c in right.columns if not (one_key and c == spec.secondary_key)],
+    names = _secondary_names(left, [c for c in right.columns if c != EXACT_RIGHT and not (one_key and c == spec.secondary_key)],
                              spec.secondary_table)
     right_key = "__right_key" if one_key else names[spec.secondary_key]
     right = right.withColumnsRenamed({**names, **({spec.secondary_key: right_key} if one_key else {})})
 
-    joined = _null_safe_join(left, right, spec.primary_key, right_key, spec.join_type)
+    if exact:
+        joined = _null_safe_join(left, right, EXACT_LEFT, EXACT_RIGHT, spec.join_type).drop(EXACT_LEFT, EXACT_RIGHT)
+    else:
+        joined = _null_safe_join(left, right, spec.primary_key, right_key, spec.join_type)
     if one_key:
         key = F.coalesce(col(spec.primary_key), col(right_key))
         joined = joined.withColumn(spec.primary_key, key).drop(right_key)

@@ -154,3 +154,16 @@ def join_steps(spark, sf_dir):
     ]
     rows = reduce(DataFrame.unionByName, counts)
     return join_summary(spark, "orders", CHAIN).join(rows, "step").select("step", "description", "n_rows")
+
+
+@query("""
+WITH a AS (SELECT o_orderkey, 9007199254740992 + o_orderkey % 7 AS big FROM orders),
+b AS (SELECT CAST(9007199254740992 + 2 * n_nationkey AS DOUBLE) AS big, n_name FROM nation WHERE n_nationkey < 3)
+SELECT o_orderkey, n_name FROM a LEFT JOIN b ON a.big = CAST(b.big AS BIGINT)
+""")
+def join_big_keys(spark, sf_dir):
+    """Whole numbers that share a double do not meet."""
+    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "9007199254740992L + o_orderkey % 7 AS big")
+    nations = table(spark, sf_dir, "nation").where("n_nationkey < 3")
+    nations = nations.selectExpr("CAST(9007199254740992L + 2 * n_nationkey AS DOUBLE) AS big", "n_name")
+    return join_tables(orders, nations, JoinSpec("nation", "big", "big")).select("o_orderkey", "n_name")
