@@ -8,11 +8,13 @@
    Neighbours in size that share such a shingle are chained; the components of
    the chains hold every linked pair.
 3. A component is cut into bands of size (ratio 1 / t) and tiles of bounded
-   length.  Tiles of one band or of neighbouring bands meet.  In a pair of tiles
-   every set has a bitmap of hashed shingles, as wide as its band asks for: bits
-   of one that the other lacks bound the overlap from above.  Pairs that pass are
+   length; tiles of one band or of neighbouring bands meet.  First only bitmaps of
+   hashed shingles travel, as wide as the set's size asks for: bits of one that
+   the other lacks bound the overlap from above.  Pairs that pass leave a
+   spanning forest, whose components are the groups of the next step.
+4. The sets of these groups are dealt to tiles in the same way and pairs are
    intersected exactly, sorted array against sorted array.
-No pair leaves a tile: only how many links a document has and a spanning forest.
+No pair leaves a tile: only how many links a document has and spanning forests.
 """
 
 from __future__ import annotations
@@ -75,6 +77,16 @@ def _nodes(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def signatures(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A bitmap of each row's shingle hashes, the power of two of bits that is at least their number (64 at least)."""
+    width = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+    ends = np.cumsum(width)
+    bits = np.zeros(int(ends[-1]) if len(ends) else 0, bool)
+    place = (values & np.repeat(width - 1, sizes).astype(np.uint64)).astype(np.int64)
+    bits[np.repeat(ends - width, sizes) + place] = True
+    return binary_array(np.packbits(bits, bitorder="little"), ends // 8)
+
+
 def _prefix(sizes: np.ndarray, limit: tuple[int, int]) -> np.ndarray:
     """How many of the first shingles a set must offer."""
     need = -(-sizes * limit[0] // limit[1])
@@ -228,7 +240,50 @@ def _tile(rows: list[tuple], limit: tuple[int, int]) -> list[tuple[int, int, int
     return [(nodes[i], nodes[union.root(i)], int(links[i])) for i in range(len(rows))]
 
 
-def _tiles(limit: tuple[int, int]):
+def _fold(bits: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap of fewer bits: places are counted modulo the width."""
+    return np.bitwise_or.reduce(bits.reshape(-1, words), 0)
+
+
+def _bound_tile(rows: list[tuple], limit: tuple[int, int]) -> list[tuple[int, int]]:
+    """(node, root) of the pairs whose bitmaps allow a link; rows are (side, node, n, bitmap)."""
+    low, high = limit
+    side = np.array([r[0] for r in rows])
+    size = np.array([r[2] for r in rows], np.int64)
+    bits = [np.frombuffer(r[3], np.uint64) for r in rows]
+    words = np.array([len(b) for b in bits])
+    at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for w in np.unique(words).tolist():
+        wide = np.flatnonzero(words >= w)
+        place = np.full(len(rows), -1)
+        place[wide] = np.arange(len(wide))
+        at[w] = place, np.stack([_fold(bits[j], w) for j in wide])
+    right = np.flatnonzero(side != 0)
+    right = right[np.argsort(size[right], kind="stable")]
+    sizes = size[right]
+    union = _Union(len(rows))
+    for i in np.flatnonzero(side != 1).tolist():
+        n = int(size[i])
+        a = np.searchsorted(sizes, -(-n * low // high), "left")
+        b = np.searchsorted(sizes, n * high // low, "right")
+        near = right[a:b]
+        near = near[near != i]
+        common = np.minimum(words[near], words[i])
+        for w in np.unique(common).tolist():
+            some = near[common == w]
+            place, table = at[w]
+            own, others = table[place[i]], table[place[some]]
+            m = size[some]
+            need = -(-(n + m) * low // (low + high))
+            mine = np.bitwise_count(own & ~others).sum(1).astype(np.int64)
+            theirs = np.bitwise_count(others & ~own).sum(1).astype(np.int64)
+            for j in some[np.minimum(n - mine, m - theirs) >= need].tolist():
+                union.join(i, j)
+    nodes = [r[1] for r in rows]
+    return [(nodes[i], nodes[r]) for i in range(len(rows)) if (r := union.root(i)) != i]
+
+
+def _in_tiles(work, limit: tuple[int, int], inputs: list[str], outputs: list[str]):
     """Rows sorted by tile pair come in; a pair is worked on when its last row was seen."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,27 +292,72 @@ def _tiles(limit: tuple[int, int]):
         done: list[tuple] = []
 
         def batch(rows):
-            columns = list(zip(*rows)) if rows else [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["node", "root", "links"])
+            columns = list(zip(*rows)) if rows else [()] * len(outputs)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=outputs)
 
         for part in parts:
-            columns = [part.column(c).to_pylist() for c in ("tile", "side", "node", "copies", "hashes")]
+            columns = [part.column(c).to_pylist() for c in ("tile", *inputs)]
             for tile, *row in zip(*columns):
                 if tile != name:
                     if len(held) > 1:
-                        done += _tile(held, limit)
+                        done += work(held, limit)
                     held, name = [], tile
                 held.append(tuple(row))
             if len(done) > 10_000:
                 yield batch(done)
                 done = []
         if len(held) > 1:
-            done += _tile(held, limit)
+            done += work(held, limit)
         yield batch(done)
 
     return run
 
 
+def _deal(members: DataFrame, limit: tuple[int, int], tile: int) -> DataFrame:
+    """(node, tiles): the pairs of tiles in which each of ``members`` (node, root, n) stands, with its side.
+
+    A group that fits one tile is one; a larger one is cut by bands of size and
+    each band by a hash, so that no step needs a group's rows in one place.
+    """
+    low, high = limit
+    lit = F.lit
+    ratio = log(high / low) * (1 + 1e-9)  # a little wider: rounding must not set partners two bands apart
+    band = F.floor(F.log(F.col("n").cast("double")) / lit(ratio)).cast("int")
+    sizes = members.groupBy("root").agg(F.count(lit(1)).alias("in_group"))
+    placed = members.join(sizes, "root").withColumn("band", F.when(F.col("in_group") > tile, band).otherwise(lit(0)))
+    crowd = store(placed.groupBy("root", "band").agg(F.ceil(F.count(lit(1)) / lit(tile)).cast("int").alias("tiles")))
+    above = crowd.select("root", (F.col("band") - 1).alias("band"), F.col("tiles").alias("tiles_above"))
+    below = crowd.select("root", (F.col("band") + 1).alias("band"), F.col("tiles").alias("tiles_below"))
+    placed = placed.join(crowd, ["root", "band"]).join(above, ["root", "band"], "left").join(below, ["root", "band"], "left")
+    placed = placed.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+
+    def entry(side, *parts):
+        return F.struct(F.concat_ws(":", "root", *parts).alias("tile"), side.alias("side"))
+
+    def each(count: str, make):
+        n = F.coalesce(F.col(count), lit(0))
+        none = F.array().cast("array<struct<tile:string,side:int>>")
+        return F.when(n > 0, F.transform(F.sequence(lit(0), n - 1), make)).otherwise(none)
+
+    own = F.array(entry(lit(2), F.col("band"), F.col("salt")))
+    others = F.filter(F.sequence(lit(0), F.col("tiles") - 1), lambda s: s != F.col("salt"))
+    same = F.transform(
+        others,
+        lambda s: entry(F.when(F.col("salt") < s, 0).otherwise(1), F.col("band"), F.least("salt", s), F.greatest("salt", s), lit("same")),
+    )
+    up = each("tiles_above", lambda s: entry(lit(0), F.col("band"), F.col("salt"), s, lit("up")))
+    down = each("tiles_below", lambda s: entry(lit(1), F.col("band") - 1, s, F.col("salt"), lit("up")))
+    return store(placed.select("node", F.concat(own, same, up, down).alias("tiles")))
+
+
+def _meet(payload: DataFrame, dealt: DataFrame, work, limit: tuple[int, int], inputs: list[str], outputs: list[str]) -> DataFrame:
+    """Work on every pair of tiles; ``payload`` has a node's columns."""
+    rows = payload.join(dealt, "node").select(*payload.columns, F.explode("tiles").alias("t"))
+    rows = rows.select("t.tile", "t.side", *payload.columns).repartition("tile").sortWithinPartitions("tile")
+    run = _in_tiles(work, limit, ["side", *inputs], outputs)
+    return store(rows.mapInArrow(run, ", ".join(f"{c} long" for c in outputs)))
+
+
 def similar_documents(docs: DataFrame, n: int = SHINGLE, limit: tuple[int, int] = LIMIT, tile: int = TILE) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links for every document row.
 
@@ -275,16 +375,17 @@ def similar_documents(docs: DataFrame, n: int = SHINGLE, limit: tuple[int, int]
 
     def name(batch: pa.RecordBatch, words: Words) -> list[pa.Array]:
         values, sizes = shingle_sets(words, n)
-        return [batch.column("doc_id"), pa.array(_nodes(values, sizes)), pa.array(sizes.astype(np.int64))]
+        return [batch.column("doc_id"), pa.array(_nodes(values, sizes)), pa.array(sizes.astype(np.int64)), signatures(values, sizes)]
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     one = docs.select("doc_id", "text").mapInArrow(
-        _named(name, ["doc_id", "node", "n_shingles"]), f"doc_id {id_type}, node long, n_shingles long"
+        _named(name, ["doc_id", "node", "n_shingles", "bits"]), f"doc_id {id_type}, node long, n_shingles long, bits binary"
     )
     one = store(one)
     nodes = one.where("n_shingles > 0").groupBy("node").agg(
         F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n")
     )
+    nodes = store(nodes)
     shingles = one.agg(F.sum("n_shingles")).first()[0] or 0
     counts = spark.sparkContext.broadcast(bucket_counts(texts, n, shingles))
 
@@ -306,50 +407,28 @@ def similar_documents(docs: DataFrame, n: int = SHINGLE, limit: tuple[int, int]
     keys = texts.mapInArrow(_named(offer, ["key", "node", "n"]), "key long, node long, n int")
     chains = keys.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_chain(limit), "a long, b long")
     groups = components(chains)
-    members = store(groups.join(nodes, "node").select("node", "root", "copies", "n", "first_id"))
-    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("in_group"))
-    ratio = log(high / low) * (1 + 1e-9)  # a little wider: rounding must not set partners two bands apart
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(ratio)).cast("int")
-    placed = members.join(sizes, "root").withColumn("band", F.when(F.col("in_group") > tile, band).otherwise(F.lit(0)))
-    crowd = placed.groupBy("root", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("tiles"))
-    crowd = store(crowd)
-    above = crowd.select("root", (F.col("band") - 1).alias("band"), F.col("tiles").alias("tiles_above"))
-    below = crowd.select("root", (F.col("band") + 1).alias("band"), F.col("tiles").alias("tiles_below"))
-    placed = placed.join(crowd, ["root", "band"]).join(above, ["root", "band"], "left").join(below, ["root", "band"], "left")
-    placed = placed.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    lit = F.lit
-    row_no = lambda c: F.coalesce(F.col(c), lit(0))
-    own = F.array(F.struct(F.concat_ws(":", "root", "band", "salt").alias("tile"), lit(2).alias("side")))
-    pairs = lambda n_, entry: F.when(n_ > 0, F.transform(F.sequence(lit(0), n_ - 1), entry)).otherwise(F.array().cast("array<struct<tile:string,side:int>>"))
-    same = F.transform(
-        F.filter(F.sequence(lit(0), F.col("tiles") - 1), lambda s: s != F.col("salt")),
-        lambda s: F.struct(
-            F.concat_ws(":", "root", "band", F.least("salt", s), F.greatest("salt", s), lit("same")).alias("tile"),
-            F.when(F.col("salt") < s, 0).otherwise(1).alias("side"),
-        ),
-    )
-    up = pairs(row_no("tiles_above"), lambda s: F.struct(F.concat_ws(":", "root", "band", "salt", s, lit("up")).alias("tile"), lit(0).alias("side")))
-    down = pairs(row_no("tiles_below"), lambda s: F.struct(F.concat_ws(":", "root", F.col("band") - 1, s, "salt", lit("up")).alias("tile"), lit(1).alias("side")))
-    wanted = store(placed.select("node", "copies", "first_id", F.concat(own, same, up, down).alias("tiles")))
+    facts = nodes.select("node", "n", "copies")
+    bitmaps = one.join(groups.select("node"), "node").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
+    dealt = _deal(groups.join(facts, "node").select("node", "root", "n"), limit, tile)
+    near = components(_meet(bitmaps, dealt, _bound_tile, limit, ["node", "n", "bits"], ["a", "b"]))
 
-    # the sets of the members alone are made again from one row of each
-    chosen = wanted.select("node", "copies", "tiles")
-    size = chosen.count()
+    # the sets of the members alone are made again, from one row of each
+    dealt = _deal(near.join(facts, "node").select("node", "root", "n"), limit, tile)
+    chosen = dealt.select("node").join(facts.select("node", "copies"), "node")
 
     def sets(batch: pa.RecordBatch, words: Words) -> list[pa.Array]:
         values, sizes = shingle_sets(words, n)
         return [pa.array(_nodes(values, sizes)), binary_array(values.view(np.uint8), np.cumsum(sizes) * 8)]
 
-    first = store(one.join(wanted.select("node"), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
-    held = first.select("doc_id")
-    held = F.broadcast(held) if size <= BROADCAST_DOCS else held
-    source = docs.select("doc_id", "text").join(held, "doc_id", "left_semi") if _ids_whole(first) else docs.select("doc_id", "text")
+    first = store(dealt.select("node").join(nodes.select("node", "first_id"), "node"))
+    held = first.select(F.col("first_id").alias("doc_id"))
+    held = F.broadcast(held) if first.count() <= BROADCAST_DOCS else held.hint("shuffle_hash")
+    source = docs.select("doc_id", "text")
+    if first.where("first_id IS NULL").isEmpty():  # texts of rows without an id are not found by it
+        source = source.join(held, "doc_id", "left_semi")
     payload = source.select("text").mapInArrow(_named(sets, ["node", "hashes"]), "node long, hashes binary")
-    rows = payload.join(chosen, "node").select("node", "copies", "hashes", F.explode("tiles").alias("t"))
-    rows = rows.select("t.tile", "t.side", "node", "copies", "hashes")
-    compared = store(
-        rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(limit), "node long, root long, links long")
-    )
+    payload = payload.join(chosen, "node").select("node", "copies", "hashes")
+    compared = _meet(payload, dealt, _tile, limit, ["node", "copies", "hashes"], ["node", "root", "links"])
     joined = components(compared.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = compared.groupBy("node").agg(F.sum("links").alias("links"))
     facts = nodes.join(joined, "node", "left").join(links, "node", "left")
@@ -363,11 +442,6 @@ def similar_documents(docs: DataFrame, n: int = SHINGLE, limit: tuple[int, int]
     )
 
 
-def _ids_whole(first: DataFrame) -> bool:
-    """Whether every node is found by an id (rows without id are not)."""
-    return first.where("doc_id IS NULL").isEmpty()
-
-
 def _named(function, names: list[str]):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(parts):
