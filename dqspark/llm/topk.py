@@ -89,7 +89,6 @@ def _bounds(space: Space, rings: pd.DataFrame, queries: np.ndarray) -> np.ndarra
 
 def build_index(vectors: DataFrame, width: int, space: Space, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Stored blocks (ring, pivot, lo, hi, ids, data): every vector is in one."""
-    from pyspark.sql.types import LongType  # noqa: F401
 
     def keyed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
