@@ -1,11 +1,13 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
 
-Units are classes of characters, the order is 4: the count table is bounded, so
-it is summed by cell over the cluster (continuation counts follow from it) and
-looked up where the texts are.  Word n-grams would send a row per word of the
-corpus through a join, several times the input on disk.  Perplexities of trusted
-documents give each language its limit, a quantile; other documents of the
-language are kept up to it.
+Units are words, the order is 2.  Pairs of words of the trusted texts are counted
+by a group-by; the tables of pairs and words grow with the corpus and stay
+distributed.  Documents are dealt to shards; the distinct words and pairs of a
+shard are joined to the tables, and what was found comes back to the shard, where
+it is summed per document.  Below the words lies a model of characters (40
+classes of bytes, order 4), which spells words that no trusted text holds.
+Perplexities are per byte.  Those of trusted documents give each language its
+limit, a quantile; other documents of the language are kept up to it.
 """
 
 from __future__ import annotations
@@ -14,11 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dqspark.llm.charmodel import codes, count_cells, dense, kneser_ney, padded, raw
-from dqspark.llm.common import small_batches, steps, store
+from dqspark.llm.common import Words, mix, small_batches, steps, store
 
 ORDER = 4
 CLASSES = 40
@@ -27,6 +29,11 @@ QUANTILE = 0.995
 #: Fineness of the histogram the quantiles are read from, in nats.
 STEP = 0.001
 BROADCAST_IDS = 500_000
+#: Bytes of text in a shard, about.
+SHARD_BYTES = 8_000_000
+
+_BEGIN = np.uint64(0x5851F42D4C957F2D)
+_TURN = np.uint64(0xD1342543DE82EF95)
 
 
 def _table() -> np.ndarray:
@@ -50,26 +57,121 @@ def train(trusted: DataFrame, order: int = ORDER) -> np.ndarray:
     return (-np.log(kneser_ney(counts, order, CLASSES))).astype(np.float32)
 
 
-def score(docs: DataFrame, model: np.ndarray, order: int = ORDER) -> DataFrame:
-    """(doc_id, lang, nats) of every row: mean negative log probability of a byte, null without text."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def _pairs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every word the hash of the one before it, its own, and that of both; texts begin behind a mark."""
+    own = words.hashes()
+    before = np.concatenate(([_BEGIN], own[:-1])) if len(own) else own
+    before[words.row_first[:-1][words.per_row > 0]] = _BEGIN
+    return before, own, mix(before * _TURN + own)
+
+
+def count_pairs(texts: DataFrame) -> DataFrame:
+    """(context, word, gram, n) of every pair of words of ``texts`` (text) that occurs."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(parts):
+            before, own, both = _pairs(Words(batch.column("text")))
+            _, at, n = np.unique(both, return_index=True, return_counts=True)
+            hashes = [pa.array(x[at].view(np.int64)) for x in (before, own, both)]
+            yield pa.RecordBatch.from_arrays([*hashes, pa.array(n, pa.int64())], names=["context", "word", "gram", "n"])
+
+    found = texts.select("text").mapInArrow(run, "context long, word long, gram long, n long")
+    return found.groupBy("gram").agg(F.first("context").alias("context"), F.first("word").alias("word"), F.sum("n").alias("n"))
+
+
+def _discount(counts: DataFrame) -> Column:
+    """The three discounts of modified Kneser-Ney for a column ``n``, from the counts of counts."""
+    few = {r["n"]: float(r["count"]) for r in counts.where("n <= 4").groupBy("n").count().collect()}
+    n = [few.get(i, 0.0) for i in range(1, 5)]
+    y = n[0] / (n[0] + 2 * n[1]) if n[0] + n[1] else 0.5
+    off = [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.0), float(i)) if n[i - 1] else 0.5 for i in range(1, 4)]
+    return F.when(F.col("n") == 1, off[0]).when(F.col("n") == 2, off[1]).otherwise(off[2])
+
+
+def facts_of(pairs: DataFrame) -> tuple[DataFrame, float]:
+    """(gram, part, total, spare) of every pair and word, and the share left to the model of characters.
+
+    A pair's ``part`` is its count less the discount.  A word's is its share by
+    distinct words before it; ``total`` and ``spare`` are what it counts as a
+    context and the share it leaves to the words alone.
+    """
+    off = _discount(pairs)
+    none = F.lit(None).cast("double")
+    own = pairs.select("gram", (F.col("n") - off).alias("part"), none.alias("total"), none.alias("spare"))
+    contexts = pairs.groupBy(F.col("context").alias("gram")).agg(F.sum("n").cast("double").alias("total"), F.sum(off).alias("off"))
+    words = store(pairs.groupBy(F.col("word").alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+    low = _discount(words)
+    sums = words.agg(F.sum("n").alias("n"), F.sum(low).alias("off")).first()
+    if not sums["n"]:
+        return own, 1.0
+    both = words.join(contexts, "gram", "full").select(
+        "gram", F.coalesce((F.col("n") - low) / float(sums["n"]), F.lit(0.0)).alias("part"), "total", (F.col("off") / F.col("total")).alias("spare")
+    )
+    return own.unionByName(both), sums["off"] / sums["n"]
+
+
+def score(docs: DataFrame, model: np.ndarray, pairs: DataFrame, order: int = ORDER, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(doc_id, lang, nats) of every row: mean negative log probability of a byte, null without text."""
+    facts, rest = facts_of(pairs)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-size // shard_bytes))
+    dealt = docs.select("doc_id", "lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).alias("shard"))
+
+    def ask(table: pa.Table) -> pa.Table:
+        found = [np.zeros(0, np.uint64)]
+        for batch in steps(iter(table.to_batches())):
+            before, own, both = _pairs(Words(batch.column("text")))
+            found.append(np.unique(np.concatenate((before, own, both))))
+        grams = np.unique(np.concatenate(found))
+        shard = np.full(len(grams), table["shard"][0].as_py(), np.int64)
+        return pa.table({"shard": shard, "gram": grams.view(np.int64)})
+
+    def answer(table: pa.Table, known: pa.Table) -> pa.Table:
+        grams = known["gram"].to_numpy()
+        by_gram = np.argsort(grams)
+        grams = grams[by_gram]
+        # the row behind the last one is that of all that was not found
+        part, total, spare = (np.append(known[c].to_numpy()[by_gram], np.nan) for c in ("part", "total", "spare"))
+        part = np.nan_to_num(part)
+
+        def place(x: np.ndarray) -> np.ndarray:
+            x = x.view(np.int64)
+            at = np.searchsorted(grams, x)
+            return np.where(np.append(grams, 0)[at] == x, at, len(grams)) if len(grams) else np.zeros(len(x), np.int64)
+
+        rows = [pa.table({"doc_id": table["doc_id"][:0], "lang": table["lang"][:0], "nats": pa.array([], pa.float64())})]
+        for batch in steps(iter(table.to_batches())):
             data, bounds = raw(batch.column("text"))
             classes, begin = padded(data, bounds, TABLE, order - 1)
             cost = sent.value[codes(classes, order, CLASSES)].astype(np.float64)
             upto = np.concatenate(([0.0], np.cumsum(cost)))
+            shift = np.repeat(begin - bounds[:-1] - (order - 1), np.diff(bounds))
+            words = Words(batch.column("text"))
+            row = words.row()
+            nats = upto[begin - (order - 1) + np.diff(bounds)] - upto[begin - (order - 1)]
+            if len(row):
+                # a word is spelled from the end of the one before it
+                start = np.where(np.append([-1], row[:-1]) == row, np.append([0], words.end[:-1]), words.bounds[row])
+                last = words.end - 1
+                spelled = upto[last + shift[last] + 1] - upto[start + shift[start]]
+                before, own, both = _pairs(words)
+                context = place(before)
+                alone = part[place(own)] + rest * np.exp(-spelled)
+                sure = np.isnan(total[context])
+                p = np.where(sure, alone, part[place(both)] / np.where(sure, 1.0, total[context]) + np.where(sure, 1.0, spare[context]) * alone)
+                # where p is too small for a number the spelling itself is left
+                better = np.where(p > 0, -np.log(np.where(p > 0, p, 1.0)), spelled)
+                nats = nats + np.bincount(row, better - spelled, len(nats))
             size = np.diff(bounds)
-            first = begin - (order - 1)
-            total = upto[first + size] - upto[first]
-            mean = np.divide(total, size, out=np.full(len(size), np.nan), where=size > 0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("lang"), pa.array(mean, from_pandas=True)], names=["doc_id", "lang", "nats"]
-            )
+            mean = np.divide(nats, size, out=np.full(len(size), np.nan), where=size > 0)
+            rows.append(pa.table({"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "nats": pa.array(mean, from_pandas=True)}))
+        return pa.concat_tables(rows)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "lang", "text").mapInArrow(run, f"doc_id {kind}, lang string, nats double")
+    asked = dealt.groupBy("shard").applyInArrow(ask, "shard long, gram long")
+    known = asked.join(facts, "gram").select("shard", "gram", "part", "total", "spare")
+    return dealt.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, f"doc_id {kind}, lang string, nats double")
 
 
 def limits(scored: DataFrame, quantile: float) -> DataFrame:
@@ -95,8 +197,9 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     docs = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
     ids = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
     held = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
-    model = train(docs.join(held, "doc_id", "left_semi"))
-    scored = store(score(docs, model).withColumn("lang_key", F.coalesce("lang", F.lit("\x00"))))
+    trusted = docs.join(held, "doc_id", "left_semi")
+    model = train(trusted)
+    scored = store(score(docs, model, store(count_pairs(trusted))).withColumn("lang_key", F.coalesce("lang", F.lit("\x00"))))
     good = scored.join(held, "doc_id", "left_semi").select(F.col("lang_key").alias("lang"), "nats")
     # a row per language
     per_lang = limits(good, quantile).withColumnRenamed("lang", "lang_key")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import collections
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -67,6 +70,53 @@ def test_quality_odd_rows(spark):
     assert len(free) == 6 and all(r["keep"] == (r["perplexity"] is not None) for r in free)
 
 
+def plain_nats(text, trusted, model):
+    """Nats of a byte by the formula, word for word; the model of characters spells what is left."""
+    def spelled(upto, a, b):
+        classes = [0, 0, 0, *quality.TABLE[np.frombuffer(upto, np.uint8)]]
+        return sum(model[((classes[i] * 40 + classes[i + 1]) * 40 + classes[i + 2]) * 40 + classes[i + 3]] for i in range(a, b))
+
+    pairs = collections.Counter(x for t in trusted for x in zip(["", *t.split()], t.split()))
+    words = collections.Counter(w for _, w in pairs)
+
+    def discounts(counts):
+        n = [sum(c == i for c in counts.values()) for i in range(1, 5)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] + n[1] else 0.5
+        return [0] + [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0), i) if n[i - 1] else 0.5 for i in range(1, 4)]
+
+    high, low = discounts(pairs), discounts(words)
+    total, before, at = 0.0, "", 0
+    for m in re.finditer(r"\S+", text):
+        w, end = m[0], len(text[: m.end()].encode())
+        p = math.exp(-spelled(text.encode(), at, end)) * sum(low[min(c, 3)] for c in words.values()) / len(pairs)
+        p += (words[w] - low[min(words[w], 3)]) / len(pairs)
+        mine = {x: c for x, c in pairs.items() if x[0] == before}
+        if mine:
+            c = pairs[before, w]
+            p = (c - high[min(c, 3)] + sum(high[min(c, 3)] for c in mine.values()) * p) / sum(mine.values())
+        total, before, at = total - math.log(p), w, end
+    return (total + spelled(text.encode(), at, len(text.encode()))) / len(text.encode())
+
+
+@pytest.mark.parametrize("shard_bytes", [quality.SHARD_BYTES, 20])
+def test_quality_counts_pairs_of_words(spark, shard_bytes):
+    trusted = ["the cat saw the dog", "the dog saw the cat  and the bird", "a bird saw a cat", "的 猫 看 的 狗"]
+    texts = [*trusted, "the the the the", "dog the saw", "zebra  saw the cat \n", " ", "的 狗 狗", "cat"]
+    docs = spark.createDataFrame([(i, t, "en", None) for i, t in enumerate([*texts, None])], SCHEMA)
+    known = docs.where(f"doc_id < {len(trusted)}")
+    model = quality.train(known)
+    pairs = quality.count_pairs(known)
+    got = {r["doc_id"]: r["nats"] for r in quality.score(docs, model, pairs, shard_bytes=shard_bytes).collect()}
+    assert got.pop(len(texts)) is None
+    assert got == pytest.approx({i: plain_nats(t, trusted, model) for i, t in enumerate(texts)}, rel=1e-5)
+
+
+def test_quality_counts_grow(spark):
+    """What is gathered is not bounded by a table of fixed size."""
+    sizes = [quality.count_pairs(spark.range(n).selectExpr("concat('w', id, ' v', id) AS text")).count() for n in (100, 1000)]
+    assert sizes == [200, 2000]
+
+
 BAD = ["blockhead", "nitwit", "dunce", "twerpish"]
 
 
