@@ -6,8 +6,9 @@ distributed.  Documents are dealt to shards; the distinct words and pairs of a
 shard are joined to the tables, and what was found comes back to the shard, where
 it is summed per document.  Below the words lies a model of characters (40
 classes of bytes, order 4), which spells words that no trusted text holds.
-Perplexities are per byte.  Those of trusted documents give each language its
-limit, a quantile; other documents of the language are kept up to it.
+Perplexities are per byte.  Those of trusted documents that were held out of the
+counts give each language its limit: the quantile at which the shares of good
+documents lost and of bad ones kept are least together.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from dqspark.llm.common import Words, mix, small_batches, steps, store
 
 ORDER = 4
 CLASSES = 40
-#: Share of a language's trusted documents at or below the limit.
-QUANTILE = 0.995
+#: Share of held-out trusted documents at or below the limit, where too few bad ones are known to choose it.
+QUANTILE = 0.95
+#: Labelled rows of either kind that a language's own choice needs.
+LEAST_ROWS = 20
 #: Fineness of the histogram the quantiles are read from, in nats.
 STEP = 0.001
 BROADCAST_IDS = 500_000
@@ -174,38 +177,70 @@ def score(docs: DataFrame, model: np.ndarray, pairs: DataFrame, order: int = ORD
     return dealt.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, f"doc_id {kind}, lang string, nats double")
 
 
-def limits(scored: DataFrame, quantile: float) -> DataFrame:
-    """(lang, limit): the quantile of ``nats`` per language from exact counts of a fine histogram."""
-    bins = scored.where("nats IS NOT NULL").groupBy("lang", F.ceil(F.col("nats") / STEP).alias("bin")).count()
-    order = Window.partitionBy("lang").orderBy("bin")
+def held_out(doc_id: Column) -> Column:
+    """crc32 of the id as text leaves 1 by 5: a fifth of the trusted documents."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 1
+
+
+def limits(judged: DataFrame, quantile: float) -> DataFrame:
+    """(lang, limit, n_good, n_bad) from exact counts of a fine histogram of ``judged`` (lang, nats, good).
+
+    The limit is the lowest at which the share of good rows above and of bad rows
+    up to it are least together.  With fewer than ``LEAST_ROWS`` of either it is the
+    quantile of the good rows.
+    """
+    good = F.col("good").cast("long")
+    binned = judged.where("nats IS NOT NULL").groupBy("lang", F.ceil(F.col("nats") / STEP).alias("bin"))
+    bins = binned.agg(F.sum(good).alias("good"), F.sum(1 - good).alias("bad"))
+    same = Window.partitionBy("lang")
+    order = same.orderBy("bin")
     running = bins.select(
-        "lang", "bin", F.sum("count").over(order).alias("upto"), F.sum("count").over(Window.partitionBy("lang")).alias("total")
+        "lang", "bin", F.sum("good").over(order).alias("g"), F.sum("bad").over(order).alias("b"),
+        F.sum("good").over(same).alias("n_good"), F.sum("bad").over(same).alias("n_bad"),
+    )
+    loss = (F.col("n_good") - F.col("g")) / F.col("n_good") + F.col("b") / F.col("n_bad")
+    found = running.where("n_good > 0").groupBy("lang", "n_good", "n_bad").agg(
+        F.min_by("bin", F.struct(F.when(F.col("n_bad") > 0, loss), "bin")).alias("best"),
+        F.min(F.when(F.col("g") >= F.col("n_good") * quantile, F.col("bin"))).alias("at_quantile"),
     )
-    return running.where(F.col("upto") >= F.col("total") * quantile).groupBy("lang").agg((F.min("bin") * STEP).alias("limit"))
+    enough = F.least("n_good", "n_bad") >= LEAST_ROWS
+    return found.select("lang", (F.when(enough, F.col("best")).otherwise(F.col("at_quantile")) * STEP).alias("limit"), "n_good", "n_bad")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, perplexity, limit, keep for every document row.
 
-    Trusted are documents with a label of quality 1.  Null and empty texts have
-    no perplexity and are not kept.  A null language is one of its own; a
-    language without trusted text takes the limit of all trusted text.  Without
-    any trusted text the limit is null and all documents with text are kept.
-    Repeated labels count once; extra columns are not looked at.
+    Trusted are documents with a label of quality 1, bad those that have 0 only.
+    A language takes its own limit if it has LEAST_ROWS held-out trusted and bad
+    rows, else the one of all languages together if these have so many, else the
+    quantile of its own trusted rows, or of all.  Null and empty texts have no
+    perplexity and are not kept.  A null language is one of its own.  Where no
+    trusted row is held out, those of the counts stand in.  Without any trusted
+    text the limit is null and all documents with text are kept.  Repeated labels
+    count once; extra columns are not looked at.
     """
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    ids = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    ids = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("quality") == 1).alias("good"))
+    ids = ids.withColumn("out", held_out(F.col("doc_id")))
     held = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
-    trusted = docs.join(held, "doc_id", "left_semi")
-    model = train(trusted)
-    scored = store(score(docs, model, store(count_pairs(trusted))).withColumn("lang_key", F.coalesce("lang", F.lit("\x00"))))
-    good = scored.join(held, "doc_id", "left_semi").select(F.col("lang_key").alias("lang"), "nats")
+    trusted = docs.join(held.where("good"), "doc_id")
+    count = trusted.where(F.col("text") != "").agg(F.count_if(~F.col("out")).alias("counted"), F.count_if("out").alias("out")).first()
+    # with trusted rows of one kind only they are both counted and judged
+    apart = bool(count["counted"] and count["out"])
+    counted = trusted.where(~F.col("out")) if apart else trusted
+    model = train(counted)
+    scored = store(score(docs, model, store(count_pairs(counted))).withColumn("lang_key", F.coalesce("lang", F.lit("\x00"))))
+    judged = scored.join(held, "doc_id").where((~F.col("good") | F.col("out")) if apart else F.lit(True))
+    judged = judged.select(F.col("lang_key").alias("lang"), "nats", "good")
     # a row per language
-    per_lang = limits(good, quantile).withColumnRenamed("lang", "lang_key")
-    overall = limits(good.withColumn("lang", F.lit("all")), quantile).select(F.col("limit").alias("overall"))
+    per_lang = limits(judged, quantile).withColumnRenamed("lang", "lang_key")
+    overall = limits(judged.withColumn("lang", F.lit("all")), quantile).select(
+        F.col("limit").alias("overall"), (F.least("n_good", "n_bad") >= LEAST_ROWS).alias("chosen")
+    )
     rows = scored.join(per_lang, "lang_key", "left").join(F.broadcast(overall), F.lit(True), "left")
-    limit = F.coalesce("limit", "overall")
+    by_all = F.col("limit").isNull() | (F.col("chosen") & (F.least("n_good", "n_bad") < LEAST_ROWS))
+    limit = F.when(by_all, F.col("overall")).otherwise(F.col("limit"))
     return rows.select(
         "doc_id", "lang", F.exp("nats").alias("perplexity"), F.exp(limit).alias("limit"),
         F.when(F.col("nats").isNull(), F.lit(False)).otherwise(F.coalesce(F.col("nats") <= limit, F.lit(True))).alias("keep"),

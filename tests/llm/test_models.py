@@ -9,6 +9,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from dqspark.llm import charmodel, quality, toxicity
 
@@ -70,6 +71,28 @@ def test_quality_odd_rows(spark):
     assert len(free) == 6 and all(r["keep"] == (r["perplexity"] is not None) for r in free)
 
 
+def test_quality_finds_both_classes(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.classify(docs, labels).join(labels, "doc_id").collect()
+    for kind in (0, 1):
+        mine = [r["keep"] == bool(kind) for r in rows if r["quality"] == kind]
+        assert sum(mine) >= 0.9 * len(mine), (kind, sum(mine), len(mine))
+
+
+def test_quality_limit_is_held_out(spark):
+    """Texts of the counts do not make the limit; it lies where both classes lose least."""
+    rows = [("en", n / 100, True) for n in range(100, 200)] + [("en", n / 100, False) for n in range(190, 290)] + [("xx", 1.0, True), ("xx", 2.0, True)]
+    judged = spark.createDataFrame(rows, "lang string, nats double, good boolean")
+    got = {r["lang"]: r["limit"] for r in quality.limits(judged, 0.5).collect()}
+    assert 1.89 <= got["en"] <= 1.99 and got["xx"] == pytest.approx(1.0)
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(30)), "en", None) for i in range(40)], SCHEMA)
+    labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")
+    rows = quality.classify(docs, labels).withColumn("out", quality.held_out(F.col("doc_id"))).collect()
+    assert {r["out"] for r in rows} == {True, False}
+    seen = max(r["perplexity"] for r in rows if not r["out"])
+    assert all(r["limit"] > seen for r in rows)
+
+
 def plain_nats(text, trusted, model):
     """Nats of a byte by the formula, word for word; the model of characters spells what is left."""
     def spelled(upto, a, b):
