@@ -4,8 +4,9 @@ A text is read as if it were source or configuration: names, literals and the
 signs between them.  ``name = literal``, ``name: literal``, ``"name": literal``,
 ``name := literal`` and ``name => literal`` give name-literal pairs; literals
 joined by ``+`` count as one value; a name that was given a constant before
-hands it on (``a = "..."`` then ``password = a``).  A pair is a secret if the
-score of its target name and of its value reach a limit together.  Three plain
+hands it on (``a = "..."`` then ``password = a``), and the literals themselves
+are reported too, as ``constant``.  A pair is a secret if the score of its target
+name and of its value reach a limit together.  Three plain
 patterns are always reported beside these.
 
 Null texts are read as empty.  Offsets are code points, the end exclusive.
@@ -29,7 +30,7 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-KINDS = ("assign", "access", "hex", "lexed", "propagated")
+KINDS = ("assign", "access", "hex", "lexed", "propagated", "constant")
 LEAST_VALUE = 8
 
 # What names of secrets are made of, with how much each tells.
@@ -83,27 +84,36 @@ def lexed_spans(text: str) -> list[tuple[int, int, int, str, float]]:
     """(start, kind, end, name, score) of values that are secrets by their target's name.
 
     Constants are carried along in the order of the text; a later assignment to
-    the same name replaces the earlier one.
+    the same name replaces the earlier one.  A value that was carried along is
+    reported where it is used, and its literals where they stand.
     """
     found = []
-    constants: dict[str, str] = {}
+    # the value of each name and where its literals stand
+    constants: dict[str, tuple[str, dict[tuple[int, int], None]]] = {}
     for m in PAIR.finditer(text):
         name, value, resolved, handed_on = m["name"], "", True, False
+        literals: dict[tuple[int, int], None] = {}
+        carried: dict[tuple[int, int], None] = {}
         parts = list(_PART.finditer(m["value"]))
         for p in parts:
             if p["quoted"]:
                 value += p["quoted"][1:-1]
+                literals[m.start("value") + p.start() + 1, m.start("value") + p.end() - 1] = None
             elif _IDENTIFIER.match(p["bare"]) and p["bare"] in constants:
-                value += constants[p["bare"]]
+                more, places = constants[p["bare"]]
+                value += more
+                literals |= places
+                carried |= places
                 handed_on = True
             elif len(parts) == 1:
                 value += p["bare"]
+                literals[m.span("value")] = None
             else:
                 resolved = False
         if not resolved:
             constants.pop(name, None)
             continue
-        constants[name] = value
+        constants[name] = value, literals
         score = name_score(name)
         if score:
             score = math.sqrt(score * value_score(value))
@@ -112,7 +122,8 @@ def lexed_spans(text: str) -> list[tuple[int, int, int, str, float]]:
                 if len(parts) == 1 and parts[0]["quoted"]:
                     start, end = start + 1, end - 1
                 found.append((start, 4 if handed_on else 3, end, name, score))
-    return found
+                found += [(a, 5, b, name, score) for a, b in carried if a < b]
+    return list({x[:3]: x for x in reversed(found)}.values())[::-1]
 
 
 def scan_text(text: str | None) -> list[dict]:

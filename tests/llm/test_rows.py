@@ -110,6 +110,18 @@ def test_secrets_lexer():
     assert [r["kind"] for r in secrets.scan_text('a = "kd93-LLq8-zz"\na = "x"\nmy_secret = a')] == []
 
 
+def test_secrets_constants_go_too():
+    """The literal behind a name is reported and redacted, however often it was handed on."""
+    text = 'k = "q9Xv7LmZ2pTk4Rw8"\npassword = k'
+    assert secrets.redact_text(text) == 'k = "[SECRET]"\npassword = [SECRET]'
+    assert {(r["kind"], text[r["start"] : r["end"]]) for r in secrets.scan_text(text)} == {("propagated", "k"), ("constant", "q9Xv7LmZ2pTk4Rw8")}
+    text = 'a = "q9Xv7LmZ"\nb = a + "2pTk4Rw8"\nc = b\nfine = "unrelated words"\nmy_secret = c\ndb_pwd = c\nn = d0Lw93kzQx71\nauth_token = n'
+    clean = secrets.redact_text(text)
+    assert not any(x in clean for x in ("q9Xv7LmZ", "2pTk4Rw8", "d0Lw93kzQx71")) and "unrelated words" in clean
+    spans = [(r["kind"], r["start"], r["end"]) for r in secrets.scan_text(text)]
+    assert len(spans) == len(set(spans))
+
+
 # --- top-k ------------------------------------------------------------------
 
 
