@@ -44,20 +44,30 @@ NAME_PARTS = {
 PLACEHOLDER = re.compile(
     r"(?i)^(?:x+|\*+|\.+|changeme|change_me|example|placeholder|none|null|true|false|undefined|todo|redacted|test|your[_-].*|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%)$"
 )
-SCORE = 0.75
+#: The weakest name reaches it with a value of full score.
+SCORE = 0.63
 
 #: A literal in quotes (with escapes), else a bare value; an identifier is a bare value too.
 _QUOTED = r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`[^`\n]*`'
 _BARE = r"[A-Za-z0-9_$][A-Za-z0-9+/_.$~=@-]*"
+#: A type between ``:`` and ``=``, with its brackets; further targets between ``=`` and the value.
+_TYPE = r"[A-Za-z_$][A-Za-z0-9_$.]{0,63}(?:[\[<][^\n\"'`=;(){}]{0,100}[\]>])?"
+_TYPES = rf"{_TYPE}(?:[ \t]*\|[ \t]*{_TYPE})*[?*&]?"
+_CHAIN = r"(?:[A-Za-z_$][A-Za-z0-9_$.-]{0,127}(?:[ \t]+=(?![=>])[ \t]*|=(?=[\"'`])))*"
 PAIR = re.compile(
-    rf"""(?<![A-Za-z0-9_$])(?P<name>[A-Za-z_$][A-Za-z0-9_$.-]{{0,127}})(?:["'`]?\]|["'`])?[ \t]*(?::=|=>|=(?!=)|:(?![:/]))[ \t]*(?P<value>(?:{_QUOTED}|{_BARE})(?:[ \t]*\+[ \t]*(?:{_QUOTED}|[A-Za-z_$][A-Za-z0-9_$.]*))*)"""
+    rf"""(?<![A-Za-z0-9_$])(?P<name>[A-Za-z_$][A-Za-z0-9_$.-]{{0,127}})(?:["'`]?\]|["'`])?\??[ \t]*(?::[ \t]*(?P<type>{_TYPES})(?:[ \t]+=(?![=>])|=(?=[ \t]*["'`]))|:=|=>|=(?!=)|:(?![:/]))[ \t]*(?P<chain>{_CHAIN})(?P<value>(?:{_QUOTED}|{_BARE})(?:[ \t]*\+[ \t]*(?:{_QUOTED}|[A-Za-z_$][A-Za-z0-9_$.]*))*)"""
 )
 _PART = re.compile(rf"(?P<quoted>{_QUOTED})|(?P<bare>{_BARE})")
+_TARGET = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.-]*(?=[ \t]*=)")
 _IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.]*\Z")
 
 
+#: Names of writers are none of authorisation.
+_AUTHOR = re.compile(r"author(?!i[sz])")
+
+
 def name_score(name: str) -> float:
-    low = name.lower()
+    low = _AUTHOR.sub("", name.lower())
     return max((v for k, v in NAME_PARTS.items() if k in low), default=0.0)
 
 
@@ -90,8 +100,12 @@ def lexed_spans(text: str) -> list[tuple[int, int, int, str, float]]:
     found = []
     # the value of each name and where its literals stand
     constants: dict[str, tuple[str, dict[tuple[int, int], None]]] = {}
-    for m in PAIR.finditer(text):
-        name, value, resolved, handed_on = m["name"], "", True, False
+    at = 0
+    while m := PAIR.search(text, at):
+        # what follows a name may be a name itself; the targets of a chain are all taken here
+        at = m.start("value") if m["chain"] and not m["type"] else m.end("name")
+        names = [m["name"], *_TARGET.findall(m["chain"])]
+        value, resolved, handed_on = "", True, False
         literals: dict[tuple[int, int], None] = {}
         carried: dict[tuple[int, int], None] = {}
         parts = list(_PART.finditer(m["value"]))
@@ -110,19 +124,25 @@ def lexed_spans(text: str) -> list[tuple[int, int, int, str, float]]:
                 literals[m.span("value")] = None
             else:
                 resolved = False
-        if not resolved:
-            constants.pop(name, None)
-            continue
-        constants[name] = value, literals
-        score = name_score(name)
-        if score:
-            score = math.sqrt(score * value_score(value))
+        before = len(found)
+        for name in names:
+            if not resolved:
+                constants.pop(name, None)
+                continue
+            constants[name] = value, literals
+            score = name_score(name)
+            if score:
+                score = math.sqrt(score * value_score(value))
+                if score >= SCORE:
+                    start, end = m.start("value"), m.end("value")
+                    if len(parts) == 1 and parts[0]["quoted"]:
+                        start, end = start + 1, end - 1
+                    found.append((start, 4 if handed_on else 3, end, name, score))
+                    found += [(a, 5, b, name, score) for a, b in carried if a < b]
+        if m["type"] and len(found) == before:  # it may be the value, with an assignment behind
+            score = math.sqrt(name_score(names[0]) * value_score(m["type"]))
             if score >= SCORE:
-                start, end = m.start("value"), m.end("value")
-                if len(parts) == 1 and parts[0]["quoted"]:
-                    start, end = start + 1, end - 1
-                found.append((start, 4 if handed_on else 3, end, name, score))
-                found += [(a, 5, b, name, score) for a, b in carried if a < b]
+                found.append((m.start("type"), 3, m.end("type"), names[0], score))
     return list({x[:3]: x for x in reversed(found)}.values())[::-1]
 
 

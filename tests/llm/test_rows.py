@@ -122,6 +122,27 @@ def test_secrets_constants_go_too():
     assert len(spans) == len(set(spans))
 
 
+@pytest.mark.parametrize("line", [
+    "let password: string = {}", "db_pwd: str = {}", "signing_key: Final = {}", "signing_key: Final[str] = {}", "db_pwd: str | None = {}",
+    "db_pwd: Dict[str, str] = {}", "config: db_pwd = {}", "private_key = x = {}", "x = private_key = {}", "config: x = y = db_pwd = {}",
+    "_auth = {}", "salt = {}", "session_key?: string = {}", "db_pwd: {}",
+])
+def test_secrets_declarations(line):
+    """Types and further targets stand between a name and its literal; every listed name can be reported."""
+    text = line.format('"q9Xv7LmZ2pTk4Rw8"')
+    assert secrets.redact_text(text) == line.format('"[SECRET]"'), secrets.scan_text(text)
+
+
+def test_secrets_names_and_plain_values():
+    for name in secrets.NAME_PARTS:
+        assert "q9Xv7LmZ2pTk4Rw8" not in secrets.redact_text(f'x {name} = "q9Xv7LmZ2pTk4Rw8" y'), name
+    assert secrets.redact_text("author: Jane-Smith-1975") == "author: Jane-Smith-1975"
+    assert secrets.redact_text("db_pwd: q9Xv7LmZ2pTk= x = 5") == "db_pwd: [SECRET] x = 5"
+    assert secrets.redact_text("db_pwd: q9Xv7LmZ2pTk4Rw8 = 5") == "db_pwd: [SECRET] = 5"
+    # a constant reaches all targets of a chain
+    assert "q9Xv7LmZ2pTk4Rw8" not in secrets.redact_text('a = b = "q9Xv7LmZ2pTk4Rw8"\ndb_pwd = a')
+
+
 # --- top-k ------------------------------------------------------------------
 
 
