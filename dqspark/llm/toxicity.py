@@ -3,7 +3,7 @@
 Words that may be disguised (signs or digits for letters, letters set apart,
 letters repeated) become lattices of the letters they may stand for; a Viterbi
 search under a character language model of the whole corpus finds the likeliest
-word.  Texts are scored on their own words and the restored ones by a lexicon of
+words; it parts them at separators.  Texts are scored on their own words and the restored ones by a lexicon of
 words and word beginnings, learned from labelled rows.
 
 Text is handled as bytes; a word is a run of letters, and every byte from 0x80
@@ -35,7 +35,8 @@ LEAST_SHARE = 0.9
 CLEARER = 4.0
 #: Lengths of word beginnings that are features, beside whole words.
 HEADS = (4, 5, 6, 7)
-LONGEST = 32
+#: Tokens up to this length are decoded once and remembered.
+REMEMBERED = 128
 BEAM = 12
 
 # Letters that signs and digits stand for.
@@ -43,6 +44,7 @@ STANDS_FOR = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l",
 }
+BREAK = [(" ", 0.0), ("", 0.0)]
 SIGN_COST, DROP_COST, ONE_OF_TWO, TWO_OF_MANY = 0.7, 6.0, 2.5, 1.0
 
 
@@ -60,6 +62,8 @@ _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in STANDS_FOR if ord(c) < 128]] = True
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
+#: Signs of more than one byte, as ``_suspects`` packs them.
+_WIDE_SIGN = [int.from_bytes(c.encode(), "little") for c in STANDS_FOR if ord(c) > 127]
 _APART = _BLANK.copy()
 _APART[[ord(c) for c in "._*-"]] = True
 _LOW = np.arange(256)
@@ -119,18 +123,28 @@ def copy_keys(column: pa.Array) -> np.ndarray:
 
 def _suspects(data: np.ndarray, bounds: np.ndarray) -> list[tuple[int, bytes]]:
     """(row, token) of everything that may be a disguised word."""
-    n = len(data)
+    # places are those of characters
+    start = np.flatnonzero((data & 0xC0) != 0x80)
+    n = len(start)
     if n < 3:
         return []
+    lead, size = data[start], np.diff(np.append(start, len(data)))
+    code = _LOW[lead]
+    for k in range(1, 4):
+        more = np.flatnonzero(size > k)
+        code[more] |= data[start[more] + k].astype(np.int64) << (8 * k)
+    bounds = np.searchsorted(start, bounds)
+    is_letter = _ASCII_LETTER[lead] | ((lead >= 0xC3) & (lead != 0xE2))
+    is_sign = _SIGN[lead] | np.isin(code, _WIDE_SIGN)
     edge = np.zeros(n + 8, bool)
     edge[4 + bounds[:-1][bounds[:-1] < n]] = True
 
     def wide(mask: np.ndarray) -> np.ndarray:
         return np.concatenate((np.zeros(4, bool), mask, np.zeros(4, bool)))
 
-    letter, sign, blank = wide(_ASCII_LETTER[data]), wide(_SIGN[data]), ~wide(~_BLANK[data])
-    apart = ~wide(~_APART[data])
-    low = np.concatenate((np.zeros(4, np.int64), _LOW[data], np.zeros(4, np.int64)))
+    letter, sign, blank = wide(is_letter), wide(is_sign), ~wide(~_BLANK[lead])
+    apart = ~wide(~_APART[lead])
+    low = np.concatenate((np.zeros(4, np.int64), code, np.zeros(4, np.int64)))
     at = lambda m, k: m[4 + k : 4 + k + n]
     inside = at(sign, 0) & (
         (at(letter, -1) & at(letter, 1))
@@ -149,14 +163,12 @@ def _suspects(data: np.ndarray, bounds: np.ndarray) -> list[tuple[int, bytes]]:
     seeds = np.flatnonzero(inside | again)
     out: list[tuple[int, int, int]] = []
     if len(seeds):
-        cut = np.flatnonzero(_BLANK[data])
+        cut = np.flatnonzero(_BLANK[lead])
         row = np.searchsorted(bounds, seeds, "right") - 1
         left = np.concatenate(([-1], cut))[np.searchsorted(cut, seeds)] + 1
         right = np.concatenate((cut, [n]))[np.searchsorted(cut, seeds)]
         left, right = np.maximum(left, bounds[row]), np.minimum(right, bounds[row + 1])
-        for r, a, b in np.unique(np.stack((row, left, right), 1), axis=0).tolist():
-            if b - a <= 4 * LONGEST:
-                out.append((r, a, b))
+        out += np.unique(np.stack((row, left, right), 1), axis=0).tolist()
     places = np.flatnonzero(spaced)
     end = -1
     for p in places.tolist():
@@ -167,14 +179,14 @@ def _suspects(data: np.ndarray, bounds: np.ndarray) -> list[tuple[int, bytes]]:
         while stop + 2 < bounds[r + 1] and single[stop + 2] and not (p < bounds[r + 1] <= stop + 2):
             stop += 2
         end = stop + 1
-        if 3 <= (stop - p) // 2 + 1 <= LONGEST:
+        if (stop - p) // 2 + 1 >= 3:
             out.append((r, p, stop + 1))
-    whole = data.tobytes()
-    return [(r, whole[a:b]) for r, a, b in out]
+    whole, place = data.tobytes(), np.append(start, len(data)).tolist()
+    return [(r, whole[place[a] : place[b]]) for r, a, b in out]
 
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """What each symbol of a token may stand for: (letters, cost); separators stand for nothing."""
+    """What each symbol of a token may stand for: (letters, cost); separators for a break or nothing."""
     out: list[list[tuple[str, float]]] = []
     token = token.lower().rstrip("!?.,;:%&*#'\")") if any(c.isalpha() for c in token) else token.lower()
     i = 0
@@ -195,6 +207,8 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             if run > 1:
                 options += [(x + x, SIGN_COST + TWO_OF_MANY) for x in STANDS_FOR[c]]
             out.append([*options, ("", DROP_COST)])
+        elif out and out[-1] is not BREAK:
+            out.append(BREAK)
         i += run
     return out
 
@@ -204,34 +218,41 @@ class Channel:
 
     def __init__(self, cost: np.ndarray):
         self.cost = cost
-        self.decode = lru_cache(maxsize=200_000)(self._decode)
+        self.remembered = lru_cache(maxsize=200_000)(self._decode)
+
+    def decode(self, token: str) -> str:
+        return self.remembered(token) if len(token) <= REMEMBERED else self._decode(token)
 
     def _decode(self, token: str) -> str:
         steps_ = lattice(token)
-        if not 3 <= len(steps_) <= LONGEST:
+        if sum(x is not BREAK for x in steps_) < 3:
             return ""
         cost = self.cost
-        # a state is the last three classes; each keeps its cheapest way
-        ways: dict[int, tuple[float, str]] = {0: (0.0, "")}
+        # a state is the last three classes; each keeps its cheapest way, a chain of letters from the last back
+        ways: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
         size = CLASSES ** (ORDER - 1)
         for options in steps_:
-            then: dict[int, tuple[float, str]] = {}
+            then: dict[int, tuple[float, tuple | None]] = {}
             for state, (spent, text) in ways.items():
                 for letters, extra in options:
                     s, c = state, spent + extra
                     for x in letters:
-                        cell = s * CLASSES + (ord(x) - 96 if "a" <= x <= "z" else 27)
+                        cell = s * CLASSES + (ord(x) - 96 if "a" <= x <= "z" else 0 if x == " " else 27)
                         c += cost[cell]
                         s = cell % size
                     if s not in then or c < then[s][0]:
-                        then[s] = (c, text + letters)
+                        then[s] = (c, (text, letters))
             ways = dict(sorted(then.items(), key=lambda w: w[1][0])[:BEAM]) if len(then) > BEAM else then
-        best = min(((c + cost[s * CLASSES], t) for s, (c, t) in ways.items()), default=(0.0, ""))
-        return best[1]
+        _, way = min(((c + cost[s * CLASSES], w) for s, (c, w) in ways.items()), key=lambda x: x[0])
+        out = []
+        while way is not None:
+            way, letters = way
+            out.append(letters)
+        return "".join(reversed(out))
 
 
 def restore(column: pa.Array, channel: Channel) -> list[tuple[int, bytes]]:
-    """(row, restored word) of the disguised words of a column of texts."""
+    """(row, restored words) of the disguised words of a column of texts."""
     out = []
     for row, token in _suspects(*raw(column)):
         word = channel.decode(token.decode("utf-8", "ignore"))

@@ -180,6 +180,42 @@ def test_toxicity_sees_through_disguise(spark, learned):
     assert got[51] == got[52]
 
 
+def test_toxicity_sees_words_among_others(spark, learned):
+    """Long runs, long repeats and neighbours do not hide a word."""
+    docs, labels = learned
+    model = toxicity.train(docs, labels)
+    fine = speech(random.Random(3), False, 8)
+    sentence = "the garden river " + "window stone " * 4 + "nitwit lantern paper"
+    hidden = [
+        " ".join(sentence.replace(" ", "")), "garden,n1tw1t", "river.bl0ckhe@d", "d" + "u" * 130 + "nce", "window-" * 20 + "n1tw1t",
+        "window" * 500 + ",n1tw1t", " ".join("window" * 300 + "nitwit"),
+    ]
+    rows = [(i, f"{fine} {w} {fine}", None, None) for i, w in enumerate(hidden)]
+    rows += [(50, " ".join(sentence.replace("nitwit", "").replace(" ", "")), None, None), (51, "garden,r1ver", None, None)]
+    test = spark.createDataFrame(rows, SCHEMA)
+    got = {r["doc_id"]: r["s"] for r in test.select("doc_id", toxicity.score_column(test, model).alias("s")).collect()}
+    assert all(got[i] >= 0.5 for i in range(len(hidden))), got
+    assert got[50] < 0.5 and got[51] < 0.5
+
+
+def test_letters_set_apart():
+    """Letters of several bytes are letters; one-letter words before a spaced word part from it."""
+    def found(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return [t.decode() for _, t in toxicity._suspects(data, np.array([0, len(data)]))]
+
+    assert found("so é t é s") == ["é t é s"] and found("müüüde") == ["müüüde"] and found("d€nk a") == ["d€nk"]
+    words = "a lantern you idiot garden a stone river you paper a cloud idiot a meadow you violin "
+    counts = np.zeros(toxicity.CLASSES**4)
+    classes = [0, 0, 0, *toxicity.TABLE[np.frombuffer((words * 20).encode(), np.uint8)]]
+    for i in range(len(classes) - 3):
+        counts[((classes[i] * 28 + classes[i + 1]) * 28 + classes[i + 2]) * 28 + classes[i + 3]] += 1
+    channel = toxicity.Channel(-np.log(charmodel.kneser_ney(counts, 4, 28)))
+    assert channel.decode("a i d i o t") == "a idiot"
+    assert channel.decode("y o u i d i o t") == "you idiot"
+    assert channel.decode("you,idi0t") == "you idiot"
+
+
 def test_toxicity_odd_labels(spark, learned):
     docs, labels = learned
     few = docs.limit(5)
