@@ -30,15 +30,16 @@ CHUNK_QUERIES = 512
 #: Rings of all pivots together: their bounds are sent to every task.
 MAX_RINGS = 4096
 FIRST_RINGS = 3
-#: Integer components are held within +-2^27, so that inner products of up to 2^9 of them fit a long.
+#: Integer components beyond +-2^27 are refused, so that inner products of up to 2^9 of them fit a long.
 LARGEST = 1 << 27
 
 
 def quantized(vectors: DataFrame, id_column: str, column: str, scale: int) -> DataFrame:
-    """(vec_id, v): floor(scale * x) as integers; rows with nulls or non-finite values are left out."""
+    """(vec_id, v): floor(scale * x) as integers, an error beyond LARGEST; rows with nulls or non-finite values are left out."""
     x = F.col(column)
     whole = F.transform(x, lambda e: F.floor(F.lit(float(scale)) * e.cast("double")))
-    held = F.transform(whole, lambda e: F.greatest(F.least(e, F.lit(LARGEST)), F.lit(-LARGEST)).cast("int"))
+    beyond = F.raise_error(F.lit(f"a component of {column} times {scale} lies beyond +-{LARGEST}"))
+    held = F.transform(whole, lambda e: F.when(F.abs(e) <= F.lit(LARGEST), e.cast("int")).otherwise(beyond.cast("int")))
     fine = x.isNotNull() & F.col(id_column).isNotNull() & F.forall(
         x, lambda e: e.isNotNull() & (F.abs(e) <= F.lit(1.7976931348623157e308)) & ~F.isnan(e)
     )

@@ -178,6 +178,13 @@ def test_top_k_small(spark):
     assert topk.top_k(df.where("false"), df, k=20).collect() == []
 
 
+def test_top_k_refuses_large_components(spark):
+    """Scores are exact or there are none."""
+    df = spark.createDataFrame([(0, [1.0]), (7, [3e6])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="lies beyond"):
+        topk.top_k(df, df, k=20).collect()
+
+
 # --- urls -------------------------------------------------------------------
 
 
