@@ -1,10 +1,19 @@
-"""Equi-joins in which missing keys meet, and left-deep chains of them."""
+"""Equi-joins in which missing keys meet, and left-deep chains of them.
+
+Adaptive execution splits a skewed key on the side whose rows are all kept, but
+not on the side that is looked up, and no key of a full join.  A step with
+``hot_rows`` therefore looks for the heavy keys of both sides first (NULL among
+them, by an approximate top-k of the keys' hashes) and joins these by parts: the
+rows of a hot key are dealt to so many parts on either side that a part has
+about ``hot_rows`` rows, and every left part meets every right part.  All other
+keys stay an ordinary join.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,17 +33,20 @@ class JoinSpec:
     secondary_key: str
     join_type: str = "left"
     selected_columns: Sequence[str] | None = field(default=None)
+    #: Rows of one key on one side beyond which they are split; None leaves all keys to Spark.
+    hot_rows: int | None = None
 
 
 def _common_keys(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> tuple[DataFrame, DataFrame]:
-    """Give both keys one type: numbers are widened, other mixes become text."""
+    """Give both keys one type: numbers are widened, other mixes become text; decimals are left alone."""
     a, b = left.schema[left_key].dataType, right.schema[right_key].dataType
     if a == b:
         return left, right
     if isinstance(a, T.NumericType) and isinstance(b, T.NumericType):
+        if any(isinstance(t, T.DecimalType) for t in (a, b)):
+            return left, right  # compared by :func:`_exact_keys`
         fractional = any(isinstance(t, (T.DoubleType, T.FloatType)) for t in (a, b))
-        decimal = any(isinstance(t, T.DecimalType) for t in (a, b))
-        target = "double" if fractional else "decimal(38,10)" if decimal else "bigint"
+        target = "double" if fractional else "bigint"
     else:
         target = "string"
     left = left if a.simpleString() == target else left.withColumn(left_key, col(left_key).cast(target))
@@ -42,12 +54,63 @@ def _common_keys(left: DataFrame, right: DataFrame, left_key: str, right_key: st
     return left, right
 
 
+_WHOLE_DIGITS = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}
+
+
+def common_decimal(a: T.DataType, b: T.DataType) -> T.DecimalType | None:
+    """The decimal that holds all values of two decimal or whole types, if there is one."""
+    sizes = []
+    for t in (a, b):
+        if isinstance(t, T.DecimalType):
+            sizes.append((t.precision - t.scale, t.scale))
+        elif type(t) in _WHOLE_DIGITS:
+            sizes.append((_WHOLE_DIGITS[type(t)], 0))
+        else:
+            return None
+    whole, scale = max(w for w, _ in sizes), max(s for _, s in sizes)
+    return T.DecimalType(whole + scale, scale) if whole + scale <= 38 else None
+
+
+def number_digits(c: Column, dtype: T.DataType) -> Column:
+    """Sign, digits and place of the point of a number, the same text for equal numbers of any type.
+
+    A double stands for the shortest decimal that reads as it, so 0.1 is 0.1;
+    NaN is missing.
+    """
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        c = F.nanvl(c.cast("double"), F.lit(None).cast("double"))
+    text = c.cast("string")
+    mantissa = F.split_part(F.ltrim(text, F.lit("-")), F.lit("E"), F.lit(1))
+    exponent = F.coalesce(F.try_to_number(F.nullif(F.split_part(text, F.lit("E"), F.lit(2)), F.lit("")), F.lit("S999")), F.lit(0))
+    whole = F.split_part(mantissa, F.lit("."), F.lit(1))
+    digits = F.concat(whole, F.split_part(mantissa, F.lit("."), F.lit(2)))
+    led = F.ltrim(digits, F.lit("0"))
+    place = F.length(whole) - (F.length(digits) - F.length(led)) + exponent.cast("int")
+    sign = F.when(F.startswith(text, F.lit("-")), "-").otherwise("")
+    return (
+        F.when(F.contains(text, F.lit("Inf")), text)
+        .when(text.isNotNull() & (led == ""), "0")
+        .otherwise(F.concat(sign, F.rtrim(led, F.lit("0")), F.lit("e"), place.cast("string")))
+    )
+
+
 EXACT_LEFT, EXACT_RIGHT = "__exact_left", "__exact_right"
 
 
 def _exact_keys(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> tuple[Column, Column] | None:
-    """Digits of both keys where one is a bigint and the other a fraction, else nothing."""
+    """What both keys are compared by where their own types would not tell numbers apart, else nothing.
+
+    Decimals of two kinds and whole numbers meet in the decimal that holds both,
+    or by their digits where none does, and so do decimals and fractions; a bigint
+    and a fraction meet by their digits.
+    """
     a, b = left.schema[left_key].dataType, right.schema[right_key].dataType
+    numbers = isinstance(a, T.NumericType) and isinstance(b, T.NumericType)
+    if a != b and numbers and any(isinstance(t, T.DecimalType) for t in (a, b)):
+        both = common_decimal(a, b)
+        if both is not None:
+            return col(left_key).cast(both), col(right_key).cast(both)
+        return number_digits(col(left_key), a), number_digits(col(right_key), b)
     fractions = [isinstance(t, (T.DoubleType, T.FloatType)) for t in (a, b)]
     if not (any(fractions) and any(isinstance(t, T.LongType) for t in (a, b))):
         return None
@@ -96,16 +159,108 @@ def join_tables(left: DataFrame, right: DataFrame, spec: JoinSpec) -> DataFrame:
     right_key = "__right_key" if one_key else names[spec.secondary_key]
     right = right.withColumnsRenamed({**names, **({spec.secondary_key: right_key} if one_key else {})})
 
-    if exact:
-        joined = _null_safe_join(left, right, EXACT_LEFT, EXACT_RIGHT, spec.join_type).drop(EXACT_LEFT, EXACT_RIGHT)
-    else:
-        joined = _null_safe_join(left, right, spec.primary_key, right_key, spec.join_type)
+    on = (EXACT_LEFT, EXACT_RIGHT) if exact else (spec.primary_key, right_key)
+    join = _null_safe_join if spec.hot_rows is None else partial(_split_join, hot_rows=spec.hot_rows)
+    joined = join(left, right, *on, spec.join_type).drop(EXACT_LEFT, EXACT_RIGHT)
     if one_key:
-        key = F.coalesce(col(spec.primary_key), col(right_key))
+        key = _one_key(joined.schema, spec.primary_key, right_key, spec.join_type)
         joined = joined.withColumn(spec.primary_key, key).drop(right_key)
     return joined
 
 
+def _one_key(schema: T.StructType, left_key: str, right_key: str, how: str) -> Column:
+    """The key of whichever side has the row, its value never changed.
+
+    Where no type holds the numbers of both sides, a left or inner join keeps the
+    left key, a right join the right one, and a full join gives texts.
+    """
+    a, b = schema[left_key].dataType, schema[right_key].dataType
+    first, second = col(left_key), col(right_key)
+    if a != b and any(isinstance(t, T.DecimalType) for t in (a, b)):
+        both = common_decimal(a, b)
+        if both is None and how != "outer":
+            return second if how == "right" else first
+        first, second = (c.cast(both or "string") for c in (first, second))
+    return F.coalesce(first, second)
+
+
+HOT_HASH, SALT_LEFT, SALT_RIGHT = "__hot", "__part_left", "__part_right"
+#: Keys a side can have with more than a 64th of its rows, and the counters kept to find them.
+HOT_KEYS, HOT_COUNTERS = 64, 4096
+MOST_PARTS = 10_000
+
+
+def hot_keys(df: DataFrame, key: str, hot_rows: int) -> dict[int, int]:
+    """Hashes of keys with about ``hot_rows`` rows or more, with their rows; NULL is a key.
+
+    A mergeable sketch of bounded size reads the side once, without a shuffle;
+    what it misjudges changes the work of some task, never the result.
+    """
+    top = F.call_function("approx_top_k", F.xxhash64(col(key)), F.lit(HOT_KEYS), F.lit(HOT_COUNTERS))
+    found = df.agg(top.alias("top")).first()["top"] or []
+    return {r["item"]: r["count"] for r in found if r["count"] >= hot_rows}
+
+
+def _parts_of(found: Mapping[int, int], hashes: Sequence[int], hot_rows: int) -> Column:
+    """Parts of a key's rows on one side, by the hash of the key."""
+    listed = [(h, min(MOST_PARTS, -(-found[h] // hot_rows))) for h in hashes if found.get(h, 0) > hot_rows]
+    if not listed:
+        return F.lit(1)
+    table = F.create_map(*[F.lit(x) for pair in listed for x in pair])
+    return F.coalesce(F.try_element_at(table, F.col(HOT_HASH)), F.lit(1))
+
+
+def _dealt(df: DataFrame, own: Column, other: Column, own_name: str, other_name: str) -> DataFrame:
+    """Rows dealt to the parts of their key, one copy for each part of the other side.
+
+    The part comes from the row's values and its partition, so a task that runs
+    again deals alike, and copies of one row spread as far as their partitions.
+    """
+    plain = [col(f.name) for f in df.schema if not _holds_map(f.dataType)]
+    part = F.pmod(F.xxhash64(*plain, F.spark_partition_id()), own).cast("int")
+    return df.withColumn(own_name, part).withColumn(other_name, F.explode(F.sequence(F.lit(0), other - 1)))
+
+
+def _holds_map(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.StructType):
+        return any(_holds_map(f.dataType) for f in dtype)
+    return isinstance(dtype, (T.MapType, T.VariantType)) or (isinstance(dtype, T.ArrayType) and _holds_map(dtype.elementType))
+
+
+def _split_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str, hot_rows: int) -> DataFrame:
+    """The null-safe join with the hot keys of either side joined by parts."""
+    hot_left, hot_right = hot_keys(left, left_key, hot_rows), hot_keys(right, right_key, hot_rows)
+    hashes = sorted({*hot_left, *hot_right})
+    if not hashes:
+        return _null_safe_join(left, right, left_key, right_key, how)
+    left = left.withColumn(HOT_HASH, F.xxhash64(col(left_key)))
+    right = right.withColumn(HOT_HASH, F.xxhash64(col(right_key)))
+    is_hot = F.col(HOT_HASH).isin(hashes)
+
+    def half(df: DataFrame, hot: bool) -> DataFrame:
+        return df.where(is_hot if hot else ~is_hot)
+
+    cold = _null_safe_join(half(left, False).drop(HOT_HASH), half(right, False).drop(HOT_HASH), left_key, right_key, how)
+    hot_l, hot_r = half(left, True), half(right, True)
+    parts_l, parts_r = _parts_of(hot_left, hashes, hot_rows), _parts_of(hot_right, hashes, hot_rows)
+    dealt_l = _dealt(hot_l, parts_l, parts_r, SALT_LEFT, SALT_RIGHT).drop(HOT_HASH)
+    dealt_r = _dealt(hot_r, parts_r, parts_l, SALT_RIGHT, SALT_LEFT).drop(HOT_HASH)
+    same = dealt_l[_q(left_key)].eqNullSafe(dealt_r[_q(right_key)])
+    same = same & (dealt_l[SALT_LEFT] == dealt_r[SALT_LEFT]) & (dealt_l[SALT_RIGHT] == dealt_r[SALT_RIGHT])
+    joined = dealt_l.join(dealt_r, same, "inner").drop(SALT_LEFT, SALT_RIGHT)
+    # a hot key that the other side lacks: its rows are kept as they are; the list of hot keys is short
+    if how in ("left", "outer"):
+        joined = joined.unionByName(_alone(hot_l, left_key, hot_r, right_key), allowMissingColumns=True)
+    if how in ("right", "outer"):
+        joined = joined.unionByName(_alone(hot_r, right_key, hot_l, left_key), allowMissingColumns=True)
+    return cold.unionByName(joined.select(*[col(c) for c in cold.columns]))
+
+
+def _alone(df: DataFrame, key: str, other: DataFrame, other_key: str) -> DataFrame:
+    keys = other.select(col(other_key).alias("__other_key")).distinct()
+    return df.join(F.broadcast(keys), df[_q(key)].eqNullSafe(keys["__other_key"]), "left_anti").drop(HOT_HASH)
+
+
 def _null_safe_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str) -> DataFrame:
     def same(a: DataFrame, b: DataFrame) -> Column:
         return a[_q(left_key)].eqNullSafe(b[_q(right_key)])

@@ -167,3 +167,65 @@ def join_big_keys(spark, sf_dir):
     nations = table(spark, sf_dir, "nation").where("n_nationkey < 3")
     nations = nations.selectExpr("CAST(9007199254740992L + 2 * n_nationkey AS DOUBLE) AS big", "n_name")
     return join_tables(orders, nations, JoinSpec("nation", "big", "big")).select("o_orderkey", "n_name")
+
+
+@query("""
+WITH a AS (SELECT o_orderkey, 9007199254740992 + o_orderkey % 7 AS big FROM orders),
+b AS (SELECT CAST(9007199254740992 + 2 * n_nationkey AS DOUBLE) AS big, n_name FROM nation)
+SELECT o_orderkey, n_name FROM a LEFT JOIN b ON a.big = CAST(b.big AS BIGINT)
+""")
+def join_big_keys_all(spark, sf_dir):
+    """Whole numbers that share a double do not meet, over all nations."""
+    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "9007199254740992L + o_orderkey % 7 AS big")
+    nations = table(spark, sf_dir, "nation").selectExpr("CAST(9007199254740992L + 2 * n_nationkey AS DOUBLE) AS big", "n_name")
+    return join_tables(orders, nations, JoinSpec("nation", "big", "big")).select("o_orderkey", "n_name")
+
+
+@query("""
+WITH a AS (SELECT o_orderkey, CAST(o_custkey AS DECIMAL(20, 15)) + CASE WHEN o_orderkey % 3 = 0 THEN 0.000000000000001 ELSE 0 END AS k FROM orders),
+b AS (SELECT c_custkey AS j, c_name FROM customer)
+SELECT o_orderkey, k, j, c_name FROM a LEFT JOIN b ON k = CAST(j AS DECIMAL(35, 15))
+""")
+def join_decimal_keys(spark, sf_dir):
+    """Decimal keys meet whole numbers only where they are whole themselves, and stay as they are."""
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey",
+        "CAST(CAST(o_custkey AS DECIMAL(20, 15)) + CASE WHEN o_orderkey % 3 = 0 THEN 0.000000000000001BD ELSE 0 END AS DECIMAL(20, 15)) AS k",
+    )
+    customer = table(spark, sf_dir, "customer").selectExpr("c_custkey AS j", "c_name")
+    return join_tables(orders, customer, JoinSpec("customer", "k", "j"))
+
+
+@query(BOOKINGS_CTE + """
+, b AS (SELECT booking_id, CASE WHEN booking_id % 2 = 0 THEN NULL ELSE cust_n END AS half_n FROM bookings),
+c AS (SELECT CASE WHEN c_custkey % 300 = 0 THEN NULL ELSE c_custkey END AS cust_n, c_mktsegment FROM customer)
+SELECT c.cust_n, c_mktsegment, booking_id, half_n FROM c LEFT JOIN b ON c.cust_n IS NOT DISTINCT FROM b.half_n
+""")
+def join_null_hot_right(spark, sf_dir):
+    """Half of the looked-up side has no key: its rows are split, and the others' copied to each part."""
+    right = bookings(spark, sf_dir).selectExpr("booking_id", "CASE WHEN booking_id % 2 = 0 THEN NULL ELSE cust_n END AS half_n")
+    customer = table(spark, sf_dir, "customer").selectExpr("CASE WHEN c_custkey % 300 = 0 THEN NULL ELSE c_custkey END AS cust_n", "c_mktsegment")
+    return join_tables(customer, right, JoinSpec("bookings", "cust_n", "half_n", "left", hot_rows=1000))
+
+
+@query("""
+WITH e AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 7 ELSE user_id END AS uid FROM events)
+SELECT event_id, uid, c_custkey, c_name FROM e RIGHT JOIN customer ON uid = c_custkey
+""")
+def join_hot_right_join(spark, sf_dir):
+    """A third of the looked-up rows of a right join has one key."""
+    events = table(spark, sf_dir, "events").selectExpr("event_id", "CASE WHEN event_id % 3 = 0 THEN 7 ELSE user_id END AS uid")
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return join_tables(events, customer, JoinSpec("customer", "uid", "c_custkey", "right", hot_rows=1000))
+
+
+@query("""
+WITH e AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id END AS uid FROM events),
+c AS (SELECT CASE WHEN c_custkey = 5 THEN NULL ELSE c_custkey END AS cust_n, c_name FROM customer)
+SELECT event_id, uid, cust_n, c_name FROM e FULL JOIN c ON uid IS NOT DISTINCT FROM cust_n
+""")
+def join_hot_full(spark, sf_dir):
+    """A full join with a third of the left rows under the missing key."""
+    events = table(spark, sf_dir, "events").selectExpr("event_id", "CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id END AS uid")
+    customer = table(spark, sf_dir, "customer").selectExpr("CASE WHEN c_custkey = 5 THEN NULL ELSE c_custkey END AS cust_n", "c_name")
+    return join_tables(events, customer, JoinSpec("customer", "uid", "cust_n", "outer", hot_rows=1000))
