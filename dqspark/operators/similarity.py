@@ -4,10 +4,17 @@ Exact at every size and without a cross join:
 
 * one side is small (checked): it is sent to every task as a matrix, the other
   side streams past it and keeps the best entry per query;
-* both sides are large: vectors of length one at distance r = sqrt(2 - 2 t) or
-  less have a similarity of t or more.  Entries belong to the cell of their
-  nearest pivot; a query visits each cell that can hold an entry within r.
-  Cells are joined by equality, and large cells are split on both sides.
+* both sides are large and lie in clusters: vectors of length one at distance
+  r = sqrt(2 - 2 t) or less have a similarity of t or more.  Entries belong to
+  the cell of their nearest pivot; a query visits each cell that can hold an
+  entry within r.  Cells are joined by equality, and large cells are split on
+  both sides;
+* both sides are large and spread evenly, so that a query would visit most
+  cells: packed blocks of queries meet packed blocks of entries, once per pair of
+  blocks.  Vectors are rotated to the principal directions of a sample; the
+  product of two vectors is at most the product of their first coordinates plus
+  the product of the lengths of the rest, and only pairs whose bound reaches the
+  limit (or the best so far) are evaluated.
 """
 
 from __future__ import annotations
@@ -31,6 +38,12 @@ PIVOTS = 256
 CELL_ROWS = 20_000
 PRODUCT_CELLS = 4_000_000  # size of one matrix product in a task
 ROUNDING = 1e-9
+#: Bytes of vectors in a block of either side, rows of a packed piece of one, rows looked at to choose between the ways.
+BLOCK_BYTES = 16 << 20
+PIECE_ROWS = 1000
+LOOK_ROWS = 4096
+#: How far below the limit the rests of two usual vectors may stay once their first coordinates are known.
+REST_MARGIN = 0.25
 
 
 def unit_rows(vectors) -> np.ndarray:
@@ -73,6 +86,7 @@ def best_match(
     small_side: int = SMALL_SIDE,
     pivots: int = PIVOTS,
     cell_rows: int = CELL_ROWS,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """For each query its most similar entry at ``min_similarity`` or above.
 
@@ -95,7 +109,7 @@ def best_match(
         if len(few_queries) <= small_side:
             parts = _against_queries(e, few_queries, types, min_similarity, skip_same_key)
         else:
-            parts = _by_cells(q, e, types, min_similarity, skip_same_key, pivots, cell_rows)
+            parts = _large_sides(q, e, types, min_similarity, skip_same_key, pivots, cell_rows, block_bytes)
     # one row per query key, whichever way was taken
     best = F.struct(-F.col("s"), F.col("e"))
     found = parts.groupBy("q").agg(F.min_by(F.struct("e", "s"), best).alias("b")).select("q", "b.e", "b.s")
@@ -133,6 +147,126 @@ def _against_queries(e: DataFrame, rows: pd.DataFrame, types: str, threshold: fl
     return e.mapInPandas(scan, types)
 
 
+def _large_sides(
+    q: DataFrame, e: DataFrame, types: str, threshold: float, skip_same: bool, n_pivots: int, cell_rows: int, block_bytes: int
+) -> DataFrame:
+    """Cells or blocks, whichever makes fewer copies of vectors."""
+    looked = unit_rows(q.orderBy(random_order(["q"], 0)).limit(LOOK_ROWS).toPandas()["v"])
+    sample = unit_rows(e.orderBy(random_order(["e"], 0)).limit(max(LOOK_ROWS, n_pivots)).toPandas()["v"])
+    rows = max(1, block_bytes // (8 * max(1, sample.shape[1])))
+    n_q, n_e = q.count(), e.count()
+    blocks_q, blocks_e = math.ceil(n_q / rows), math.ceil(n_e / rows)
+    pivots = sample[:n_pivots]
+    visits = float(_visited(looked, pivots, threshold).sum(axis=1).mean()) if len(looked) else 0.0
+    if n_q * (visits - 1) <= n_q * (blocks_e - 1) + n_e * (blocks_q - 1):
+        return _by_cells(q, e, types, threshold, skip_same, n_pivots, cell_rows)
+    return _by_blocks(q, e, types, threshold, skip_same, principal(sample, threshold), blocks_q, blocks_e)
+
+
+def _visited(units: np.ndarray, pivots: np.ndarray, threshold: float) -> np.ndarray:
+    """Cells that may hold an entry similar to each vector."""
+    radius = math.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + ROUNDING
+    d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * units @ pivots.T))
+    return d <= d.min(axis=1, keepdims=True) + 2 * radius + ROUNDING
+
+
+def principal(sample: np.ndarray, threshold: float) -> np.ndarray:
+    """The principal directions that are compared first, as columns.
+
+    Any directions at right angles give right bounds; those of a sample gather
+    most of the lengths.  As many are taken as leave rests whose product stays
+    clearly below the limit.
+    """
+    if not sample.size:
+        return np.zeros((sample.shape[1] if sample.ndim == 2 else 0, 0))
+    _, directions = np.linalg.eigh(sample.T @ sample)
+    directions = directions[:, ::-1]
+    rest = 1.0 - np.cumsum(((sample @ directions) ** 2).mean(axis=0))
+    k = int(np.searchsorted(-rest, -max(threshold - REST_MARGIN, 0.0)) + 1)
+    return np.ascontiguousarray(directions[:, : min(k, directions.shape[1])])
+
+
+def _by_blocks(
+    q: DataFrame, e: DataFrame, types: str, threshold: float, skip_same: bool, directions: np.ndarray, blocks_q: int, blocks_e: int
+) -> DataFrame:
+    """Every block of queries against every block of entries; a vector is copied once per block of the other side."""
+    q_type, e_type = (t.split(" ", 1)[1] for t in types.split(", ")[:2])
+
+    def packed(df: DataFrame, key: str, kind: str, own: int, other: int, own_name: str, other_name: str) -> DataFrame:
+        def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for start in range(0, len(batch), PIECE_ROWS):
+                    piece = batch.iloc[start : start + PIECE_ROWS]
+                    units = unit_rows(piece["v"])
+                    live = np.flatnonzero(units.any(axis=1))
+                    if len(live):
+                        keys = piece[key].to_numpy()[live]
+                        yield pd.DataFrame({"keys": [keys], "data": [units[live].tobytes()]})
+
+        pieces = df.mapInPandas(pack, f"keys array<{kind}>, data binary")
+        dealt = pieces.withColumn(own_name, F.pmod(F.xxhash64("data"), F.lit(own)).cast("int"))
+        return dealt.withColumn(other_name, F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
+
+    def unpacked(pieces: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.concatenate([np.asarray(k) for k in pieces["keys"]]) if len(pieces) else np.zeros(0)
+        data = np.concatenate([np.frombuffer(d) for d in pieces["data"]]) if len(pieces) else np.zeros(0)
+        return keys, data.reshape(len(keys), -1) if len(keys) else np.zeros((0, 0))
+
+    def compare(qs: pd.DataFrame, es: pd.DataFrame) -> pd.DataFrame:
+        return bounded_best(*unpacked(qs), *unpacked(es), threshold, skip_same, directions)[0]
+
+    by = ["block_q", "block_e"]
+    left = packed(q, "q", q_type, blocks_q, blocks_e, "block_q", "block_e")
+    right = packed(e, "e", e_type, blocks_e, blocks_q, "block_e", "block_q")
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(compare, types)
+
+
+def bounded_best(
+    query_keys, queries, entry_keys, entries, threshold: float, skip_same: bool, directions: np.ndarray
+) -> tuple[pd.DataFrame, int]:
+    """Best entry per query (the lowest key on ties) and the number of pairs that had to be evaluated."""
+    if not len(query_keys) or not len(entry_keys):
+        return pd.DataFrame({"q": query_keys[:0], "e": entry_keys[:0], "s": np.zeros(0)}), 0
+    order = np.argsort(entry_keys, kind="stable")
+    entry_keys, entries = entry_keys[order], entries[order]
+
+    def cut(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = m @ directions
+        return first, np.sqrt(np.maximum(0.0, (m * m).sum(axis=1) - (first * first).sum(axis=1)))
+
+    first_q, rest_q = cut(queries)
+    first_e, rest_e = cut(entries)
+    best = np.full(len(query_keys), -np.inf)
+    at = np.zeros(len(query_keys), np.int64)
+    evaluated = 0
+    columns = max(1, min(len(entry_keys), 2048))
+    rows = max(1, PRODUCT_CELLS // columns)
+    for top in range(0, len(query_keys), rows):
+        part = slice(top, top + rows)
+        for left in range(0, len(entry_keys), columns):
+            some = slice(left, left + columns)
+            bound = first_q[part] @ first_e[some].T + rest_q[part, None] * rest_e[None, some]
+            limit = np.maximum(best[part], max(threshold, 0.0)) - ROUNDING
+            row, column = np.nonzero(bound >= limit[:, None])
+            row, column = row + top, column + left
+            if skip_same:
+                other = query_keys[row] != entry_keys[column]
+                row, column = row[other], column[other]
+            evaluated += len(row)
+            for start in range(0, len(row), 100_000):
+                r, c = row[start : start + 100_000], column[start : start + 100_000]
+                score = np.einsum("ij,ij->i", queries[r], entries[c])
+                order = np.lexsort((c, -score, r))
+                r, c, score = r[order], c[order], score[order]
+                head = np.ones(len(r), bool)
+                head[1:] = r[1:] != r[:-1]
+                r, c, score = r[head], c[head], score[head]
+                better = score > best[r]  # columns ascend, so the lower key came before on ties
+                best[r[better]], at[r[better]] = score[better], c[better]
+    keep = (best >= threshold) & (best > 0)
+    return pd.DataFrame({"q": query_keys[keep], "e": entry_keys[at[keep]], "s": best[keep]}), evaluated
+
+
 def _by_cells(
     q: DataFrame, e: DataFrame, types: str, threshold: float, skip_same: bool, n_pivots: int, cell_rows: int
 ) -> DataFrame:

@@ -80,6 +80,20 @@ def cosine_top1(spark, sf_dir):
     return found.withColumn("similarity", F.round("similarity", 4))
 
 
+@query("""
+WITH x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT a.vec_id, b.vec_id AS e, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM x a JOIN x b ON a.vec_id <> b.vec_id)
+SELECT vec_id, arg_min(e, {'a': -s, 'b': e}) AS similar_vec_id, round(max(s), 4) AS similarity FROM s WHERE s >= 0.35 GROUP BY 1
+""")
+def cosine_top1_blocks(spark, sf_dir):
+    """Most similar other vector of every vector, both sides taken as large (K4)."""
+    vectors = table(spark, sf_dir, "embeddings")
+    found = best_match(
+        vectors, vectors, "vec_id", "vec_id", "embedding", "embedding", 0.35, skip_same_key=True, small_side=0, block_bytes=1 << 20
+    )
+    return found.withColumn("similarity", F.round("similarity", 4))
+
+
 @query(CENTRES_SQL + """
 SELECT vec_id, e.label, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), v), 4) AS similarity
 FROM embeddings e JOIN centre ON centre.label = e.label

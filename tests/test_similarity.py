@@ -72,3 +72,39 @@ def test_repeated_query_keys(spark):
     for small in (10, 1, 0):
         got = best_match(q, e, "q", "e", "v", "v", small_side=small).collect()
         assert sorted((r["q"], r["e"]) for r in got) == [(1, 2), (2, 1)]
+
+
+@pytest.mark.parametrize("threshold", [0.92, 0.6, 0.2])
+@pytest.mark.parametrize("skip", [False, True])
+def test_blocks_of_evenly_spread_vectors(spark, threshold, skip):
+    """Vectors in all directions, some of them near others; copies, zero vectors and repeated keys among them."""
+    rng = np.random.default_rng(7)
+    e = rng.normal(size=(400, 32))
+    q = e if skip else np.concatenate([e[:80] + 0.1 * rng.normal(size=(80, 32)), rng.normal(size=(120, 32)), np.zeros((3, 32))])
+    entries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(e)], "e bigint, v array<double>")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "q bigint, v array<double>")
+    got = best_match(queries, entries, "q", "e", "v", "v", threshold, skip, small_side=0, pivots=16, block_bytes=100 * 32 * 8)
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "block_q" in plan and "cell" not in plan
+    assert {r["q"]: (r["e"], round(r["similarity"], 9)) for r in got.collect()} == brute(q, e, threshold, skip)
+
+
+def test_blocks_with_lasting_ties(spark):
+    e = np.repeat(np.random.default_rng(1).normal(size=(1, 8)), 50, axis=0)
+    rows = spark.createDataFrame([(49 - i, v.tolist()) for i, v in enumerate(e)], "k bigint, v array<double>")
+    from dqspark.operators.similarity import _by_blocks, principal
+
+    q, x = rows.selectExpr("k AS q", "v"), rows.selectExpr("k AS e", "v")
+    parts = _by_blocks(q, x, "q bigint, e bigint, s double", 0.9, False, principal(unit_rows(e), 0.9), 3, 1)
+    assert {(r["q"], r["e"]) for r in parts.collect()} == {(i, 0) for i in range(50)}
+
+
+def test_first_coordinates_decide_most_pairs():
+    """At 0.92 evenly spread vectors are told apart by a part of their coordinates."""
+    from dqspark.operators.similarity import bounded_best, principal
+
+    units = unit_rows(np.random.default_rng(3).normal(size=(1500, 64)))
+    directions = principal(units, 0.92)
+    assert directions.shape[1] < 32
+    found, evaluated = bounded_best(np.arange(1500), units, np.arange(1500), units, 0.92, True, directions)
+    assert not len(found) and evaluated < 0.01 * 1500**2
