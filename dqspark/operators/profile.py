@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from functools import reduce
-from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,30 +49,109 @@ def stage_compare(stages: Mapping[str, DataFrame], status: str = "flag_status")
     return reduce(DataFrame.unionByName, [one(i, n, d) for i, (n, d) in enumerate(stages.items(), start=1)])
 
 
-def value_counts(df: DataFrame, names: Iterable[str]) -> DataFrame:
-    """Distinct values of several columns with their counts: (column, value, n).
+#: Texts of up to so many bytes stand for themselves among the digests.
+DIGEST_BYTES = 16
+#: Base-2 logarithm of the entries of a distinct sketch; it is exact up to about that many values.
+SKETCH_LOG = 12
 
-    One shuffle serves distinct counts, smallest values and frequencies of all
-    columns; equal values are added up before they are shuffled.
+
+def digest(value: Column) -> Column:
+    """A value as at most 17 bytes: short texts as they are, longer ones by a 128-bit digest.
+
+    A digest has one byte more than any short text, so the two never meet; two
+    long values share one with a probability of 2^-128 a pair.
+    """
+    text = value.cast("string")
+    whole = F.octet_length(text) <= DIGEST_BYTES
+    return F.when(whole, text.cast("binary")).otherwise(F.concat(F.lit(b"\x00"), F.unhex(F.md5(text.cast("binary")))))
+
+
+def distinct_counts(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """Exact number of distinct values of several columns: (column, n_distinct).
+
+    One shuffle serves all columns; digests travel, no texts, and equal ones are
+    taken together before.
+    """
+    names = list(names)
+    pairs = [F.struct(F.lit(i).alias("at"), digest(known(df, c)).alias("digest")) for i, c in enumerate(names)]
+    rows = df.select(F.inline(F.array(*pairs))).where("digest IS NOT NULL").groupBy("at", "digest").agg(F.lit(1).alias("one"))
+    listed = F.array(*[F.lit(c) for c in names])
+    counted = rows.groupBy("at").agg(F.count("*").alias("n_distinct"))
+    return counted.select(F.element_at(listed, F.col("at") + 1).alias("column"), "n_distinct")
+
+
+def smallest_values(df: DataFrame, names: Sequence[str], samples: int) -> dict[str, list[str]]:
+    """The smallest distinct values of several columns, as texts.
+
+    A round is one aggregate that gives the next value of every column: no text
+    is shuffled but the smallest ones of the tasks.
+    """
+    found: dict[str, list[str]] = {c: [] for c in names}
+    live = list(names)
+    for _ in range(samples):
+        wanted = {}
+        for i, c in enumerate(live):
+            v = known(df, c).cast("string")
+            wanted[f"m_{i}"] = F.min(F.when(v > F.lit(found[c][-1]), v) if found[c] else v)
+        got = one_row(df, wanted)
+        live, before = [], live
+        for i, c in enumerate(before):
+            if got[f"m_{i}"] is not None:
+                found[c].append(got[f"m_{i}"])
+                live.append(c)
+        if not live:
+            break
+    return found
+
+
+def _distinct_and_samples(
+    df: DataFrame, names: Sequence[str], samples: int, sample_of: Sequence[str] | None = None
+) -> DataFrame:
+    """Distinct count per column and the smallest values of the columns in ``sample_of`` (else of all)."""
+    values = smallest_values(df, list(names if sample_of is None else sample_of), samples)
+    small = df.sparkSession.createDataFrame(list(values.items()), "__c string, samples array<string>")
+    return distinct_counts(df, names).join(small, F.col("column") == F.col("__c"), "left").drop("__c")
+
+
+def distinct_sketches(df: DataFrame, names: Iterable[str], log_entries: int = SKETCH_LOG) -> DataFrame:
+    """A theta sketch of the distinct values of each column: (column, n, sketch), to be stored and merged."""
+    rows = [
+        F.struct(
+            F.lit(c).alias("column"), F.count(known(df, c)).alias("n"),
+            F.theta_sketch_agg(digest(known(df, c)), F.lit(log_entries)).alias("sketch"),
+        )
+        for c in names
+    ]
+    return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+
+
+def merge_sketches(sketches: DataFrame, log_entries: int = SKETCH_LOG) -> DataFrame:
+    """Sketches of parts of a table, or of several days, as those of the whole: one row per column."""
+    return sketches.groupBy("column").agg(
+        F.sum("n").alias("n"), F.theta_union_agg("sketch", F.lit(log_entries)).alias("sketch")
+    )
+
+
+def compare_sketches(before: DataFrame, after: DataFrame, log_entries: int = SKETCH_LOG) -> DataFrame:
+    """Distinct values per column before and after a stage, and how many were kept, lost and new (A2).
+
+    Only the stored sketches are read.  Exact up to ``2 ** log_entries`` values, else estimates.
     """
-    pairs = [
-        F.struct(F.lit(c).alias("column"), known(df, c).cast("string").alias("value")) for c in names
-    ]
-    rows = df.select(F.inline(F.array(*pairs))).where("value IS NOT NULL")
-    return rows.groupBy("column", "value").agg(F.count("*").alias("n"))
-
-
-def _distinct_and_samples(df: DataFrame, names: Sequence[str], samples: int) -> DataFrame:
-    counts = value_counts(df, names)
-    distinct = counts.groupBy("column").agg(F.count("*").alias("n_distinct"))
-    by_column = Window.partitionBy("column").orderBy("value")
-    first = (
-        counts.withColumn("at", F.row_number().over(by_column))
-        .where(F.col("at") <= samples)
-        .groupBy(F.col("column").alias("__c"))
-        .agg(F.array_sort(F.collect_list("value")).alias("samples"))
+    a = before.select("column", F.col("sketch").alias("a"))
+    b = after.select("column", F.col("sketch").alias("b"))
+
+    def size(sketch: Column) -> Column:
+        return F.theta_sketch_estimate(sketch)
+
+    return a.join(b, "column").select(
+        "column",
+        size(F.col("a")).alias("distinct_before"),
+        size(F.col("b")).alias("distinct_after"),
+        size(F.theta_intersection("a", "b")).alias("kept"),
+        size(F.theta_difference("a", "b")).alias("lost"),
+        size(F.theta_difference("b", "a")).alias("new"),
+        size(F.theta_union("a", "b", F.lit(log_entries))).alias("distinct_either"),
     )
-    return distinct.join(first, F.col("column") == F.col("__c"), "left").drop("__c")
 
 
 def missing_profile(df: DataFrame, samples: int = 5) -> DataFrame:
@@ -127,27 +207,68 @@ def suggestion() -> Column:
     )
 
 
+#: Bits of a word of a row's null bitmap, and rows of bitmaps multiplied at once.
+WORD_BITS = 62
+PRODUCT_ROWS = 4096
+
+
+def missing_patterns(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Which columns are missing together: a bitmap of words per pattern, with its rows (``words``, ``n``)."""
+    words = []
+    for start in range(0, len(names), WORD_BITS):
+        bits = [F.when(known(df, c).isNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(names[start : start + WORD_BITS])]
+        words.append(reduce(lambda a, b: a.bitwiseOR(b), [b.cast("bigint") for b in bits]))
+    return df.select(F.array(*words).alias("words")).groupBy("words").agg(F.count("*").alias("n"))
+
+
 def missing_correlation(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Column pairs whose missing values go together (A5).
 
     The correlation of two null indicators needs four counts.  Columns that are
-    never or always missing correlate with nothing and are left out first.
+    never or always missing correlate with nothing and are left out first.  Rows
+    are grouped by their null bitmap, and how often two columns are missing
+    together is a product of the matrix of distinct bitmaps with itself, taken in
+    blocks of rows; a table of a thousand columns needs no expression per pair.
     """
     first = one_row(df, {"n": F.count("*"), **{f"k_{i}": F.count(known(df, c)) for i, c in enumerate(df.columns)}})
     n = first["n"]
     gaps = {c: n - first[f"k_{i}"] for i, c in enumerate(df.columns)}
     names = [c for c in df.columns if 0 < gaps[c] < n]
-    pairs = list(combinations(names, 2))
-    both = one_row(
-        df, {f"b_{i}": F.count_if(known(df, a).isNull() & known(df, b).isNull()) for i, (a, b) in enumerate(pairs)}
-    )
-    rows = []
-    for i, (a, b) in enumerate(pairs):
-        spread = float(gaps[a] * (n - gaps[a])) ** 0.5 * float(gaps[b] * (n - gaps[b])) ** 0.5
-        value = (n * both[f"b_{i}"] - gaps[a] * gaps[b]) / spread
-        if abs(value) > threshold:
-            rows.append((a, b, value))
-    return df.sparkSession.createDataFrame(rows, "column1 string, column2 string, correlation double")
+    schema = "column1 string, column2 string, correlation double"
+    if len(names) < 2:
+        return df.sparkSession.createDataFrame([], schema)
+    k = len(names)
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, k), np.int64)
+        shift = np.arange(WORD_BITS)
+        for batch in batches:
+            for start in range(0, batch.num_rows, PRODUCT_ROWS):
+                part = batch.slice(start, PRODUCT_ROWS)
+                words = part.column("words").flatten().to_numpy().reshape(part.num_rows, -1)
+                bits = ((words[:, :, None] >> shift) & 1).reshape(part.num_rows, -1)[:, :k].astype(np.float64)
+                rows = part.column("n").to_numpy().astype(np.float64)
+                total += np.rint(bits.T @ (bits * rows[:, None])).astype(np.int64)
+        a, b = np.nonzero(np.triu(total, 1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(total[a, b], pa.int64())], ["a", "b", "both"]
+        )
+
+    both = (
+        missing_patterns(df, names).mapInArrow(together, "a int, b int, both bigint")
+        .groupBy("a", "b").agg(F.sum("both").alias("both"))
+    )
+    # pairs that are never missing together correlate below zero, so they are all looked at
+    places = df.sparkSession.createDataFrame([(i, c, gaps[c]) for i, c in enumerate(names)], "i int, c string, g bigint")
+    x = places.select(F.col("i").alias("a"), F.col("c").alias("column1"), F.col("g").cast("double").alias("g1"))
+    y = places.select(F.col("i").alias("b"), F.col("c").alias("column2"), F.col("g").cast("double").alias("g2"))
+    pairs = x.join(y, F.col("a") < F.col("b")).join(both, ["a", "b"], "left")
+    spread = F.sqrt(F.col("g1") * (n - F.col("g1"))) * F.sqrt(F.col("g2") * (n - F.col("g2")))
+    value = (F.lit(float(n)) * F.coalesce("both", F.lit(0)) - F.col("g1") * F.col("g2")) / spread
+    return (
+        pairs.withColumn("correlation", value).where(F.abs("correlation") > threshold)
+        .orderBy("a", "b").select("column1", "column2", "correlation")
+    )
 
 
 def missing_rows(df: DataFrame) -> DataFrame:
@@ -191,10 +312,12 @@ def column_info(df: DataFrame, samples: int = 3, approx: bool = False) -> DataFr
         if not texts:
             return base.withColumn("samples", F.lit(None).cast("array<string>")).withColumnRenamed(
                 "estimate", "unique_count")
-        found = _distinct_and_samples(df, texts, samples).select(F.col("column").alias("__c"), "samples")
+        found = df.sparkSession.createDataFrame(
+            list(smallest_values(df, texts, samples).items()), "__c string, samples array<string>"
+        )
         joined = base.join(found, F.col("column") == F.col("__c"), "left").drop("__c")
         return joined.withColumnRenamed("estimate", "unique_count")
-    found = _distinct_and_samples(df, df.columns, samples).withColumnRenamed("column", "__c")
+    found = _distinct_and_samples(df, df.columns, samples, texts).withColumnRenamed("column", "__c")
     joined = base.join(found, F.col("column") == F.col("__c"), "left")
     return joined.select(
         "position", "column", "dtype", "null_count",
