@@ -379,3 +379,20 @@ def validate_imputation(before: DataFrame, after: DataFrame) -> DataFrame:
         filled.alias("filled"), F.coalesce(outside, F.lit(False)).alias("outside_range"),
         "min_before", "max_before", "min_after", "max_after",
     )
+
+
+def imputation_totals(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: missing cells before and after, their reduction, and the columns filled fully, in part or beyond range."""
+    checked = validate_imputation(before, after)
+
+    def listed(condition: Column) -> Column:
+        return F.array_sort(F.collect_list(F.when(condition, F.col("column"))))
+
+    return checked.agg(
+        F.sum("missing_before").alias("total_missing_before"),
+        F.sum("missing_after").alias("total_missing_after"),
+        F.sum("missing_reduction").alias("missing_reduction"),
+        listed(F.col("filled") == "fully").alias("columns_fully_imputed"),
+        listed(F.col("filled") == "partially").alias("columns_partially_imputed"),
+        listed(F.col("outside_range")).alias("columns_outside_range"),
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dqspark.operators import impute, ordered
 from dqspark.operators.impute import Strategy
-from dqspark.operators.profile import validate_imputation
+from dqspark.operators.profile import imputation_totals, validate_imputation
 from dqspark.queries.registry import BOOKINGS_CTE, EVENTS_N_CTE, bookings, events_n, query, table
 
 
@@ -190,6 +190,27 @@ def impute_validate(spark, sf_dir):
     return _rounded(validate_imputation(df, filled), "min_before", "max_before", "min_after", "max_after")
 
 
+@query(
+    EVENTS_N_CTE
+    + """, filled AS (SELECT *, CASE WHEN value_n IS NULL THEN 0 ELSE value_n END AS value_f,
+  CASE WHEN type_n IS NULL AND event_id % 2 = 0 THEN 'x' ELSE type_n END AS type_f FROM events_n),
+n AS (SELECT count(*) - count(value_n) AS v0, count(*) - count(value_f) AS v1, count(*) - count(type_n) AS t0, count(*) - count(type_f) AS t1,
+  coalesce(min(value_f) < min(value_n) OR max(value_f) > max(value_n), false) AS beyond FROM filled)
+SELECT CAST(v0 + t0 AS BIGINT) AS total_missing_before, CAST(v1 + t1 AS BIGINT) AS total_missing_after,
+  CAST(v0 + t0 - v1 - t1 AS BIGINT) AS missing_reduction,
+  'value_n' AS columns_fully_imputed, 'type_n' AS columns_partially_imputed, CASE WHEN beyond THEN 'value_n' ELSE '' END AS columns_outside_range
+FROM n"""
+)
+def impute_totals(spark, sf_dir):
+    """Totals of an imputation that fills one column fully and one in part."""
+    df = events_n(spark, sf_dir).select("event_id", "value_n", "type_n")
+    half = F.when(F.col("type_n").isNull() & (F.col("event_id") % 2 == 0), "x").otherwise(F.col("type_n"))
+    filled = impute.fit(df, {"value_n": Strategy.CONSTANT}).transform(df).withColumn("type_n", half)
+    found = imputation_totals(df, filled)
+    lists = ("columns_fully_imputed", "columns_partially_imputed", "columns_outside_range")
+    return found.withColumns({c: F.array_join(c, ",") for c in lists})
+
+
 def _report_sql(column: str, strategy: str, value: str, after: str = "0") -> str:
     return f"""
 SELECT '{column}' AS "column", count(*) - count({column}) AS missing_before,

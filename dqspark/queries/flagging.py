@@ -259,6 +259,57 @@ def issue_metrics(spark, sf_dir):
     return issues.issue_metrics(issues.from_json(issues.to_json(used)))
 
 
+@query("""
+WITH n AS (
+  SELECT n_nationkey AS k, count(s_suppkey) AS n, count(*) FILTER (WHERE s_suppkey % 2 = 0) AS even,
+    min(s_suppkey) AS first
+  FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal < 3000 GROUP BY 1)
+SELECT k AS n_nationkey, k % 5 <> 4 AS valid, CASE WHEN k % 5 = 4 THEN 0 ELSE n END AS total_issues,
+  CASE WHEN k % 5 = 4 THEN 0 ELSE even END AS n_high,
+  CASE WHEN k % 5 IN (1, 4) THEN 85 WHEN k % 5 = 0 THEN greatest(100 - 15 * n, 10) WHEN k % 5 = 2 THEN k ELSE k + 50 END AS data_quality_score,
+  CASE WHEN k % 5 = 4 OR first IS NULL THEN 'none' ELSE 'balance' END AS first_columns,
+  CASE WHEN k % 5 = 4 THEN '' WHEN k % 2 = 0 THEN 'check all' ELSE 'a,b' END AS recommendations,
+  CASE WHEN k % 5 = 4 THEN 'n_name' ELSE 'Nation' END AS renamed, CASE WHEN k % 5 = 4 THEN 0 ELSE n END AS n_flags
+FROM n
+""")
+def result_records(spark, sf_dir):
+    """Whole result records of varying shape, read, written and read again; their issues as flags.
+
+    A nation's record lists its suppliers of low balance; scores are null, absent, texts or numbers, and
+    every fifth text is no JSON object.
+    """
+    from dqspark.operators import issues as records
+
+    supplier = table(spark, sf_dir, "supplier").where("s_acctbal < 3000")
+    listed = table(spark, sf_dir, "nation").join(supplier, F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    severity = F.when(F.col("s_suppkey") % 2 == 0, "high")
+    columns = F.when(F.col("s_suppkey") % 2 == 0, F.lit('["balance"]')).otherwise(F.lit('"balance"'))
+    issue = F.concat(F.lit('{"affected_columns":'), columns, F.coalesce(F.concat(F.lit(',"severity":"'), severity, F.lit('"')), F.lit("")), F.lit("}"))
+    texts = listed.groupBy("n_nationkey").agg(F.concat_ws(",", F.collect_list(F.when(F.col("s_suppkey").isNotNull(), issue))).alias("issues"))
+    k = F.col("n_nationkey")
+    score = (
+        F.when(k % 5 == 0, F.lit(',"data_quality_score":null')).when(k % 5 == 1, F.lit(""))
+        .when(k % 5 == 2, F.concat(F.lit(',"data_quality_score":"'), k.cast("string"), F.lit('"')))
+        .otherwise(F.concat(F.lit(',"data_quality_score":'), (k + 50).cast("string")))
+    )
+    advice = F.when(k % 2 == 0, F.lit('"check all"')).otherwise(F.lit('["a","b"]'))
+    text = F.concat(
+        F.lit('{"issues":['), "issues", F.lit('],"column_renaming":{"n_name":"Nation"},"recommendations":'), advice, score, F.lit("}")
+    )
+    given = texts.select("n_nationkey", F.when(k % 5 == 4, F.lit("no result")).otherwise(text).alias("json"))
+    first = records.read_records(given, columns=["n_name", "n_regionkey"], keep=["n_nationkey"])
+    again = records.read_records(records.record_json(first, ["n_nationkey"]), keep=["n_nationkey"])
+    bits = records.record_issues(again, ["n_nationkey"]).groupBy("n_nationkey").agg(F.count_distinct("flag_value").alias("n_flags"))
+    rows = again.drop("valid").join(first.select("n_nationkey", "valid"), "n_nationkey").join(bits, "n_nationkey", "left")
+    return rows.select(
+        "n_nationkey", "valid", "total_issues", F.size(F.filter("issues", lambda i: i["severity"] == "high")).cast("bigint").alias("n_high"),
+        "data_quality_score",
+        F.coalesce(F.array_join(F.try_element_at("issues", F.lit(1))["affected_columns"], ","), F.lit("none")).alias("first_columns"),
+        F.array_join("recommendations", ",").alias("recommendations"),
+        F.col("column_renaming")["n_name"].alias("renamed"), F.coalesce("n_flags", F.lit(0)).alias("n_flags"),
+    )
+
+
 @query(FLAGGED + "SELECT booking_id, CASE WHEN flag_status = 0 THEN 'No flags' ELSE 'Flags: ' || "
        f"array_to_string({SET_FLAGS}, '+') END AS flags, lpad(bin(flag_status), 8, '0') AS bits FROM flagged")
 def flag_texts(spark, sf_dir):

@@ -11,6 +11,7 @@ from dqspark.operators.columns import schema_summary as summary_of
 from dqspark.operators.columns import value_kinds as kinds_of
 from dqspark.operators.flags import flag_rows
 from dqspark.operators.rules import negative
+from dqspark.session import new_folder
 from dqspark.queries.registry import EVENTS_N_CTE, events_n, query, table
 
 EVENT_TYPES = {
@@ -210,3 +211,25 @@ def _quartile_sql(column: str) -> str:
 def quartiles(spark, sf_dir):
     found = profile.quartiles(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
     return found.select("column", *[F.round(c, 4).alias(c) for c in found.columns[1:]])
+
+
+@query("""
+WITH a AS (SELECT o_custkey AS c, o_orderpriority AS p FROM orders), b AS (SELECT o_custkey AS c, o_orderpriority AS p FROM orders WHERE o_totalprice > 150000),
+v AS (SELECT 'o_custkey' AS "column", CAST(c AS VARCHAR) AS v, 1 AS stage FROM a UNION SELECT 'o_custkey', CAST(c AS VARCHAR), 2 FROM b
+  UNION SELECT 'o_orderpriority', p, 1 FROM a UNION SELECT 'o_orderpriority', p, 2 FROM b),
+s AS (SELECT "column", v, bool_or(stage = 1) AS in1, bool_or(stage = 2) AS in2 FROM v WHERE v IS NOT NULL GROUP BY 1, 2)
+SELECT "column", count(*) FILTER (in1) AS distinct_before, count(*) FILTER (in2) AS distinct_after, count(*) FILTER (in1 AND in2) AS kept,
+  count(*) FILTER (in1 AND NOT in2) AS lost, count(*) FILTER (in2 AND NOT in1) AS new, count(*) AS distinct_either
+FROM s GROUP BY 1
+""")
+def stage_distincts(spark, sf_dir):
+    """Distinct values a filter keeps and loses, from stored sketches of both stages; the first stage's parts are merged (A2, A3)."""
+    orders = table(spark, sf_dir, "orders")
+    names = ["o_custkey", "o_orderpriority"]
+    log = 18  # sketches of up to 2^18 values are exact
+    parts = [profile.distinct_sketches(orders.where(F.col("o_orderkey") % 2 == i), names, log) for i in range(2)]
+    folder = new_folder(spark)
+    parts[0].unionByName(parts[1]).write.parquet(f"{folder}/parts")
+    before = profile.merge_sketches(spark.read.parquet(f"{folder}/parts"), log)
+    after = profile.distinct_sketches(orders.where("o_totalprice > 150000"), names, log)
+    return profile.compare_sketches(before, after, log)

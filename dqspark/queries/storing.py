@@ -25,6 +25,28 @@ def csv_reread(spark, sf_dir):
     return readers.require_rows(readers.read_csv(spark, path))
 
 
+@query("""
+WITH n AS (SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS t, row_number() OVER (ORDER BY c_custkey) + 1 AS line FROM customer)
+SELECT line, 'surplus' AS kind, NULL AS "column", t || ',"a, b",zzz' AS value FROM n WHERE k % 50 = 1
+UNION ALL SELECT line, 'short', NULL, t FROM n WHERE k % 50 = 2
+UNION ALL SELECT line, 'unreadable', 'k', 'no' || t FROM n WHERE k % 50 = 3
+""")
+def csv_bad_rows(spark, sf_dir):
+    """Lines with too many or too few cells and unreadable cells, each with its line."""
+    k = F.col("c_custkey")
+    line = (
+        F.when(k % 50 == 1, F.concat(k.cast("string"), F.lit(',"a, b",zzz'))).when(k % 50 == 2, k.cast("string"))
+        .when(k % 50 == 3, F.concat(F.lit("no"), k.cast("string"), F.lit(",x"))).otherwise(F.concat(k.cast("string"), F.lit(',"quoted "" text, too"')))
+    )
+    path = f"{new_folder(spark)}/lines"
+    customer = table(spark, sf_dir, "customer")
+    header = spark.createDataFrame([(-1, "k,t")], "k bigint, value string")
+    # one sorted file, so that line numbers are known
+    lines = header.unionByName(customer.select(k.alias("k"), line.alias("value"))).orderBy("k").select("value")
+    lines.coalesce(1).write.text(path)
+    return readers.csv_rejects(spark, path, "k bigint, t string").drop("file")
+
+
 @query(FLAGGED + ISSUES + """
 SELECT CAST(flag_value AS BIGINT) AS flag_value, description, severity, affected_columns,
   (SELECT count(*) FROM flagged WHERE (flag_status & flag_value) <> 0) AS row_count FROM issues

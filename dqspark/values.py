@@ -69,6 +69,7 @@ ASCENDING_WORDS = ("least", "lowest", "smallest", "min")
 UNKNOWN_CATEGORY = "unknown"
 DEFAULT_SEVERITY = "medium"
 DEFAULT_FIX = "Manual review required"
+DEFAULT_SCORE = 85
 CROSS_FIELD_CATEGORY = "cross-field relationship validation"
 
 # --- fixed values: rename suggestions starting so are not names -------------
