@@ -54,7 +54,7 @@ def count_cells(texts: DataFrame, table: np.ndarray, order: int, n_classes: int)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n_classes**order, np.int64)
-        for batch in steps(parts):
+        for batch in steps(parts, size=1_000_000):
             classes, _ = padded(*raw(batch.column("text")), table, order - 1)
             found = codes(classes, order, n_classes)
             if len(found):

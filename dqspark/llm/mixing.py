@@ -3,9 +3,11 @@
 Targets share the wanted number of words by weight, none above ``max_repeats``
 times its source.  A source's target becomes a number of equal blocks, and these
 are dealt to the source's shards by highest quotients (words of a shard over 1,
-3, 5, ...).  Within a shard the documents lie on a line in seeded order; the line
-is cut into blocks and the shard's quota of blocks is chosen by a seeded
-permutation.  Shards bound the size of every sort, a hot source has many.
+3, 5, ...).  What is left below a block, or above what a shard may give, goes to
+shards with room, so that a source gives its target to the word.  Within a shard
+the documents lie on a line in seeded order; the line is cut into blocks, which
+are taken in the order of a seeded permutation, the last one in part.  Shards
+bound the size of every sort, a hot source has many.
 """
 
 from __future__ import annotations
@@ -55,7 +57,24 @@ def targets(sources: DataFrame, share: float, weights: tuple[float, ...], max_re
     )
 
 
-def apportion(shards: DataFrame) -> DataFrame:
+def _words_of_shards(quotas: DataFrame, block_words: int, max_repeats: int) -> DataFrame:
+    """``give``, the words of each shard: its blocks as far as it may repeat, and what is left of the source's goal.
+
+    The rest fills shards in their order, each up to its limit; as a goal is never
+    above the source's limit, it always fits.
+    """
+    same = Window.partitionBy("source")
+    most = F.col("shard_words") * max_repeats
+    before = same.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        quotas.withColumn("sure_words", F.least(F.col("quota") * block_words, most))
+        .withColumn("room", most - F.col("sure_words"))
+        .withColumn("rest", F.col("goal") - F.sum("sure_words").over(same) - F.coalesce(F.sum("room").over(before), F.lit(0)))
+        .withColumn("give", F.col("sure_words") + F.least(F.col("room"), F.greatest(F.col("rest"), F.lit(0))))
+    )
+
+
+def apportion(shards: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``shards`` (source, shard, shard_words, wanted blocks) with the integer ``quota`` of each.
 
     The shard gets a block for each of the source's ``wanted`` = N highest quotients
@@ -82,7 +101,7 @@ def apportion(shards: DataFrame) -> DataFrame:
         more.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.shard") == F.col("b.shard")), "left"
     )
     return joined.select(
-        "a.source", "a.shard", "shard_words", (F.col("sure") + F.coalesce("more", F.lit(0))).alias("quota")
+        "a.source", "a.shard", "shard_words", *keep, (F.col("sure") + F.coalesce("more", F.lit(0))).alias("quota")
     )
 
 
@@ -116,18 +135,22 @@ def mix_sources(
     line = Window.partitionBy("source", "shard").orderBy("digest", "doc_id", "size")
     laid = rows.withColumn("upto", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     sums = rows.groupBy("source", "shard").agg(F.sum("size").alias("shard_words"), F.first("target").alias("target"))
-    quotas = apportion(
-        sums.withColumn("wanted", F.round(F.col("target") / block_words).cast("long")).drop("target")
-    )
+    goal = F.round(F.col("target")).cast("long")
+    quotas = apportion(sums.withColumn("wanted", F.floor(goal / block_words).cast("long")).withColumn("goal", goal), ("goal",))
+    quotas = _words_of_shards(quotas, block_words, max_repeats)
     blocks = F.ceil(F.col("shard_words") / block_words).cast("long")
-    quotas = quotas.withColumn("blocks", blocks).withColumn(
-        "quota", F.least(F.col("quota"), F.col("blocks") * F.lit(max_repeats))
-    )
     quotas = (
-        quotas.withColumn("times", F.when(F.col("blocks") > 0, F.floor(F.col("quota") / F.col("blocks"))).otherwise(0))
-        .withColumn("extra", F.col("quota") - F.col("times") * F.col("blocks"))
+        quotas.withColumn("blocks", blocks)
+        .withColumn("times", F.floor(F.col("give") / F.col("shard_words")).cast("long"))
+        .withColumn("extra", F.col("give") - F.col("times") * F.col("shard_words"))
         .withColumn("turn", digits(F.md5(F.concat_ws("|", F.lit(seed), F.col("source"), F.col("shard").cast("string"))), 1))
     )
+    # the last block of the line may be short; behind its place in the order, places begin that much earlier
+    short = F.col("blocks") * block_words - F.col("shard_words")
+    short_place = ((F.col("blocks") - 1) * F.lit(STEP) + F.col("turn")) % F.col("blocks")
+    passed = F.col("extra") >= (short_place + 1) * block_words - short
+    reach = F.col("extra") + F.when(passed, short).otherwise(0)
+    quotas = quotas.withColumn("whole", F.floor(reach / block_words).cast("long")).withColumn("part", reach % block_words)
     joined = laid.alias("l").join(
         quotas.alias("q"), F.col("l.source").eqNullSafe(F.col("q.source")) & (F.col("l.shard") == F.col("q.shard")), "left"
     )
@@ -135,9 +158,10 @@ def mix_sources(
     lit = F.lit(block_words)
 
     def words_in(b: Column) -> Column:
-        inside = F.least(high, (b + 1) * lit) - F.greatest(low, b * lit)
-        chosen = (b * F.lit(STEP) + F.col("turn")) % F.col("blocks") < F.col("extra")
-        return F.when(chosen, inside).otherwise(F.lit(0).cast("long"))
+        place = (b * F.lit(STEP) + F.col("turn")) % F.col("blocks")
+        until = F.when(place < F.col("whole"), lit).when(place == F.col("whole"), F.col("part")).otherwise(F.lit(0))
+        inside = F.least(high, b * lit + until) - F.greatest(low, b * lit)
+        return F.greatest(inside, F.lit(0)).cast("long")
 
     last = F.floor((high - 1) / lit).cast("long")
     some = F.aggregate(

@@ -128,7 +128,55 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(read(spark, sf_dir, "pages"), rules)
 
 
-@query()
+OP9_SQL = """
+WITH d AS (
+  SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS size,
+    md5(concat_ws('|', 'mix-1', CAST(doc_id AS VARCHAR))) AS digest FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+weighed AS (
+  SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS lim,
+    1.5::DOUBLE * sum(source_size) OVER () AS wanted FROM sources),
+rated AS (
+  SELECT *, (wanted - coalesce(sum(lim) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM weighed),
+goals AS (
+  SELECT source, source_size, CASE WHEN rate >= lim / weight THEN lim ELSE weight * max(CASE WHEN rate < lim / weight THEN rate END) OVER () END AS target,
+    greatest(1, CAST(ceil(source_size / 2000000) AS BIGINT)) AS shards FROM rated),
+laid AS (
+  SELECT d.*, source_size, target, CAST('0x' || digest[1:7] AS BIGINT) % shards AS shard FROM d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source),
+line AS (SELECT *, CAST(sum(size) OVER (PARTITION BY source, shard ORDER BY digest, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM laid),
+shard AS (
+  SELECT source, shard, CAST(sum(size) AS BIGINT) AS words, CAST(round(any_value(target)) AS BIGINT) AS goal FROM laid GROUP BY 1, 2 HAVING sum(size) > 0),
+tried AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY words / (2 * k + 1) DESC, shard) AS place
+  FROM (SELECT *, unnest(range(0, goal // 64 + 1)) AS k FROM shard)),
+quota AS (SELECT source, shard, words, goal, count(*) FILTER (place <= goal // 64) AS q FROM tried GROUP BY ALL),
+roomy AS (SELECT *, least(64 * q, 2 * words) AS sure, 2 * words - least(64 * q, 2 * words) AS room FROM quota),
+given AS (
+  SELECT *, sure + least(room, greatest(0, goal - sum(sure) OVER (PARTITION BY source)
+    - coalesce(sum(room) OVER (PARTITION BY source ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS give FROM roomy),
+turned AS (
+  SELECT source, shard, words, CAST(give AS BIGINT) // words AS times, CAST(give AS BIGINT) % words AS extra, -(-words // 64) AS blocks,
+    CAST('0x' || md5(concat_ws('|', 'mix-1', source, CAST(shard AS VARCHAR)))[1:7] AS BIGINT) AS turn FROM given),
+-- the blocks of a shard in the order of the permutation: each begins where the words of those before it end
+blocks AS (
+  SELECT source, shard, b, extra, least(64, words - 64 * b) AS width, ((b * 1000003) + turn) % blocks AS place
+  FROM (SELECT *, unnest(range(0, blocks)) AS b FROM turned)),
+cut AS (
+  SELECT source, shard, 64 * b AS low, 64 * b + greatest(0, least(width, extra
+    - coalesce(sum(width) OVER (PARTITION BY source, shard ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS high FROM blocks),
+bits AS (
+  SELECT l.digest, l.doc_id, l.source, l.shard, l.upto, l.size, sum(greatest(0, least(upto, high) - greatest(upto - size, low))) AS n
+  FROM line l JOIN cut c ON l.source IS NOT DISTINCT FROM c.source AND l.shard = c.shard AND c.low < l.upto AND c.high > l.upto - l.size
+  WHERE l.size > 0 GROUP BY ALL)
+SELECT l.doc_id, CAST(l.size AS BIGINT) AS size, l.source_size, l.target,
+  CAST(CASE WHEN l.size > 0 THEN t.times * l.size + coalesce(n, 0) ELSE 0 END AS BIGINT) AS taken
+FROM line l LEFT JOIN turned t ON l.source IS NOT DISTINCT FROM t.source AND l.shard = t.shard
+LEFT JOIN bits s ON l.digest = s.digest AND l.doc_id IS NOT DISTINCT FROM s.doc_id AND l.source IS NOT DISTINCT FROM s.source
+  AND l.upto = s.upto AND l.size = s.size
+"""
+
+
+@query(OP9_SQL)
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words each document gives to a mix of 150 % of all words, sources weighing 3, 1, 2."""
     mixed = mixing.mix_sources(read(spark, sf_dir, "documents"))

@@ -12,11 +12,10 @@ on counts as a letter.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,15 +28,15 @@ ORDER = 4
 CLASSES = 28
 #: Rows a lexicon is learned from at most; they are those with the least digest of the id.
 TRAIN_ROWS = 20_000
-LEXICON = 4096
 #: Least share of toxic rows among those with a lexicon entry, and how much clearer than chance it must be (nats).
 LEAST_SHARE = 0.9
-CLEARER = 4.0
+CLEARER = 0.0
 #: Lengths of word beginnings that are features, beside whole words.
 HEADS = (4, 5, 6, 7)
-#: Tokens up to this length are decoded once and remembered.
-REMEMBERED = 128
-BEAM = 12
+#: Bytes of text a step works on: its arrays take some hundred bytes a character.
+STEP = 1_000_000
+#: Tokens up to this length are decoded once and remembered, up to so many characters in a process.
+REMEMBERED, REMEMBERED_CHARACTERS = 128, 4_000_000
 
 # Letters that signs and digits stand for.
 STANDS_FOR = {
@@ -152,6 +151,9 @@ def _suspects(data: np.ndarray, bounds: np.ndarray) -> list[tuple[int, bytes]]:
         | (at(sign, -1) & at(letter, -2) & at(letter, 1))
         | ((at(blank, -1) | at(edge, 0)) & at(letter, 1) & at(letter, 2))
     )
+    # at the end of a word, where an exclamation mark is one
+    ends = at(sign, 0) & (at(blank, 1) | at(edge, 1)) & (at(low, 0) != ord("!"))
+    inside |= ends & at(letter, -2) & (at(letter, -1) | (at(sign, -1) & (at(low, -1) != ord("!"))))
     again = at(letter, 0) & (at(low, 0) == at(low, 1)) & (at(low, 0) == at(low, 2))
     body = letter | sign
     # ends of rows count as blanks for the letters set apart
@@ -213,22 +215,45 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
+class Remembered:
+    """The decoded tokens of the one model a process works with; those of an earlier model are forgotten."""
+
+    def __init__(self):
+        self.model, self.words, self.characters = None, {}, 0
+
+    def of(self, model: bytes) -> dict[str, str]:
+        if model != self.model or self.characters > REMEMBERED_CHARACTERS:
+            self.model, self.words, self.characters = model, {}, 0
+        return self.words
+
+
+_REMEMBERED = Remembered()
+
+
 class Channel:
     """Viterbi decoding of tokens under a character model (costs of all n-gram cells)."""
 
     def __init__(self, cost: np.ndarray):
         self.cost = cost
-        self.remembered = lru_cache(maxsize=200_000)(self._decode)
+        self.name = hashlib.md5(np.ascontiguousarray(cost).tobytes()).digest()
 
     def decode(self, token: str) -> str:
-        return self.remembered(token) if len(token) <= REMEMBERED else self._decode(token)
+        if len(token) > REMEMBERED:
+            return self._decode(token)
+        words = _REMEMBERED.of(self.name)
+        found = words.get(token)
+        if found is None:
+            found = words[token] = self._decode(token)
+            _REMEMBERED.characters += len(token) + len(found)
+        return found
 
     def _decode(self, token: str) -> str:
         steps_ = lattice(token)
         if sum(x is not BREAK for x in steps_) < 3:
             return ""
         cost = self.cost
-        # a state is the last three classes; each keeps its cheapest way, a chain of letters from the last back
+        # a state is the last three classes; each keeps its cheapest way, a chain of letters from the last back.
+        # No state is given up: how many there are follows from the options of three symbols.
         ways: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
         size = CLASSES ** (ORDER - 1)
         for options in steps_:
@@ -242,7 +267,7 @@ class Channel:
                         s = cell % size
                     if s not in then or c < then[s][0]:
                         then[s] = (c, (text, letters))
-            ways = dict(sorted(then.items(), key=lambda w: w[1][0])[:BEAM]) if len(then) > BEAM else then
+            ways = then
         _, way = min(((c + cost[s * CLASSES], w) for s, (c, w) in ways.items()), key=lambda x: x[0])
         out = []
         while way is not None:
@@ -334,7 +359,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def sign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(parts):
+        for batch in steps(parts, size=STEP):
             keys = pa.array(copy_keys(batch.column("text")).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), keys], names=["doc_id", "toxic", "key"])
 
@@ -346,7 +371,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
 
     def offer(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         channel = Channel(cost)
-        for batch in steps(parts):
+        for batch in steps(parts, size=STEP):
             toxic = batch.column("toxic").to_numpy()
             row, _, kinds = features(batch.column("text"), channel)
             found = [np.zeros((0, 2), np.uint64)]
@@ -374,8 +399,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     lexicon = (
         seen.select("feature", "yes", "no", weight.alias("weight"), gain.alias("gain"))
         .where(((F.col("yes") + 0.5) / (both + 1) >= LEAST_SHARE) & (F.col("gain") >= float(np.log(tried) + CLEARER)))
-        .orderBy(F.col("gain").desc(), "feature").limit(LEXICON).toPandas()
-    )
+        .orderBy(F.col("gain").desc(), "feature").toPandas()
+    )  # fmt: skip; it is at most what the train rows hold
     base = float(np.log(rate / (1 - rate))) if rate < 0.5 else -1.0
     # one entry alone should pass the middle
     base = min(base, -2.0)
@@ -387,13 +412,14 @@ def score_column(docs: DataFrame, model: Model, column: str = "text") -> Column:
     """Scores of a text column; null and empty texts get the score of a text without a hit."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in parts:
-            batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], names=["text"])
-            scores = [sent.value.score(part.column("text")) for part in steps(iter([batch]))]
-            yield pd.Series(np.concatenate(scores) if scores else np.zeros(0))
+    @F.arrow_udf("double")
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+            found = [sent.value.score(part.column("text")) for part in steps(iter([batch]), size=STEP)]
+            yield pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())
 
-    return F.pandas_udf(run, "double")(F.col(column))
+    return scores(F.col(column))
 
 
 def classify(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:

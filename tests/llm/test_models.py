@@ -216,6 +216,76 @@ def test_letters_set_apart():
     assert channel.decode("you,idi0t") == "you idiot"
 
 
+def _best_reading(token, channel):
+    """The cheapest of all readings, one after another."""
+    import itertools
+
+    cost, size = channel.cost, toxicity.CLASSES ** (toxicity.ORDER - 1)
+    best = (float("inf"), "")
+    for choice in itertools.product(*toxicity.lattice(token)):
+        state, spent = 0, 0.0
+        for letters, extra in choice:
+            spent += extra
+            for x in letters:
+                cell = state * toxicity.CLASSES + (ord(x) - 96 if "a" <= x <= "z" else 0 if x == " " else 27)
+                spent += cost[cell]
+                state = cell % size
+        best = min(best, (spent + cost[state * toxicity.CLASSES], "".join(w for w, _ in choice)))
+    return best
+
+
+def test_decoder_finds_the_cheapest_reading():
+    """Against all readings of lattices with many options a symbol; no state may be given up on the way."""
+    rng = np.random.default_rng(4)
+    counts = np.zeros(toxicity.CLASSES**4)
+    counts[rng.integers(0, len(counts), 60_000)] += rng.integers(1, 9, 60_000)
+    channel = toxicity.Channel(-np.log(charmodel.kneser_ney(counts, 4, 28)))
+    for _ in range(60):
+        token = "".join(rng.choice(list("ab1170|$@+zz--5"), rng.integers(3, 9)))
+        if sum(x is not toxicity.BREAK for x in toxicity.lattice(token)) < 3:
+            continue
+        least, text = _best_reading(token, channel)
+        got = channel.decode(token)
+        assert got == text or abs(least - _cost_of(got, token, channel)) < 1e-4
+
+
+def _cost_of(text, token, channel):
+    """The least cost at which a lattice reads as ``text``."""
+    import itertools
+
+    cost, size = channel.cost, toxicity.CLASSES ** (toxicity.ORDER - 1)
+    best = float("inf")
+    for choice in itertools.product(*toxicity.lattice(token)):
+        if "".join(w for w, _ in choice) != text:
+            continue
+        state, spent = 0, sum(e for _, e in choice)
+        for x in text:
+            cell = state * toxicity.CLASSES + (ord(x) - 96 if "a" <= x <= "z" else 0 if x == " " else 27)
+            spent += cost[cell]
+            state = cell % size
+        best = min(best, spent + cost[state * toxicity.CLASSES])
+    return best
+
+
+def test_signs_at_word_ends_are_suspects():
+    def found(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return [t.decode() for _, t in toxicity._suspects(data, np.array([0, len(data)]))]
+
+    assert found("you idio7 and") == ["idio7"] and found("idio+") == ["idio+"] and found("a$$ b") == ["a$$"]
+    assert found("well done! yes") == []
+
+
+def test_remembered_words_belong_to_one_model():
+    rng = np.random.default_rng(1)
+    for seed in range(3):
+        counts = np.zeros(toxicity.CLASSES**4)
+        counts[rng.integers(0, len(counts), 5000)] += 1 + seed
+        channel = toxicity.Channel(-np.log(charmodel.kneser_ney(counts, 4, 28)))
+        assert channel.decode("b4d") == channel._decode("b4d")
+    assert list(toxicity._REMEMBERED.words) == ["b4d"]
+
+
 def test_toxicity_odd_labels(spark, learned):
     docs, labels = learned
     few = docs.limit(5)
@@ -229,3 +299,13 @@ def test_toxicity_on_the_tables(spark):
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.classify(docs, labels).join(labels, "doc_id").where("toxic = 0").collect()
     assert sum(r["predicted"] for r in rows) <= 0.02 * len(rows)
+
+
+def test_toxicity_recall_on_held_out_rows(spark):
+    """At a tenth of the scale: most toxic rows that were not learned from are found, hardly any other."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    labelled = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    rows = toxicity.classify(labelled, labels).join(labels, "doc_id").where("held_out").collect()
+    toxic, clean = ([r["predicted"] for r in rows if r["toxic"] == t] for t in (1, 0))
+    assert sum(toxic) >= 0.88 * len(toxic) and sum(clean) <= 0.01 * len(clean)
