@@ -155,7 +155,7 @@ given AS (
   SELECT *, sure + least(room, greatest(0, goal - sum(sure) OVER (PARTITION BY source)
     - coalesce(sum(room) OVER (PARTITION BY source ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS give FROM roomy),
 turned AS (
-  SELECT source, shard, words, CAST(give AS BIGINT) // words AS times, CAST(give AS BIGINT) % words AS extra, -(-words // 64) AS blocks,
+  SELECT source, shard, words, CAST(give AS BIGINT) // words AS times, CAST(give AS BIGINT) % words AS extra, (words + 63) // 64 AS blocks,
     CAST('0x' || md5(concat_ws('|', 'mix-1', source, CAST(shard AS VARCHAR)))[1:7] AS BIGINT) AS turn FROM given),
 -- the blocks of a shard in the order of the permutation: each begins where the words of those before it end
 blocks AS (
