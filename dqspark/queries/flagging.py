@@ -319,3 +319,51 @@ def flag_texts(spark, sf_dir):
     status = F.col("flag_status")
     data = _run(spark, sf_dir).data
     return data.select("booking_id", flags_text(status).alias("flags"), binary_text(status, 8).alias("bits"))
+
+
+WIDE_RULES = 200
+WIDE = f"""
+WITH p AS (SELECT o_orderkey, list_sort(list_distinct(list_filter([o_orderkey % 211, o_custkey % 97], lambda x: x < {WIDE_RULES}))) AS p FROM orders)
+"""
+
+
+def _wide_run(spark, sf_dir):
+    from dqspark.operators.wideflags import flag_rows_wide
+
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    code = "o_orderkey % 211 = {0} OR o_custkey % 97 = {0}"
+    columns = ("o_orderkey", "o_custkey")
+    return flag_rows_wide(orders, [rules.Rule(code.format(i), columns, f"remainder {i}") for i in range(WIDE_RULES)])
+
+
+@query(WIDE + "SELECT o_orderkey, CAST(len(p) AS INTEGER) AS n_flags, array_to_string(p, ',') AS positions FROM p")
+def wide_flag_rows(spark, sf_dir):
+    """Two hundred rules on every row."""
+    from dqspark.operators import wideflags as wide
+
+    words = F.col("flag_words")
+    positions = F.array_join(wide.positions(words), ",")
+    return _wide_run(spark, sf_dir).data.select("o_orderkey", wide.count_flags(words).alias("n_flags"), positions.alias("positions"))
+
+
+@query(WIDE + """
+, n AS (SELECT unnest(p) AS position, o_orderkey FROM p)
+SELECT CAST(r.i AS INTEGER) AS position, count(n.position) AS rows_detected, true AS success, 'remainder ' || r.i AS explanation
+FROM (SELECT unnest(range(200)) AS i FROM (SELECT count(*) FROM orders)) r LEFT JOIN n ON n.position = r.i GROUP BY r.i
+""")
+def wide_rule_results(spark, sf_dir):
+    """Rows per rule, of two hundred."""
+    return _wide_run(spark, sf_dir).rule_results().select("position", "rows_detected", "success", "explanation")
+
+
+@query(WIDE + """
+SELECT array_to_string(p, ',') AS positions, count(*) AS row_count,
+  '1' || array_to_string(list_transform(range(p[-1]), lambda i: CASE WHEN list_contains(p, p[-1] - 1 - i) THEN '1' ELSE '0' END), '') AS binary_representation
+FROM p WHERE len(p) > 0 GROUP BY p
+""")
+def wide_flag_combos(spark, sf_dir):
+    """Combinations of flags beyond 63 bits."""
+    from dqspark.operators.wideflags import flag_combinations as wide_combinations
+
+    found = wide_combinations(_wide_run(spark, sf_dir).data, WIDE_RULES)
+    return found.select(F.array_join("positions", ",").alias("positions"), "row_count", "binary_representation")
