@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
+from threading import RLock
 
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
@@ -330,20 +331,25 @@ def numbered(rules: Sequence[Rule]) -> list[Rule]:
     return [r if r.flag_value else replace(r, flag_value=next(free)) for r in rules]
 
 
+_ONE_AT_A_TIME = RLock()
+
+
 @contextmanager
 def lenient(spark: SparkSession) -> Iterator[None]:
     """Analyse rules so that a value they cannot be applied to gives NULL and no error.
 
     Whether a cast or division may fail is settled when an expression is
-    analysed, so one bad value does not stop the other rules later.
+    analysed, so one bad value does not stop the other rules later.  The setting
+    is the session's, so threads take turns: none puts back what another has set.
     """
     key = "spark.sql.ansi.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    with _ONE_AT_A_TIME:
+        before = spark.conf.get(key)
+        spark.conf.set(key, "false")
+        try:
+            yield
+        finally:
+            spark.conf.set(key, before)
 
 
 def _forbidden(df: DataFrame, text: str) -> str:

@@ -62,3 +62,22 @@ def test_headers_are_held_together(spark, tmp_path):
     (tmp_path / "b.csv").write_text("y,x\nc,3\n")
     with pytest.raises(Exception, match="(?i)header"):
         read_csv(spark, str(tmp_path), "x string, y string").collect()
+
+
+def test_rules_are_checked_from_several_threads(spark, df):
+    """Threads that check and flag at once leave the session's setting as it was and get their own results."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    key = "spark.sql.ansi.enabled"
+    before = spark.conf.get(key)
+
+    def work(i):
+        bad = rules.check_rule(df, Rule("no_such_function(n)", ("n",), "r"))
+        good = rules.check_rule(df, Rule(f"`from` > {i}", ("from",), "r"))
+        rows = flags.flag_rows(df, [Rule(f"`from` > {i}", ("from",), "r"), Rule("1 / n > 0", ("n",), "r")]).data.collect()
+        return bool(bad), good, sorted(r["flag_status"] for r in rows)
+
+    with ThreadPoolExecutor(6) as pool:
+        got = list(pool.map(work, range(12)))
+    assert all(g == (True, "", [0, 0, 3 if i < 7 else 2]) for i, g in enumerate(got))
+    assert spark.conf.get(key) == before
