@@ -88,7 +88,7 @@ def test_stages_take_an_empty_table(spark, tables):
 
 def test_registered():
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(QUERIES) == set(names) and set(ORACLE) <= set(names)
     assert "pipeline" in entry.queries()
 
