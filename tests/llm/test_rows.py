@@ -6,6 +6,8 @@ import hashlib
 import html as html_module
 import random
 import re
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -133,6 +135,55 @@ def test_secrets_declarations(line):
     assert secrets.redact_text(text) == line.format('"[SECRET]"'), secrets.scan_text(text)
 
 
+@pytest.mark.parametrize(
+    "line",
+    [
+        'signing_key = b"{}"', 'app.secret_key = b"{}"', 'signing_key = f"{}"', 'signing_key = """{}"""', "signing_key = '''\n{}\n'''",
+        'db_pwd = ("{}")', "<passphrase>{}</passphrase>", '<add key="db_pwd" value="{}"/>', '<property name="db_pwd">\n  {}\n</property>',
+        'signing_key=\n  "{}"', 'db_pwd = os.getenv("DB_PWD_NAME_1", "{}")', 'db_pwd = env.get("DB_PWD", default="{}")', 'db_pwd = os.environ.get("X") or "{}"',
+        "db_pwd: |\n  {}\nnext: 5", 'db_pwd = new SecureString("{}")', "z" * 300 + '_pwd = "{}"',
+    ],
+)
+def test_secrets_forms_of_values(line):
+    text = line.format("q9Xv7LmZ2pTk4Rw8")
+    assert secrets.redact_text(text) == line.format("[SECRET]"), secrets.scan_text(text)
+
+
+def test_secrets_of_several_literals():
+    assert secrets.redact_text('db_pwd = "q9Xv7LmZ" "2pTk4Rw8"\nx') == "db_pwd = [SECRET]\nx"
+    assert secrets.redact_text('db_pwd = ("q9Xv7LmZ"\n  "2pTk4Rw8")') == "db_pwd = ([SECRET])"
+    assert secrets.redact_text('db_pwd = ["q9Xv7LmZ2pTk4Rw8", "a9Xv7LmZ2pTk4Rw7"]') == 'db_pwd = ["[SECRET]", "[SECRET]"]'
+    key = "signing_key: |\n  MIIEpAIBAAKCAQEA7bq\n  q9Xv7LmZ2pTk4Rw8aaa\nnext: 5"
+    assert secrets.redact_text(key) == "signing_key: |\n  [SECRET]\nnext: 5"
+
+
+def test_secrets_phrases_and_what_is_none():
+    assert secrets.redact_text('passphrase = "correct horse battery staple"') == 'passphrase = "[SECRET]"'
+    for text in (
+        'db_pwd = getpass("Enter your pass word here")', 'pwd: "The words do not match"', 'signing_key = load("a")', "db_pwd = settings[0]",
+        'db_pwd = os.getenv("DB_PWD_NAME_17")', "<passphrase></passphrase>", "db_pwd: |\n", 'db_pwd = "', 'db_pwd = """', "db_pwd = (", "db_pwd = a +",
+    ):
+        assert secrets.scan_text(text) == [], text
+
+
+def test_secrets_joined_over_and_over():
+    """Constants are counts and links: doubling one ten thousand times takes the memory of its lines."""
+    tracemalloc.start()
+    text = 'x = "aaaa9b7c"\n' + "x = x + x\n" * 10_000 + "db_pwd = x\n"
+    assert {r["kind"] for r in secrets.scan_text(text)} == {"propagated", "constant"}
+    assert tracemalloc.get_traced_memory()[1] < 50_000_000
+    tracemalloc.stop()
+    text = 'x = "q9"\n' + "".join(f'x = x + "q{i}"\n' for i in range(3000)) + "db_pwd = x\n" * 300
+    assert sum(r["kind"] == "constant" for r in secrets.scan_text(text)) == 3001
+
+
+@pytest.mark.parametrize("part", ["a.", "a=", "a=(", 'a="""', 'a=f("x",', "a: b | ", "pwd = `", "pwd =\n", "pwd = a or ", "<pwd>", "pwd=a", "pwd = "])
+def test_secrets_long_repetitive_texts(part):
+    started = time.process_time()
+    secrets.scan_text(part * 40_000)
+    assert time.process_time() - started < 20
+
+
 def test_secrets_names_and_plain_values():
     for name in secrets.NAME_PARTS:
         assert "q9Xv7LmZ2pTk4Rw8" not in secrets.redact_text(f'x {name} = "q9Xv7LmZ2pTk4Rw8" y'), name
