@@ -1,19 +1,23 @@
 """Stratified sample of suspicious rows.
 
-Every row names the strata it belongs to; one window with a row limit keeps
-the first rows of each.  Spark applies that limit before the shuffle, so a
-stratum that holds most of the table costs no more than a small one.  All later
-steps work on these few candidates.
+Every row names the strata it belongs to; each task keeps the first rows of
+every stratum in a buffer of bounded size while it reads, so marked rows are
+neither sorted nor shuffled, and a stratum that holds most of the table costs no
+more than a small one.  Buffers are merged in parts of a stratum, then whole.
+All later steps work on these few candidates.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dqspark import values as V
 from dqspark.operators import rules, stats
@@ -21,6 +25,13 @@ from dqspark.operators.columns import col, columns_of, known, missing_count
 
 RANDOM, ISSUE, CONTRADICTION = "random", "issue", "contradiction"
 GROUPS = (RANDOM, ISSUE, CONTRADICTION)
+#: Types of keys whose order is the same in the buffers as in Spark.
+BUFFERED = (
+    T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType,
+    T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType,
+)
+#: Parts in which the buffers of a stratum are merged first.
+MERGE_PARTS = 32
 
 
 @dataclass(frozen=True)
@@ -98,17 +109,66 @@ def candidates(df: DataFrame, keys: Sequence[str], strata: Sequence[Stratum]) ->
     ]
     plain = [(i, s) for i, s in enumerate(strata) if s.seed is None]
     if plain:
-        marks = [F.when(s.condition, F.lit(i)) for i, s in plain]
-        # explode_outer, as explode makes Spark compute all conditions once more in a filter below
-        rows = df.select(*names, F.explode_outer(F.array_compact(F.array(*marks))).alias("stratum"))
+        buffered = all(isinstance(t, BUFFERED) or t == T.StringType() for t in (df.schema[k].dataType for k in keys))
+        rows = _buffered(df, keys, plain) if buffered else _marked(df, keys, plain)
         order = Window.partitionBy("stratum").orderBy(*names)
         caps = F.element_at(F.array(*[F.lit(s.cap) for s in strata]), F.col("stratum") + 1)
-        placed = rows.where(F.col("stratum").isNotNull()).withColumn("at", F.row_number().over(order))
+        placed = rows.withColumn("at", F.row_number().over(order))
         # the literal limit is what Spark can apply before the shuffle
         parts.append(placed.where(F.col("at") <= max(s.cap for _, s in plain)).where(F.col("at") <= caps))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _strata_of(plain: Sequence[tuple[int, Stratum]]) -> Column:
+    return F.array_compact(F.array(*[F.when(s.condition, F.lit(i)) for i, s in plain]))
+
+
+def _marked(df: DataFrame, keys: Sequence[str], plain: Sequence[tuple[int, Stratum]]) -> DataFrame:
+    """Keys and stratum of every marked row."""
+    # explode_outer, as explode makes Spark compute all conditions once more in a filter below
+    rows = df.select(*[col(k) for k in keys], F.explode_outer(_strata_of(plain)).alias("stratum"))
+    return rows.where(F.col("stratum").isNotNull())
+
+
+def _buffered(df: DataFrame, keys: Sequence[str], plain: Sequence[tuple[int, Stratum]]) -> DataFrame:
+    """Keys and stratum of a few rows of each stratum, its first ``cap`` rows in key order among them."""
+    caps = {i: s.cap for i, s in plain}
+    held = [f"key_{i}" for i in range(len(keys))]
+    kinds = [df.schema[k].dataType for k in keys]
+    # nulls come first, not-a-number last, as in Spark
+    ranks = [
+        F.when(c.isNull(), 0).when(F.isnan(c) if isinstance(t, (T.FloatType, T.DoubleType)) else F.lit(False), 2).otherwise(1)
+        for c, t in zip((col(k) for k in keys), kinds)
+    ]
+    fields = [T.StructField(h, t) for h, t in zip(held, kinds)] + [T.StructField(f"rank_{i}", T.IntegerType()) for i in range(len(keys))]
+    order = [(f"{part}_{i}", "ascending") for i in range(len(keys)) for part in ("rank", "key")]
+    columns = [f.name for f in fields]
+
+    def first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, pa.Table] = {}
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            row, number = pc.list_parent_indices(batch.column("strata")), pc.list_flatten(batch.column("strata"))
+            for i in pc.unique(number).to_pylist():
+                rows = table.select(columns).take(row.filter(pc.equal(number, i)))
+                rows = pa.concat_tables([best[i], rows]) if i in best else rows
+                if rows.num_rows > caps[i]:
+                    rows = rows.take(pc.sort_indices(rows, sort_keys=order)[: caps[i]])
+                best[i] = rows.combine_chunks()
+        for i, rows in best.items():
+            numbers = pa.array([[i]] * rows.num_rows, pa.list_(pa.int32()))
+            yield from rows.append_column("strata", numbers).to_batches()
+
+    schema = T.StructType([*fields, T.StructField("strata", T.ArrayType(T.IntegerType()))])
+    rows = df.select(
+        *[col(k).alias(h) for k, h in zip(keys, held)], *[r.alias(f"rank_{i}") for i, r in enumerate(ranks)], _strata_of(plain).alias("strata")
+    )
+    # what a task has kept meets the rest of its part, so the last step sees few rows of any number of tasks
+    part = F.pmod(F.spark_partition_id(), F.lit(MERGE_PARTS))
+    first = rows.mapInArrow(first_rows, schema).repartition("strata", part).mapInArrow(first_rows, schema)
+    return first.select(*[F.col(h).alias(k) for h, k in zip(held, keys)], F.col("strata")[0].alias("stratum"))
+
+
 def _first_shuffled(df: DataFrame, keys: Sequence[str], number: int, stratum: Stratum) -> DataFrame:
     names = [col(k) for k in keys]
     rows = df.where(stratum.condition).select(*names, random_order(keys, stratum.seed).alias("shuffled"))

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import datetime
+import decimal
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from dqspark.operators import analyze, conversation, sample
 from dqspark.operators.analyze import AnalysisSpec, Metric, answer
@@ -40,6 +43,25 @@ def test_limit_is_applied_before_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") >= 2
 
 
+def test_marked_rows_are_kept_in_buffers(spark):
+    """No sort below the first buffer, and the same rows as by sorting all marked ones."""
+    values = [None, float("nan"), float("inf"), -0.0, 0.0, -1.5, 2.0]
+    rows = [(values[i % 7], f"ä{i % 11}" if i % 13 else None, decimal.Decimal(i * 37 % 1009) / 100, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "d double, s string, m decimal(10,2), i int").repartition(6)
+    strata = [sample.Stratum("issue", "all", F.lit(True), 50), sample.Stratum("issue", "odd", F.col("i") % 2 == 1, 7), sample.Stratum("issue", "no", F.lit(False), 5)]
+    for keys in (["d", "s", "i"], ["s", "m", "i"], ["m", "i"], ["i"]):
+        got = sample.candidates(df, keys, strata)
+        whole = sample._marked(df, keys, list(enumerate(strata)))
+        at = F.row_number().over(Window.partitionBy("stratum").orderBy(*keys))
+        want = whole.withColumn("at", at).where("at <= IF(stratum = 0, 50, 7)")
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())), keys
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan[plan.rindex("MapInArrow") :]
+    assert sample.candidates(df.limit(0), ["i"], strata).count() == 0
+    pairs = df.select(F.struct("i", "s").alias("p"), "i")  # a key of another type
+    assert sample.candidates(pairs, ["p"], strata).groupBy("stratum").count().orderBy("stratum").collect() == [(0, 50), (1, 7)]
+
+
 def test_month_names_in_calendar_order(spark):
     days = [datetime.date(2023, m, 1) for m in (3, 1, 1, 12)] + [datetime.date(2024, 1, 5)]
     df = spark.createDataFrame([(d, 1) for d in days], "d date, flag_status int")
