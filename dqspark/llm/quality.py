@@ -1,11 +1,13 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
 
 Units are words, the order is 2.  Pairs of words of the trusted texts are counted
-by a group-by; the tables of pairs and words grow with the corpus and stay
-distributed.  Documents are dealt to shards; the distinct words and pairs of a
-shard are joined to the tables, and what was found comes back to the shard, where
-it is summed per document.  Below the words lies a model of characters (40
-classes of bytes, order 4), which spells words that no trusted text holds.
+in buckets of their hashes; the tables of pairs and words grow with the corpus and
+stay distributed.  Documents are dealt to shards.  A shard asks each bucket for its
+distinct words and pairs, as one sorted array, and the counts come back in the same
+order, so that nothing but the counts travels back; they are summed per document.
+Shards take turns in rounds, so that the disk holds the questions of one round only.
+Below the words lies a model of characters (40 classes of bytes, order 4), which
+spells words that no trusted text holds.
 Perplexities are per byte.  Those of trusted documents that were held out of the
 counts give each language its limit: the quantile at which the shares of good
 documents lost and of bad ones kept are least together.
@@ -14,6 +16,7 @@ documents lost and of bad ones kept are least together.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dqspark.llm.charmodel import codes, count_cells, dense, kneser_ney, padded, raw
-from dqspark.llm.common import Words, mix, small_batches, steps, store
+from dqspark.llm.common import Words, brief_shuffles, mix, small_batches, steps, store
 
 ORDER = 4
 CLASSES = 40
@@ -34,6 +37,14 @@ STEP = 0.001
 BROADCAST_IDS = 500_000
 #: Bytes of text in a shard, about.
 SHARD_BYTES = 8_000_000
+#: Turns that the shards take; all documents are scored, a part of them in each.
+ROUNDS = 6
+#: Bytes of text whose pairs make a bucket of the counts, about.
+BUCKET_BYTES = 2_000_000
+#: Words whose pairs a task combines before it hands them on.
+COUNT_WORDS = 2_000_000
+#: Bytes of text that are hashed at a time, so that what that takes stays in the processor's cache.
+STEP_BYTES = 500_000
 
 _BEGIN = np.uint64(0x5851F42D4C957F2D)
 _TURN = np.uint64(0xD1342543DE82EF95)
@@ -68,102 +79,311 @@ def _pairs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return before, own, mix(before * _TURN + own)
 
 
-def count_pairs(texts: DataFrame) -> DataFrame:
-    """(context, word, gram, n) of every pair of words of ``texts`` (text) that occurs."""
+def _sorted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and the place of each value among them."""
+    order = np.argsort(x)
+    ordered = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    place = np.empty(len(x), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ordered[new], place
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return x[new]
+
+
+def _buckets(grams: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the buckets among sorted hashes, by their upper half; and the buckets that are not empty."""
+    at = ((grams >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    bounds = np.searchsorted(at, np.arange(buckets + 1, dtype=np.uint64))
+    return bounds, np.flatnonzero(np.diff(bounds))
+
+
+def _text_bytes(texts: DataFrame) -> int:
+    return texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def _joined(column: pa.ChunkedArray | pa.Array, kind: type) -> np.ndarray:
+    """The arrays of a column of binaries, one behind another."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _planes(grams: np.ndarray) -> bytes:
+    """First bytes of all, second bytes of all, ...: those of sorted hashes that change little take little room."""
+    return grams.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).reshape(-1)
+
+
+PACKED = "bucket long, context binary, word binary, n binary"
+
+
+def _row(bucket: int, context: np.ndarray, word: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """A row of pairs that are in order of their contexts, as equal ones side by side take less room."""
+    columns = [pa.array([bucket], pa.int64()), *(pa.array([x.astype(k).tobytes()], pa.binary()) for x, k in ((context, np.uint64), (word, np.uint64), (n, np.int64)))]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "context", "word", "n"])
+
+
+def pack_counts(texts: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """Every pair of words of ``texts`` (text) that occurs, with its count: arrays of pairs, a row for each bucket of hashes."""
+    buckets = max(1, -(-_text_bytes(texts) // bucket_bytes))
+
+    def packed(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        before, own, both = (np.concatenate(x) for x in zip(*found))
+        grams, place = _sorted(both)
+        first = np.empty(len(grams), np.int64)
+        first[place] = np.arange(len(both))
+        n = np.bincount(place, minlength=len(grams))
+        bounds, some = _buckets(grams, buckets)
+        for i in some:
+            at = first[bounds[i] : bounds[i + 1]]
+            order = np.argsort(before[at], kind="stable")
+            yield _row(i, before[at][order], own[at][order], n[bounds[i] : bounds[i + 1]][order])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, ...]] = []
+        for batch in steps(parts, size=STEP_BYTES):
+            found.append(_pairs(Words(batch.column("text"))))
+            if sum(len(x[0]) for x in found) >= COUNT_WORDS:
+                yield from packed(found)
+                found = []
+        if found:
+            yield from packed(found)
+
+    def merge(table: pa.Table) -> pa.Table:
+        before, own = (_joined(table[c], np.uint64) for c in ("context", "word"))
+        order = np.lexsort((own, before))
+        before, own, n = before[order], own[order], _joined(table["n"], np.int64)[order]
+        new = np.ones(len(n), bool)
+        new[1:] = (before[1:] != before[:-1]) | (own[1:] != own[:-1])
+        return pa.Table.from_batches([_row(table["bucket"][0].as_py(), before[new], own[new], np.add.reduceat(n, np.flatnonzero(new)))])
+
+    return texts.select("text").mapInArrow(run, PACKED).groupBy("bucket").applyInArrow(merge, PACKED)
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for row in zip(*(batch.column(c).to_pylist() for c in ("context", "word", "n"))):
+        yield tuple(np.frombuffer(x, k) for x, k in zip(row, (np.uint64, np.uint64, np.int64)))
+
+
+def count_pairs(texts: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(context, word, n) of every pair of words of ``texts`` (text) that occurs."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            for context, word, n in _unpacked(batch):
+                yield pa.RecordBatch.from_arrays([context.view(np.int64), word.view(np.int64), n], names=["context", "word", "n"])
+
+    return pack_counts(texts, bucket_bytes).mapInArrow(run, "context long, word long, n long")
+
+
+def _packed_rows(pairs: DataFrame) -> DataFrame:
+    """Rows of pairs as ``pack_counts`` gives them."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            context, word, n = (batch.column(c).to_numpy() for c in ("context", "word", "n"))
+            order = np.argsort(context)
+            yield _row(0, context[order].view(np.uint64), word[order].view(np.uint64), n[order])
+
+    return pairs.select("context", "word", "n").mapInArrow(run, PACKED)
+
+
+def _few_counts(pairs: DataFrame) -> DataFrame:
+    """(n, count): how many pairs occur once, twice, three and four times."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(parts):
-            before, own, both = _pairs(Words(batch.column("text")))
-            _, at, n = np.unique(both, return_index=True, return_counts=True)
-            hashes = [pa.array(x[at].view(np.int64)) for x in (before, own, both)]
-            yield pa.RecordBatch.from_arrays([*hashes, pa.array(n, pa.int64())], names=["context", "word", "gram", "n"])
+        for batch in parts:
+            for *_, n in _unpacked(batch):
+                found = np.bincount(np.minimum(n, 5), minlength=6)[1:5]
+                yield pa.RecordBatch.from_arrays([np.arange(1, 5), found], names=["n", "count"])
+
+    return pairs.mapInArrow(run, "n long, count long").groupBy("n").agg(F.sum("count").alias("count"))
 
-    found = texts.select("text").mapInArrow(run, "context long, word long, gram long, n long")
-    return found.groupBy("gram").agg(F.first("context").alias("context"), F.first("word").alias("word"), F.sum("n").alias("n"))
 
+def _word_counts(pairs: DataFrame) -> DataFrame:
+    """(gram, n, total, one, two, more) of every word: pairs it ends, occurrences as a context, pairs it begins by their count."""
+    names = ["gram", "n", "total", "one", "two", "more"]
 
-def _discount(counts: DataFrame) -> Column:
-    """The three discounts of modified Kneser-Ney for a column ``n``, from the counts of counts."""
-    few = {r["n"]: float(r["count"]) for r in counts.where("n <= 4").groupBy("n").count().collect()}
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            for context, word, n in _unpacked(batch):
+                grams, place = _sorted(np.concatenate((context, word)))
+                begins, ends = place[: len(n)], place[len(n) :]
+                total = np.zeros(len(grams), np.int64)
+                np.add.at(total, begins, n)
+                kinds = [np.bincount(begins[x], minlength=len(grams)) for x in (n == 1, n == 2, n > 2)]
+                columns = [grams.view(np.int64), np.bincount(ends, minlength=len(grams)), total, *kinds]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    found = pairs.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return found.groupBy("gram").agg(*(F.sum(c).alias(c) for c in names[1:]))
+
+
+def _discounts(counts: DataFrame) -> list[float]:
+    """The three discounts of modified Kneser-Ney from the counts of counts (n, count)."""
+    few = {r["n"]: float(r["count"]) for r in counts.collect()}
     n = [few.get(i, 0.0) for i in range(1, 5)]
     y = n[0] / (n[0] + 2 * n[1]) if n[0] + n[1] else 0.5
-    off = [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.0), float(i)) if n[i - 1] else 0.5 for i in range(1, 4)]
-    return F.when(F.col("n") == 1, off[0]).when(F.col("n") == 2, off[1]).otherwise(off[2])
+    return [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.0), float(i)) if n[i - 1] else 0.5 for i in range(1, 4)]
 
 
-def facts_of(pairs: DataFrame) -> tuple[DataFrame, float]:
-    """(gram, part, total, spare) of every pair and word, and the share left to the model of characters.
+def facts_of(pairs: DataFrame, off: list[float]) -> tuple[DataFrame, float]:
+    """(gram, part, total, spare) of every word, and the share left to the model of characters.
 
-    A pair's ``part`` is its count less the discount.  A word's is its share by
-    distinct words before it; ``total`` and ``spare`` are what it counts as a
-    context and the share it leaves to the words alone.
+    A word's ``part`` is its share by distinct words before it; ``total`` and ``spare``
+    are what it counts as a context and the share it leaves to the words alone; total
+    is 0 if it is none.
     """
-    off = _discount(pairs)
-    none = F.lit(None).cast("double")
-    own = pairs.select("gram", (F.col("n") - off).alias("part"), none.alias("total"), none.alias("spare"))
-    contexts = pairs.groupBy(F.col("context").alias("gram")).agg(F.sum("n").cast("double").alias("total"), F.sum(off).alias("off"))
-    words = store(pairs.groupBy(F.col("word").alias("gram")).agg(F.count(F.lit(1)).alias("n")))
-    low = _discount(words)
-    sums = words.agg(F.sum("n").alias("n"), F.sum(low).alias("off")).first()
-    if not sums["n"]:
-        return own, 1.0
-    both = words.join(contexts, "gram", "full").select(
-        "gram", F.coalesce((F.col("n") - low) / float(sums["n"]), F.lit(0.0)).alias("part"), "total", (F.col("off") / F.col("total")).alias("spare")
+    words = store(_word_counts(pairs))
+    low = _discounts(words.where("n BETWEEN 1 AND 4").groupBy("n").count())
+    less = F.when(F.col("n") == 1, low[0]).when(F.col("n") == 2, low[1]).otherwise(low[2])
+    sums = words.where("n > 0").agg(F.sum("n").alias("n"), F.sum(less).alias("off")).first()
+    left = F.col("one") * off[0] + F.col("two") * off[1] + F.col("more") * off[2]
+    facts = words.select(
+        "gram", F.when(F.col("n") > 0, (F.col("n") - less) / float(sums["n"] or 1)).otherwise(0.0).alias("part"),
+        F.col("total").cast("double").alias("total"), F.when(F.col("total") > 0, left / F.col("total")).otherwise(1.0).alias("spare"),
+    )
+    return facts, (sums["off"] / sums["n"] if sums["n"] else 1.0)
+
+
+def _packed_pairs(pairs: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, grams, facts): sorted hashes of pairs and their counts."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            for context, word, n in _unpacked(batch):
+                yield _packed(mix(context * _TURN + word), [n.astype(np.float64)], buckets, 0)
+
+    return pairs.mapInArrow(run, "bucket long, grams binary, facts binary")
+
+
+def _packed_words(facts: DataFrame, buckets: int) -> DataFrame:
+    """The same of words, in buckets of their own; three facts each."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            known = [batch.column(c).to_numpy() for c in ("part", "total", "spare")]
+            yield _packed(batch.column("gram").to_numpy().view(np.uint64), known, buckets, buckets)
+
+    return facts.mapInArrow(run, "bucket long, grams binary, facts binary")
+
+
+def _packed(grams: np.ndarray, facts: list[np.ndarray], buckets: int, first: int) -> pa.RecordBatch:
+    order = np.argsort(grams)
+    grams, known = grams[order], np.stack([x[order] for x in facts], 1)
+    bounds, some = _buckets(grams, buckets)
+    cut = [slice(bounds[i], bounds[i + 1]) for i in some]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(some + first, pa.int64()), pa.array([_planes(grams[c]) for c in cut], pa.binary()), pa.array([known[c].tobytes() for c in cut], pa.binary())],
+        names=["bucket", "grams", "facts"],
     )
-    return own.unionByName(both), sums["off"] / sums["n"]
 
 
-def score(docs: DataFrame, model: np.ndarray, pairs: DataFrame, order: int = ORDER, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(doc_id, lang, nats) of every row: mean negative log probability of a byte, null without text."""
-    facts, rest = facts_of(pairs)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def score(docs: DataFrame, model: np.ndarray, pairs: DataFrame, order: int = ORDER, shard_bytes: int = SHARD_BYTES, rounds: int = ROUNDS) -> DataFrame:
+    """(doc_id, lang, nats) of every row by the counts ``pairs`` (context, word, n), see ``score_packed``."""
+    return score_packed(docs, model, store(_packed_rows(pairs)), order, shard_bytes, rounds)
+
+
+def score_packed(docs: DataFrame, model: np.ndarray, pairs: DataFrame, order: int = ORDER, shard_bytes: int = SHARD_BYTES, rounds: int = ROUNDS) -> DataFrame:
+    """(doc_id, lang, nats) of every row: mean negative log probability of a byte, null without text.
+
+    ``pairs`` are stored counts as ``pack_counts`` gives them.
+    """
+    spark = docs.sparkSession
+    off = _discounts(_few_counts(pairs))
+    facts, rest = facts_of(pairs, off)
+    less = np.array([0.0, *off])
+    sent = spark.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = _text_bytes(docs)
     shards = max(1, -(-size // shard_bytes))
-    dealt = docs.select("doc_id", "lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).alias("shard"))
+    buckets = -(-shards // 2)
+    shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards))
+    dealt = docs.select("doc_id", "lang", "text", shard.alias("shard"))
+
+    def hashed(table: pa.Table) -> list[tuple]:
+        out = []
+        for batch in steps(iter(table.select(["doc_id", "lang", "text"]).to_batches()), size=STEP_BYTES):
+            words = Words(batch.column("text"))
+            out.append((batch, words, *_pairs(words)))
+        return out
 
     def ask(table: pa.Table) -> pa.Table:
-        found = [np.zeros(0, np.uint64)]
-        for batch in steps(iter(table.to_batches())):
-            before, own, both = _pairs(Words(batch.column("text")))
-            found.append(np.unique(np.concatenate((before, own, both))))
-        grams = np.unique(np.concatenate(found))
-        shard = np.full(len(grams), table["shard"][0].as_py(), np.int64)
-        return pa.table({"shard": shard, "gram": grams.view(np.int64)})
+        """The distinct pairs of a shard in order, then its distinct words, cut into buckets."""
+        texts = steps(iter(table.select(["text"]).to_batches()), size=STEP_BYTES)
+        parts = [_pairs(Words(batch.column("text"))) for batch in texts]
+        before, own, both = (np.concatenate([x[i] for x in parts]) for i in range(3))
+        rows = []
+        for first, grams in ((0, _distinct(both)), (buckets, _distinct(np.concatenate((before, own))))):
+            bounds, some = _buckets(grams, buckets)
+            rows += [(int(i) + first, _planes(grams[bounds[i] : bounds[i + 1]])) for i in some]
+        at, grams = list(zip(*rows)) if rows else ((), ())
+        shard = np.full(len(at), table["shard"][0].as_py(), np.int64)
+        return pa.table({"bucket": pa.array(at, pa.int64()), "shard": shard, "grams": pa.array(grams, pa.binary())})
+
+    def look_up(asked: pa.Table, known: pa.Table) -> pa.Table:
+        """To every question the facts of its hashes, in its order; zeros where there are none."""
+        if not asked.num_rows:
+            return pa.table({"shard": pa.array([], pa.int64()), "bucket": pa.array([], pa.int64()), "facts": pa.array([], pa.binary())})
+        bucket = asked["bucket"][0].as_py()
+        grams = np.concatenate([np.zeros(0, np.uint64), *map(_from_planes, known["grams"].to_pylist())])
+        facts = _joined(known["facts"], np.float64).reshape(len(grams), 1 if bucket < buckets else 3)
+        in_order = np.argsort(grams)
+        grams, facts = grams[in_order], facts[in_order]
+        answers = []
+        for x in asked["grams"].to_pylist():
+            x = _from_planes(x)
+            out = np.zeros((len(x), facts.shape[1]))
+            if len(grams):
+                at = np.minimum(np.searchsorted(grams, x), len(grams) - 1)
+                found = grams[at] == x
+                out[found] = facts[at[found]]
+            answers.append(out.tobytes())
+        return pa.table({"shard": asked["shard"], "bucket": asked["bucket"], "facts": pa.array(answers, pa.binary())})
 
     def answer(table: pa.Table, known: pa.Table) -> pa.Table:
-        grams = known["gram"].to_numpy()
-        by_gram = np.argsort(grams)
-        grams = grams[by_gram]
-        # the row behind the last one is that of all that was not found
-        part, total, spare = (np.append(known[c].to_numpy()[by_gram], np.nan) for c in ("part", "total", "spare"))
-        part = np.nan_to_num(part)
-
-        def place(x: np.ndarray) -> np.ndarray:
-            x = x.view(np.int64)
-            at = np.searchsorted(grams, x)
-            return np.where(np.append(grams, 0)[at] == x, at, len(grams)) if len(grams) else np.zeros(len(x), np.int64)
-
         rows = [pa.table({"doc_id": table["doc_id"][:0], "lang": table["lang"][:0], "nats": pa.array([], pa.float64())})]
-        for batch in steps(iter(table.to_batches())):
+        if not table.num_rows:
+            return rows[0]
+        known = known.sort_by("bucket")
+        of_pairs = np.asarray(known["bucket"]) < buckets
+        count = _joined(known["facts"].filter(pa.array(of_pairs)), np.float64)
+        facts = _joined(known["facts"].filter(pa.array(~of_pairs)), np.float64).reshape(-1, 3)
+        parts = hashed(table)
+        if parts:
+            before, own, both = (np.concatenate([x[i] for x in parts]) for i in (2, 3, 4))
+            pair_at, word_at = _sorted(both)[1], _sorted(np.concatenate((before, own)))[1]
+            count = (count - less[np.minimum(count, 3).astype(np.int64)])[pair_at]
+            context_at, own_at = word_at[: len(pair_at)], word_at[len(pair_at) :]
+        upto_word = 0
+        for batch, words, *_ in parts:
             data, bounds = raw(batch.column("text"))
             classes, begin = padded(data, bounds, TABLE, order - 1)
             cost = sent.value[codes(classes, order, CLASSES)].astype(np.float64)
             upto = np.concatenate(([0.0], np.cumsum(cost)))
-            shift = np.repeat(begin - bounds[:-1] - (order - 1), np.diff(bounds))
-            words = Words(batch.column("text"))
+            shift = begin - bounds[:-1] - (order - 1)
             row = words.row()
             nats = upto[begin - (order - 1) + np.diff(bounds)] - upto[begin - (order - 1)]
             if len(row):
                 # a word is spelled from the end of the one before it
                 start = np.where(np.append([-1], row[:-1]) == row, np.append([0], words.end[:-1]), words.bounds[row])
-                last = words.end - 1
-                spelled = upto[last + shift[last] + 1] - upto[start + shift[start]]
-                before, own, both = _pairs(words)
-                context = place(before)
-                alone = part[place(own)] + rest * np.exp(-spelled)
-                sure = np.isnan(total[context])
-                p = np.where(sure, alone, part[place(both)] / np.where(sure, 1.0, total[context]) + np.where(sure, 1.0, spare[context]) * alone)
+                spelled = upto[words.end + shift[row]] - upto[start + shift[row]]
+                these = slice(upto_word, upto_word + len(row))
+                upto_word += len(row)
+                part = facts[own_at[these], 0]
+                total, spare = facts[context_at[these], 1], facts[context_at[these], 2]
+                alone = part + rest * np.exp(-spelled)
+                sure = total == 0
+                p = np.where(sure, alone, count[these] / np.where(sure, 1.0, total) + spare * alone)
                 # where p is too small for a number the spelling itself is left
                 better = np.where(p > 0, -np.log(np.where(p > 0, p, 1.0)), spelled)
                 nats = nats + np.bincount(row, better - spelled, len(nats))
@@ -172,9 +392,15 @@ def score(docs: DataFrame, model: np.ndarray, pairs: DataFrame, order: int = ORD
             rows.append(pa.table({"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "nats": pa.array(mean, from_pandas=True)}))
         return pa.concat_tables(rows)
 
-    asked = dealt.groupBy("shard").applyInArrow(ask, "shard long, gram long")
-    known = asked.join(facts, "gram").select("shard", "gram", "part", "total", "spare")
-    return dealt.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, f"doc_id {kind}, lang string, nats double")
+    counts = _packed_pairs(pairs, buckets).unionByName(_packed_words(facts, buckets))
+    rounds = min(rounds, shards)
+    done = []
+    for i in range(rounds):
+        mine = dealt.where(F.col("shard") % rounds == i)
+        asked = mine.groupBy("shard").applyInArrow(ask, "bucket long, shard long, grams binary")
+        known = asked.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(look_up, "shard long, bucket long, facts binary")
+        done.append(store(mine.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, f"doc_id {kind}, lang string, nats double")))
+    return reduce(DataFrame.unionByName, done)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -223,14 +449,15 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     docs = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
     ids = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("quality") == 1).alias("good"))
     ids = ids.withColumn("out", held_out(F.col("doc_id")))
-    held = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
-    trusted = docs.join(held.where("good"), "doc_id")
-    count = trusted.where(F.col("text") != "").agg(F.count_if(~F.col("out")).alias("counted"), F.count_if("out").alias("out")).first()
-    # with trusted rows of one kind only they are both counted and judged
-    apart = bool(count["counted"] and count["out"])
-    counted = trusted.where(~F.col("out")) if apart else trusted
-    model = train(counted)
-    scored = store(score(docs, model, store(count_pairs(counted))).withColumn("lang_key", F.coalesce("lang", F.lit("\x00"))))
+    with brief_shuffles(docs.sparkSession):
+        held = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
+        trusted = docs.join(held.where("good"), "doc_id")
+        count = trusted.where(F.col("text") != "").agg(F.count_if(~F.col("out")).alias("counted"), F.count_if("out").alias("out")).first()
+        # with trusted rows of one kind only they are both counted and judged
+        apart = bool(count["counted"] and count["out"])
+        counted = trusted.where(~F.col("out")) if apart else trusted
+        scored = score_packed(docs, train(counted), store(pack_counts(counted)))
+    scored = scored.withColumn("lang_key", F.coalesce("lang", F.lit("\x00")))
     judged = scored.join(held, "doc_id").where((~F.col("good") | F.col("out")) if apart else F.lit(True))
     judged = judged.select(F.col("lang_key").alias("lang"), "nats", "good")
     # a row per language

@@ -6,6 +6,8 @@ import collections
 import math
 import random
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -140,6 +142,41 @@ def test_quality_counts_grow(spark):
     assert sizes == [200, 2000]
 
 
+def shuffle_bytes(spark):
+    dirs = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()
+    return sum(f.stat().st_size for d in dirs for f in Path(str(d)).rglob("shuffle_*.data") if f.exists())
+
+
+def test_quality_leaves_little_on_disk(spark):
+    """Questions go in rounds and their shuffle files with them: less stays than the texts themselves have."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    before = shuffle_bytes(spark)
+    rows = quality.classify(docs, labels)
+    for _ in range(50):  # files are deleted in the background
+        if shuffle_bytes(spark) - before < size / 2:
+            break
+        time.sleep(0.1)
+    assert shuffle_bytes(spark) - before < size / 2
+    assert rows.count() == docs.count()
+
+
+def test_quality_rounds_agree(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["of", "the", "cat", "Hund", "猫", "x1"]) for _ in range(rng.randrange(40))) for _ in range(60)]
+    rows = [(i, t, "en", None) for i, t in enumerate(texts)] + [(None, None, None, None), (None, "the cat", "en", None), (3, texts[3], "en", None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    known = docs.where("doc_id < 20")
+    model, pairs = quality.train(known), quality.count_pairs(known)
+    want = collections.Counter(x for t in [*texts[:20], texts[3]] for x in zip(["", *t.split()], t.split()))
+    assert sorted(r["n"] for r in pairs.collect()) == sorted(want.values())
+    got = [
+        sorted((str(r["doc_id"]), str(r["nats"])[:12]) for r in quality.score(docs, model, pairs, shard_bytes=b, rounds=n).collect())
+        for b, n in ((10**9, 1), (100, 1), (100, 4))
+    ]
+    assert len(got[0]) == len(rows) and got[0] == got[1] == got[2]
+
+
 BAD = ["blockhead", "nitwit", "dunce", "twerpish"]
 
 
