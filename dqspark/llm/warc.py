@@ -23,6 +23,10 @@ ENTITIES = (
 UNSEEN = r"(?is)<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</(script|style|noscript|template)\s*>"
 BREAKS = r"(?i)</?(address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>"
 TAGS = r"(?s)<[A-Za-z/!?][^>]*>"
+#: What matches UNSEEN, told by its first character alone.
+UNSEEN_FROM_SIGN = r"(?is)<(?:!--.*?-->|(script|style|noscript|template)\b[^>]*>.*?</(script|style|noscript|template)\s*>)"
+#: Two or more blanks and line ends: the groups keep a line end if there is one, else a blank.
+RUNS = r"(?=[ \n][ \n])(?: *(\n)[ \n]*|( ) +)"
 DATE = "2024-01-01T00:00:00Z"
 VERSION = "WARC/1.1"
 TEXT_TYPE = "text/plain; charset=UTF-8"
@@ -31,14 +35,14 @@ FIELDS_TYPE = "application/warc-fields"
 
 def plain_text(html: Column) -> Column:
     """Text of a page: no scripts, styles, comments or tags; a line per block; blanks run together."""
-    out = F.regexp_replace(F.coalesce(html, F.lit("")), UNSEEN, " ")
-    out = F.regexp_replace(out, r"[\r\n\t\f][\r\n\t\f ]*| [\r\n\t\f ]+", " ")  # a single blank is no match
+    out = F.regexp_replace(F.coalesce(html, F.lit("")), UNSEEN_FROM_SIGN, " ")
+    for blank in "\r\n\t\f":  # runs of blanks wait for the last step
+        out = F.replace(out, F.lit(blank), F.lit(" "))
     out = F.regexp_replace(out, BREAKS, "\n")
     out = F.regexp_replace(out, TAGS, "")
     for entity, char in ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
-    out = F.regexp_replace(out, r" *\n[ \n]*", "\n")
-    out = F.regexp_replace(out, r"  +", " ")
+    out = F.regexp_replace(out, RUNS, "$1$2")
     return F.btrim(out, F.lit(" \n"))
 
 
@@ -52,7 +56,7 @@ def record_id(*parts: Column) -> Column:
 
 
 def digest(block: Column) -> Column:
-    return F.concat(F.lit("sha256:"), F.sha2(F.encode(block, "UTF-8"), 256))
+    return F.concat(F.lit("sha256:"), F.sha2(block.cast("binary"), 256))
 
 
 def responses_from_pages(pages: DataFrame, date: str = DATE) -> DataFrame:

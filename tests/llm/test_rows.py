@@ -11,6 +11,7 @@ import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from dqspark.llm import mixing, secrets, topk, urlfilter, warc
 
@@ -76,6 +77,31 @@ def test_warc_text_plain_version(spark, sf_dir):
     assert warc.derive(warc.responses_from_pages(pages.where("false"))).collect() == []
 
 
+def test_warc_digest_is_of_the_bytes(spark):
+    """Of the bytes that are there and counted, without a way through characters."""
+    raw = b"<p>caf\xe9</p>"
+    pages = spark.createDataFrame([(1, "http://a.example/", bytearray(raw))], "page_id long, url string, html binary")
+    records = warc.derive(warc.responses_from_pages(pages.withColumn("html", F.col("html").cast("string")))).collect()
+    assert {r["source_payload_digest"] for r in records} == {"sha256:" + hashlib.sha256(raw).hexdigest()}
+    assert any(f"source-length: {len(raw)}\r\n" in r["block"] for r in records)
+
+
+def test_warc_text_odd_pages(spark):
+    """Blanks, line ends, tags and entities in any order give what the single steps give."""
+    rng = random.Random(12)
+    parts = [" ", "  ", "\n", "\r\n", "\t", "\f", "\x0b", "\xa0", "a", "Zü", "<br>", "<BR\n/>", "</p >", "<b>", "</b\t>", "<hr", ">", "<!--", "-->", "<!-- x -->", "<script>", "</script >", "<STYLE a='>'>", "</style>", "<!doctype x>", "&amp;", "&lt;", "&nbsp;", "&amp;lt;", "$1", "\\", "<", "< p>"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    rows = spark.createDataFrame([(t,) for t in texts], "html string").select("html", warc.plain_text(F.col("html")).alias("t")).collect()
+    for r in rows:
+        out = re.sub(warc.UNSEEN, " ", r["html"], flags=re.ASCII)
+        out = re.sub(r"[\r\n\t\f ]+", " ", out)
+        out = re.sub(warc.TAGS, "", re.sub(warc.BREAKS, "\n", out, flags=re.ASCII))
+        for entity, char in warc.ENTITIES:
+            out = out.replace(entity, char)
+        out = re.sub(" +", " ", re.sub(r" *\n[ \n]*", "\n", out)).strip(" \n")
+        assert r["t"] == out, r["html"]
+
+
 # --- secrets ----------------------------------------------------------------
 
 NAMES = r"(?i:(password|passwd|secret|token|api_?key))"
