@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -106,6 +107,19 @@ def _lengths(column) -> list:
     return pc.binary_length(column).to_pylist()
 
 
+#: Bytes of text up to which hashes come from running sums.
+_SUM_BYTES = 600_000
+
+
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base of hashes, from the first on, and those of its inverse (modulo 2^64), from the zeroth on."""
+    power = np.cumprod(np.full(_SUM_BYTES, _BASE, np.uint64), dtype=np.uint64)
+    inverse = np.full(_SUM_BYTES, pow(int(_BASE), -1, 1 << 64), np.uint64)
+    inverse[0] = 1
+    return power, np.cumprod(inverse, dtype=np.uint64)
+
+
 class Words:
     """The words of a column of texts: where they start and end, whose they are."""
 
@@ -146,6 +160,15 @@ class Words:
         value = table[self.data[at]] * power[place]
         return mix(np.add.reduceat(value, np.concatenate(([0], np.cumsum(size)[:-1]))) + size.astype(np.uint64))
 
+    def hashes_by_sums(self) -> np.ndarray:
+        """The same as ``hashes``, by differences of running sums: quicker where the text is short enough."""
+        if len(self.data) > _SUM_BYTES or not len(self.start):
+            return self.hashes()
+        power, inverse = _powers()
+        upto = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum(_BYTE[self.data] * power[: len(self.data)], out=upto[1:])
+        return mix((upto[self.end] - upto[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
+
     def of_row(self, i: int) -> list[bytes]:
         """The words of one row; ``bytes.split`` parts at the same six separators."""
         return self.data[self.bounds[i] : self.bounds[i + 1]].tobytes().split()

@@ -73,7 +73,7 @@ def train(trusted: DataFrame, order: int = ORDER) -> np.ndarray:
 
 def _pairs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of every word the hash of the one before it, its own, and that of both; texts begin behind a mark."""
-    own = words.hashes()
+    own = words.hashes_by_sums()
     before = np.concatenate(([_BEGIN], own[:-1])) if len(own) else own
     before[words.row_first[:-1][words.per_row > 0]] = _BEGIN
     return before, own, mix(before * _TURN + own)
@@ -132,9 +132,12 @@ def _row(bucket: int, context: np.ndarray, word: np.ndarray, n: np.ndarray) -> p
     return pa.RecordBatch.from_arrays(columns, names=["bucket", "context", "word", "n"])
 
 
-def pack_counts(texts: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Every pair of words of ``texts`` (text) that occurs, with its count: arrays of pairs, a row for each bucket of hashes."""
-    buckets = max(1, -(-_text_bytes(texts) // bucket_bytes))
+def pack_counts(texts: DataFrame, bucket_bytes: int = BUCKET_BYTES, size: int | None = None) -> DataFrame:
+    """Every pair of words of ``texts`` (text) that occurs, with its count: arrays of pairs, a row for each bucket of hashes.
+
+    ``size`` is the number of bytes of all texts, if it is known.
+    """
+    buckets = max(1, -(-(_text_bytes(texts) if size is None else size) // bucket_bytes))
 
     def packed(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         before, own, both = (np.concatenate(x) for x in zip(*found))
@@ -293,10 +296,13 @@ def score(docs: DataFrame, model: np.ndarray, pairs: DataFrame, order: int = ORD
     return score_packed(docs, model, store(_packed_rows(pairs)), order, shard_bytes, rounds)
 
 
-def score_packed(docs: DataFrame, model: np.ndarray, pairs: DataFrame, order: int = ORDER, shard_bytes: int = SHARD_BYTES, rounds: int = ROUNDS) -> DataFrame:
+def score_packed(
+    docs: DataFrame, model: np.ndarray, pairs: DataFrame, order: int = ORDER, shard_bytes: int = SHARD_BYTES, rounds: int = ROUNDS, size: int | None = None
+) -> DataFrame:
     """(doc_id, lang, nats) of every row: mean negative log probability of a byte, null without text.
 
-    ``pairs`` are stored counts as ``pack_counts`` gives them.
+    ``pairs`` are stored counts as ``pack_counts`` gives them; ``size`` is the number of
+    bytes of all texts, if it is known.
     """
     spark = docs.sparkSession
     off = _discounts(_few_counts(pairs))
@@ -304,7 +310,7 @@ def score_packed(docs: DataFrame, model: np.ndarray, pairs: DataFrame, order: in
     less = np.array([0.0, *off])
     sent = spark.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    size = _text_bytes(docs)
+    size = _text_bytes(docs) if size is None else size
     shards = max(1, -(-size // shard_bytes))
     buckets = -(-shards // 2)
     shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards))
@@ -321,9 +327,10 @@ def score_packed(docs: DataFrame, model: np.ndarray, pairs: DataFrame, order: in
         """The distinct pairs of a shard in order, then its distinct words, cut into buckets."""
         texts = steps(iter(table.select(["text"]).to_batches()), size=STEP_BYTES)
         parts = [_pairs(Words(batch.column("text"))) for batch in texts]
-        before, own, both = (np.concatenate([x[i] for x in parts]) for i in range(3))
+        own, both = (np.concatenate([x[i] for x in parts]) for i in (1, 2))
         rows = []
-        for first, grams in ((0, _distinct(both)), (buckets, _distinct(np.concatenate((before, own))))):
+        # the word before one is a word of the shard too, or the mark
+        for first, grams in ((0, _distinct(both)), (buckets, _distinct(np.append(own, _BEGIN)))):
             bounds, some = _buckets(grams, buckets)
             rows += [(int(i) + first, _planes(grams[bounds[i] : bounds[i + 1]])) for i in some]
         at, grams = list(zip(*rows)) if rows else ((), ())
@@ -361,9 +368,10 @@ def score_packed(docs: DataFrame, model: np.ndarray, pairs: DataFrame, order: in
         parts = hashed(table)
         if parts:
             before, own, both = (np.concatenate([x[i] for x in parts]) for i in (2, 3, 4))
-            pair_at, word_at = _sorted(both)[1], _sorted(np.concatenate((before, own)))[1]
+            pair_at, word_at = _sorted(both)[1], _sorted(np.append(own, _BEGIN))[1]
             count = (count - less[np.minimum(count, 3).astype(np.int64)])[pair_at]
-            context_at, own_at = word_at[: len(pair_at)], word_at[len(pair_at) :]
+            own_at, begin_at = word_at[:-1], word_at[-1]
+            context_at = np.where(before == _BEGIN, begin_at, np.append(begin_at, own_at[:-1])[: len(before)])
         upto_word = 0
         for batch, words, *_ in parts:
             data, bounds = raw(batch.column("text"))
@@ -452,11 +460,17 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     with brief_shuffles(docs.sparkSession):
         held = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
         trusted = docs.join(held.where("good"), "doc_id")
-        count = trusted.where(F.col("text") != "").agg(F.count_if(~F.col("out")).alias("counted"), F.count_if("out").alias("out")).first()
+        some = F.col("good") & (F.col("size") > 0)
+        count = docs.select("doc_id", F.octet_length("text").alias("size")).join(held, "doc_id", "left").agg(
+            F.count_if(some & ~F.col("out")).alias("counted"), F.count_if(some & F.col("out")).alias("out"),
+            F.sum(F.when(some & ~F.col("out"), F.col("size"))).alias("counted_size"), F.sum(F.when(some, F.col("size"))).alias("trusted_size"),
+            F.sum("size").alias("size"),
+        ).first()
         # with trusted rows of one kind only they are both counted and judged
         apart = bool(count["counted"] and count["out"])
         counted = trusted.where(~F.col("out")) if apart else trusted
-        scored = score_packed(docs, train(counted), store(pack_counts(counted)))
+        packed = store(pack_counts(counted, size=count["counted_size" if apart else "trusted_size"] or 0))
+        scored = score_packed(docs, train(counted), packed, size=count["size"] or 0)
     scored = scored.withColumn("lang_key", F.coalesce("lang", F.lit("\x00")))
     judged = scored.join(held, "doc_id").where((~F.col("good") | F.col("out")) if apart else F.lit(True))
     judged = judged.select(F.col("lang_key").alias("lang"), "nats", "good")

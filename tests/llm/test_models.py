@@ -10,10 +10,12 @@ import time
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from dqspark.llm import charmodel, quality, toxicity
+from dqspark.llm.common import Words
 
 SCHEMA = "doc_id long, text string, lang string, score string"
 
@@ -161,6 +163,15 @@ def test_quality_leaves_little_on_disk(spark):
     assert rows.count() == docs.count()
 
 
+def test_hashes_by_sums():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcé猫 \t\n") for _ in range(rng.randrange(200))) for _ in range(300)] + [None, "", " ", "x" * 50_000]
+    words = Words(pa.array(texts))
+    assert (words.hashes_by_sums() == words.hashes()).all()
+    long = Words(pa.array(["a b " * 200_000]))  # beyond the powers that are kept
+    assert (long.hashes_by_sums() == long.hashes()).all() and not len(Words(pa.array([None], pa.string())).hashes_by_sums())
+
+
 def test_quality_rounds_agree(spark):
     rng = random.Random(8)
     texts = [" ".join(rng.choice(["of", "the", "cat", "Hund", "猫", "x1"]) for _ in range(rng.randrange(40))) for _ in range(60)]
