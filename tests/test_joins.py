@@ -119,3 +119,19 @@ def test_no_task_holds_the_missing_key(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "outer"])
+def test_copies_of_hot_rows_are_not_broadcast(spark, how):
+    """Sides of a few kB, as Spark sees them, become thousands of copies: they are shuffled, whatever Spark may broadcast."""
+    left = spark.range(400).selectExpr("CASE WHEN id % 2 = 0 THEN NULL ELSE id END AS k", "id AS a")
+    right = spark.range(2000).selectExpr("CASE WHEN id % 2 = 0 THEN NULL ELSE id END AS j", "id AS b")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        joined = join_tables(left, right, JoinSpec("r", "k", "j", how, hot_rows=5))
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join" in line and "__part_left" in line]
+        assert len(joins) == 1 and "SortMergeJoin" in joins[0]
+        assert joined.where("k IS NULL AND j IS NULL AND a IS NOT NULL AND b IS NOT NULL").count() == 200 * 1000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
