@@ -137,9 +137,13 @@ def record_json(records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def record_issues(records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """The issues of records as flag-table rows, the i-th of a record with the i-th bit; more than bits ends the job."""
+    """The issues of records as flag-table rows, the i-th of a record with the i-th bit.
+
+    Beyond the bits of one status flags go on in further words, as in
+    ``wideflags``: ``flag_value`` is the bit within the word ``flag_word``.
+    """
     rows = records.select(*[col(k) for k in keep], F.posexplode("issues").alias("__i", "__issue"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("__i"))
-    bit = F.when(F.col("__i") < V.MAX_FLAGS, bit).otherwise(F.raise_error(F.lit(f"a record has more than {V.MAX_FLAGS} issues")).cast("bigint"))
+    word = F.floor(F.col("__i") / V.MAX_FLAGS).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("__i") - word * V.MAX_FLAGS)
     fields = issue_fields(F.lit(""), F.lit(V.DEFAULT_FIX), "__issue.")
-    return rows.select(*[col(k) for k in keep], bit.alias("flag_value"), *fields)
+    return rows.select(*[col(k) for k in keep], bit.alias("flag_value"), *fields, word.alias("flag_word"))

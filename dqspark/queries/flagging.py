@@ -299,7 +299,7 @@ def result_records(spark, sf_dir):
     given = texts.select("n_nationkey", F.when(k % 5 == 4, F.lit("no result")).otherwise(text).alias("json"))
     first = records.read_records(given, columns=["n_name", "n_regionkey"], keep=["n_nationkey"])
     again = records.read_records(records.record_json(first, ["n_nationkey"]), keep=["n_nationkey"])
-    bits = records.record_issues(again, ["n_nationkey"]).groupBy("n_nationkey").agg(F.count_distinct("flag_value").alias("n_flags"))
+    bits = records.record_issues(again, ["n_nationkey"]).groupBy("n_nationkey").agg(F.count_distinct("flag_word", "flag_value").alias("n_flags"))
     rows = again.drop("valid").join(first.select("n_nationkey", "valid"), "n_nationkey").join(bits, "n_nationkey", "left")
     return rows.select(
         "n_nationkey", "valid", "total_issues", F.size(F.filter("issues", lambda i: i["severity"] == "high")).cast("bigint").alias("n_high"),

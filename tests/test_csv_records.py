@@ -69,6 +69,26 @@ def test_records_of_any_shape(spark):
     assert issues.issue_metrics(issues.record_issues(again), supplied=12).first()["data_quality_score"] == 12
 
 
+def test_records_of_more_issues_than_bits(spark):
+    texts = [json.dumps({"issues": [{"category": str(i)} for i in range(n)]}) for n in (63, 64, 130)]
+    records = issues.read_records(spark.createDataFrame(list(enumerate(texts)), "i int, json string"), keep=["i"])
+    flags = issues.record_issues(records, ["i"]).collect()
+    place = {(r["i"], int(r["category"])): (r["flag_word"], r["flag_value"]) for r in flags}
+    assert place == {(i, p): (p // 63, 1 << (p % 63)) for i, n in enumerate((63, 64, 130)) for p in range(n)}
+
+
+def test_result_records_with_many_suppliers(spark, tmp_path):
+    """More suppliers of a nation than a status has bits: all are counted."""
+    from dqspark.queries import QUERIES
+
+    spark.range(6).selectExpr("CAST(id AS int) AS n_nationkey", "'n' AS n_name", "0 AS n_regionkey").write.parquet(f"{tmp_path}/nation.parquet")
+    suppliers = spark.range(300).selectExpr("id AS s_suppkey", "CAST(CASE WHEN id < 200 THEN 1 ELSE id % 6 END AS int) AS s_nationkey", "10.0D AS s_acctbal")
+    suppliers.write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {r["n_nationkey"]: r for r in QUERIES["result_records"](spark, str(tmp_path)).collect()}
+    n = {r["k"]: r["n"] for r in suppliers.groupBy("s_nationkey").count().toDF("k", "n").collect()}
+    assert n[1] > 126 and {k: (r["total_issues"], r["n_flags"]) for k, r in got.items()} == {k: (0, 0) if k == 4 else (n[k], n[k]) for k in range(6)}
+
+
 def test_totals_of_an_imputation(spark):
     before = spark.createDataFrame([(None, None), (1, None), (2, "x")], "a int, b string")
     after = before.withColumn("a", F.coalesce("a", F.lit(9))).withColumn("b", F.when(F.col("a") == 1, "y").otherwise(F.col("b")))
