@@ -190,7 +190,8 @@ def join_decimal_keys(spark, sf_dir):
     """Decimal keys meet whole numbers only where they are whole themselves, and stay as they are."""
     orders = table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey",
-        "CAST(CAST(o_custkey AS DECIMAL(20, 15)) + CASE WHEN o_orderkey % 3 = 0 THEN 0.000000000000001BD ELSE 0 END AS DECIMAL(20, 15)) AS k",
+        # 19 digits before the point hold any bigint
+        "CAST(CAST(o_custkey AS DECIMAL(34, 15)) + CASE WHEN o_orderkey % 3 = 0 THEN 0.000000000000001BD ELSE 0 END AS DECIMAL(34, 15)) AS k",
     )
     customer = table(spark, sf_dir, "customer").selectExpr("c_custkey AS j", "c_name")
     return join_tables(orders, customer, JoinSpec("customer", "k", "j"))

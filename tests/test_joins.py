@@ -82,6 +82,27 @@ def test_decimals_without_a_common_type(spark):
     assert rows(join_tables(d, c, JoinSpec("c", "k", "k", "inner")).select("d", "c")) == [("m", "s")]
 
 
+def test_join_decimal_keys_of_any_size(spark, tmp_path):
+    """The query's keys may have as many digits as a bigint."""
+    from decimal import Decimal as D
+    from decimal import localcontext
+
+    from dqspark.queries import QUERIES
+
+    big = 2**63 - 1
+    orders = [(1, 99_999), (2, 100_000), (3, 100_000), (4, big), (5, -big - 1), (6, big), (7, None), (8, 7)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    customers = [(99_999, "a"), (100_000, "b"), (big, "c"), (-big - 1, "d"), (None, "e")]
+    spark.createDataFrame(customers, "c_custkey bigint, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r["o_orderkey"]: (r["k"], r["j"], r["c_name"]) for r in QUERIES["join_decimal_keys"](spark, str(tmp_path)).collect()}
+    bit = D("0.000000000000001")
+    with localcontext(prec=40):
+        assert got == {
+            1: (99_999, 99_999, "a"), 2: (100_000, 100_000, "b"), 3: (100_000 + bit, None, None), 4: (big, big, "c"),
+            5: (-big - 1, -big - 1, "d"), 6: (big + bit, None, None), 7: (None, None, "e"), 8: (7, None, None),
+        }
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "right", "outer"])
 def test_split_join_is_the_join(spark, how):
     """Hot keys on both sides, on one only, missing on the other side, NULL among them, maps in the rows."""
