@@ -14,7 +14,8 @@ Exact at every size and without a cross join:
   blocks.  Vectors are rotated to the principal directions of a sample; the
   product of two vectors is at most the product of their first coordinates plus
   the product of the lengths of the rest, and only pairs whose bound reaches the
-  limit (or the best so far) are evaluated.
+  limit (or the best so far) are evaluated.  A few blocks are copied to each
+  other; many are stored once by a shuffle, and each pair of parts reads its two.
 """
 
 from __future__ import annotations
@@ -37,7 +38,15 @@ SMALL_SIDE = 4096
 PIVOTS = 256
 CELL_ROWS = 20_000
 PRODUCT_CELLS = 4_000_000  # size of one matrix product in a task
+BOUND_CELLS = 1 << 20  # the same for bounds, all of which may have to be evaluated
+EVALUATED_PAIRS = 20_000  # pairs evaluated at once
 ROUNDING = 1e-9
+#: Copies of a vector, on average, beyond which neither cells nor copied blocks are used.
+MOST_VISITS = 16
+MOST_COPIES = 4
+#: Copies of vectors that leave a batch at once; parts of either side, at least, if there are as many blocks.
+COPIED_ROWS = 20_000
+PAIRED_PARTS = 16
 #: Bytes of vectors in a block of either side, rows of a packed piece of one, rows looked at to choose between the ways.
 BLOCK_BYTES = 16 << 20
 PIECE_ROWS = 1000
@@ -150,7 +159,7 @@ def _against_queries(e: DataFrame, rows: pd.DataFrame, types: str, threshold: fl
 def _large_sides(
     q: DataFrame, e: DataFrame, types: str, threshold: float, skip_same: bool, n_pivots: int, cell_rows: int, block_bytes: int
 ) -> DataFrame:
-    """Cells or blocks, whichever makes fewer copies of vectors."""
+    """Cells or blocks, whichever makes fewer copies of vectors; pairs of stored blocks where both make many."""
     looked = unit_rows(q.orderBy(random_order(["q"], 0)).limit(LOOK_ROWS).toPandas()["v"])
     sample = unit_rows(e.orderBy(random_order(["e"], 0)).limit(max(LOOK_ROWS, n_pivots)).toPandas()["v"])
     rows = max(1, block_bytes // (8 * max(1, sample.shape[1])))
@@ -158,9 +167,12 @@ def _large_sides(
     blocks_q, blocks_e = math.ceil(n_q / rows), math.ceil(n_e / rows)
     pivots = sample[:n_pivots]
     visits = float(_visited(looked, pivots, threshold).sum(axis=1).mean()) if len(looked) else 0.0
-    if n_q * (visits - 1) <= n_q * (blocks_e - 1) + n_e * (blocks_q - 1):
+    if visits <= MOST_VISITS and n_q * (visits - 1) <= n_q * (blocks_e - 1) + n_e * (blocks_q - 1):
         return _by_cells(q, e, types, threshold, skip_same, n_pivots, cell_rows)
-    return _by_blocks(q, e, types, threshold, skip_same, principal(sample, threshold), blocks_q, blocks_e)
+    directions = principal(sample, threshold)
+    if max(blocks_q, blocks_e) <= MOST_COPIES:
+        return _by_blocks(q, e, types, threshold, skip_same, directions, blocks_q, blocks_e)
+    return _by_pairs(q, e, types, threshold, skip_same, directions, blocks_q, blocks_e, rows, block_bytes)
 
 
 def _visited(units: np.ndarray, pivots: np.ndarray, threshold: float) -> np.ndarray:
@@ -186,6 +198,22 @@ def principal(sample: np.ndarray, threshold: float) -> np.ndarray:
     return np.ascontiguousarray(directions[:, : min(k, directions.shape[1])])
 
 
+def _packed(df: DataFrame, key: str, kind: str, rows: int) -> DataFrame:
+    """Pieces of at most ``rows`` vectors, scaled to length one; zero vectors are like nothing and left out."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), rows):
+                piece = batch.iloc[start : start + rows]
+                units = unit_rows(piece["v"])
+                live = np.flatnonzero(units.any(axis=1))
+                if len(live):
+                    keys = piece[key].to_numpy()[live]
+                    yield pd.DataFrame({"keys": [keys], "data": [units[live].tobytes()]})
+
+    return df.mapInPandas(pack, f"keys array<{kind}>, data binary")
+
+
 def _by_blocks(
     q: DataFrame, e: DataFrame, types: str, threshold: float, skip_same: bool, directions: np.ndarray, blocks_q: int, blocks_e: int
 ) -> DataFrame:
@@ -193,18 +221,7 @@ def _by_blocks(
     q_type, e_type = (t.split(" ", 1)[1] for t in types.split(", ")[:2])
 
     def packed(df: DataFrame, key: str, kind: str, own: int, other: int, own_name: str, other_name: str) -> DataFrame:
-        def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for start in range(0, len(batch), PIECE_ROWS):
-                    piece = batch.iloc[start : start + PIECE_ROWS]
-                    units = unit_rows(piece["v"])
-                    live = np.flatnonzero(units.any(axis=1))
-                    if len(live):
-                        keys = piece[key].to_numpy()[live]
-                        yield pd.DataFrame({"keys": [keys], "data": [units[live].tobytes()]})
-
-        pieces = df.mapInPandas(pack, f"keys array<{kind}>, data binary")
-        dealt = pieces.withColumn(own_name, F.pmod(F.xxhash64("data"), F.lit(own)).cast("int"))
+        dealt = _packed(df, key, kind, PIECE_ROWS).withColumn(own_name, F.pmod(F.xxhash64("data"), F.lit(own)).cast("int"))
         return dealt.withColumn(other_name, F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
 
     def unpacked(pieces: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -221,50 +238,115 @@ def _by_blocks(
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(compare, types)
 
 
+def _by_pairs(
+    q: DataFrame, e: DataFrame, types: str, threshold: float, skip_same: bool, directions: np.ndarray, blocks_q: int, blocks_e: int,
+    rows: int, block_bytes: int,
+) -> DataFrame:
+    """Every block of queries against every block of entries, none copied: both sides lie in a shuffle in parts of
+    about ``BLOCK_BYTES``, and a task reads a part of either side.  It holds the part of the entries and sees the
+    queries block by block, each with all entries of the part in turn, so that a query keeps one best of them."""
+    q_type, e_type = (t.split(" ", 1)[1] for t in types.split(", ")[:2])
+
+    def packed(df: DataFrame, key: str, kind: str, blocks: int) -> DataFrame:
+        parts = min(blocks, max(PAIRED_PARTS, -(-blocks * block_bytes // BLOCK_BYTES)))
+        # dealt twice: as rows, so that blocks are full whatever the input's parts, and as blocks, so that no pair packs anew
+        pieces = _packed(df.repartition(parts), key, kind, rows).repartition(parts)
+        return pieces.withColumnsRenamed({"keys": f"keys_{key}", "data": f"block_{key}"})
+
+    def matrix(keys: np.ndarray, data: bytes) -> np.ndarray:
+        return np.frombuffer(data).reshape(len(keys), -1)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best, keys, block = None, None, None
+        for batch in batches:
+            for keys_q, block_q, keys_e, block_e in zip(*(batch[c] for c in ("keys_q", "block_q", "keys_e", "block_e")), strict=True):
+                if best is None or block_q != block or not np.array_equal(keys_q, keys):
+                    if best is not None:
+                        yield best.found()
+                    keys, block = np.asarray(keys_q), block_q
+                    best = BoundedBest(keys, matrix(keys, block), threshold, skip_same, directions)
+                best.see(np.asarray(keys_e), matrix(keys_e, block_e))
+        if best is not None:
+            yield best.found()
+
+    left, right = packed(q, "q", q_type, blocks_q), packed(e, "e", e_type, blocks_e)
+    return left.hint("shuffle_replicate_nl").crossJoin(right).mapInPandas(compare, types)
+
+
+class BoundedBest:
+    """The best entry of each query of a block, among the entries seen so far; the lowest key on ties.
+
+    Queries and entries have length one.  Bounds are products in single precision,
+    lowered by what that can be off; scores are computed in double precision.
+    """
+
+    def __init__(self, query_keys, queries, threshold: float, skip_same: bool, directions: np.ndarray):
+        self.keys, self.queries, self.directions = query_keys, queries, directions
+        self.threshold, self.skip_same = threshold, skip_same
+        self.cuts = self._cut(queries)
+        self.slack = ROUNDING + (self.cuts.shape[1] + 4) * 2.0**-23
+        self.score = np.full(len(query_keys), -np.inf)
+        self.entry = None
+
+    def _cut(self, m: np.ndarray) -> np.ndarray:
+        """First coordinates, and behind them the length of the rest."""
+        first = m @ self.directions
+        rest = np.sqrt(np.maximum(0.0, (m * m).sum(axis=1) - (first * first).sum(axis=1)))
+        return np.column_stack([first, rest]).astype(np.float32)
+
+    def see(self, entry_keys, entries) -> int:
+        """Take in more entries; the number of pairs that had to be evaluated."""
+        order = np.argsort(entry_keys, kind="stable")
+        entry_keys, entries = entry_keys[order], entries[order]
+        if self.entry is None:
+            self.entry = np.empty(len(self.keys), dtype=entry_keys.dtype)
+        cuts = self._cut(entries)
+        evaluated = 0
+        columns = max(1, min(len(entry_keys), 2048))
+        rows = max(1, BOUND_CELLS // columns)
+        for top in range(0, len(self.keys), rows):
+            part = slice(top, top + rows)
+            for left in range(0, len(entry_keys), columns):
+                bound = self.cuts[part] @ cuts[left : left + columns].T
+                limit = np.maximum(self.score[part], max(self.threshold, 0.0)) - self.slack
+                row, column = np.divmod(np.flatnonzero(bound >= limit.astype(np.float32)[:, None]), bound.shape[1])
+                row, column = row + top, column + left
+                if self.skip_same:
+                    other = self.keys[row] != entry_keys[column]
+                    row, column = row[other], column[other]
+                evaluated += len(row)
+                for start in range(0, len(row), EVALUATED_PAIRS):
+                    some = slice(start, start + EVALUATED_PAIRS)
+                    self._evaluate(row[some], column[some], entry_keys, entries)
+        return evaluated
+
+    def _evaluate(self, r: np.ndarray, c: np.ndarray, entry_keys, entries) -> None:
+        score = np.einsum("ij,ij->i", self.queries[r], entries[c])
+        order = np.lexsort((c, -score, r))
+        r, c, score = r[order], c[order], score[order]
+        head = np.ones(len(r), bool)
+        head[1:] = r[1:] != r[:-1]
+        r, c, score = r[head], c[head], score[head]
+        better = score > self.score[r]
+        tied = np.flatnonzero(score == self.score[r])
+        better[tied] = entry_keys[c[tied]] < self.entry[r[tied]]
+        r, c, score = r[better], c[better], score[better]
+        self.score[r], self.entry[r] = score, entry_keys[c]
+
+    def found(self) -> pd.DataFrame:
+        keep = (self.score >= self.threshold) & (self.score > 0)
+        return pd.DataFrame({"q": self.keys[keep], "e": self.keys[:0] if self.entry is None else self.entry[keep], "s": self.score[keep]})
+
+
 def bounded_best(
     query_keys, queries, entry_keys, entries, threshold: float, skip_same: bool, directions: np.ndarray
 ) -> tuple[pd.DataFrame, int]:
     """Best entry per query (the lowest key on ties) and the number of pairs that had to be evaluated."""
     if not len(query_keys) or not len(entry_keys):
         return pd.DataFrame({"q": query_keys[:0], "e": entry_keys[:0], "s": np.zeros(0)}), 0
-    order = np.argsort(entry_keys, kind="stable")
-    entry_keys, entries = entry_keys[order], entries[order]
-
-    def cut(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        first = m @ directions
-        return first, np.sqrt(np.maximum(0.0, (m * m).sum(axis=1) - (first * first).sum(axis=1)))
-
-    first_q, rest_q = cut(queries)
-    first_e, rest_e = cut(entries)
-    best = np.full(len(query_keys), -np.inf)
-    at = np.zeros(len(query_keys), np.int64)
-    evaluated = 0
-    columns = max(1, min(len(entry_keys), 2048))
-    rows = max(1, PRODUCT_CELLS // columns)
-    for top in range(0, len(query_keys), rows):
-        part = slice(top, top + rows)
-        for left in range(0, len(entry_keys), columns):
-            some = slice(left, left + columns)
-            bound = first_q[part] @ first_e[some].T + rest_q[part, None] * rest_e[None, some]
-            limit = np.maximum(best[part], max(threshold, 0.0)) - ROUNDING
-            row, column = np.nonzero(bound >= limit[:, None])
-            row, column = row + top, column + left
-            if skip_same:
-                other = query_keys[row] != entry_keys[column]
-                row, column = row[other], column[other]
-            evaluated += len(row)
-            for start in range(0, len(row), 100_000):
-                r, c = row[start : start + 100_000], column[start : start + 100_000]
-                score = np.einsum("ij,ij->i", queries[r], entries[c])
-                order = np.lexsort((c, -score, r))
-                r, c, score = r[order], c[order], score[order]
-                head = np.ones(len(r), bool)
-                head[1:] = r[1:] != r[:-1]
-                r, c, score = r[head], c[head], score[head]
-                better = score > best[r]  # columns ascend, so the lower key came before on ties
-                best[r[better]], at[r[better]] = score[better], c[better]
-    keep = (best >= threshold) & (best > 0)
-    return pd.DataFrame({"q": query_keys[keep], "e": entry_keys[at[keep]], "s": best[keep]}), evaluated
+    best = BoundedBest(query_keys, queries, threshold, skip_same, directions)
+    evaluated = best.see(entry_keys, entries)
+    return best.found(), evaluated
 
 
 def _by_cells(
@@ -294,9 +376,11 @@ def _by_cells(
             if len(live):
                 d = distances(units[live])
                 row, cell = np.nonzero(d <= d.min(axis=1, keepdims=True) + 2 * radius + ROUNDING)
-                yield pd.DataFrame(
-                    {"cell": cell.astype("int32"), "q": batch["q"].to_numpy()[live[row]], "v": list(units[live[row]])}
-                )
+                keys = batch["q"].to_numpy()
+                for start in range(0, len(row), COPIED_ROWS):  # a batch may visit hundreds of cells with each vector
+                    some = live[row[start : start + COPIED_ROWS]]
+                    cells = cell[start : start + COPIED_ROWS].astype("int32")
+                    yield pd.DataFrame({"cell": cells, "q": keys[some], "v": list(units[some])})
 
     placed, visiting = e.mapInPandas(place, entry_type), q.mapInPandas(visit, query_type)
     entry_parts = _parts(placed, cell_rows)

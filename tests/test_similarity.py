@@ -108,3 +108,57 @@ def test_first_coordinates_decide_most_pairs():
     assert directions.shape[1] < 32
     found, evaluated = bounded_best(np.arange(1500), units, np.arange(1500), units, 0.92, True, directions)
     assert not len(found) and evaluated < 0.01 * 1500**2
+
+
+@pytest.mark.parametrize("threshold", [0.92, 0.35])
+@pytest.mark.parametrize("skip", [False, True])
+@pytest.mark.parametrize("key", ["bigint", "string"])
+def test_pairs_of_many_blocks(spark, threshold, skip, key):
+    """Many blocks are stored once and none is copied; copies, ties across blocks, zero vectors and missing ones among them."""
+    rng = np.random.default_rng(11)
+    e = rng.normal(size=(500, 32))
+    e[300:320] = e[:20]
+    e[77] = 0
+    q = e if skip else np.concatenate([e[:90] + 0.1 * rng.normal(size=(90, 32)), rng.normal(size=(110, 32)), e[:20], np.zeros((3, 32))])
+    entries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(e)], "e bigint, v array<double>")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "q bigint, v array<double>")
+    more = spark.createDataFrame([(None, [1.0] * 32), (1000, None)], "k bigint, v array<double>")
+    entries, queries = entries.union(more), queries.union(more)
+    if key == "string":
+        entries, queries = entries.selectExpr("lpad(e, 4, '0') AS e", "v"), queries.selectExpr("lpad(q, 4, '0') AS q", "v")
+    got = best_match(queries, entries, "q", "e", "v", "v", threshold, skip, small_side=0, pivots=64, block_bytes=30 * 32 * 8)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "block_q" in plan and "Generate" not in plan and "cell" not in plan
+    assert "CartesianProduct" in got._jdf.queryExecution().executedPlan().toString()
+    found = {int(r["q"]): (int(r["e"]), round(r["similarity"], 9)) for r in got.collect()}
+    want = {k: v for k, v in brute(q, e, threshold, skip).items() if v[1] > 0}
+    assert found.keys() == want.keys() and all(abs(found[k][1] - want[k][1]) < 2e-9 for k in want)
+    assert {k: v[0] for k, v in found.items()} == {k: v[0] for k, v in want.items()}
+
+
+def test_copies_for_cells_leave_a_batch_by_parts(spark, monkeypatch):
+    """Vectors in all directions visit every cell: the copies of a batch are not made at once."""
+    import pandas as pd
+
+    from dqspark.operators import similarity
+
+    e = np.random.default_rng(2).normal(size=(1000, 8))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(e)], "k bigint, v array<double>")
+    steps, real = [], type(rows).mapInPandas
+    monkeypatch.setattr(type(rows), "mapInPandas", lambda df, f, kind: steps.append((f, kind)) or real(df, f, kind))
+    monkeypatch.setattr(similarity, "_parts", lambda cells, cell_rows: [1])
+    similarity._by_cells(rows.selectExpr("k AS q", "v"), rows.selectExpr("k AS e", "v"), "q bigint, e bigint, s double", 0.35, False, 64, 20_000)
+    visit = next(f for f, kind in steps if " q " in kind)
+    batch = pd.DataFrame({"q": np.arange(1000), "v": list(e)})
+    sizes = [len(part) for part in visit(iter([batch]))]
+    assert sum(sizes) > 2 * similarity.COPIED_ROWS and max(sizes) <= similarity.COPIED_ROWS
+
+
+def test_sides_that_visit_most_cells_are_not_copied(spark):
+    """More blocks than cells: the queries still are not sent to every cell."""
+    e = np.random.default_rng(5).normal(size=(400, 16))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(e)], "k bigint, v array<double>")
+    got = best_match(rows, rows, "k", "k", "v", "v", 0.35, True, small_side=0, pivots=20, block_bytes=4 * 16 * 8)
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "block_q" in plan and "cell" not in plan
+    assert {r["k"]: (r["similar_k"], round(r["similarity"], 9)) for r in got.collect()} == brute(e, e, 0.35, True)
