@@ -46,7 +46,7 @@ MOST_VISITS = 16
 MOST_COPIES = 4
 #: Copies of vectors that leave a batch at once; parts of either side, at least, if there are as many blocks.
 COPIED_ROWS = 20_000
-PAIRED_PARTS = 16
+PAIRED_PARTS = 8
 #: Bytes of vectors in a block of either side, rows of a packed piece of one, rows looked at to choose between the ways.
 BLOCK_BYTES = 16 << 20
 PIECE_ROWS = 1000
